@@ -53,3 +53,7 @@ WHERE rn <= 1000
 def branch_diff(spark, d):
     """J1 flagship: every branch against its repository's default branch, top 1000 per pair."""
     return _diff(spark, d).select(*DIFF_COLS)
+
+
+# The query modules register themselves on import.
+from strata.plans import q_tables  # noqa: E402,F401

@@ -7,7 +7,7 @@ query is ``FIXTURE_SQL + <select>``.  Unused CTEs cost nothing.
 
 # Fixed values shared with strata.sources.fixtures (see FIXTURES.md).
 FIXTURE_SQL = r"""
-WITH
+WITH RECURSIVE
 fx_repositories AS (
   SELECT CAST(n_nationkey AS BIGINT) + 1 AS id, lower(n_name) AS name,
          '/srv/git/r' || CAST(n_regionkey AS VARCHAR) || '/' || lower(n_name) AS path,
@@ -20,7 +20,7 @@ fx_lanes AS (
   SELECT user_id % 25 + 1 AS repository_id, event_id, user_id, event_type, props, ts,
          unnest(CASE WHEN ts < TIMESTAMP '2024-01-16 00:00:00' THEN [-1] ELSE [0, 1, 2] END) AS lane
   FROM events),
-fx_nodes AS (
+fx_nodes AS MATERIALIZED (
   SELECT repository_id, event_id, lane,
          CASE WHEN lane = -1
               THEN md5('t' || CAST(event_id AS VARCHAR)) || substr(md5('t' || CAST(event_id AS VARCHAR)), 1, 8)
@@ -40,7 +40,7 @@ fx_w AS (
          max(CASE WHEN lane = 1 THEN event_id END) OVER (PARTITION BY repository_id ORDER BY event_id, lane
                                                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS rel_id
   FROM fx_nodes),
-fx_commit_parents AS (
+fx_commit_parents AS MATERIALIZED (
   SELECT repository_id, oid, 0 AS pos,
          coalesce(prev_oid, md5('t' || CAST(fork_id AS VARCHAR)) || substr(md5('t' || CAST(fork_id AS VARCHAR)), 1, 8)) AS parent_oid
   FROM fx_w WHERE prev_oid IS NOT NULL OR lane >= 0
@@ -50,10 +50,10 @@ fx_commit_parents AS (
 fx_parent_text AS (
   SELECT repository_id, oid, string_agg(parent_oid, ',' ORDER BY pos) AS parents, count(*) AS n_parents
   FROM fx_commit_parents GROUP BY repository_id, oid),
-fx_history AS (
+fx_history AS MATERIALIZED (
   SELECT n.*, coalesce(p.parents, '') AS parents, coalesce(p.n_parents, 0) AS n_parents
   FROM fx_nodes n LEFT JOIN fx_parent_text p ON p.repository_id = n.repository_id AND p.oid = n.oid),
-fx_refs AS (
+fx_refs AS MATERIALIZED (
   SELECT repository_id,
          CASE lane WHEN 0 THEN 'refs/remotes/origin/main' WHEN 1 THEN 'refs/remotes/origin/release'
                    ELSE 'refs/remotes/origin/dev' END AS ref_name,
@@ -64,7 +64,7 @@ fx_branches AS (
   SELECT repository_id, regexp_replace(ref_name, '^refs/remotes/', '') AS name, target_oid,
          is_head AS is_default, TIMESTAMP '2024-02-01 00:00:00' AS updated_at
   FROM fx_refs),
-fx_commits AS (
+fx_commits AS MATERIALIZED (
   SELECT repository_id, oid,
          unnest(CASE lane WHEN -1 THEN ['origin/main', 'origin/release', 'origin/dev'] WHEN 0 THEN ['origin/main']
                           WHEN 1 THEN ['origin/release'] ELSE ['origin/dev'] END) AS branch,
@@ -92,7 +92,48 @@ fx_default_branch AS (
 fx_pairs AS (
   SELECT b.repository_id, b.name AS old_branch, d.default_branch AS new_branch
   FROM fx_branches b JOIN fx_default_branch d ON d.repository_id = b.repository_id
-  WHERE b.name <> d.default_branch)
+  WHERE b.name <> d.default_branch),
+fx_tag_feed AS (
+  SELECT repository_id, 'v' || CAST(event_id AS VARCHAR) AS name, oid AS target_oid,
+         CASE WHEN event_id % 100 = 0 THEN author_name END AS tagger_name,
+         CASE WHEN event_id % 100 = 0 THEN author_email END AS tagger_email,
+         CASE WHEN event_id % 100 = 0 THEN CAST(epoch(author_time) AS BIGINT) END AS tagger_time,
+         CASE WHEN event_id % 100 = 0 THEN 'release ' || summary END AS message
+  FROM fx_nodes WHERE lane = 1 AND event_id % 50 = 0),
+fx_raw_refs AS (
+  SELECT * FROM fx_refs
+  UNION ALL SELECT repository_id, 'refs/remotes/origin/HEAD', NULL, false FROM fx_refs WHERE ref_name = 'refs/remotes/origin/main'
+  UNION ALL SELECT repository_id, 'refs/remotes/upstream/main', target_oid, false FROM fx_refs WHERE ref_name = 'refs/remotes/origin/main'),
+fx_manifest AS (
+  SELECT lower(r.r_name) AS name, '/srv/git/r' || CAST(r.r_regionkey AS VARCHAR) AS base_path,
+         coalesce(s.paths, []) || ['.'] AS scan_paths
+  FROM region r LEFT JOIN (
+    SELECT n_regionkey, list(CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) || '/.' ELSE lower(n_name) END ORDER BY n_name) AS paths
+    FROM nation GROUP BY n_regionkey) s ON s.n_regionkey = r.r_regionkey),
+fx_inventory AS (
+  SELECT '/srv/git/r' || CAST(n_regionkey AS VARCHAR) || '/' || lower(n_name) AS path FROM nation
+  UNION ALL
+  SELECT '/srv/git/r' || CAST(n_regionkey AS VARCHAR) || '/' || lower(n_name) || '/.git' FROM nation
+  WHERE n_nationkey % 5 <> 4 AND n_nationkey % 6 <> 5
+  UNION ALL
+  SELECT '/srv/git/r' || CAST(n_regionkey AS VARCHAR) || '/' || lower(n_name) || '/packed-refs' FROM nation
+  WHERE n_nationkey % 5 >= 3 AND n_nationkey % 6 <> 5),
+fx_diff_lines AS MATERIALIZED (
+  SELECT repository_id, commit_oid, path, l.seq AS seq, l.origin AS origin, l.content AS content FROM (
+    SELECT repository_id, oid AS commit_oid, 'src/' || regexp_extract(summary, '^(\S+)', 1) || '.txt' AS path,
+           unnest([
+             {'seq': 0, 'origin': ' ', 'content': 'owner ' || author_name},
+             {'seq': 1, 'origin': '-', 'content': 'count=' || CAST(event_id % 500 AS VARCHAR)},
+             {'seq': 2, 'origin': '+', 'content': 'count=' || CAST(CASE WHEN lane = 1 AND event_id % 7 = 0 THEN event_id % 500 + 2
+                                                                       ELSE event_id % 500 + 1 END AS VARCHAR)
+                                                 || CASE WHEN lane = 2 THEN '  ' ELSE '' END},
+             {'seq': 3, 'origin': '+', 'content': summary || CASE WHEN lane = 2 THEN '  ' ELSE '' END}]) AS l
+    FROM fx_history WHERE n_parents <= 1) x),
+reach(repository_id, ref, oid) AS (
+  SELECT repository_id, name, target_oid FROM fx_branches
+  UNION
+  SELECT r.repository_id, r.ref, e.parent_oid
+  FROM reach r JOIN fx_commit_parents e ON e.repository_id = r.repository_id AND e.oid = r.oid)
 """
 
 

@@ -208,3 +208,83 @@ def fx_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Branch rows from the ref feed (P9 over P4/P6)."""
     from strata.operators.tables import refs_to_branches
     return refs_to_branches(fx_refs(spark, sf_dir), _ts(INDEX_TIME))
+
+
+def fx_tag_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tag_feed: a tag on every release commit with event_id % 50 = 0, annotated
+    (tagger + message) when event_id % 100 = 0, lightweight otherwise."""
+    n = fx_nodes(spark, sf_dir).where((F.col("lane") == 1) & (F.col("event_id") % 50 == 0))
+    ann = F.col("event_id") % 100 == 0
+    return n.select(
+        "repository_id", F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("name"),
+        F.col("oid").alias("target_oid"),
+        F.when(ann, F.col("author_name")).alias("tagger_name"),
+        F.when(ann, F.col("author_email")).alias("tagger_email"),
+        F.when(ann, ts_to_epoch("author_time")).alias("tagger_time"),
+        F.when(ann, F.concat(F.lit("release "), F.col("summary"))).alias("message"),
+    )
+
+
+def fx_raw_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ref feed as listed: the three origin refs, a symbolic origin/HEAD
+    (no direct target) and an upstream remote pointing at main's tip."""
+    refs = fx_refs(spark, sf_dir)
+    main = refs.where(F.col("ref_name") == LANE_REF[0])
+    head = main.select("repository_id", F.lit("refs/remotes/origin/HEAD").alias("ref_name"),
+                       F.lit(None).cast("string").alias("target_oid"), F.lit(False).alias("is_head"))
+    upstream = main.select("repository_id", F.lit("refs/remotes/upstream/main").alias("ref_name"),
+                           "target_oid", F.lit(False).alias("is_head"))
+    return refs.unionByName(head).unionByName(upstream)
+
+
+def fx_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One project per region; scan paths = its nations (even keys written with
+    a trailing '/.') and '.', the base itself."""
+    n = table(spark, sf_dir, "nation")
+    r = table(spark, sf_dir, "region")
+    scan = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lower("n_name"), F.lit("/."))).otherwise(F.lower("n_name"))
+    per = n.groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct(F.col("n_name"), scan.alias("p")))).alias("s"))
+    return r.join(per, r["r_regionkey"] == per["n_regionkey"], "left").select(
+        F.lower("r_name").alias("name"),
+        F.concat(F.lit("/srv/git/r"), F.col("r_regionkey").cast("string")).alias("base_path"),
+        F.concat(F.coalesce(F.transform("s", lambda x: x["p"]), F.array().cast("array<string>")), F.array(F.lit("."))).alias("scan_paths"),
+    )
+
+
+def fx_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Existing paths: every repository directory; '.git' unless key % 5 = 4;
+    'packed-refs' when key % 5 in (3, 4); nothing inside when key % 6 = 5."""
+    n = table(spark, sf_dir, "nation")
+    k = F.col("n_nationkey")
+    path = F.concat(F.lit("/srv/git/r"), F.col("n_regionkey").cast("string"), F.lit("/"), F.lower("n_name"))
+    items = F.array(
+        path,
+        F.when((k % 5 != 4) & (k % 6 != 5), F.concat(path, F.lit("/.git"))),
+        F.when(k % 5 >= 3, F.when(k % 6 != 5, F.concat(path, F.lit("/packed-refs")))),
+    )
+    return n.select(F.explode(F.filter(items, lambda x: x.isNotNull())).alias("path"))
+
+
+def fx_diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patch lines of every non-merge commit: one file per event type; the
+    patch depends on (event_type, event_id % 500), so re-applied changes
+    share it.  Dev adds trailing blanks (whitespace-only difference);
+    release commits with event_id % 7 = 0 change a line differently."""
+    h = fx_history(spark, sf_dir).where(F.size("parent_oids") <= 1)
+    v = F.col("event_id") % 500
+    ws = F.when(F.col("lane") == 2, F.lit("  ")).otherwise(F.lit(""))
+    plus = F.when((F.col("lane") == 1) & (F.col("event_id") % 7 == 0), v + 2).otherwise(v + 1)
+
+    def line(seq, origin, content):
+        return F.struct(F.lit(seq).alias("seq"), F.lit(origin).alias("origin"), content.alias("content"))
+
+    lines = F.array(
+        line(0, " ", F.concat(F.lit("owner "), F.col("author_name"))),
+        line(1, "-", F.concat(F.lit("count="), v.cast("string"))),
+        line(2, "+", F.concat(F.lit("count="), plus.cast("string"), ws)),
+        line(3, "+", F.concat(F.col("summary"), ws)),
+    )
+    return h.select("repository_id", F.col("oid").alias("commit_oid"),
+                    F.concat(F.lit("src/"), F.regexp_extract("summary", r"^(\S+)", 1), F.lit(".txt")).alias("path"),
+                    F.explode(lines).alias("l")).select(
+        "repository_id", "commit_oid", "path", "l.seq", "l.origin", "l.content")
