@@ -163,18 +163,23 @@ def lossy_utf8(raw) -> Column:
     return F.make_valid_utf8(_c(raw).cast("string"))
 
 
+def _strip(x) -> Column:
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+
 def summary_of(message) -> Column:
-    """first paragraph, leading blank lines skipped, inner newlines folded to spaces."""
+    """first paragraph (up to the first blank line), leading blank lines
+    skipped, line breaks folded to single spaces, trimmed."""
     m = F.regexp_replace(F.coalesce(_c(message), F.lit("")), r"^\s+", "")
-    para = F.regexp_extract(m, r"^((?:[^\n]+\n?)*)", 1)
-    return F.trim(F.regexp_replace(para, r"\s*\n\s*", " "))
+    para = F.regexp_replace(m, r"\n[ \t\r]*\n[\s\S]*$", "")
+    return _strip(F.regexp_replace(para, r"\s*\n\s*", " "))
 
 
 def body_of(message) -> Column:
-    """everything after the first paragraph, trimmed; NULL when empty."""
+    """everything after the first blank line, trimmed; NULL when empty."""
     m = F.regexp_replace(F.coalesce(_c(message), F.lit("")), r"^\s+", "")
-    rest = F.regexp_extract(m, r"^(?:[^\n]+\n?)*\n+([\s\S]*)$", 1)
-    return F.nullif(F.trim(rest), F.lit(""))
+    rest = F.regexp_extract(m, r"\n[ \t\r]*\n([\s\S]*)$", 1)
+    return F.nullif(_strip(rest), F.lit(""))
 
 
 def change_status(old_blob, new_blob) -> Column:
