@@ -58,3 +58,4 @@ def branch_diff(spark, d):
 # The query modules register themselves on import.
 from strata.plans import q_tables  # noqa: E402,F401
 from strata.plans import q_queries  # noqa: E402,F401
+from strata.plans import q_graph  # noqa: E402,F401
