@@ -10,18 +10,19 @@ tree joins, blob lookups, aggregation - is native.
 
 from __future__ import annotations
 
+import difflib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from strata.functions import scalars as S
 
 R = "repository_id"
 CONTEXT = 3          # context lines around a change in patch output
 MAX_LINES = 20000    # files with more lines on a side go to the order-blind count (D2)
+MAX_DP_CELLS = 4_000_000  # patch alignment by exact DP up to this many cells
 
 
 # --- J7 -----------------------------------------------------------------------------
@@ -54,7 +55,7 @@ def with_contents(changes: DataFrame, blobs: DataFrame) -> DataFrame:
 
 def _lines(content) -> "F.Column":
     """Lines of a text; a final newline does not start an extra line; NULL/'' -> none."""
-    body = F.regexp_replace(content, "\n$", "")
+    body = F.regexp_replace(content, "\n\\z", "")
     return F.when(F.coalesce(content, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n"))
 
 
@@ -121,7 +122,15 @@ def align(a: list, b: list) -> list:
     a2, b2 = a[i:len(a) - j], b[i:len(b) - j]
     n, m = len(a2), len(b2)
     mid = []
-    if n and m:
+    if n * m > MAX_DP_CELLS:
+        # very large changed region: difflib's matching blocks (close to, not always, minimal)
+        sm = difflib.SequenceMatcher(None, a2, b2, autojunk=False)
+        for tag, x1, x2, y1, y2 in sm.get_opcodes():
+            if tag == "equal":
+                mid += [(" ", t) for t in a2[x1:x2]]
+            else:
+                mid += [("-", t) for t in a2[x1:x2]] + [("+", t) for t in b2[y1:y2]]
+    elif n and m:
         dp = [[0] * (m + 1) for _ in range(n + 1)]
         for x in range(n - 1, -1, -1):
             row, nxt = dp[x], dp[x + 1]

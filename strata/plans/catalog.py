@@ -59,3 +59,4 @@ def branch_diff(spark, d):
 from strata.plans import q_tables  # noqa: E402,F401
 from strata.plans import q_queries  # noqa: E402,F401
 from strata.plans import q_graph  # noqa: E402,F401
+from strata.plans import q_diff  # noqa: E402,F401
