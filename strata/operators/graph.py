@@ -41,65 +41,98 @@ class NotConverged(RuntimeError):
 
 class CommitGraph:
     """Chain index over ``nodes(repository_id, oid)`` and
-    ``edges(repository_id, oid, pos, parent_oid)`` (child -> parent)."""
+    ``edges(repository_id, oid, pos, parent_oid)`` (child -> parent).
+
+    Nodes get a dense 64-bit id once (``monotonically_increasing_id`` over a
+    checkpointed table, so it is stable); every round then shuffles and
+    checkpoints longs instead of 40-character oids."""
 
     def __init__(self, nodes: DataFrame, edges: DataFrame, bucket: int = 4096, max_rounds: int = 256):
         self.nodes = nodes.select(R, "oid").dropDuplicates([R, "oid"])
         self.edges = edges.select(R, "oid", "pos", "parent_oid")
         self.bucket = bucket
         self.max_rounds = max_rounds
+        self._ids = None
+        self._id_edges = None
         self._index = None
         self._cross = None
         self.rounds = {"doubling": 0, "frontier": 0}
 
-    # -- chain index ---------------------------------------------------------------
-    def _known_parent_edges(self) -> DataFrame:
-        parents = self.nodes.select(R, F.col("oid").alias("parent_oid"))
-        return self.edges.join(parents, [R, "parent_oid"], "left_semi")
+    # -- dense ids -----------------------------------------------------------------
+    def ids(self) -> DataFrame:
+        """(repository_id, oid, nid)."""
+        if self._ids is None:
+            self._ids = _cut(self.nodes.withColumn("nid", F.monotonically_increasing_id()))
+        return self._ids
+
+    def id_edges(self) -> DataFrame:
+        """(nid, pos, pid) for edges whose parent is a known node."""
+        if self._id_edges is None:
+            ids = self.ids()
+            child = ids.select(R, "oid", "nid")
+            parent = ids.select(R, F.col("oid").alias("parent_oid"), F.col("nid").alias("pid"))
+            self._id_edges = _cut(self.edges.join(child, [R, "oid"]).join(parent, [R, "parent_oid"])
+                                  .select("nid", "pos", "pid"))
+        return self._id_edges
 
+    # -- chain index ---------------------------------------------------------------
     def _continuations(self) -> DataFrame:
-        e0 = self._known_parent_edges().where(F.col("pos") == 0)
-        return e0.groupBy(R, "parent_oid").agg(F.min("oid").alias("child"))
+        """(pid, child): the smallest first-parent child of each parent."""
+        e0 = self.id_edges().where(F.col("pos") == 0)
+        return e0.groupBy("pid").agg(F.min("nid").alias("child"))
 
     def index(self) -> DataFrame:
-        """(repository_id, oid, chain, cpos)."""
+        """(nid, chain, cpos): chain = nid of the chain's oldest commit, cpos =
+        distance to it.
+
+        List ranking by pointer jumping.  A node is *done* once its jump
+        reaches the chain's tail; done nodes leave the probe side (they are
+        kept as checkpointed pieces that serve as lookup targets), so the
+        probe side never holds a hot key: the jumps of active nodes are all
+        distinct.  Without this every finished node of a long chain would
+        point at the same tail."""
         if self._index is not None:
             return self._index
-        nxt = self._continuations().select(R, F.col("child").alias("oid"), F.col("parent_oid").alias("nxt"))
-        state = self.nodes.join(nxt, [R, "oid"], "left").select(
-            R, "oid", F.coalesce("nxt", "oid").alias("jump"),
-            F.when(F.col("nxt").isNull(), F.lit(0)).otherwise(F.lit(1)).alias("d"))
-        state = _cut(state)
+        nxt = self._continuations().select(F.col("child").alias("nid"), F.col("pid").alias("nxt"))
+        start = _cut(self.ids().select("nid").join(nxt, "nid", "left"))
+        pieces = [start.where(F.col("nxt").isNull()).select("nid", F.col("nid").alias("jump"), F.lit(0).alias("d"))]
+        active = start.where(F.col("nxt").isNotNull()).select("nid", F.col("nxt").alias("jump"), F.lit(1).alias("d"))
         for i in range(self.max_rounds):
-            ahead = state.select(R, F.col("oid").alias("jump"), F.col("jump").alias("j2"), F.col("d").alias("d2"))
-            new = state.join(ahead, [R, "jump"], "left").select(
-                R, "oid", F.coalesce("j2", "jump").alias("jump"),
-                (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d"),
-                (F.coalesce("d2", F.lit(0)) > 0).alias("moved"))
-            new = _cut(new)
-            self.rounds["doubling"] = i + 1
-            done = new.where("moved").isEmpty()
-            state = new.drop("moved")
-            if done:
+            self.rounds["doubling"] = i
+            if active.isEmpty():
                 break
+            done = pieces[0]
+            for p in pieces[1:]:
+                done = done.unionByName(p)
+            lookup = (done.withColumn("done", F.lit(True))
+                      .unionByName(active.withColumn("done", F.lit(False)))
+                      .select(F.col("nid").alias("jump"), F.col("jump").alias("j2"), F.col("d").alias("d2"), "done"))
+            step = _cut(active.join(lookup, "jump").select(
+                "nid", F.col("j2").alias("jump"), (F.col("d") + F.col("d2")).alias("d"), "done"))
+            pieces.append(step.where("done").drop("done"))
+            active = step.where(~F.col("done")).drop("done")
         else:
             raise NotConverged("chain ranking did not converge")
-        self._index = _cut(state.select(R, "oid", F.col("jump").alias("chain"), F.col("d").alias("cpos")))
+        done = pieces[0]
+        for p in pieces[1:]:
+            done = done.unionByName(p)
+        self._index = _cut(done.select("nid", F.col("jump").alias("chain"), F.col("d").alias("cpos")))
         return self._index
 
     def cross_edges(self) -> DataFrame:
-        """(repository_id, src_chain, src_pos, dst_chain, dst_pos)."""
+        """(src_chain, src_pos, dst_chain, dst_pos): every edge that is not a
+        continuation, in chain coordinates."""
         if self._cross is not None:
             return self._cross
         cont = self._continuations()
-        e = self._known_parent_edges().join(cont, [R, "parent_oid"], "left")
-        e = e.where(~((F.col("pos") == 0) & (F.col("child") == F.col("oid"))))
+        e = self.id_edges().join(cont, "pid", "left")
+        e = e.where(~((F.col("pos") == 0) & (F.col("child") == F.col("nid"))))
         idx = self.index()
-        src = idx.select(R, "oid", F.col("chain").alias("src_chain"), F.col("cpos").alias("src_pos"))
-        dst = idx.select(R, F.col("oid").alias("parent_oid"), F.col("chain").alias("dst_chain"), F.col("cpos").alias("dst_pos"))
-        x = e.join(src, [R, "oid"]).join(dst, [R, "parent_oid"])
+        src = idx.select("nid", F.col("chain").alias("src_chain"), F.col("cpos").alias("src_pos"))
+        dst = idx.select(F.col("nid").alias("pid"), F.col("chain").alias("dst_chain"), F.col("cpos").alias("dst_pos"))
+        x = e.join(src, "nid").join(dst, "pid")
         # for one (src_chain, src_pos, dst_chain) only the highest dst_pos matters
-        x = x.groupBy(R, "src_chain", "src_pos", "dst_chain").agg(F.max("dst_pos").alias("dst_pos"))
+        x = x.groupBy("src_chain", "src_pos", "dst_chain").agg(F.max("dst_pos").alias("dst_pos"))
         self._cross = _cut(x)
         return self._cross
 
@@ -113,12 +146,13 @@ class CommitGraph:
         """(repository_id, ref, chain, max_pos) for ``refs(repository_id, ref, target_oid)``."""
         idx = self.index()
         cross = self.cross_edges()
-        start = refs.select(R, "ref", F.col("target_oid").alias("oid")).join(idx, [R, "oid"])
+        start = (refs.select(R, "ref", F.col("target_oid").alias("oid"))
+                 .join(self.ids(), [R, "oid"]).join(idx, "nid"))
         state = _cut(start.groupBy(R, "ref", "chain").agg(F.max("cpos").alias("max_pos")))
         delta = state.withColumn("prev_pos", F.lit(None).cast("int"))
         keys = [R, "ref", "chain"]
         for i in range(self.max_rounds):
-            exp = delta.join(cross.withColumnRenamed("src_chain", "chain"), [R, "chain"]).where(
+            exp = delta.join(cross.withColumnRenamed("src_chain", "chain"), "chain").where(
                 (F.col("src_pos") <= F.col("max_pos"))
                 & (F.col("prev_pos").isNull() | (F.col("src_pos") > F.col("prev_pos"))))
             cand = (exp.select(R, "ref", F.col("dst_chain").alias("chain"), F.col("dst_pos").alias("cand"))
@@ -142,8 +176,9 @@ class CommitGraph:
         state = self.frontier(refs)
         sb = state.select(R, "ref", "chain", "max_pos",
                           F.explode(F.sequence(F.lit(0), F.floor(F.col("max_pos") / b).cast("int"))).alias("b"))
-        nb = self.index().select(R, "chain", "oid", "cpos", F.floor(F.col("cpos") / b).cast("int").alias("b"))
-        return sb.join(nb, [R, "chain", "b"]).where(F.col("cpos") <= F.col("max_pos")).select(R, "ref", "oid")
+        nb = self.index().select("chain", "nid", "cpos", F.floor(F.col("cpos") / b).cast("int").alias("b"))
+        hit = sb.join(nb, ["chain", "b"]).where(F.col("cpos") <= F.col("max_pos")).select(R, "ref", "nid")
+        return hit.join(self.ids().select("nid", "oid"), "nid").select(R, "ref", "oid")
 
 
 # --- operators over the graph --------------------------------------------------------
