@@ -31,6 +31,7 @@ from strata.sources import schemas
 
 FEED_DROP = T.StructType(schemas.COMMIT_FEED.fields + [T.StructField("branch", T.StringType())])
 KEY = ["repository_id", "oid", "branch"]
+SALT = 4
 
 
 def _index_or_empty(spark: SparkSession, index_dir: str) -> DataFrame:
@@ -48,6 +49,7 @@ def process_batch(batch: DataFrame, batch_id: int, index_dir: str, runs_dir: str
     (overwritten on replay) and appended to the index from there, so the
     anti-join runs once and the statistics read only this batch's rows."""
     spark = batch.sparkSession
+    batch = batch.persist()     # used four times; the stateful dedupe runs once
     ok = S.is_valid_oid("oid") & F.col("branch").isNotNull() & F.col("repository_id").isNotNull()
     bad = batch.where(~ok)
     good = batch.where(ok)
@@ -76,8 +78,11 @@ def process_batch(batch: DataFrame, batch_id: int, index_dir: str, runs_dir: str
     failed = bad.groupBy("repository_id", "branch").agg(F.count(F.lit(1)).alias("candidates")).select(
         run_id.alias("run_id"), "repository_id", "branch", F.lit("failed").alias("status"),
         "candidates", F.lit(0).cast("bigint").alias("inserted"), F.lit(0).cast("bigint").alias("late"))
-    runs.unionByName(failed).write.mode("append").parquet(runs_dir)
-    staged.write.mode("append").partitionBy("repository_id").parquet(index_dir)
+    runs.unionByName(failed).coalesce(1).write.mode("append").parquet(runs_dir)
+    # a few files per repository and batch; a hot repository still spreads over SALT tasks
+    (staged.repartition("repository_id", F.pmod(F.xxhash64("oid"), F.lit(SALT)))
+     .write.mode("append").partitionBy("repository_id").parquet(index_dir))
+    batch.unpersist()
 
 
 def start_ingest(spark: SparkSession, feed_dir: str, index_dir: str, runs_dir: str, quarantine_dir: str,
@@ -105,5 +110,6 @@ def start_ingest(spark: SparkSession, feed_dir: str, index_dir: str, runs_dir: s
 
 def stage_drops(feed: DataFrame, feed_dir: str, drop_col: str) -> None:
     """Write a feed as one folder per value of ``drop_col`` (one job), the way
-    an exporter drops files; the stream reads the folder tree."""
-    feed.write.mode("overwrite").partitionBy(drop_col).parquet(feed_dir)
+    an exporter drops files; the stream reads the folder tree.  Range
+    partitioning on the drop keeps each drop in few files."""
+    feed.repartitionByRange(drop_col).write.mode("overwrite").partitionBy(drop_col).parquet(feed_dir)
