@@ -178,23 +178,23 @@ def _distinct_blob_pairs(cwc: DataFrame) -> DataFrame:
 
 
 def line_change_counts(changes_with_content: DataFrame) -> DataFrame:
-    """Exact insertions/deletions per changed file (n - LCS); files over
-    MAX_LINES fall back to D2's bound with ``approximate = true``; binary
-    content counts 0/0."""
+    """Exact insertions/deletions per changed file (n - LCS); files with
+    more than MAX_LINES lines on a side take D2's bound with
+    ``approximate = true`` (decided natively from line counts, so neither
+    side is computed twice); binary content counts 0/0."""
+    n_old = F.coalesce(F.size(_lines(F.col("old_content"))), F.lit(0))
+    n_new = F.coalesce(F.size(_lines(F.col("new_content"))), F.lit(0))
+    cw = changes_with_content.withColumn("_big", (n_old > MAX_LINES) | (n_new > MAX_LINES))
+    small, big = cw.where(~F.col("_big")).drop("_big"), cw.where(F.col("_big")).drop("_big")
+
     schema = "old_blob string, new_blob string, insertions bigint, deletions bigint, approximate boolean"
-    counts = _distinct_blob_pairs(changes_with_content).mapInPandas(_count_batches, schema)
-    cw = changes_with_content.alias("c")
-    cx = counts.alias("x")
+    counts = _distinct_blob_pairs(small).mapInPandas(_count_batches, schema)
     cond = F.col("c.old_blob").eqNullSafe(F.col("x.old_blob")) & F.col("c.new_blob").eqNullSafe(F.col("x.new_blob"))
-    out = cw.join(cx, cond, "left").select(
-        "c.pair_id", "c.path", "c.status", "x.insertions", "x.deletions", "x.approximate")
-    bound = line_multiset_changes(changes_with_content).select(
-        "pair_id", "path", F.col("insertions").alias("ins_lb"), F.col("deletions").alias("del_lb"))
-    return out.join(bound, ["pair_id", "path"], "left").select(
-        "pair_id", "path", "status",
-        F.coalesce("insertions", "ins_lb").alias("insertions"),
-        F.coalesce("deletions", "del_lb").alias("deletions"),
-        F.coalesce("approximate", F.lit(False)).alias("approximate"))
+    exact = small.alias("c").join(counts.alias("x"), cond, "left").select(
+        "c.pair_id", "c.path", "c.status", "x.insertions", "x.deletions",
+        F.coalesce("x.approximate", F.lit(False)).alias("approximate"))
+    approx = line_multiset_changes(big).withColumn("approximate", F.lit(True))
+    return exact.unionByName(approx)
 
 
 def _patch_batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

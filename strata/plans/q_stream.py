@@ -43,7 +43,7 @@ def run_stream_ingest(spark, d):
     runs_dir, quarantine_dir, ckpt = f"{base}/runs", f"{base}/quarantine", f"{base}/checkpoint"
     ST.stage_drops(_feed_drops(spark, d), feed_dir, "day")
     q = ST.start_ingest(spark, feed_dir, index_dir, runs_dir, quarantine_dir, ckpt,
-                        F.lit(CREATED).cast("timestamp_ntz"), files_per_trigger=8)
+                        F.lit(CREATED).cast("timestamp_ntz"), files_per_trigger=16)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
