@@ -56,6 +56,7 @@ class CommitGraph:
         self._id_edges = None
         self._index = None
         self._cross = None
+        self._cont = None
         self.rounds = {"doubling": 0, "frontier": 0}
 
     # -- dense ids -----------------------------------------------------------------
@@ -77,25 +78,33 @@ class CommitGraph:
 
     # -- chain index ---------------------------------------------------------------
     def _continuations(self) -> DataFrame:
-        """(pid, child): the smallest first-parent child of each parent."""
-        e0 = self.id_edges().where(F.col("pos") == 0)
-        return e0.groupBy("pid").agg(F.min("nid").alias("child"))
+        """(pid, child): the continuation child of each parent - the smallest
+        first-parent child; fixed once chosen (see ``extend``)."""
+        if self._cont is None:
+            e0 = self.id_edges().where(F.col("pos") == 0)
+            self._cont = _cut(e0.groupBy("pid").agg(F.min("nid").alias("child")))
+        return self._cont
 
     def index(self) -> DataFrame:
         """(nid, chain, cpos): chain = nid of the chain's oldest commit, cpos =
-        distance to it.
-
-        List ranking by pointer jumping.  A node is *done* once its jump
-        reaches the chain's tail; done nodes leave the probe side (they are
-        kept as checkpointed pieces that serve as lookup targets), so the
-        probe side never holds a hot key: the jumps of active nodes are all
-        distinct.  Without this every finished node of a long chain would
-        point at the same tail."""
-        if self._index is not None:
-            return self._index
-        nxt = self._continuations().select(F.col("child").alias("nid"), F.col("pid").alias("nxt"))
-        start = _cut(self.ids().select("nid").join(nxt, "nid", "left"))
-        pieces = [start.where(F.col("nxt").isNull()).select("nid", F.col("nid").alias("jump"), F.lit(0).alias("d"))]
+        distance to it."""
+        if self._index is None:
+            nxt = self._continuations().select(F.col("child").alias("nid"), F.col("pid").alias("nxt"))
+            start = _cut(self.ids().select("nid").join(nxt, "nid", "left"))
+            self._index = self._rank(start, [])
+        return self._index
+
+    def _rank(self, start: DataFrame, done_pieces: list) -> DataFrame:
+        """List ranking by pointer jumping over ``start(nid, nxt)``; nodes of
+        ``done_pieces(nid, jump, d)`` are already ranked (jump = chain tail).
+
+        A node is *done* once its jump reaches the chain's tail; done nodes
+        leave the probe side (they stay as checkpointed pieces that serve as
+        lookup targets), so the probe side never holds a hot key: the jumps of
+        active nodes are all distinct.  Without this every finished node of a
+        long chain would point at the same tail."""
+        pieces = list(done_pieces) + [
+            start.where(F.col("nxt").isNull()).select("nid", F.col("nid").alias("jump"), F.lit(0).alias("d"))]
         active = start.where(F.col("nxt").isNotNull()).select("nid", F.col("nxt").alias("jump"), F.lit(1).alias("d"))
         for i in range(self.max_rounds):
             self.rounds["doubling"] = i
@@ -116,25 +125,61 @@ class CommitGraph:
         done = pieces[0]
         for p in pieces[1:]:
             done = done.unionByName(p)
-        self._index = _cut(done.select("nid", F.col("jump").alias("chain"), F.col("d").alias("cpos")))
-        return self._index
+        return _cut(done.select("nid", F.col("jump").alias("chain"), F.col("d").alias("cpos")))
 
     def cross_edges(self) -> DataFrame:
         """(src_chain, src_pos, dst_chain, dst_pos): every edge that is not a
         continuation, in chain coordinates."""
-        if self._cross is not None:
-            return self._cross
+        if self._cross is None:
+            self._cross = self._cross_of(self.id_edges())
+        return self._cross
+
+    def _cross_of(self, id_edges: DataFrame) -> DataFrame:
         cont = self._continuations()
-        e = self.id_edges().join(cont, "pid", "left")
-        e = e.where(~((F.col("pos") == 0) & (F.col("child") == F.col("nid"))))
+        e = id_edges.join(cont, "pid", "left")
+        is_cont = (F.col("pos") == 0) & F.coalesce(F.col("child") == F.col("nid"), F.lit(False))
+        e = e.where(~is_cont)
         idx = self.index()
         src = idx.select("nid", F.col("chain").alias("src_chain"), F.col("cpos").alias("src_pos"))
         dst = idx.select(F.col("nid").alias("pid"), F.col("chain").alias("dst_chain"), F.col("cpos").alias("dst_pos"))
         x = e.join(src, "nid").join(dst, "pid")
         # for one (src_chain, src_pos, dst_chain) only the highest dst_pos matters
         x = x.groupBy("src_chain", "src_pos", "dst_chain").agg(F.max("dst_pos").alias("dst_pos"))
-        self._cross = _cut(x)
-        return self._cross
+        return _cut(x)
+
+    def extend(self, new_nodes: DataFrame, new_edges: DataFrame) -> "CommitGraph":
+        """Incremental index: a graph over old + new commits that ranks only
+        the new ones.  Positions count from a chain's oldest commit, so
+        appending commits never moves existing coordinates; existing
+        continuations stay fixed (a new child of a parent that already has
+        one starts a new chain and its edge becomes a cross edge).  Edges of
+        old commits whose parent only arrives now (dangling before) are added
+        as cross edges, so old coordinates still do not move."""
+        old_ids = self.ids()
+        base = old_ids.agg(F.coalesce(F.max("nid") + 1, F.lit(0))).first()[0]
+        fresh = new_nodes.select(R, "oid").dropDuplicates([R, "oid"]).join(old_ids.select(R, "oid"), [R, "oid"], "left_anti")
+        new_ids = _cut(fresh.withColumn("nid", F.monotonically_increasing_id() + F.lit(base)))
+        g = CommitGraph(self.nodes.unionByName(fresh), self.edges.unionByName(new_edges.select(R, "oid", "pos", "parent_oid")),
+                        bucket=self.bucket, max_rounds=self.max_rounds)
+        g._ids = _cut(old_ids.unionByName(new_ids))
+        child = g._ids.select(R, "oid", "nid")
+        parent = g._ids.select(R, F.col("oid").alias("parent_oid"), F.col("nid").alias("pid"))
+        candidates = new_edges.select(R, "oid", "pos", "parent_oid").join(new_ids.select(R, "oid"), [R, "oid"], "left_semi")
+        candidates = candidates.unionByName(self.dangling())
+        fresh_edges = _cut(candidates.join(child, [R, "oid"]).join(parent, [R, "parent_oid"]).select("nid", "pos", "pid"))
+        g._id_edges = _cut(self.id_edges().unionByName(fresh_edges))
+        old_cont = self._continuations()
+        new_cont = (fresh_edges.where((F.col("pos") == 0) & (F.col("nid") >= base))
+                    .join(old_cont.select("pid"), "pid", "left_anti")
+                    .groupBy("pid").agg(F.min("nid").alias("child")))
+        g._cont = _cut(old_cont.unionByName(new_cont))
+        nxt = new_cont.select(F.col("child").alias("nid"), F.col("pid").alias("nxt"))
+        start = _cut(new_ids.select("nid").join(nxt, "nid", "left"))
+        ranked = self.index().select("nid", F.col("chain").alias("jump"), F.col("cpos").alias("d"))
+        new_index = g._rank(start, [ranked])
+        g._index = new_index
+        g._cross = _cut(self.cross_edges().unionByName(g._cross_of(fresh_edges)))
+        return g
 
     def dangling(self) -> DataFrame:
         """Edges whose parent is not in the node table (shallow history)."""

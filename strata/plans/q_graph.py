@@ -231,3 +231,19 @@ def match_oid_prefix(spark, d):
     abbrev = F.when(F.col("event_id") % 2 == 0, F.substring("oid", 1, 7)).otherwise(F.substring("oid", 1, 12))
     right = n.select(abbrev.alias("oid"))
     return Q.match_oid_prefix(left, right, k=7).select("repository_id", "oid", "matched_oid")
+
+
+@register("reachable_incremental", oracle="SELECT repository_id, ref, oid FROM reach")
+def reachable_incremental(spark, d):
+    """G1 incremental: index the history before the split, extend it with the
+    later commits (only those are ranked), answer for every branch tip."""
+    h = fx.fx_history(spark, d)
+    e = fx.fx_commit_parents(spark, d)
+    cut = F.lit(SPLIT).cast("timestamp_ntz")
+    old = h.where(F.col("committer_time") < cut).select("repository_id", "oid")
+    new = h.where(F.col("committer_time") >= cut).select("repository_id", "oid")
+    old_e = e.join(old, ["repository_id", "oid"], "left_semi")
+    new_e = e.join(new, ["repository_id", "oid"], "left_semi")
+    g = G.CommitGraph(old, old_e).extend(new, new_e)
+    refs = fx.fx_branches(spark, d).select("repository_id", F.col("name").alias("ref"), "target_oid")
+    return g.reachable(refs)

@@ -122,3 +122,35 @@ def test_range_common_and_status(spark):
     assert got[("main", "dev")] == (1, 2, "diverged")
     assert got[("main", "old")] == (1, 0, "up_to_date")
     assert got[("old", "main")] == (0, 1, "fast_forward")
+
+
+def test_incremental_extend_equals_full(spark):
+    rnd = random.Random(11)
+    n = 150
+    parents = {}
+    for i in range(n):
+        ps = []
+        if i > 0:
+            ps.append(f"n{rnd.randrange(max(0, i - 4), i):03d}")
+            if rnd.random() < 0.2 and i > 10:
+                ps.append(f"n{rnd.randrange(0, i):03d}")
+        parents[f"n{i:03d}"] = ps
+    # a random split: some old commits have parents that only arrive with the new batch
+    keys = sorted(parents)
+    later = set(rnd.sample(keys, 50))
+    old = {k: v for k, v in parents.items() if k not in later}
+    new = {k: v for k, v in parents.items() if k in later}
+    on0, oe0 = _frames(spark, old)
+    assert G.CommitGraph(on0, oe0).dangling().count() > 0
+    on, oe = _frames(spark, old)
+    nn, ne = _frames(spark, new)
+    g = G.CommitGraph(on, oe).extend(nn, ne)
+    tips = {f"t{k}": f"n{rnd.randrange(n):03d}" for k in range(6)}
+    refs = spark.createDataFrame([(1, name, t) for name, t in tips.items()], "repository_id long, ref string, target_oid string")
+    got = {}
+    for r in g.reachable(refs).collect():
+        got.setdefault(r["ref"], set()).add(r["oid"])
+    for ref, tip in tips.items():
+        assert got[ref] == _bfs(parents, tip), ref
+    # old coordinates did not move
+    assert g.index().count() == n
