@@ -262,12 +262,18 @@ def flag_equivalent(reach: DataFrame, pairs: DataFrame, fingerprints: DataFrame)
     """Per pair(repository_id, old_ref, new_ref), the commits reachable
     only from old whose patch equals that of a commit reachable only from
     new.  Commits without changed lines are never equivalent."""
-    fp = fingerprints.withColumnRenamed("commit_oid", "oid")
-    k = [R, "old_ref", "new_ref"]
     old = reach.withColumnRenamed("ref", "old_ref").join(pairs, [R, "old_ref"])
     new = reach.withColumnRenamed("ref", "new_ref").join(pairs, [R, "new_ref"])
     only_old = old.join(reach.select(R, F.col("ref").alias("new_ref"), "oid"), [R, "new_ref", "oid"], "left_anti")
     only_new = new.join(reach.select(R, F.col("ref").alias("old_ref"), "oid"), [R, "old_ref", "oid"], "left_anti")
+    return flag_equivalent_sets(only_old, only_new, fingerprints)
+
+
+def flag_equivalent_sets(only_old: DataFrame, only_new: DataFrame, fingerprints: DataFrame) -> DataFrame:
+    """J3 over the two sides of the symmetric difference, each
+    (repository_id, old_ref, new_ref, oid) - e.g. from frontier intervals."""
+    fp = fingerprints.withColumnRenamed("commit_oid", "oid")
+    k = [R, "old_ref", "new_ref"]
     left = only_old.join(fp, [R, "oid"])
     right = only_new.join(fp, [R, "oid"]).select(*k, "fp_sum", "n_lines", "n_paths")
     return left.join(right, [*k, "fp_sum", "n_lines", "n_paths"], "left_semi").select(*k, "oid")

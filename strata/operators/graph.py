@@ -217,13 +217,58 @@ class CommitGraph:
 
     def reachable(self, refs: DataFrame) -> DataFrame:
         """G1: (repository_id, ref, oid) for every commit reachable from each ref."""
-        b = self.bucket
         state = self.frontier(refs)
-        sb = state.select(R, "ref", "chain", "max_pos",
-                          F.explode(F.sequence(F.lit(0), F.floor(F.col("max_pos") / b).cast("int"))).alias("b"))
+        iv = state.select(R, "ref", "chain", F.lit(-1).alias("lo"), F.col("max_pos").alias("hi"))
+        return self.nodes_in(iv, [R, "ref"])
+
+    def nodes_in(self, intervals: DataFrame, keys: list) -> DataFrame:
+        """Commits with ``lo < cpos <= hi`` on each interval's chain, as
+        ``(*keys, oid)``.  Joined on (chain, bucket): a long chain is spread
+        over buckets and only the interval's buckets are touched, so the cost
+        follows the output, not the chain length."""
+        b = self.bucket
+        sb = intervals.select(*keys, "chain", "lo", "hi", F.explode(F.sequence(
+            F.floor((F.col("lo") + 1) / b).cast("int"), F.floor(F.col("hi") / b).cast("int"))).alias("b"))
         nb = self.index().select("chain", "nid", "cpos", F.floor(F.col("cpos") / b).cast("int").alias("b"))
-        hit = sb.join(nb, ["chain", "b"]).where(F.col("cpos") <= F.col("max_pos")).select(R, "ref", "nid")
-        return hit.join(self.ids().select("nid", "oid"), "nid").select(R, "ref", "oid")
+        hit = (sb.join(nb, ["chain", "b"]).where((F.col("cpos") > F.col("lo")) & (F.col("cpos") <= F.col("hi")))
+               .select(*keys, "nid"))
+        return hit.join(self.ids().select("nid", "oid"), "nid").select(*keys, "oid")
+
+
+# --- set algebra on frontiers: per chain a ref reaches exactly positions 0..max_pos ----
+
+def frontier_difference(front: DataFrame, pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Per pair and chain, the positions reachable from ``a`` and not from
+    ``b``: the interval (max_b, max_a] (max_b = -1 when b misses the chain).
+    Output (repository_id, a, b, chain, lo, hi) with hi > lo."""
+    fa = front.select(R, F.col("ref").alias(a), "chain", F.col("max_pos").alias("hi"))
+    fb = front.select(R, F.col("ref").alias(b), "chain", F.col("max_pos").alias("lo"))
+    x = pairs.select(R, a, b).join(fa, [R, a]).join(fb, [R, b, "chain"], "left")
+    return x.select(R, a, b, "chain", F.coalesce("lo", F.lit(-1)).alias("lo"), "hi").where(F.col("hi") > F.col("lo"))
+
+
+def frontier_intersection(front: DataFrame, pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Per pair and chain, the positions reachable from both: (-1, min(max_a, max_b)]."""
+    fa = front.select(R, F.col("ref").alias(a), "chain", F.col("max_pos").alias("ma"))
+    fb = front.select(R, F.col("ref").alias(b), "chain", F.col("max_pos").alias("mb"))
+    x = pairs.select(R, a, b).join(fa, [R, a]).join(fb, [R, b, "chain"])
+    return x.select(R, a, b, "chain", F.lit(-1).alias("lo"), F.least("ma", "mb").alias("hi"))
+
+
+def ahead_behind(front: DataFrame, pairs: DataFrame) -> DataFrame:
+    """J9 from frontiers alone: merging ``source_ref`` into ``target_ref``,
+    ahead = |reach(target) - reach(source)|, behind = the reverse - sums of
+    interval lengths over (refs x chains), no commit set is materialised."""
+    k = [R, "target_ref", "source_ref"]
+    ahead = (frontier_difference(front, pairs, "target_ref", "source_ref")
+             .groupBy(*k).agg(F.sum(F.col("hi") - F.col("lo")).alias("ahead")))
+    behind = (frontier_difference(front, pairs, "source_ref", "target_ref")
+              .groupBy(*k).agg(F.sum(F.col("hi") - F.col("lo")).alias("behind")))
+    out = pairs.select(*k).join(ahead, k, "left").join(behind, k, "left")
+    a = F.coalesce("ahead", F.lit(0)).cast("bigint")
+    bh = F.coalesce("behind", F.lit(0)).cast("bigint")
+    status = F.when(bh == 0, F.lit("up_to_date")).when(a == 0, F.lit("fast_forward")).otherwise(F.lit("diverged"))
+    return out.select(*k, a.alias("ahead"), bh.alias("behind"), status.alias("status"))
 
 
 # --- operators over the graph --------------------------------------------------------
@@ -270,6 +315,16 @@ def range_commits(reach: DataFrame, pairs: DataFrame, attrs: DataFrame, limit: i
     return diff.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit).drop("_rn")
 
 
+def range_from_set(only_new: DataFrame, attrs: DataFrame, limit: int | None = None) -> DataFrame:
+    """J2 over an already computed ``new - old`` set (e.g. from frontier
+    intervals): merges dropped, newest ``limit`` per pair."""
+    diff = only_new.join(_is_merge(attrs), [R, "oid"]).where(~F.col("is_merge")).drop("is_merge")
+    if limit is None:
+        return diff
+    w = Window.partitionBy(R, "old_ref", "new_ref").orderBy(F.col("committer_time").desc(), F.col("oid"))
+    return diff.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit).drop("_rn")
+
+
 def common_history(reach: DataFrame, pairs: DataFrame) -> DataFrame:
     """Commits reachable from both refs of each pair(repository_id, a_ref, b_ref)."""
     a = reach.withColumnRenamed("ref", "a_ref").join(pairs, [R, "a_ref"])

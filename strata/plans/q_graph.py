@@ -26,9 +26,17 @@ def graph_and_reach(spark, d):
         h = fx.fx_history(spark, d)
         g = G.CommitGraph(h.select("repository_id", "oid"), fx.fx_commit_parents(spark, d))
         refs = fx.fx_branches(spark, d).select("repository_id", F.col("name").alias("ref"), "target_oid")
-        reach = G._cut(g.reachable(refs))
-        _MEMO[key] = (g, reach)
-    return _MEMO[key]
+        front = g.frontier(refs)
+        reach = G._cut(g.nodes_in(front.select("repository_id", "ref", "chain", F.lit(-1).alias("lo"),
+                                               F.col("max_pos").alias("hi")), ["repository_id", "ref"]))
+        _MEMO[key] = (g, reach, front)
+    return _MEMO[key][:2]
+
+
+def graph_frontier(spark, d):
+    graph_and_reach(spark, d)
+    key = (spark.sparkContext.applicationId, d)
+    return _MEMO[key][0], _MEMO[key][2]
 
 
 def _attrs(spark, d):
@@ -113,9 +121,12 @@ SELECT repository_id, old_ref, new_ref, oid, committer_time FROM (
   FROM only_new o JOIN fx_history h ON h.repository_id = o.repository_id AND h.oid = o.oid WHERE h.n_parents <= 1) t
 WHERE rn <= 1000""")
 def range_commits(spark, d):
-    """Main..branch for every non-default branch, no merges, newest 1000."""
-    _, reach = graph_and_reach(spark, d)
-    return G.range_commits(reach, _pairs(spark, d), _attrs(spark, d), limit=1000).select(
+    """Main..branch for every non-default branch, no merges, newest
+    1000 - enumerated from frontier intervals (only the differing commits)."""
+    g, front = graph_frontier(spark, d)
+    pairs = _pairs(spark, d)
+    only_new = g.nodes_in(G.frontier_difference(front, pairs, "new_ref", "old_ref"), ["repository_id", "old_ref", "new_ref"])
+    return G.range_from_set(only_new, _attrs(spark, d), limit=1000).select(
         "repository_id", "old_ref", "new_ref", "oid", "committer_time")
 
 
@@ -126,10 +137,10 @@ SELECT *, CASE WHEN behind = 0 THEN 'up_to_date' WHEN ahead = 0 THEN 'fast_forwa
          (SELECT count(*) FROM only_new o WHERE o.repository_id = p.repository_id AND o.old_ref = p.old_ref AND o.new_ref = p.new_ref) AS behind
   FROM gpairs p) t""")
 def merge_status(spark, d):
-    """Merging each branch into the default branch: ahead/behind and status."""
-    _, reach = graph_and_reach(spark, d)
-    pairs = _pairs(spark, d, old="target_ref", new="source_ref")
-    return G.merge_status(reach, pairs)
+    """Merging each branch into the default branch: ahead/behind and
+    status, counted from frontier intervals."""
+    _, front = graph_frontier(spark, d)
+    return G.ahead_behind(front, _pairs(spark, d, old="target_ref", new="source_ref"))
 
 
 @register("common_history", oracle="""
@@ -138,8 +149,9 @@ FROM fx_pairs p JOIN reach a ON a.repository_id = p.repository_id AND a.ref = p.
 WHERE EXISTS (SELECT 1 FROM reach b WHERE b.repository_id = p.repository_id AND b.ref = p.old_branch AND b.oid = a.oid)""")
 def common_history(spark, d):
     """Commits shared by the default branch and each other branch."""
-    _, reach = graph_and_reach(spark, d)
-    return G.common_history(reach, _pairs(spark, d, old="a_ref", new="b_ref"))
+    g, front = graph_frontier(spark, d)
+    iv = G.frontier_intersection(front, _pairs(spark, d, old="a_ref", new="b_ref"), "a_ref", "b_ref")
+    return g.nodes_in(iv, ["repository_id", "a_ref", "b_ref"])
 
 
 FP_SQL = r""",
@@ -170,12 +182,16 @@ flagged_rows AS (
 
 
 def _flagged(spark, d):
-    """J3 over every (branch, default branch) pair."""
-    _, reach = graph_and_reach(spark, d)
+    """J3 over every (branch, default branch) pair; both sides of the
+    symmetric difference come from frontier intervals."""
+    g, front = graph_frontier(spark, d)
     pairs = Q.default_branch_pairs(fx.fx_repositories(spark, d), fx.fx_branches(spark, d)).select(
         "repository_id", F.col("old_branch").alias("old_ref"), F.col("new_branch").alias("new_ref"))
+    k = ["repository_id", "old_ref", "new_ref"]
+    only_old = g.nodes_in(G.frontier_difference(front, pairs, "old_ref", "new_ref"), k)
+    only_new = g.nodes_in(G.frontier_difference(front, pairs, "new_ref", "old_ref"), k)
     fps = D.patch_fingerprints(fx.fx_diff_lines(spark, d))
-    return D.flag_equivalent(reach, pairs, fps)
+    return D.flag_equivalent_sets(only_old, only_new, fps)
 
 
 def _flagged_diff_rows(spark, d):

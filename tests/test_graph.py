@@ -154,3 +154,35 @@ def test_incremental_extend_equals_full(spark):
         assert got[ref] == _bfs(parents, tip), ref
     # old coordinates did not move
     assert g.index().count() == n
+
+
+def test_frontier_algebra_equals_sets(spark):
+    rnd = random.Random(5)
+    n = 100
+    parents = {}
+    for i in range(n):
+        ps = []
+        if i > 0:
+            ps.append(f"n{rnd.randrange(max(0, i - 4), i):03d}")
+            if rnd.random() < 0.25 and i > 8:
+                ps.append(f"n{rnd.randrange(0, i):03d}")
+        parents[f"n{i:03d}"] = ps
+    nodes, edges = _frames(spark, parents)
+    g = G.CommitGraph(nodes, edges, bucket=8)
+    tips = {f"t{k}": f"n{rnd.randrange(n):03d}" for k in range(5)}
+    refs = spark.createDataFrame([(1, r, t) for r, t in tips.items()], "repository_id long, ref string, target_oid string")
+    front = g.frontier(refs)
+    pairs = spark.createDataFrame([(1, a, b) for a in tips for b in tips if a != b],
+                                  "repository_id long, target_ref string, source_ref string")
+    got = {(r["target_ref"], r["source_ref"]): (r["ahead"], r["behind"]) for r in G.ahead_behind(front, pairs).collect()}
+    for a in tips:
+        for b in tips:
+            if a != b:
+                ra, rb = _bfs(parents, tips[a]), _bfs(parents, tips[b])
+                assert got[(a, b)] == (len(ra - rb), len(rb - ra)), (a, b)
+    diff = g.nodes_in(G.frontier_difference(front, pairs, "target_ref", "source_ref"), ["target_ref", "source_ref"])
+    sets = {}
+    for r in diff.collect():
+        sets.setdefault((r["target_ref"], r["source_ref"]), set()).add(r["oid"])
+    for (a, b), v in sets.items():
+        assert v == _bfs(parents, tips[a]) - _bfs(parents, tips[b])
