@@ -87,10 +87,14 @@ def process_batch(batch: DataFrame, batch_id: int, index_dir: str, runs_dir: str
 
 def start_ingest(spark: SparkSession, feed_dir: str, index_dir: str, runs_dir: str, quarantine_dir: str,
                  checkpoint_dir: str, created_at, trigger: dict | None = None, files_per_trigger: int | None = None,
-                 dedupe_window: str = "1 hour"):
+                 dedupe_window: str = "1 hour", state_partitions: int | None = None):
     """Start the ingest stream; returns the StreamingQuery.
 
-    ``trigger`` is passed to ``writeStream.trigger`` (default availableNow)."""
+    ``trigger`` is passed to ``writeStream.trigger`` (default availableNow).
+    ``state_partitions`` sizes the de-duplication state (and the shuffles of
+    each micro-batch); it defaults to the cluster's total cores.  It is fixed
+    in the checkpoint at the first start; the stream runs on a clone of the
+    session, so the caller's setting is restored right after ``start()``."""
     reader = spark.readStream.schema(FEED_DROP)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
@@ -105,7 +109,13 @@ def start_ingest(spark: SparkSession, feed_dir: str, index_dir: str, runs_dir: s
 
     w = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(**(trigger or {"availableNow": True}))
-    return w.start()
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions or spark.sparkContext.defaultParallelism))
+    try:
+        return w.start()
+    finally:
+        spark.conf.set(key, before)
 
 
 def stage_drops(feed: DataFrame, feed_dir: str, drop_col: str) -> None:
