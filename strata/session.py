@@ -87,6 +87,7 @@ def ship_package(spark: SparkSession) -> None:
     if sc.applicationId in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
+    # the driver's own copy of the code; addPyFile serves it to every executor
     fd, path = tempfile.mkstemp(prefix="strata-", suffix=".zip")
     os.close(fd)
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
