@@ -53,7 +53,11 @@ def materialize(spark: SparkSession, sf_dir: str) -> dict:
         if key in _STORED:
             continue
         path = scratch_path(spark, name)
-        fn(spark, sf_dir).write.parquet(path)
+        if name == "fx_commits":
+            from strata.sources.sinks import write_commit_index
+            write_commit_index(fn(spark, sf_dir), path)
+        else:
+            fn(spark, sf_dir).write.parquet(path)
         _STORED[key] = out[name] = path
     return out
 
