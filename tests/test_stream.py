@@ -32,3 +32,19 @@ def test_stream_equals_batch_and_replay(spark):
     assert spark.read.schema(schemas.COMMITS).parquet(index_dir).count() == batch.count()
     runs2 = spark.read.parquet(f"{base}/runs2")
     assert runs2.agg(F.sum("inserted")).first()[0] == 0
+
+
+def test_timer_trigger_ingests_everything(spark):
+    """ST1: the same stream on a processing-time trigger (the polling timer)."""
+    base = tempfile.mkdtemp(prefix="strata-stream-timer-", dir="/tmp")
+    feed_dir, index_dir = f"{base}/feed", f"{base}/index"
+    ST.stage_drops(q_stream._feed_drops(spark, SF001), feed_dir, "day")
+    created = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    q = ST.start_ingest(spark, feed_dir, index_dir, f"{base}/runs", f"{base}/quar", f"{base}/ck", created,
+                        trigger={"processingTime": "1 second"}, files_per_trigger=16, state_partitions=4)
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    idx = spark.read.schema(schemas.COMMITS).parquet(index_dir)
+    assert idx.count() == fx.fx_commits(spark, SF001).count()
