@@ -100,3 +100,10 @@ def test_scan_prunes_columns(spark):
     plan = _plan(df)
     schemas = [x.split("]")[0] for x in plan.split("ReadSchema: ")[1:]]
     assert schemas and all("props" not in s and "value" not in s for s in schemas)
+
+
+def test_keyset_filter_reaches_stored_index(spark):
+    fx.materialize(spark, SF001)
+    plan = _plan(E.queries()["keyset_page"](spark, SF001))
+    pushed = [x.split("]")[0] for x in plan.split("PushedFilters: [")[1:]]
+    assert any("LessThan(author_time" in p and "EqualTo(branch,origin/main)" in p for p in pushed)
