@@ -5,8 +5,9 @@ lanes of 25 repositories, ``nation`` to repositories, ``documents`` to file
 contents of two trees per repository and ``conversations`` to multi-line
 messages.  Everything is a lazy DataFrame over the parquet tables, so the work
 grows with the tables.  The lane fan-out is a generator (``explode``), not a
-join; parent links come from ordered windows over (repository, lane), which is
-how the generator defines a history - real feeds carry ``parent_oids``.
+join; parent links are "previous row" lookups answered within event buckets
+plus a carry-over from bucket summaries, so no repository or lane is sorted
+in one task (real feeds carry ``parent_oids``).
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ LANE_BRANCH = {0: "origin/main", 1: "origin/release", 2: "origin/dev"}
 LANE_REF = {0: "refs/remotes/origin/main", 1: "refs/remotes/origin/release", 2: "refs/remotes/origin/dev"}
 MERGE_EVERY = 20                   # main commits with event_id % 20 = 0 merge release
 INDEX_TIME = "2024-02-01 00:00:00"  # created_at of index rows / updated_at of branches
+BUCKET = 4096                      # event-id bucket of the generator's "previous row" lookups (not a fixed value)
 # ------------------------------------------------------------------------------
 
 
@@ -128,27 +130,49 @@ def fx_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fx_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fx_nodes plus ``parent_oids``: previous commit of the lane (or the fork
     point), and for main commits with event_id % 20 = 0 the latest earlier
-    release commit as second parent."""
+    release commit as second parent.
+
+    Both lookups are "previous row" questions over a repository's events.  A
+    window over a whole repository (or lane) would sort it in one task, so
+    they are answered within event buckets (``event_id div BUCKET``) plus a
+    carry-over from bucket summaries: a partial aggregate per bucket and a
+    window over those summaries, BUCKET times smaller than the events."""
     stored = _stored(spark, sf_dir, "fx_history")
     if stored is not None:
         return stored
-    nodes = fx_nodes(spark, sf_dir)
-    by_lane = Window.partitionBy("repository_id", "lane").orderBy("event_id")
-    prior = (Window.partitionBy("repository_id").orderBy("event_id", "lane")
-             .rowsBetween(Window.unboundedPreceding, -1))
-    fork = (nodes.where(F.col("lane") == -1).groupBy("repository_id")
+    nodes = fx_nodes(spark, sf_dir).withColumn("bkt", F.floor(F.col("event_id") / BUCKET))
+    R, L = "repository_id", "lane"
+
+    # previous commit of the lane
+    in_bkt = Window.partitionBy(R, L, "bkt").orderBy("event_id")
+    last = nodes.groupBy(R, L, "bkt").agg(F.max_by("oid", "event_id").alias("last_oid"))
+    carry = last.select(R, L, "bkt", F.lag("last_oid").over(Window.partitionBy(R, L).orderBy("bkt")).alias("carry_oid"))
+
+    # latest earlier release event in the repository
+    rel_prior = (Window.partitionBy(R, "bkt").orderBy("event_id", L).rowsBetween(Window.unboundedPreceding, -1))
+    rel_sum = nodes.where(F.col(L) == 1).groupBy(R, "bkt").agg(F.max("event_id").alias("rel_max"))
+    # carried to every bucket of the repository, including buckets without release rows
+    rel_carry = (nodes.select(R, "bkt").distinct().join(rel_sum, [R, "bkt"], "left")
+                 .select(R, "bkt", F.max("rel_max").over(
+                     Window.partitionBy(R).orderBy("bkt").rowsBetween(Window.unboundedPreceding, -1)).alias("rel_carry")))
+
+    fork = (nodes.where(F.col(L) == -1).groupBy(R)
             .agg(F.max("event_id").alias("fork_id"))
-            .select("repository_id", oid_of(F.concat(F.lit("t"), F.col("fork_id").cast("string"))).alias("fork_oid")))
-    w = nodes.select(
+            .select(R, oid_of(F.concat(F.lit("t"), F.col("fork_id").cast("string"))).alias("fork_oid")))
+    w = (nodes.select(
         "*",
-        F.lag("oid").over(by_lane).alias("prev_oid"),
-        F.max(F.when(F.col("lane") == 1, F.col("event_id"))).over(prior).alias("rel_id"),
-    ).join(fork, "repository_id", "left")
-    first = F.when(F.col("lane") >= 0, F.coalesce("prev_oid", "fork_oid")).otherwise(F.col("prev_oid"))
-    merge = F.when((F.col("lane") == 0) & (F.col("event_id") % MERGE_EVERY == 0) & F.col("rel_id").isNotNull(),
+        F.lag("oid").over(in_bkt).alias("lag_in"),
+        F.max(F.when(F.col(L) == 1, F.col("event_id"))).over(rel_prior).alias("rel_in"))
+        .join(carry, [R, L, "bkt"], "left")
+        .join(rel_carry, [R, "bkt"], "left")
+        .join(fork, R, "left")
+        .withColumn("prev_oid", F.coalesce("lag_in", "carry_oid"))
+        .withColumn("rel_id", F.coalesce("rel_in", "rel_carry")))
+    first = F.when(F.col(L) >= 0, F.coalesce("prev_oid", "fork_oid")).otherwise(F.col("prev_oid"))
+    merge = F.when((F.col(L) == 0) & (F.col("event_id") % MERGE_EVERY == 0) & F.col("rel_id").isNotNull(),
                    oid_of(F.concat(F.lit("b1-"), F.col("rel_id").cast("string"))))
     parents = F.filter(F.array(first, merge), lambda x: x.isNotNull())
-    return w.select("repository_id", "event_id", "lane", "oid", "author_name", "author_email", "author_time",
+    return w.select(R, "event_id", L, "oid", "author_name", "author_email", "author_time",
                     "committer_time", "summary", "message", parents.alias("parent_oids"))
 
 
