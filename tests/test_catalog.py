@@ -4,7 +4,6 @@ import hashlib
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from strata.operators import queries as Q
