@@ -263,3 +263,20 @@ def reachable_incremental(spark, d):
     g = G.CommitGraph(old, old_e).extend(new, new_e)
     refs = fx.fx_branches(spark, d).select("repository_id", F.col("name").alias("ref"), "target_oid")
     return g.reachable(refs)
+
+
+SHALLOW = "2024-01-10 00:00:00"
+
+
+@register("shallow_dangling", oracle=f""",
+kept AS (SELECT repository_id, oid FROM fx_history WHERE committer_time >= TIMESTAMP '{SHALLOW}')
+SELECT e.repository_id, e.oid, e.pos, e.parent_oid FROM fx_commit_parents e
+JOIN kept k ON k.repository_id = e.repository_id AND k.oid = e.oid
+WHERE NOT EXISTS (SELECT 1 FROM kept p WHERE p.repository_id = e.repository_id AND p.oid = e.parent_oid)""")
+def shallow_dangling(spark, d):
+    """G1 input check on a shallow export (history from 2024-01-10 on): edges
+    whose parent is not in the export end their chain and are reported."""
+    h = fx.fx_history(spark, d).where(F.col("committer_time") >= F.lit(SHALLOW).cast("timestamp_ntz"))
+    kept = h.select("repository_id", "oid")
+    edges = fx.fx_commit_parents(spark, d).join(kept, ["repository_id", "oid"], "left_semi")
+    return G.CommitGraph(kept, edges).dangling()
