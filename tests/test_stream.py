@@ -48,3 +48,13 @@ def test_timer_trigger_ingests_everything(spark):
         q.stop()
     idx = spark.read.schema(schemas.COMMITS).parquet(index_dir)
     assert idx.count() == fx.fx_commits(spark, SF001).count()
+
+
+def test_state_partitions_leave_caller_setting(spark):
+    base = tempfile.mkdtemp(prefix="strata-stream-conf-", dir="/tmp")
+    ST.stage_drops(q_stream._feed_drops(spark, SF001).limit(50), f"{base}/feed", "day")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    q = ST.start_ingest(spark, f"{base}/feed", f"{base}/index", f"{base}/runs", f"{base}/quar", f"{base}/ck",
+                        F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"), state_partitions=3)
+    q.awaitTermination()
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before

@@ -74,3 +74,19 @@ def test_prefix_match_two_way(spark):
     right = spark.createDataFrame([("abcdef0",), ("abcdef0123456789ffff",), ("abcdef1",), ("abc",)], "oid string")
     got = sorted(r["matched_oid"] for r in Q.match_oid_prefix(left, right, k=7).collect())
     assert got == ["abcdef0", "abcdef0123456789ffff"]
+
+
+def test_commit_index_writer_roundtrip_sorted(spark, tmp_path):
+    from strata.sources.sinks import INDEX_ORDER, write_commit_index
+    rows = [commit(f"o{i:03d}", branch=f"origin/b{i % 3}", t=i, repo=i % 4) for i in range(60)]
+    df = spark.createDataFrame(rows, schemas.COMMITS)
+    path = str(tmp_path / "index")
+    write_commit_index(df, path, files=3)
+    back = spark.read.parquet(path)
+    assert back.count() == 60 and back.exceptAll(df).count() == 0
+    from pyspark.sql import functions as F
+    per_file = back.withColumn("f", F.input_file_name()).groupBy("f").agg(
+        F.collect_list(F.struct(*INDEX_ORDER)).alias("rows")).collect()
+    for r in per_file:                     # every file is sorted on the index order
+        keys = [tuple(x) for x in r["rows"]]
+        assert keys == sorted(keys)
