@@ -106,3 +106,19 @@ def test_keyset_filter_reaches_stored_index(spark):
     plan = _plan(E.queries()["keyset_page"](spark, SF001))
     pushed = [x.split("]")[0] for x in plan.split("PushedFilters: [")[1:]]
     assert any("LessThan(author_time" in p and "EqualTo(branch,origin/main)" in p for p in pushed)
+
+
+def test_flagship_plan_without_broadcast(spark):
+    """At scale the commit tables exceed any broadcast threshold: the branch
+    diff must then be a sort-merge anti-join with top-k on both sides of the
+    shuffle (WindowGroupLimit partial + final)."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        plan = _plan(E.queries()["branch_diff"](spark, SF001))
+    finally:
+        spark.conf.set(key, before)
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan
+    assert plan.count("WindowGroupLimit") >= 2
+    assert "BroadcastExchange" not in plan
