@@ -63,6 +63,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc._jsc.sc().getCheckpointDir().get()
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        # executors on other machines cannot see a folder of this one
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="strata-ckpt-", dir=os.environ.get("STRATA_SCRATCH", "/tmp"))
     sc.setCheckpointDir(local)
     return sc._jsc.sc().getCheckpointDir().get()
