@@ -5,10 +5,11 @@ from __future__ import annotations
 from strata.llm.decontaminate import OP10_SQL, op10_decontaminate
 from strata.llm.html_text import op8_html_text
 from strata.llm.mixing import op7_mixing
+from strata.llm.ngram_join import op1_ngram_join
 from strata.llm.pii import op5_pii
 from strata.llm.quality_rules import op4_quality_rules
 from strata.llm.toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_pii, op7_mixing, op8_html_text, op9_toxicity, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op4_quality_rules, op5_pii, op7_mixing, op8_html_text, op9_toxicity, op10_decontaminate)}
 
 ORACLE: dict[str, str] = {"op10_decontaminate": OP10_SQL}

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strata.session import scratch_path
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 _IS_WORD = np.ones(256, bool)
