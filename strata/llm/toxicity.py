@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from strata.llm import common
@@ -158,8 +159,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN
     marked = (labels.where("toxic is not null and doc_id is not null")
               .where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train))
-    # a document that occurs in several rows gives one training row
-    return (docs.select("doc_id", common.text_or_empty().alias("text")).join(marked, "doc_id")
+    # at most max_train rows, so the broadcast is bounded; a document that occurs in several rows gives one training row
+    return (docs.select("doc_id", common.text_or_empty().alias("text")).join(F.broadcast(marked), "doc_id")
             .groupBy("doc_id").agg(F.max("text").alias("text"), F.first("toxic").alias("toxic")))
 
 
@@ -194,9 +195,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     return Model(np.frombuffer(got["terms"], np.uint64), got["bias"], np.frombuffer(got["linear"]), np.frombuffer(got["pairs"]).reshape(-1, FACTORS))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score of every row of docs."""
-    spark = docs.sparkSession
+def scorer(spark, model: Model):
+    """A function of a batch that yields its slices' bounds and scores; the model is broadcast, its size is bounded."""
     shared = spark.sparkContext.broadcast((model.terms, model.bias, model.linear, model.pairs))
     made = {}
 
@@ -207,12 +207,35 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             at, index = m.known(h)
             pair = np.sort(doc[at] << 32 | index)  # each known term counts once in a document
             pair = pair[np.append(True, pair[1:] != pair[:-1])] if len(pair) else pair
-            yield {"doc_id": batch.slice(lo, hi - lo).column(0), "score": m.scores(pair & 0xFFFFFFFF, pair >> 32, t.n)}
+            yield lo, hi, m.scores(pair & 0xFFFFFFFF, pair >> 32, t.n)
+
+    return run
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id and score of every row of docs."""
+    scores = scorer(docs.sparkSession, model)
+
+    def run(batch):
+        for lo, hi, values in scores(batch):
+            yield {"doc_id": batch.slice(lo, hi - lo).column(0), "score": values}
 
     kind = dict(docs.dtypes)["doc_id"]
     return common.arrow_map(docs.select("doc_id", common.text_or_empty().alias("text")), run, f"doc_id {kind}, score double")
 
 
+def below(docs: DataFrame, model: Model, limit: float) -> DataFrame:
+    """The rows of docs with a score under limit, unchanged."""
+    scores = scorer(docs.sparkSession, model)
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, values in scores(batch):
+                yield batch.slice(lo, hi - lo).filter(pa.array(values < limit))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs."""
     out = score(docs, train(docs, labels, max_train))
