@@ -46,7 +46,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs sampled to the target mix, with their weight and probability."""
-    return mix.calibrated(docs).where("sampled").select(*docs.columns, "weight", "probability")
+    return mix.sample(docs)
 
 
 STAGES = [(f.__name__, f) for f in (toxicity, ngram_join, decontaminate, pii, mixing)]

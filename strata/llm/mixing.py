@@ -42,17 +42,22 @@ def n_tokens(text: Column) -> Column:
 def topic(text: Column, tokens: Column) -> Column:
     """A coarse topic by form: tables, code, numbers, lists, long and short prose."""
     t = F.coalesce(text, F.lit(""))
-    marks = lambda chars: F.length(t) - F.length(F.translate(t, chars, ""))
+    marks = lambda chars: F.regexp_count(t, F.lit(f"[{chars}]"))
     return (F.when(marks("|") * 10 > tokens, "table").when(marks("{};=<>") * 5 > tokens, "code")
-            .when(marks("0123456789") * 2 > tokens, "numbers").when(marks("\n") * 8 > tokens, "list")
+            .when(marks("0-9") * 2 > tokens, "numbers").when(marks("\\n") * 8 > tokens, "list")
             .when(tokens >= 800, "long").otherwise("short"))
 
 
+OWN = ("n_tokens", "topic", "draw")
+
+
 def described(docs: DataFrame) -> DataFrame:
-    """docs with n_tokens and topic, computed once."""
-    own = [c for c in docs.columns if c not in ("n_tokens", "topic")]
-    with_tokens = docs.select(*own, n_tokens(F.col("text").cast("string")).alias("n_tokens"))
-    return with_tokens.select(*own, "n_tokens", topic(F.col("text").cast("string"), F.col("n_tokens")).alias("topic"))
+    """docs with n_tokens, topic and draw, a number in [0, 1) by the hash of id and text."""
+    own = [c for c in docs.columns if c not in OWN]
+    text = F.col("text").cast("string")
+    with_tokens = docs.select(*own, n_tokens(text).alias("n_tokens"))
+    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), text), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return with_tokens.select(*own, "n_tokens", topic(text, F.col("n_tokens")).alias("topic"), draw.alias("draw"))
 
 
 def key(name: str) -> Column:
@@ -105,9 +110,8 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def calibrated(docs: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """docs with n_tokens, topic, weight, probability and sampled."""
-    full = described(docs)
+def calibrated(full: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The rows of described() with weight, probability and sampled."""
     cells = common.scratch_table(cells_of(full), "mixing-cells")
     fitted = rake(cells, targets or {d: tempered(cells, d, TEMPER[d]) for d in DIMENSIONS})
     top = fitted.agg(F.max("weight").alias("top")).withColumn("one", F.lit(1))
@@ -118,16 +122,16 @@ def calibrated(docs: DataFrame, targets: dict[str, DataFrame] | None = None) ->
         rates = F.broadcast(rates)
     own = [c for c in full.columns if c not in ("weight", "probability", "sampled")]
     out = full.select(*own).join(rates, [key(d) == F.col(f"_{d}") for d in DIMENSIONS])
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    return out.select(*own, "weight", "probability", (draw < F.col("probability")).alias("sampled"))
+    return out.select(*own, "weight", "probability", (F.col("draw") < F.col("probability")).alias("sampled"))
 
 
 def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """The sampled rows of docs."""
-    return calibrated(docs, targets).where("sampled").select(*docs.columns)
+    """The sampled rows of docs, with weight and probability."""
+    return calibrated(described(docs), targets).where("sampled").select(*docs.columns, "weight", "probability")
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
     """Cell, weight, probability and draw of every document."""
-    out = calibrated(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "sampled")
+    docs = described(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    rows = common.scratch_table(docs.select("doc_id", "source", "lang", *OWN), "mixing-documents")
+    return calibrated(rows).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "sampled")
