@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from strata.llm.decontaminate import OP10_SQL, op10_decontaminate
 from strata.llm.html_text import op8_html_text
+from strata.llm.lm_score import op6_lm_score
 from strata.llm.mixing import op7_mixing
 from strata.llm.ngram_join import op1_ngram_join
 from strata.llm.pii import op5_pii
@@ -12,6 +13,6 @@ from strata.llm.substring_dedup import op2_substring_dedup
 from strata.llm.suffix_dedup import op3_suffix_dedup
 from strata.llm.toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_substring_dedup, op3_suffix_dedup, op4_quality_rules, op5_pii, op7_mixing, op8_html_text, op9_toxicity, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_substring_dedup, op3_suffix_dedup, op4_quality_rules, op5_pii, op6_lm_score, op7_mixing, op8_html_text, op9_toxicity, op10_decontaminate)}
 
 ORACLE: dict[str, str] = {"op10_decontaminate": OP10_SQL}
