@@ -7,9 +7,10 @@ of their cell, which is its weight over the largest weight: the sample's
 expected token mix is exactly the fitted one, and the cell that the targets
 favour most is kept whole.
 
-Cells are a DataFrame throughout, joined with the margins' factors and
-checkpointed each sweep: nothing of the corpus passes through the driver but
-the margins' largest error.  Targets that the cells cannot meet at once (a
+Cells are summed before anything else.  While their count stays within
+CELLS_IN_TASK one task fits them; beyond that every sweep is a grouping and a
+join with the margins' factors, checkpointed, and only the margins' largest
+error passes through the driver.  Targets that the cells cannot meet at once (a
 value that never occurs with another) leave an error after MAX_SWEEPS; the
 weights then are the last sweep's.
 
@@ -23,6 +24,8 @@ operator's own wins.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strata.llm import common
@@ -32,6 +35,8 @@ DIMENSIONS = ("source", "lang", "topic")
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 1.0}
 TOLERANCE = 1e-6
 MAX_SWEEPS = 40
+#: cells up to which one task fits them
+CELLS_IN_TASK = 200_000
 BROADCAST_ROWS = 50_000
 
 
@@ -75,41 +80,61 @@ def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
     return own.join(own.agg(F.sum("s").alias("all")).withColumn("one", F.lit(1)), F.lit(1) == F.col("one")).select("value", (F.col("s") / F.col("all")).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, max_sweeps: int = MAX_SWEEPS) -> DataFrame:
-    """cells with weight: tokens * weight meets the target shares of every dimension.
-
-    Targets for values that no cell has are left out and the others scaled up;
-    values without a target get weight 0."""
-    goals = {}
+def goals_of(cells: DataFrame, targets: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Targets of the values that have tokens, scaled up to sum to one."""
+    out = {}
     for d, t in targets.items():
         present = t.join(cells.where("tokens > 0").select(F.col(d).alias("value")).distinct(), "value")
         total = present.agg(F.sum("share").alias("all")).withColumn("one", F.lit(1))
-        goals[d] = present.join(total, F.lit(1) == F.col("one")).select(F.col("value").alias(d), (F.col("share") / F.col("all")).alias("goal")).checkpoint()
-    state = cells.withColumn("weight", F.lit(1.0))
-    for sweep in range(max_sweeps):
-        errors = []
+        out[d] = present.join(total, F.lit(1) == F.col("one")).select(F.col("value").alias(d), (F.col("share") / F.col("all")).alias("goal"))
+    return out
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, max_sweeps: int = MAX_SWEEPS, in_task: int = CELLS_IN_TASK) -> DataFrame:
+    """cells with weight: tokens * weight meets the target shares of every dimension.
+
+    Targets for values that no cell has are left out and the others scaled up;
+    values without a target get weight 0.  Up to in_task cells, by count, are
+    fitted in one task; more are fitted by groupings and joins."""
+    goals = goals_of(cells, targets)
+    if cells.count() <= in_task:
+        wide = cells
         for d, goal in goals.items():
-            now = state.groupBy(d).agg(F.sum(F.col("tokens") * F.col("weight")).alias("now"))
-            factor = now.join(goal, d, "left").select(d, F.when(F.col("now") > 0, F.coalesce("goal", F.lit(0.0)) / F.col("now")).otherwise(F.lit(1.0)).alias("factor"))
-            state = state.join(factor, d).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
-        state = state.checkpoint()
-        # the last dimension is met exactly; the others drift until the fit converges
+            wide = wide.join(goal.withColumnRenamed("goal", f"goal_{d}"), d, "left")
+        schema = ", ".join(f"{c} {t}" for c, t in cells.dtypes) + ", weight double"
+        columns, dimensions = cells.columns, list(goals)
+
+        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+            index = {d: pdf[d].astype("category").cat.codes.to_numpy() for d in dimensions}
+            tokens, weight = pdf["tokens"].to_numpy(float), np.ones(len(pdf))
+            for _ in range(max_sweeps):
+                worst = 0.0
+                for d in dimensions:
+                    now = np.bincount(index[d], tokens * weight)[index[d]]
+                    goal = pdf[f"goal_{d}"].fillna(0.0).to_numpy()
+                    factor = np.where(now > 0, goal / np.where(now > 0, now, 1), 1.0)
+                    worst = max(worst, np.abs(factor[(now > 0) & (goal > 0)] - 1).max(initial=0))
+                    weight = weight * factor
+                if worst <= tolerance:
+                    break
+            return pdf[columns].assign(weight=weight)
+
+        return wide.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(fit, schema)
+    goals = {d: g.checkpoint() for d, g in goals.items()}
+    state = cells.withColumn("weight", F.lit(1.0))
+    for _ in range(max_sweeps):
+        moved = []
         for d, goal in goals.items():
             now = state.groupBy(d).agg(F.sum(F.col("tokens") * F.col("weight")).alias("now"))
-            errors.append(now.join(goal, d).agg(F.max(F.abs(F.col("now") / F.col("goal") - 1)).alias("e")))
-        worst = max((r["e"] or 0.0) for r in _union(errors).collect())  # one number a dimension
-        if worst <= tolerance:
+            factor = now.join(goal, d, "left").select(d, F.coalesce("goal", F.lit(0.0)).alias("goal"), F.when(
+                F.col("now") > 0, F.coalesce("goal", F.lit(0.0)) / F.col("now")).otherwise(F.lit(1.0)).alias("factor")).checkpoint()
+            state = state.join(factor.select(d, "factor"), d).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor").checkpoint()
+            moved.append(factor.where("goal > 0").agg(F.max(F.abs(F.col("factor") - 1)).alias("e")).first()["e"] or 0.0)  # one number a dimension
+        if max(moved) <= tolerance:  # every margin was met before it was scaled
             break
     return state
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionAll(f)
-    return out
-
-
 def calibrated(full: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """The rows of described() with weight, probability and sampled."""
     cells = common.scratch_table(cells_of(full), "mixing-cells")
