@@ -133,6 +133,8 @@ def segments(docs: DataFrame, table: DataFrame, shared: DataFrame, anchors: Call
     body; a body that a batch has sent before is null."""
     own = (table.select("doc_id", "version", F.explode("anchors").alias("anchor")).join(shared, "anchor")
            .groupBy("doc_id", "version").agg(F.collect_list(F.struct("anchor", "salts")).alias("mine")))
+    own = common.scratch_table(own, "passage-anchors")
+    common.release_shuffles(docs.sparkSession)
 
     def run(batch):
         mine = batch.column(3)
@@ -185,31 +187,56 @@ Found = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     """Rows sorted by anchor, salt and body name, as blocks of about BLOCK_BYTES of distinct bodies."""
     names = ("doc_id", "version", "start", "windows", "salted")
-    columns: dict[str, list] = {c: [] for c in (*names, "of")}
+    rows: dict[str, list[np.ndarray]] = {c: [] for c in (*names, "of", "group")}
     bodies: list[bytes] = []
-    size, group, last = 0, None, None
+    size, last = 0, None
+
+    def take(upto: int) -> Block:
+        """The first upto rows, which end a group; the rest stays."""
+        nonlocal bodies, size
+        whole = {c: np.concatenate(v) for c, v in rows.items()}
+        n = int(whole["of"][upto - 1]) + 1
+        block = Block({c: v[:upto] for c, v in whole.items()}, bodies[:n])
+        for c, v in whole.items():
+            rows[c] = [v[upto:] - n if c == "of" else v[upto:]]
+        bodies = bodies[n:]
+        size = sum(map(len, bodies)) + 32 * len(rows["of"][0])
+        return block
+
+    n_groups = 0
     for batch in batches:
-        cols = {c: batch.column(c).to_pylist() for c in (*names, "anchor", "salt", "s1", "s2", "body")}
-        for i in range(batch.num_rows):
-            here = (cols["anchor"][i], cols["salt"][i])
-            if here != group:
-                if size > BLOCK_BYTES:
-                    yield Block({c: np.array(v) for c, v in columns.items()}, bodies)
-                    columns, bodies, size = {c: [] for c in columns}, [], 0
-                group, last = here, None
-            name, body = (cols["s1"][i], cols["s2"][i]), cols["body"][i]
-            if name != last:
-                last = name
-                bodies.append(b"")
-            if body is not None and not bodies[-1]:
-                bodies[-1] = body
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("anchor", "salt", "s1", "s2")], 1)
+        before = np.concatenate([key[:1] if last is None else last, key[:-1]])
+        group = (key[:, :2] != before[:, :2]).any(1)
+        name = group | (key[:, 2:] != before[:, 2:]).any(1)
+        if last is None:
+            group[0] = name[0] = True
+        last = key[-1:]
+        known = len(bodies)
+        of = known - 1 + np.cumsum(name)
+        bodies += [b""] * (int(of[-1]) + 1 - known)
+        column = batch.column(batch.schema.get_field_index("body"))
+        sent = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+        new, first = np.unique(of[sent], return_index=True)
+        for i, body in zip(new.tolist(), column.take(pa.array(sent[first])).to_pylist(), strict=True):
+            if not bodies[i]:
+                bodies[i] = body
                 size += len(body)
-            size += 32
-            columns["of"].append(len(bodies) - 1)
-            for c in names:
-                columns[c].append(cols[c][i])
+        size += 32 * len(of)
+        for c in names:
+            rows[c].append(batch.column(c).to_numpy(zero_copy_only=False))
+        rows["of"].append(of)
+        rows["group"].append(n_groups + np.cumsum(group))
+        n_groups = int(rows["group"][-1][-1])
+        if size > BLOCK_BYTES:
+            groups = np.concatenate(rows["group"])
+            ends = int(np.searchsorted(groups, groups[-1]))  # the last group may go on
+            if ends:
+                yield take(ends)
     if bodies:
-        yield Block({c: np.array(v) for c, v in columns.items()}, bodies)
+        yield take(sum(map(len, rows["of"])))
 
 
 def spans(dealt: DataFrame, solve: Callable[[Block], Found], window: int, settle: Callable[[DataFrame], DataFrame]) -> DataFrame:

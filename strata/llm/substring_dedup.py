@@ -30,8 +30,8 @@ from strata.llm import common, passages
 
 WINDOW = 13
 GRAM = 5
-#: phrases of one automaton
-PHRASES = 40_000
+#: phrases at which an automaton takes no further group
+PHRASES = 256
 
 
 def anchors(t: common.Texts) -> passages.Anchors:
@@ -48,24 +48,13 @@ def cut(t: common.Texts, start: np.ndarray, windows: np.ndarray) -> tuple[np.nda
     return t.starts[start], t.ends[start + windows + WINDOW - 2]
 
 
-class Automata:
-    """Aho-Corasick automata over sequences of word numbers, PHRASES phrases each."""
-
-    def __init__(self, phrases: dict[tuple[int, ...], object]):
-        self.parts = []
-        items = list(phrases.items())
-        for lo in range(0, len(items), PHRASES):
-            part = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-            for phrase, owner in items[lo: lo + PHRASES]:
-                part.add_word(phrase, (len(phrase), owner))
-            part.make_automaton()
-            self.parts.append(part)
-
-    def occurrences(self, words: tuple[int, ...]):
-        """(first word, length, owner) of every phrase in words."""
-        for part in self.parts:
-            for end, (length, owner) in part.iter(words):
-                yield end - length + 1, length, owner
+def compiled(phrases: dict[tuple[int, ...], object]) -> ahocorasick.Automaton:
+    """An Aho-Corasick automaton over sequences of word numbers."""
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    for phrase, owner in phrases.items():
+        automaton.add_word(phrase, (len(phrase), owner))
+    automaton.make_automaton()
+    return automaton
 
 
 def solve(block: passages.Block) -> passages.Found:
@@ -85,24 +74,36 @@ def solve(block: passages.Block) -> passages.Found:
     w1 = common.gram_hashes(hashes, at, WINDOW)
     w2 = common.gram_hashes(common.mix(hashes + np.uint64(0x51ED270B)), at, WINDOW)
     shared = common.seen_before(w1)[1] > 1
-    first = t.first.tolist()
-    numbers = number.tolist()
-    phrases: dict[tuple[int, ...], object] = {}
-    for i in np.flatnonzero(least < most).tolist():
-        phrases[tuple(numbers[first[i]: first[i + 1]])] = least[i].item()
-    for p, i in zip(at[shared].tolist(), body[shared].tolist(), strict=True):
-        key, owner = tuple(numbers[p: p + WINDOW]), least[i].item()
-        phrases[key] = min(phrases.get(key, owner), owner)
-    automata = Automata(phrases)
-
-    # stream: least owner of each window of each body
+    whole = least < most
     begin = np.searchsorted(body, np.arange(len(block.bodies) + 1))
+    group = np.zeros(len(block.bodies), np.int64)
+    group[block.of] = block.rows["group"]
+
+    # stream: least owner of each window of each body.  Phrases of one anchor are never found under another,
+    # so an automaton takes whole groups, and their bodies pass through it alone
+    first, numbers, least_of = t.first.tolist(), number.tolist(), least.tolist()
+    starts, shared_of, whole_of = at.tolist(), shared.tolist(), whole.tolist()
     owner = least[body]
+    lo = 0
+    phrases: dict[tuple[int, ...], object] = {}
     for i in range(len(block.bodies)):
-        words = tuple(numbers[first[i]: first[i + 1]])
-        for p, length, by in automata.occurrences(words):
-            lo, hi = begin[i] + p, begin[i] + p + length - WINDOW + 1
-            np.minimum(owner[lo:hi], by, out=owner[lo:hi])
+        if whole_of[i]:
+            key = tuple(numbers[first[i]: first[i + 1]])
+            phrases[key] = min(phrases.get(key, least_of[i]), least_of[i])
+        for w in range(begin[i], begin[i + 1]):
+            if shared_of[w]:
+                key = tuple(numbers[starts[w]: starts[w] + WINDOW])
+                phrases[key] = min(phrases.get(key, least_of[i]), least_of[i])
+        if i + 1 < len(block.bodies) and (len(phrases) < PHRASES or group[i + 1] == group[i]):
+            continue
+        if phrases:
+            automaton = compiled(phrases)
+            for j in range(lo, i + 1):
+                for end, (length, by) in automaton.iter(tuple(numbers[first[j]: first[j + 1]])):
+                    if by < least_of[j]:
+                        a = begin[j] + end - length + 1
+                        np.minimum(owner[a: a + length - WINDOW + 1], by, out=owner[a: a + length - WINDOW + 1])
+        lo, phrases = i + 1, {}
 
     # an occurrence loses the windows that a smaller document owns
     n = np.diff(begin)[block.of]
