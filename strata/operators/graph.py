@@ -4,8 +4,9 @@ common history (U3), ahead/behind status (J9) and the incremental cut (J5).
 Reachability uses chain compression instead of a per-generation BFS (one job
 per commit of depth) or a recursive CTE (level and row caps):
 
-1. every parent keeps one continuation child (smallest oid among its
-   first-parent children); these edges cut the graph into disjoint chains;
+1. every parent keeps one continuation child, the first-parent child with the
+   most first-parent descendants (heavy path), so a first-parent path changes
+   chains at most log2(n) times; these edges cut the graph into disjoint chains;
 2. pointer jumping (list ranking) gives every commit ``(chain, cpos)`` - the
    chain's oldest commit and the distance to it - in ~log2(longest chain)
    rounds of one self-join each;
@@ -78,13 +79,35 @@ class CommitGraph:
 
     # -- chain index ---------------------------------------------------------------
     def _continuations(self) -> DataFrame:
-        """(pid, child): the continuation child of each parent - the smallest
-        first-parent child; fixed once chosen (see ``extend``)."""
+        """(pid, child): the continuation child of each parent - its first-parent
+        child with the largest subtree, the smallest nid among equals; fixed
+        once chosen (see ``extend``)."""
         if self._cont is None:
-            e0 = self.id_edges().where(F.col("pos") == 0)
-            self._cont = _cut(e0.groupBy("pid").agg(F.min("nid").alias("child")))
+            e0 = self.id_edges().where(F.col("pos") == 0).select("nid", "pid")
+            forks = e0.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+            if forks.isEmpty():
+                self._cont = _cut(e0.select("pid", F.col("nid").alias("child")))
+            else:
+                sized = e0.join(self._subtree_sizes(e0), "nid")
+                self._cont = _cut(sized.groupBy("pid").agg(
+                    F.max(F.struct("size", (-F.col("nid")).alias("low"))).getField("low").alias("low"))
+                    .select("pid", (-F.col("low")).alias("child")))
         return self._cont
 
+    def _subtree_sizes(self, e0: DataFrame) -> DataFrame:
+        """(nid, size): nodes of each first-parent subtree, by pointer doubling:
+        the descendants closer than 2^(k+1) are those closer than 2^k plus those
+        of the descendants at distance 2^k."""
+        jump = e0.select("nid", F.col("pid").alias("up"))
+        sizes = self.ids().select("nid", F.lit(1).cast("bigint").alias("size"))
+        for _ in range(self.max_rounds):
+            if jump.isEmpty():
+                return sizes
+            below = jump.join(sizes, "nid").groupBy(F.col("up").alias("nid")).agg(F.sum("size").alias("below"))
+            sizes = _cut(sizes.join(below, "nid", "left").select("nid", (F.col("size") + F.coalesce("below", F.lit(0))).alias("size")))
+            jump = _cut(jump.join(jump.select(F.col("nid").alias("up"), F.col("up").alias("up2")), "up").select("nid", F.col("up2").alias("up")))
+        raise NotConverged("subtree sizes did not converge")
+
     def index(self) -> DataFrame:
         """(nid, chain, cpos): chain = nid of the chain's oldest commit, cpos =
         distance to it."""
@@ -197,7 +220,10 @@ class CommitGraph:
         delta = state.withColumn("prev_pos", F.lit(None).cast("int"))
         keys = [R, "ref", "chain"]
         for i in range(self.max_rounds):
-            exp = delta.join(cross.withColumnRenamed("src_chain", "chain"), "chain").where(
+            # joined on (chain, bucket): a chain that most refs meet is spread over its buckets
+            dealt = delta.withColumn("b", F.explode(F.sequence(
+                F.floor((F.coalesce("prev_pos", F.lit(-1)) + 1) / self.bucket).cast("int"), F.floor(F.col("max_pos") / self.bucket).cast("int"))))
+            exp = dealt.join(cross.withColumnRenamed("src_chain", "chain").withColumn("b", F.floor(F.col("src_pos") / self.bucket).cast("int")), ["chain", "b"]).where(
                 (F.col("src_pos") <= F.col("max_pos"))
                 & (F.col("prev_pos").isNull() | (F.col("src_pos") > F.col("prev_pos"))))
             cand = (exp.select(R, "ref", F.col("dst_chain").alias("chain"), F.col("dst_pos").alias("cand"))

@@ -24,6 +24,8 @@ DIFF_KEY = ("author_time", "summary")   # what the original SQL joins on (beside
 def _top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int | None,
            offset: int = 0, rank_col: str | None = None) -> DataFrame:
     """Rows ranked ``offset+1 .. offset+k`` per group (all rows when k is None)."""
+    if k is None and not offset and rank_col is None:
+        return df
     w = Window.partitionBy(*group).orderBy(*order)
     rn = F.row_number().over(w)
     name = rank_col or "_rn"
@@ -47,11 +49,11 @@ def default_branch_pairs(repositories: DataFrame, branches: DataFrame) -> DataFr
             .select("repository_id", "old_branch", F.col("default_branch").alias("new_branch")))
 
 
-def branch_diff(commits: DataFrame, pairs: DataFrame, limit: int | None = 1000,
+def branch_diff(commits: DataFrame, pairs: DataFrame, limit: int | None = None,
                 key: Sequence[str] = DIFF_KEY) -> DataFrame:
     """Per requested (repository_id, old_branch, new_branch), the commits on
     ``old_branch`` with no commit on ``new_branch`` of equal ``key``, newest
-    first (committer_time DESC, oid ASC), at most ``limit`` per pair.
+    first (committer_time DESC, oid ASC); at most ``limit`` per pair if the caller gives one.
 
     Plan: old-side rows tagged with their pair(s), ``left_anti`` against the
     new side on (repository_id, new_branch, *key) - the join key includes the
@@ -126,14 +128,13 @@ def pick_order(diff_rows: DataFrame) -> DataFrame:
 # --- A1/A4/A5 counts -------------------------------------------------------------------
 
 def commit_counts(commits: DataFrame) -> DataFrame:
-    """A1: rows per repository and per (repository, branch) in one rollup;
+    """A1: rows per repository and per (repository, branch) in one pass over two grouping sets;
     ``level`` says which.  ``distinct_commits`` counts each oid once."""
-    r = commits.rollup("repository_id", "branch").agg(
+    r = commits.groupingSets([("repository_id", "branch"), ("repository_id",)], "repository_id", "branch").agg(
         F.grouping_id().alias("_g"),
         F.count(F.lit(1)).alias("n_rows"),
         F.count_distinct("oid").alias("distinct_commits"),
     )
-    r = r.where(F.col("_g") < 3)
     return r.select("repository_id", "branch",
                     F.when(F.col("_g") == 0, F.lit("branch")).otherwise(F.lit("repository")).alias("level"),
                     "n_rows", "distinct_commits")
@@ -197,15 +198,26 @@ def commit_detail(commits: DataFrame, stats: DataFrame | None = None) -> DataFra
 
 # --- J4 prefix match ----------------------------------------------------------------------
 
-def match_oid_prefix(left: DataFrame, right: DataFrame, k: int = 7,
-                     lcol: str = "oid", rcol: str = "oid") -> DataFrame:
-    """Pairs where one oid is a prefix of the other (either way).  Equi-join
-    on the first ``k`` characters (k = shortest abbreviation allowed) with the
-    two-way ``startswith`` as residual - never a nested-loop join.  Values
-    shorter than k cannot match and are dropped."""
-    lp = left.where(F.length(lcol) >= k).withColumn("_p", F.substring(F.lower(F.col(lcol)), 1, k))
-    rp = right.where(F.length(rcol) >= k).select(F.col(rcol).alias("_r"), F.substring(F.lower(F.col(rcol)), 1, k).alias("_p"),
-                                                  *[c for c in right.columns if c != rcol and c not in left.columns])
-    j = lp.join(rp, "_p")
-    a, b = F.lower(F.col(lcol)), F.lower(F.col("_r"))
-    return j.where(a.startswith(b) | b.startswith(a)).drop("_p").withColumnRenamed("_r", "matched_oid")
+def match_oid_prefix(left: DataFrame, right: DataFrame, lcol: str = "oid", rcol: str = "oid") -> DataFrame:
+    """Pairs of one repository where one oid is a prefix of the other
+    (either way, case aside), of any length.
+
+    Every value names itself; a value also names its prefixes of the lengths
+    that the other side has (a handful: abbreviations have few lengths, 40 at
+    most).  The join is an equi-join on (repository_id, prefix), never a
+    nested loop, and each pair comes out once: on the shorter value."""
+    r = "repository_id"
+    lo = left.withColumn("_l", F.lower(F.col(lcol)))
+    ri = right.select(r, F.col(rcol).alias("matched_oid"), F.lower(F.col(rcol)).alias("_r"),
+                      *[c for c in right.columns if c not in (r, rcol) and c not in left.columns])
+
+    def prefixes(df, value, other, name):
+        # the other side's lengths in the same repository
+        lengths = other.select(r, F.length(name).alias("_n")).distinct()
+        return df.join(lengths, r).where(F.length(value) >= F.col("_n")).withColumn("_p", F.left(F.col(value), F.col("_n"))).drop("_n")
+
+    # the right value is the shorter one or equal; then the left value is strictly shorter
+    down = prefixes(lo, "_l", ri, "_r").join(ri.withColumnRenamed("_r", "_p"), [r, "_p"]).drop("_p", "_l")
+    up = (prefixes(ri, "_r", lo, "_l").where(F.length("_r") > F.length("_p"))
+          .join(lo.withColumnRenamed("_l", "_p"), [r, "_p"]).drop("_p", "_r"))
+    return down.unionByName(up.select(*down.columns))

@@ -108,6 +108,13 @@ def find_repositories(repositories: DataFrame, keys: DataFrame, on: str = "name"
     return repositories.join(keys.select(on), on, "left_semi")
 
 
+def repositories_exist(repositories: DataFrame, keys: DataFrame, on: str = "path") -> DataFrame:
+    """Every asked key and whether a repository has it."""
+    asked = keys.select(on).distinct()
+    known = repositories.select(F.col(on).alias("_known")).distinct()
+    return asked.join(known, F.col(on) == F.col("_known"), "left").select(on, F.col("_known").isNotNull().alias("present"))
+
+
 def find_commits_by_oid(commits: DataFrame, keys: DataFrame) -> DataFrame:
     """One index row per requested (repository_id, oid): the smallest branch."""
     hit = commits.join(keys.select("repository_id", "oid"), ["repository_id", "oid"], "left_semi")
@@ -125,13 +132,13 @@ def valid_oids(df: DataFrame, col: str = "oid") -> DataFrame:
     return df.where(S.is_valid_oid(col))
 
 
-def log_rows(commits: DataFrame) -> DataFrame:
-    """Rows of a log page."""
+def log_rows(commits: DataFrame, *keep: str) -> DataFrame:
+    """Rows of a log page; ``keep`` names further columns to carry."""
     return commits.select(
         "repository_id", "branch",
         F.col("oid").alias("sha"), S.short_oid("oid").alias("sha_short"),
         S.first_line("message").alias("message"), "summary", "author_name", "author_email",
-        S.rfc3339("committer_time").alias("committer_time"), F.lit(False).alias("is_empty"),
+        S.rfc3339("committer_time").alias("committer_time"), F.lit(False).alias("is_empty"), *keep,
     )
 
 
@@ -166,18 +173,26 @@ def insert_new_commits(existing: DataFrame, incoming: DataFrame, order_by: Seque
     ``existing``; duplicate keys inside the batch keep their first row by
     ``order_by``.  The new table is ``existing.unionByName(result)``; the
     number inserted is ``result.count()``.  Running it twice inserts nothing."""
-    w = Window.partitionBy(*COMMIT_KEY).orderBy(*order_by)
+    # equal keys with equal order are told apart by every other column, so the choice is total
+    ties = [c for c in incoming.columns if c not in COMMIT_KEY and c not in order_by]
+    w = Window.partitionBy(*COMMIT_KEY).orderBy(*order_by, *ties)
     batch = incoming.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
     return batch.join(existing.select(*COMMIT_KEY), COMMIT_KEY, "left_anti")
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], update_cols: Sequence[str],
-           defaults: dict | None = None) -> DataFrame:
+           defaults: dict | None = None, order_by: Sequence[str] | None = None) -> DataFrame:
     """K2-K4: partial-column merge.  Matched rows take ``update_cols`` from
     ``incoming`` and keep every other column; new keys are inserted
     (``defaults`` fills columns incoming lacks); untouched rows pass through.
-    One full-outer join, so each side is shuffled once."""
+    Of several incoming rows of one key the last by ``order_by`` counts
+    (ties by all its columns), so keys stay unique.  One full-outer join, so
+    each side is shuffled once; the choice of the last row is a partial
+    aggregate."""
     defaults = defaults or {}
+    rest = [c for c in incoming.columns if c not in keys and c not in (order_by or ())]
+    last = F.max(F.struct(*(order_by or ()), *rest)).alias("_last")
+    incoming = incoming.groupBy(*keys).agg(last).select(*keys, "_last.*").select(*incoming.columns)
     cols = existing.columns
     e = existing.select(*[F.col(c).alias(f"_e_{c}") for c in cols], F.lit(True).alias("_e"))
     inc_cols = set(incoming.columns)
@@ -200,19 +215,20 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], update
     return j.select(*out)
 
 
-def upsert_commits(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """K2: on conflict only summary and message change."""
-    return upsert(existing, incoming, COMMIT_KEY, ["summary", "message"])
+def upsert_commits(existing: DataFrame, incoming: DataFrame, order_by: Sequence[str] = ("created_at",)) -> DataFrame:
+    """K2: on conflict only summary and message change; the last incoming row of a key by ``order_by`` wins."""
+    return upsert(existing, incoming, COMMIT_KEY, ["summary", "message"], order_by=order_by)
 
 
-def upsert_branches(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """K3: on conflict target_oid, is_default, updated_at change."""
-    return upsert(existing, incoming, BRANCH_KEY, ["target_oid", "is_default", "updated_at"])
+def upsert_branches(existing: DataFrame, incoming: DataFrame, order_by: Sequence[str] = ("updated_at",)) -> DataFrame:
+    """K3: on conflict target_oid, is_default, updated_at change; the last incoming row of a key by ``order_by`` wins."""
+    return upsert(existing, incoming, BRANCH_KEY, ["target_oid", "is_default", "updated_at"], order_by=order_by)
 
 
-def upsert_repositories(existing: DataFrame, incoming: DataFrame, now) -> DataFrame:
+def upsert_repositories(existing: DataFrame, incoming: DataFrame, now, order_by: Sequence[str] = ("last_synced_at",)) -> DataFrame:
     """K4: keyed by path; id and created_at kept; a new path gets
-    id = xxhash64(path) and created_at = now."""
+    id = xxhash64(path) and created_at = now; the last incoming row of a path
+    by ``order_by`` wins."""
     now_c = F.lit(now).cast("timestamp_ntz")
     inc = incoming
     if "id" not in inc.columns:
@@ -221,7 +237,7 @@ def upsert_repositories(existing: DataFrame, incoming: DataFrame, now) -> DataFr
         inc = inc.withColumn("created_at", now_c)
     inc = inc.withColumn("updated_at", now_c)
     return upsert(existing, inc, ["path"],
-                  ["name", "description", "default_branch", "last_synced_at", "updated_at"])
+                  ["name", "description", "default_branch", "last_synced_at", "updated_at"], order_by=order_by)
 
 
 def touch_sync_time(repositories: DataFrame, synced_ids: DataFrame, now) -> DataFrame:
@@ -270,5 +286,5 @@ def export_commits(commits: DataFrame) -> DataFrame:
 
 
 def to_json_lines(df: DataFrame) -> DataFrame:
-    """K8: one JSON document per row (``df.write.json`` writes the same)."""
-    return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
+    """K8: one JSON document per row, absent values as null."""
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"))

@@ -30,13 +30,13 @@ DIFF_COLS = ["repository_id", "old_branch", "new_branch", "oid", "author_name",
              "committer_time", "summary"]
 
 
-def _diff(spark, d, limit=1000):
+def _diff(spark, d, limit=None):
     commits = fx.fx_commits(spark, d)
     pairs = Q.default_branch_pairs(fx.fx_repositories(spark, d), fx.fx_branches(spark, d))
     return Q.branch_diff(commits, pairs, limit=limit)
 
 
-@register("branch_diff", oracle="""
+DIFF_SQL = """
 SELECT repository_id, old_branch, new_branch, oid, author_name, author_time, committer_time, summary FROM (
   SELECT c.repository_id, c.branch AS old_branch, p.new_branch, c.oid, c.author_name, c.author_time,
          c.committer_time, c.summary,
@@ -47,13 +47,21 @@ SELECT repository_id, old_branch, new_branch, oid, author_name, author_time, com
   LEFT JOIN fx_commits n ON n.repository_id = c.repository_id AND n.branch = p.new_branch
                         AND n.author_time = c.author_time AND n.summary = c.summary
   WHERE n.oid IS NULL) t
-WHERE rn <= 1000
-""")
+"""
+
+
+@register("branch_diff", oracle=DIFF_SQL)
 def branch_diff(spark, d):
-    """J1 flagship: every branch against its repository's default branch, top 1000 per pair."""
+    """J1 flagship: every branch against its repository's default branch."""
     return _diff(spark, d).select(*DIFF_COLS)
 
 
+@register("branch_diff_top", oracle=DIFF_SQL + "WHERE rn <= 25")
+def branch_diff_top(spark, d):
+    """J1 with the caller's limit: the newest 25 of each pair."""
+    return _diff(spark, d, limit=25).select(*DIFF_COLS)
+
+
 # The query modules register themselves on import.
 from strata.plans import q_tables  # noqa: E402,F401
 from strata.plans import q_queries  # noqa: E402,F401

@@ -13,8 +13,7 @@ from strata.plans.catalog import register
 from strata.sources import fixtures as fx
 
 SPLIT = "2024-01-25 00:00:00"
-REV_LIMIT = 2000        # default commits walked per branch
-CYCLE_LIMIT = 4000      # shipped configuration
+TOP = 25                # a limit that binds on the fixture, for the variants that take one
 _MEMO: dict = {}
 
 
@@ -72,25 +71,36 @@ def reachable(spark, d):
     return graph_and_reach(spark, d)[1]
 
 
-@register("rev_list", oracle=WALK_SQL + f"""
-SELECT repository_id, ref, oid, committer_time, walk_rank FROM walk WHERE walk_rank <= {REV_LIMIT} AND n_parents <= 1""")
-def rev_list(spark, d):
-    """The capped time-ordered walk of every branch, merges dropped after the cap."""
+def _walk(spark, d, **limits):
     g, reach = graph_and_reach(spark, d)
     refs = fx.fx_branches(spark, d).select("repository_id", F.col("name").alias("ref"), "target_oid")
-    return G.rev_list(g, refs, _attrs(spark, d), limit=REV_LIMIT, reach=reach)
+    return G.rev_list(g, refs, _attrs(spark, d), reach=reach, **limits)
+
+
+@register("rev_list", oracle=WALK_SQL + """
+SELECT repository_id, ref, oid, committer_time, walk_rank FROM walk WHERE n_parents <= 1""")
+def rev_list(spark, d):
+    """The time-ordered walk of every branch, merges dropped."""
+    return _walk(spark, d)
+
+
+@register("rev_list_top", oracle=WALK_SQL + f"""
+SELECT repository_id, ref, oid, committer_time, walk_rank FROM walk WHERE walk_rank <= {TOP} AND n_parents <= 1""")
+def rev_list_top(spark, d):
+    """G2/T6 with the caller's cap: merges count towards it and are dropped after it."""
+    return _walk(spark, d, limit=TOP)
 
 
 @register("incremental_exact", oracle=WALK_SQL + f"""
 SELECT w.repository_id, w.ref, w.oid, w.committer_time, w.walk_rank FROM walk w
-WHERE w.walk_rank <= {CYCLE_LIMIT} AND w.n_parents <= 1
+WHERE w.n_parents <= 1
   AND NOT EXISTS (SELECT 1 FROM fx_commits c WHERE c.repository_id = w.repository_id AND c.branch = w.ref AND c.oid = w.oid
                   AND c.committer_time < TIMESTAMP '{SPLIT}')""")
 def incremental_exact(spark, d):
     """J5 exact / ST4: walked commits not yet indexed on their branch (late merge-ins kept)."""
     g, reach = graph_and_reach(spark, d)
     refs = fx.fx_branches(spark, d).select("repository_id", F.col("name").alias("ref"), "target_oid")
-    walk = G.rev_list(g, refs, _attrs(spark, d), limit=CYCLE_LIMIT, reach=reach)
+    walk = G.rev_list(g, refs, _attrs(spark, d), reach=reach)
     index = fx.fx_commits(spark, d).where(F.col("committer_time") < F.lit(SPLIT).cast("timestamp_ntz"))
     return G.incremental_cut(walk, index, mode="exact")
 
@@ -104,32 +114,44 @@ cut AS (SELECT w.repository_id, w.ref, w.walk_rank AS cut_rank FROM walk w
         JOIN since s ON s.repository_id = w.repository_id AND s.ref = w.ref AND s.since_oid = w.oid)
 SELECT w.repository_id, w.ref, w.oid, w.committer_time, w.walk_rank FROM walk w
 LEFT JOIN cut c ON c.repository_id = w.repository_id AND c.ref = w.ref
-WHERE w.walk_rank <= {CYCLE_LIMIT} AND (c.cut_rank IS NULL OR w.walk_rank < c.cut_rank) AND w.n_parents <= 1""")
+WHERE (c.cut_rank IS NULL OR w.walk_rank < c.cut_rank) AND w.n_parents <= 1""")
 def incremental_cut(spark, d):
     """J5 cut / G2 since: the original stop-at-newest-indexed walk."""
     g, reach = graph_and_reach(spark, d)
     refs = fx.fx_branches(spark, d).select("repository_id", F.col("name").alias("ref"), "target_oid")
     index = fx.fx_commits(spark, d).where(F.col("committer_time") < F.lit(SPLIT).cast("timestamp_ntz"))
     since = Q.latest_commit(index).select("repository_id", F.col("branch").alias("ref"), F.col("oid").alias("since_oid"))
-    return G.rev_list(g, refs, _attrs(spark, d), limit=CYCLE_LIMIT, since=since, reach=reach)
+    return G.rev_list(g, refs, _attrs(spark, d), since=since, reach=reach)
 
 
-@register("range_commits", oracle=PAIRS_SQL + """
+RANGE_SQL = PAIRS_SQL + """
 SELECT repository_id, old_ref, new_ref, oid, committer_time FROM (
   SELECT o.*, h.committer_time,
          row_number() OVER (PARTITION BY o.repository_id, o.old_ref, o.new_ref ORDER BY h.committer_time DESC, o.oid) AS rn
-  FROM only_new o JOIN fx_history h ON h.repository_id = o.repository_id AND h.oid = o.oid WHERE h.n_parents <= 1) t
-WHERE rn <= 1000""")
-def range_commits(spark, d):
-    """Main..branch for every non-default branch, no merges, newest
-    1000 - enumerated from frontier intervals (only the differing commits)."""
+  FROM only_new o JOIN fx_history h ON h.repository_id = o.repository_id AND h.oid = o.oid WHERE h.n_parents <= 1) t"""
+
+
+def _range(spark, d, limit=None):
     g, front = graph_frontier(spark, d)
     pairs = _pairs(spark, d)
     only_new = g.nodes_in(G.frontier_difference(front, pairs, "new_ref", "old_ref"), ["repository_id", "old_ref", "new_ref"])
-    return G.range_from_set(only_new, _attrs(spark, d), limit=1000).select(
+    return G.range_from_set(only_new, _attrs(spark, d), limit=limit).select(
         "repository_id", "old_ref", "new_ref", "oid", "committer_time")
 
 
+@register("range_commits", oracle=RANGE_SQL)
+def range_commits(spark, d):
+    """Main..branch for every non-default branch, no merges -
+    enumerated from frontier intervals (only the differing commits)."""
+    return _range(spark, d)
+
+
+@register("range_commits_top", oracle=RANGE_SQL + f" WHERE rn <= {TOP}")
+def range_commits_top(spark, d):
+    """J2/U2 with the caller's limit: the newest of each range."""
+    return _range(spark, d, limit=TOP)
+
+
 @register("merge_status", oracle=PAIRS_SQL + """
 SELECT *, CASE WHEN behind = 0 THEN 'up_to_date' WHEN ahead = 0 THEN 'fast_forward' ELSE 'diverged' END AS status FROM (
   SELECT p.repository_id, p.old_ref AS target_ref, p.new_ref AS source_ref,
@@ -174,7 +196,7 @@ diffrows AS (
     FROM fx_commits c JOIN fx_pairs p ON p.repository_id = c.repository_id AND p.old_branch = c.branch
     LEFT JOIN fx_commits n ON n.repository_id = c.repository_id AND n.branch = p.new_branch
                           AND n.author_time = c.author_time AND n.summary = c.summary
-    WHERE n.oid IS NULL) t WHERE rn <= 1000),
+    WHERE n.oid IS NULL) t),
 flagged_rows AS (
   SELECT r.*, EXISTS (SELECT 1 FROM flagged f WHERE f.repository_id = r.repository_id AND f.old_ref = r.old_branch
                       AND f.new_ref = r.new_branch AND f.oid = r.oid) AS is_empty
@@ -190,13 +212,15 @@ def _flagged(spark, d):
     k = ["repository_id", "old_ref", "new_ref"]
     only_old = g.nodes_in(G.frontier_difference(front, pairs, "old_ref", "new_ref"), k)
     only_new = g.nodes_in(G.frontier_difference(front, pairs, "new_ref", "old_ref"), k)
-    fps = D.patch_fingerprints(fx.fx_diff_lines(spark, d))
+    # only the lines of commits that one side lacks are hashed
+    differing = only_old.select("repository_id", F.col("oid").alias("commit_oid")).union(only_new.select("repository_id", "oid")).distinct()
+    fps = D.patch_fingerprints(fx.fx_diff_lines(spark, d).join(differing, ["repository_id", "commit_oid"], "left_semi"))
     return D.flag_equivalent_sets(only_old, only_new, fps)
 
 
 def _flagged_diff_rows(spark, d):
     rows = Q.branch_diff(fx.fx_commits(spark, d),
-                         Q.default_branch_pairs(fx.fx_repositories(spark, d), fx.fx_branches(spark, d)), limit=1000)
+                         Q.default_branch_pairs(fx.fx_repositories(spark, d), fx.fx_branches(spark, d)), limit=None)
     fl = _flagged(spark, d).select("repository_id", F.col("old_ref").alias("old_branch"),
                                    F.col("new_ref").alias("new_branch"), "oid", F.lit(True).alias("_hit"))
     return (rows.join(fl, ["repository_id", "old_branch", "new_branch", "oid"], "left")
@@ -238,16 +262,15 @@ def pick_order(spark, d):
 @register("match_oid_prefix", oracle="""
 SELECT l.repository_id, l.oid, r.abbrev AS matched_oid FROM
   (SELECT DISTINCT repository_id, oid FROM fx_commits WHERE branch = 'origin/release') l
-JOIN (SELECT substr(oid, 1, CASE WHEN event_id % 2 = 0 THEN 7 ELSE 12 END) AS abbrev FROM fx_nodes WHERE lane = 1) r
-  ON substr(l.oid, 1, 7) = substr(r.abbrev, 1, 7) AND (starts_with(l.oid, r.abbrev) OR starts_with(r.abbrev, l.oid))""")
+JOIN (SELECT DISTINCT repository_id, substr(oid, 1, CASE event_id % 3 WHEN 0 THEN 4 WHEN 1 THEN 7 ELSE 12 END) AS abbrev FROM fx_nodes WHERE lane = 1) r
+  ON l.repository_id = r.repository_id AND (starts_with(l.oid, r.abbrev) OR starts_with(r.abbrev, l.oid))""")
 def match_oid_prefix(spark, d):
-    """Two-way prefix match of full oids against 7/12-character abbreviations."""
+    """Two-way prefix match of full oids against abbreviations of 4, 7 and 12 characters of the same repository."""
     left = fx.fx_commits(spark, d).where(F.col("branch") == "origin/release").select("repository_id", "oid").distinct()
     n = fx.fx_nodes(spark, d).where(F.col("lane") == 1)
-    abbrev = F.when(F.col("event_id") % 2 == 0, F.substring("oid", 1, 7)).otherwise(F.substring("oid", 1, 12))
-    right = n.select(abbrev.alias("oid"))
-    return Q.match_oid_prefix(left, right, k=7).select("repository_id", "oid", "matched_oid")
-
+    length = F.when(F.col("event_id") % 3 == 0, 4).when(F.col("event_id") % 3 == 1, 7).otherwise(12)
+    right = n.select("repository_id", F.left(F.col("oid"), length).alias("oid")).distinct()
+    return Q.match_oid_prefix(left, right).select("repository_id", "oid", "matched_oid")
 
 @register("reachable_incremental", oracle="SELECT repository_id, ref, oid FROM reach")
 def reachable_incremental(spark, d):

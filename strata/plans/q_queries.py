@@ -26,8 +26,19 @@ WHERE page_rank <= 50""")
 def log_page_branch(spark, d):
     """T1 + P7: first UI page (50 rows) of every branch of every repository."""
     page = Q.log_page(fx.fx_commits(spark, d), limit=50, offset=0, per_branch=True)
-    return T.log_rows(page).join(page.select("repository_id", "branch", F.col("oid").alias("sha"), "page_rank"),
-                                 ["repository_id", "branch", "sha"])
+    return T.log_rows(page, "page_rank")
+
+
+@register("log_page_default_branch", oracle=f"""
+SELECT {P7_SQL}, page_rank FROM (
+  SELECT c.*, row_number() OVER (PARTITION BY c.repository_id ORDER BY c.author_time DESC, c.oid) AS page_rank
+  FROM fx_commits c JOIN fx_default_branch b ON b.repository_id = c.repository_id AND b.default_branch = c.branch) t
+WHERE page_rank <= 50""")
+def log_page_default_branch(spark, d):
+    """P13 + T1 + P7: the log a repository opens with, the first page of its default branch."""
+    chosen = T.default_branch(fx.fx_repositories(spark, d), fx.fx_branches(spark, d))
+    rows = fx.fx_commits(spark, d).join(chosen.withColumnRenamed("default_branch", "branch"), ["repository_id", "branch"], "left_semi")
+    return T.log_rows(Q.log_page(rows, limit=50, offset=0, per_branch=True), "page_rank")
 
 
 @register("log_page_repository", oracle="""
@@ -114,13 +125,12 @@ SELECT repository_id, old_branch, new_branch, oid, committer_time FROM (
          row_number() OVER (PARTITION BY c.repository_id, c.branch, p.new_branch ORDER BY c.committer_time DESC, c.oid) AS rn
   FROM fx_commits c JOIN fx_pairs p ON p.repository_id = c.repository_id AND p.old_branch = c.branch
   WHERE NOT EXISTS (SELECT 1 FROM fx_commits n WHERE n.repository_id = c.repository_id AND n.branch = p.new_branch
-                    AND n.oid = c.oid)) t
-WHERE rn <= 1000""")
+                    AND n.oid = c.oid)) t""")
 def branch_diff_by_oid(spark, d):
     """J1 with the key as a parameter: commits identity (oid) instead of (author_time, summary)."""
     commits = fx.fx_commits(spark, d)
     pairs = Q.default_branch_pairs(fx.fx_repositories(spark, d), fx.fx_branches(spark, d))
-    return Q.branch_diff(commits, pairs, limit=1000, key=("oid",)).select(
+    return Q.branch_diff(commits, pairs, key=("oid",)).select(
         "repository_id", "old_branch", "new_branch", "oid", "committer_time")
 
 

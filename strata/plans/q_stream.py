@@ -8,7 +8,7 @@ from strata.functions import scalars as S
 from strata.operators import graph as G
 from strata.operators import tables as T
 from strata.plans.catalog import register
-from strata.plans.q_graph import CYCLE_LIMIT, SPLIT, WALK_SQL, graph_and_reach
+from strata.plans.q_graph import SPLIT, WALK_SQL, graph_and_reach
 from strata.session import scratch_path
 from strata.sources import fixtures as fx
 from strata.sources import schemas
@@ -78,9 +78,9 @@ def stream_ingest_stats(spark, d):
 
 @register("ingest_stats", oracle=WALK_SQL + f""",
 cand AS (SELECT repository_id, ref, count(*) AS candidates FROM walk
-         WHERE walk_rank <= {CYCLE_LIMIT} AND n_parents <= 1 GROUP BY repository_id, ref),
+         WHERE n_parents <= 1 GROUP BY repository_id, ref),
 ins AS (SELECT w.repository_id, w.ref, count(*) AS inserted FROM walk w
-        WHERE w.walk_rank <= {CYCLE_LIMIT} AND w.n_parents <= 1
+        WHERE w.n_parents <= 1
           AND NOT EXISTS (SELECT 1 FROM fx_commits c WHERE c.repository_id = w.repository_id AND c.branch = w.ref
                           AND c.oid = w.oid AND c.committer_time < TIMESTAMP '{SPLIT}')
         GROUP BY w.repository_id, w.ref),
@@ -105,8 +105,7 @@ def ingest_stats(spark, d):
     raw = fx.fx_raw_refs(spark, d)
     branches = T.refs_to_branches(raw, CREATED)
     refs = T.remote_branches(branches).select("repository_id", F.col("name").alias("ref"), "target_oid")
-    walk = G.rev_list(g, refs, fx.fx_history(spark, d).select("repository_id", "oid", "committer_time", "parent_oids"),
-                      limit=CYCLE_LIMIT, reach=reach)
+    walk = G.rev_list(g, refs, fx.fx_history(spark, d).select("repository_id", "oid", "committer_time", "parent_oids"), reach=reach)
     index = fx.fx_commits(spark, d).where(F.col("committer_time") < F.lit(SPLIT).cast("timestamp_ntz"))
     ins = G.incremental_cut(walk, index, mode="exact")
     cand = walk.groupBy("repository_id", "ref").agg(F.count(F.lit(1)).alias("candidates"))

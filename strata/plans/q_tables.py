@@ -123,12 +123,14 @@ SELECT repository_id, oid, branch, author_name, author_time, committer_time,
        CASE WHEN committer_time >= TIMESTAMP '{SPLIT}' THEN TIMESTAMP '{NOW}' ELSE created_at END AS created_at
 FROM fx_commits""")
 def upsert_commits(spark, d):
-    """K2: matched keys change only summary and message; new keys are inserted whole."""
+    """K2: matched keys change only summary and message; new keys are inserted whole.
+    Every key comes twice; the later row by created_at counts."""
     existing, batch = _split_commits(spark, d)
     inc = batch.select(*[F.upper("summary").alias("summary") if c == "summary" else
                          F.lit("edited").alias("message") if c == "message" else
                          _ts(NOW).alias("created_at") if c == "created_at" else F.col(c) for c in batch.columns])
-    out = T.upsert_commits(existing, inc)
+    stale = inc.withColumn("summary", F.lit("zz stale")).withColumn("created_at", _ts(NOW) - F.expr("INTERVAL 1 HOUR"))
+    out = T.upsert_commits(existing, inc.unionByName(stale))
     return out.select("repository_id", "oid", "branch", "author_name", "author_time", "committer_time",
                       "summary", "message", "created_at")
 
@@ -141,13 +143,14 @@ FROM fx_branches
 UNION ALL
 SELECT repository_id, 'origin/hotfix', target_oid, false, TIMESTAMP '{NOW}' FROM fx_branches WHERE name = 'origin/release'""")
 def upsert_branches(spark, d):
-    """K3: release becomes default, a hotfix branch appears."""
+    """K3: release becomes default, a hotfix branch appears; every key comes twice, the later row counts."""
     b = fx.fx_branches(spark, d)
     rel = b.where(F.col("name") == "origin/release")
     inc = rel.select("repository_id", "name", "target_oid", F.lit(True).alias("is_default"), _ts(NOW).alias("updated_at")) \
         .unionByName(rel.select("repository_id", F.lit("origin/hotfix").alias("name"), "target_oid",
                                 F.lit(False).alias("is_default"), _ts(NOW).alias("updated_at")))
-    return T.upsert_branches(b, inc)
+    stale = inc.withColumn("target_oid", F.lit("f" * 40)).withColumn("updated_at", _ts(NOW) - F.expr("INTERVAL 1 HOUR"))
+    return T.upsert_branches(b, stale.unionByName(inc))
 
 
 @register("upsert_repositories", oracle=f"""
@@ -159,13 +162,14 @@ UNION ALL
 SELECT id + 100, name, path, 'synced ' || name, default_branch, TIMESTAMP '{NOW}', TIMESTAMP '{NOW}', TIMESTAMP '{NOW}'
 FROM fx_repositories WHERE name >= 'p'""")
 def upsert_repositories(spark, d):
-    """K4: keyed by path; existing rows keep id and created_at."""
+    """K4: keyed by path; existing rows keep id and created_at; every path comes twice, the later row counts."""
     r = fx.fx_repositories(spark, d)
     existing = r.where(F.col("name") < "p")
     inc = r.where(F.col("name") >= "f").select(
         (F.col("id") + 100).alias("id"), "name", "path", F.concat(F.lit("synced "), F.col("name")).alias("description"),
         "default_branch", _ts(NOW).alias("last_synced_at"))
-    return T.upsert_repositories(existing, inc, NOW)
+    stale = inc.withColumn("description", F.lit("stale")).withColumn("last_synced_at", _ts(NOW) - F.expr("INTERVAL 1 HOUR"))
+    return T.upsert_repositories(existing, inc.unionByName(stale), NOW)
 
 
 @register("touch_sync_time", oracle=f"""
@@ -183,19 +187,22 @@ def _deleted_ids(spark, d):
     return fx.fx_repositories(spark, d).where(F.col("path").startswith("/srv/git/r0/")).select("id")
 
 
-@register("delete_repositories", oracle="""
+_KEPT = "repository_id NOT IN (SELECT id FROM fx_repositories WHERE path LIKE '/srv/git/r0/%') GROUP BY repository_id"
+
+
+@register("delete_repositories", oracle=f"""
 SELECT 'repositories' AS tbl, id AS repository_id, count(*) AS n FROM fx_repositories WHERE path NOT LIKE '/srv/git/r0/%' GROUP BY id
-UNION ALL
-SELECT 'commits', repository_id, count(*) FROM fx_commits
-WHERE repository_id NOT IN (SELECT id FROM fx_repositories WHERE path LIKE '/srv/git/r0/%') GROUP BY repository_id""")
+UNION ALL SELECT 'commits', repository_id, count(*) FROM fx_commits WHERE {_KEPT}
+UNION ALL SELECT 'branches', repository_id, count(*) FROM fx_branches WHERE {_KEPT}
+UNION ALL SELECT 'tags', repository_id, count(*) FROM fx_tag_feed WHERE {_KEPT}""")
 def delete_repositories(spark, d):
-    """K6: deleting the repositories of one region cascades to their commits."""
-    out = T.delete_repositories({"repositories": fx.fx_repositories(spark, d), "commits": fx.fx_commits(spark, d)},
-                                _deleted_ids(spark, d))
-    r = out["repositories"].groupBy(F.col("id").alias("repository_id")).agg(F.count(F.lit(1)).alias("n"))
-    c = out["commits"].groupBy("repository_id").agg(F.count(F.lit(1)).alias("n"))
-    return (r.select(F.lit("repositories").alias("tbl"), "repository_id", "n")
-            .unionByName(c.select(F.lit("commits").alias("tbl"), "repository_id", "n")))
+    """K6: deleting the repositories of one region cascades to their commits, branches and tags."""
+    tables = {"repositories": fx.fx_repositories(spark, d), "commits": fx.fx_commits(spark, d),
+              "branches": fx.fx_branches(spark, d), "tags": T.tags_from_feed(fx.fx_tag_feed(spark, d), NOW)}
+    out = T.delete_repositories(tables, _deleted_ids(spark, d))
+    parts = [df.groupBy(F.col("id" if name == "repositories" else "repository_id").alias("repository_id"))
+             .agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("tbl"), "repository_id", "n") for name, df in out.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 @register("delete_branches_by_repository", oracle="""
@@ -226,9 +233,12 @@ def export_repositories(spark, d):
     return T.export_repositories(fx.fx_repositories(spark, d))
 
 
-@register("export_json_lines")
+@register("export_json_lines", oracle=f"""
+SELECT CAST(to_json(struct_pack(id := id, name := name, path := path, description := description, default_branch := default_branch,
+       last_synced_at := {_rfc('last_synced_at')}, created_at := {_rfc('created_at')}, updated_at := {_rfc('updated_at')})) AS VARCHAR) AS json
+FROM fx_repositories""")
 def export_json_lines(spark, d):
-    """K8: one JSON document per repository row."""
+    """K8: one JSON document per repository row, absent values as null."""
     return T.to_json_lines(T.export_repositories(fx.fx_repositories(spark, d)))
 
 
@@ -240,6 +250,30 @@ def find_repositories(spark, d):
     return T.find_repositories(r, keys, "name")
 
 
+@register("find_repositories_by_id", oracle="SELECT * FROM fx_repositories WHERE path LIKE '/srv/git/r2/%'")
+def find_repositories_by_id(spark, d):
+    """Lookup by id."""
+    r = fx.fx_repositories(spark, d)
+    return T.find_repositories(r, r.where(F.col("path").startswith("/srv/git/r2/")).select("id"), "id")
+
+
+@register("find_repositories_by_path", oracle="SELECT * FROM fx_repositories WHERE name >= 'm'")
+def find_repositories_by_path(spark, d):
+    """Lookup by path."""
+    r = fx.fx_repositories(spark, d)
+    return T.find_repositories(r, r.where(F.col("name") >= "m").select("path"), "path")
+
+
+@register("repositories_exist", oracle="""
+SELECT path, path IN (SELECT path FROM fx_repositories) AS present FROM (
+  SELECT path FROM fx_repositories UNION ALL SELECT path || '-gone' FROM fx_repositories) t""")
+def repositories_exist(spark, d):
+    """Which of the asked paths are known."""
+    r = fx.fx_repositories(spark, d)
+    asked = r.select("path").union(r.select(F.concat(F.col("path"), F.lit("-gone")).alias("path")))
+    return T.repositories_exist(r, asked, "path")
+
+
 @register("find_commit_by_oid", oracle="""
 SELECT repository_id, oid, min(branch) AS branch FROM fx_commits
 WHERE (repository_id, oid) IN (SELECT repository_id, target_oid FROM fx_refs) GROUP BY repository_id, oid""")
