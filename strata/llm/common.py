@@ -28,14 +28,14 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
 
 
-def scratch_table(df: DataFrame, name: str) -> DataFrame:
+def scratch_table(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df to the shared checkpoint folder and read it back.
 
     Cuts the lineage without losing it to a dead executor, and lets one result
     feed several joins without running its Python stage again."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,8 +2,8 @@
 
 The model sees a text as bytes: its words, lower-cased (A-Z), joined by one
 space, and an end byte.  A byte is a path of binary decisions in a Huffman tree
-of the corpus's bytes.  Each decision is predicted by several contexts: the
-last byte, hashes of the last two and three, and a hash of the word so far.
+of the corpus's bytes.  Each decision is predicted by several hashed contexts:
+the last two bytes, the last three, and the word so far.
 A context holds, at every node of the tree, the log-odds of its counts over all
 training documents.  A gate, the position in the word, picks the set of weights
 that mixes the log-odds; the weights move online, after every byte, down the
@@ -38,14 +38,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from strata.llm import common
 
-#: bits of the context index of each table: last byte, last two, last three, word so far
-TABLES = (8, 13, 15, 15)
+#: bits of the context index of each table: last two bytes, last three, word so far
+TABLES = (12, 14, 14)
 GATES = 4
 START_DOCS = 400
-LANE = 2048
-LEARN, REFINE = 0.004, 0.02
+LANE = 512
+LEARN, REFINE = 0.01, 0.02
 STEPS = 33  # cells of the refining map
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 8 << 20
 END, SPACE = 10, 32
 
 _BASE = np.concatenate(([0], np.cumsum([1 << b for b in TABLES])))  # rows of the tables, one after the other
@@ -80,10 +80,10 @@ def contexts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     word = np.maximum.accumulate(np.where(starts, np.arange(size), 0))
     prefix = common.prefix_hashes(data)
     rows = np.empty((size, len(TABLES)), np.int32)
-    rows[:, 0] = last[0].astype(np.int64)
-    rows[:, 1] = _BASE[1] + top(last[0] | last[1] << np.uint64(8) | np.uint64(1 << 40), TABLES[1])
-    rows[:, 2] = _BASE[2] + top(last[0] | last[1] << np.uint64(8) | last[2] << np.uint64(16) | np.uint64(1 << 41), TABLES[2])
-    rows[:, 3] = _BASE[3] + top(common.span_hashes(prefix, word, np.arange(size)) ^ np.uint64(1 << 42), TABLES[3])
+    two = last[0] | last[1] << np.uint64(8)
+    rows[:, 0] = top(two | np.uint64(1 << 40), TABLES[0])
+    rows[:, 1] = _BASE[1] + top(two | last[2] << np.uint64(16) | np.uint64(1 << 41), TABLES[1])
+    rows[:, 2] = _BASE[2] + top(common.span_hashes(prefix, word, np.arange(size)) ^ np.uint64(1 << 42), TABLES[2])
     return rows, np.minimum(np.arange(size) - word, GATES - 1)
 
 
@@ -111,8 +111,8 @@ class Code:
                     stack.append((child[at][bit], [*path, (at - 256, bit)]))
         self.length = np.array([len(paths[b]) for b in range(256)], np.int64)
         self.first = np.concatenate(([0], np.cumsum(self.length)))
-        self.node = np.array([n for b in range(256) for n, _ in paths[b]], np.int64)
-        self.bit = np.array([x for b in range(256) for _, x in paths[b]], np.int8)
+        self.node = np.array([n for b in range(256) for n, _ in paths[b]], np.int32)
+        self.bit = np.array([x for b in range(256) for _, x in paths[b]], np.float32)
 
     def log_odds(self, counts: np.ndarray) -> np.ndarray:
         """counts (contexts x 256) to log-odds of bit 1 at each node, in sixteenths."""
@@ -143,43 +143,62 @@ class Mixer:
         order = np.argsort(-size, kind="stable")
         doc, begin, size = doc[order], begin[order], size[order]
         lanes = np.arange(len(begin))
-        w = np.repeat(self.weights[None], len(lanes), 0).astype(np.float32)
-        centre = np.linspace(-8, 8, STEPS)
-        refine = np.repeat((1 / (1 + np.exp(-centre)))[None], len(lanes), 0).astype(np.float32)
+        # one array for each predictor; the weights of lane l and gate g are at l * GATES + g
+        w = [np.tile(self.weights[:, k].astype(np.float32), len(lanes)) for k in range(len(TABLES))]
+        refine = np.tile((1 / (1 + np.exp(-np.linspace(-8, 8, STEPS)))).astype(np.float32), len(lanes))
         bits = np.zeros(len(lanes))
         active = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), "left")  # lanes longer than s
-        code = self.code
+        code, table, rate = self.code, self.table, np.float32(learn / 256)
+        base = [np.ascontiguousarray(rows[:, k]) * np.int32(256) for k in range(len(TABLES))]
         for s, n in enumerate(active.tolist()):
             at = begin[:n] + s
             symbol = data[at]
             length = code.length[symbol]
-            path = common.ranges(code.first[symbol], length)
-            lane = np.repeat(lanes[:n], length)
-            hint = self.table[rows[at].astype(np.int64)[lane] * 256 + code.node[path][:, None]].astype(np.float32) * np.float32(1 / 16)
-            bit = code.bit[path].astype(np.float32)
-            own = w[lanes[:n], gate[at]]
-            z = np.einsum("ij,ij->i", hint, own[lane])
+            ends = np.cumsum(length)
+            first = ends - length
+            path = np.arange(ends[-1], dtype=np.int32) + np.repeat(code.first[symbol] - first, length).astype(np.int32)
+            node, bit = code.node[path], code.bit[path]
+            set_ = lanes[:n] * GATES + gate[at]  # weights are per sixteenth of log-odds
+            hint = [table[np.repeat(b[at], length) + node].astype(np.float32) for b in base]
+            own = [x[set_] for x in w]
+            z = np.repeat(own[0], length) * hint[0]
+            for x, h in zip(own[1:], hint[1:], strict=True):
+                z += np.repeat(x, length) * h
             np.clip(z, -8, 8, out=z)
             p = 1 / (1 + np.exp(-z))
-            cell = np.rint((z + 8) * ((STEPS - 1) / 16)).astype(np.int64)
-            seen = refine[lane, cell]
-            final = np.clip(0.5 * (p + seen), 1 / 4096, 1 - 1 / 4096)
-            ends = np.cumsum(length) - length
-            bits[:n] -= np.add.reduceat(np.log2(np.where(bit > 0, final, 1 - final)), ends)
-            refine[lane, cell] = seen + REFINE * (bit - seen)
-            step = learn * np.add.reduceat((bit - p)[:, None] * hint, ends, axis=0)
-            if pooled:
-                for g in range(GATES):
-                    here = gate[at] == g
-                    if here.any():
-                        w[:, g] += step[here].mean(0) * 4
-            else:
-                w[lanes[:n], gate[at]] = own + step
+            cell = np.repeat(lanes[:n] * STEPS, length) + (z * np.float32((STEPS - 1) / 16) + np.float32(STEPS / 2)).astype(np.int64)
+            seen = refine[cell]
+            final = np.float32(0.5) * (p + seen)
+            miss = 1 - bit
+            # the probability given to the bit that came: final, or 1 - final
+            final = np.maximum(np.abs(miss - final), np.float32(1 / 4096))
+            bits[:n] -= np.log2(np.multiply.reduceat(final, first))
+            refine[cell] = seen + np.float32(REFINE) * (bit - seen)
+            error = rate * (bit - p)
+            for k in range(len(TABLES)):
+                step = np.add.reduceat(error * hint[k], first)
+                if pooled:
+                    for g in range(GATES):
+                        here = gate[at] == g
+                        if here.any():
+                            w[k][g::GATES] += 4 * step[here].mean()
+                else:
+                    w[k][set_] = own[k] + step
         if pooled and len(lanes):
-            self.weights = w[0].copy()
+            self.weights = np.stack([x[:GATES] for x in w], 1)
         return np.bincount(doc, bits, len(offs) - 1)
 
 
+def own_counts(parts) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct words of slices (batch, texts, whether each document trains), sorted, and their training counts."""
+    found = []
+    for _, t, train in parts:
+        h, back = np.unique(t.word_hashes(), return_inverse=True)
+        found.append((h, np.bincount(back, train[t.doc_of_word()], len(h)).astype(np.int64)))
+    h, back = np.unique(np.concatenate([x[0] for x in found]) if found else np.zeros(0, np.uint64), return_inverse=True)
+    return h, np.bincount(back, np.concatenate([x[1] for x in found]) if found else None, len(h)).astype(np.int64)
+
+
 def chunked(docs: DataFrame) -> DataFrame:
     """(chunk, doc_id, train, text, words, counts): documents in chunks; the first row of a chunk has the hashes of
     its distinct words and how often its training documents hold each."""
@@ -196,12 +215,7 @@ def chunked(docs: DataFrame) -> DataFrame:
             hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CHUNK_BYTES, "right")))
             piece = batch.slice(lo, hi - lo)
             train = piece.column(2).to_numpy(zero_copy_only=False)
-            found = []
-            for a, b, t in common.slices(piece, lower=True):
-                h, back = np.unique(t.word_hashes(), return_inverse=True)
-                found.append((h, np.bincount(back, train[a:b][t.doc_of_word()], len(h)).astype(np.int64)))
-            h, back = np.unique(np.concatenate([x[0] for x in found]), return_inverse=True)
-            count = np.bincount(back, np.concatenate([x[1] for x in found]), len(h)).astype(np.int64)
+            h, count = own_counts((piece, t, train[a:b]) for a, b, t in common.slices(piece, lower=True))
             offsets = pa.array(np.append(0, np.full(piece.num_rows, len(h))).astype(np.int32))
             chunk = (TaskContext.get().partitionId() << 32) + state["batch"] * 1000 + part
             yield {"chunk": np.full(piece.num_rows, chunk), "doc_id": piece.column(0), "train": piece.column(2), "text": piece.column(1),
@@ -238,9 +252,9 @@ def cells(docs: DataFrame) -> DataFrame:
 def learn(docs: DataFrame) -> Mixer:
     """Tables over all training documents; starting weights from a bounded number of them."""
     counted = common.scratch_table(cells(docs), "lm-cells")
-    # the last byte's table alone: 65,536 cells at most
+    # every byte is in the first table once; 256 rows come back
     byte_counts = np.zeros(256)
-    for r in counted.where(F.col("cell") < 65536).groupBy((F.col("cell") % 256).alias("byte")).agg(F.sum("n").alias("n")).collect():
+    for r in counted.where(F.col("cell") < int(_BASE[1]) * 256).groupBy((F.col("cell") % 256).alias("byte")).agg(F.sum("n").alias("n")).collect():
         byte_counts[r["byte"]] = r["n"]
     code = Code(byte_counts)
     rows = 1 << 11
@@ -252,18 +266,19 @@ def learn(docs: DataFrame) -> Mixer:
         odds = code.log_odds(counts.reshape(rows, 256))
         return pd.DataFrame({"block": [block], "odds": [odds.tobytes()]})
 
-    # a block has 524,288 cells at most, and there are 37 blocks, whatever the corpus
+    # a block has 524,288 cells at most, and there are 18 blocks, whatever the corpus
     made = counted.withColumn("block", F.floor(F.col("cell") / (rows * 256))).groupBy("block").applyInPandas(table, "block long, odds binary")
     odds = np.zeros(-(-int(_BASE[-1]) // rows) * rows * 256, np.int8)
     for r in made.collect():
         part = np.frombuffer(r["odds"], np.int8)
         odds[r["block"] * len(part): (r["block"] + 1) * len(part)] = part
-    mixer = Mixer(code, odds, np.full((GATES, len(TABLES)), 0.3, np.float32))
+    even = np.full((GATES, len(TABLES)), 0.3 / 16, np.float32)
+    mixer = Mixer(code, odds, even)
     shared = docs.sparkSession.sparkContext.broadcast((code, odds))
     sample = docs.where(in_training()).orderBy(F.xxhash64(F.col("doc_id").cast("string"), "text"), "doc_id").limit(START_DOCS)
 
     def start(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = Mixer(*shared.value, np.full((GATES, len(TABLES)), 0.3, np.float32))
+        m = Mixer(*shared.value, even)
         batch = pa.RecordBatch.from_arrays([pa.array(sorted(pdf["text"]), pa.string())], names=["text"])
         for _, _, t in common.slices(batch, lower=True):
             m.cost(*normalized(t), learn=0.02, pooled=True)
@@ -281,14 +296,15 @@ def scores(docs: DataFrame) -> DataFrame:
     mixer = learn(docs)
     common.release_shuffles(spark)
     shared = spark.sparkContext.broadcast((mixer.code, mixer.table, mixer.weights))
-    parts = common.scratch_table(chunked(docs), "lm-chunks")
+    parts = common.scratch_table(chunked(docs), "lm-chunks", "zstd")
     asked = parts.select("chunk", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("chunk", F.col("w.words").alias("word"), F.col("w.counts").alias("own"))
-    asked = asked.repartition("word")  # grouped and joined where it lies: one shuffle for both
-    total = asked.groupBy("word").agg(F.sum("own").alias("c"))
-    answers = common.scratch_table(asked.join(total, "word").select("chunk", "word", "own", "c"), "lm-answers")
-    sums = parts.agg(F.count_if("train").alias("ends")).first()
-    vocabulary = answers.where("own > 0").agg(F.sum("own").alias("n"), F.count_distinct("word").alias("v")).first()
-    ends = sums["ends"]
+    total = common.scratch_table(asked.groupBy("word").agg(F.sum("own").alias("c")).where("c > 0"), "lm-words")
+    common.release_shuffles(spark)
+    # a chunk counts its own words; it needs to hear of those that other chunks hold as well
+    answers = common.scratch_table(asked.join(total, "word").where("c <> own").select("chunk", "word", "c"), "lm-answers")
+    common.release_shuffles(spark)
+    ends = parts.agg(F.count_if("train").alias("ends")).first()["ends"]
+    vocabulary = total.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n = (vocabulary["n"] or 0) + ends
     v = vocabulary["v"] + (ends > 0)
     kind = dict(docs.dtypes)["doc_id"]
@@ -302,11 +318,16 @@ def scores(docs: DataFrame) -> DataFrame:
         words, counts = right.column("word").to_numpy().view(np.uint64), right.column("c").to_numpy()
         order = np.argsort(words)
         words, counts = words[order], counts[order]
+        batches = left.select(["doc_id", "train", "text"]).to_batches()
+        hashes, own = own_counts((b, t, b.slice(lo, hi - lo).column(1).to_numpy(zero_copy_only=False)) for b in batches for lo, hi, t in common.slices(b, lower=True))
+        if len(words):
+            at = np.searchsorted(hashes, words)
+            own[at] = counts
         out = []
-        for batch in left.select(["doc_id", "train", "text"]).to_batches():
+        for batch in batches:
             for lo, hi, t in common.slices(batch, lower=True):
                 part = batch.slice(lo, hi - lo)
-                c = counts[np.searchsorted(words, t.word_hashes())] if len(t.starts) else np.zeros(0, np.int64)
+                c = own[np.searchsorted(hashes, t.word_hashes())] if len(t.starts) else np.zeros(0, np.int64)
                 log = np.zeros(len(c) + 1)
                 np.cumsum(np.log10((c + 0.5) / (n + 0.5 * (v + 1))), out=log[1:])
                 base = log[t.first[1:]] - log[t.first[:-1]] + np.log10((ends + 0.5) / (n + 0.5 * (v + 1)))
