@@ -52,6 +52,8 @@ SEEDS = 4
 TASK_SHINGLES = 2_000_000
 #: rows up to which a counted table is broadcast
 BROADCAST_ROWS = 300_000
+#: keys (two numbers each) up to which they are
+BROADCAST_KEYS = 1_000_000
 FANOUT = 8
 
 _GOLD = 0x9E3779B97F4A7C15
@@ -175,9 +177,10 @@ def families(rows: DataFrame) -> DataFrame:
     keyed = rows.select(F.explode("keys").alias("key"), "s1")
     shared = common.scratch_table(
         keyed.groupBy("key").agg(F.min("s1").alias("low"), F.max("s1").alias("high"), F.count(F.lit(1)).alias("rows")).where("low < high"), "join-keys")
+    common.release_shuffles(rows.sparkSession)
     # a key of more than two rows has members besides these two
     more = shared.where("rows > 2").select("key", "low")
-    if more.count() <= BROADCAST_ROWS:
+    if more.count() <= BROADCAST_KEYS:
         more = F.broadcast(more)
     edges = shared.select(F.col("low").alias("a"), F.col("high").alias("b")).union(
         keyed.join(more, "key").select(F.col("low").alias("a"), F.col("s1").alias("b")))
