@@ -29,6 +29,8 @@ from strata.llm import common
 
 TASK_SEGMENTS = 20_000
 BLOCK_BYTES = 4 << 20
+#: low end of a span that is a whole document
+WHOLE = -1
 #: windows of one segment, at most (a text of one repeated character is a single run)
 SEGMENT_WINDOWS = 4096
 
@@ -267,14 +269,19 @@ def with_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     return keyed(docs).alias("d").join(found.alias("f"), same_document("d", "f"), "left").select("d.doc_id", "d.text", "f.spans")
 
 
-def removed(column: pa.Array, first: np.ndarray) -> np.ndarray:
-    """Mask of the units of a slice that a spans column covers.  first: units of each document."""
+def removed(column: pa.Array, first: np.ndarray, window: int = 1) -> np.ndarray:
+    """Mask of the units of a slice that a spans column covers.  first: units of each document.
+    A span from WHOLE on is the whole document, if that has a window."""
     counts = np.array([len(x) if x.is_valid else 0 for x in column], np.int64) if column.null_count else np.diff(column.offsets.to_numpy())
     flat = column.flatten()
     change = np.zeros(int(first[-1]) + 1, np.int64)
-    base = np.repeat(first[:-1], counts)
-    np.add.at(change, base + flat.field(0).to_numpy(zero_copy_only=False), 1)
-    np.add.at(change, base + flat.field(1).to_numpy(zero_copy_only=False) + 1, -1)
+    base, units = np.repeat(first[:-1], counts), np.repeat(np.diff(first), counts)
+    low, high = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+    whole = low == WHOLE
+    low, high = np.where(whole, 0, low), np.where(whole, units - 1, high)
+    ok = ~whole | (units >= window)
+    np.add.at(change, (base + low)[ok], 1)
+    np.add.at(change, (base + high)[ok] + 1, -1)
     return np.cumsum(change[:-1]) > 0
 
 

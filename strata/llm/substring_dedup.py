@@ -32,6 +32,8 @@ WINDOW = 13
 GRAM = 5
 #: phrases at which an automaton takes no further group
 PHRASES = 256
+#: rows up to which a counted table is broadcast
+BROADCAST_ROWS = 300_000
 
 
 def anchors(t: common.Texts) -> passages.Anchors:
@@ -126,17 +128,24 @@ def least_owner(rows: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the remaining words, joined by one space) of every row of docs."""
     spark = docs.sparkSession
-    own = docs.where("doc_id is not null")
+    # a document whose whole text a smaller id has too loses all its windows, and takes none from others that the smaller does not
+    named = docs.where("doc_id is not null").select("doc_id", F.xxhash64(common.text_or_empty()).alias("version"), F.xxhash64(common.text_or_empty(), F.lit(1)).alias("check"))
+    owner = named.groupBy("version", "check").agg(F.min("doc_id").alias("owner"))
+    copies = common.scratch_table(named.join(owner, ["version", "check"]).where("doc_id > owner").select("doc_id", "version").distinct(), "phrases-copies")
+    few = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
+    own = passages.keyed(docs.where("doc_id is not null")).join(few, ["doc_id", "version"], "left_anti").select("doc_id", "text")
     table = common.scratch_table(passages.anchor_table(own, anchors), "phrases-anchors")
     shared = common.scratch_table(passages.recurring(table, F.col("low") < F.col("high")), "phrases-recurring")
     common.release_shuffles(spark)
     found = common.scratch_table(passages.spans(passages.segments(own, table, shared, anchors, cut), solve, WINDOW, least_owner), "phrases-spans")
+    whole = F.array(F.struct(F.lit(passages.WHOLE).cast("long").alias("low"), F.lit(passages.WHOLE).cast("long").alias("high")))
+    found = found.union(copies.select("doc_id", "version", whole.alias("spans")))
     common.release_shuffles(spark)
 
     def run(batch):
         for lo, hi, t in common.slices(batch):
             part = batch.slice(lo, hi - lo)
-            kept = ~passages.removed(part.column(2), t.first)
+            kept = ~passages.removed(part.column(2), t.first, WINDOW)
             # kept words and the byte after each, which becomes the space
             size = (t.ends - t.starts)[kept]
             out = np.append(t.data, np.uint8(32))[common.ranges(t.starts[kept], size + 1)]
