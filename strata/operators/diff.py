@@ -2,17 +2,20 @@
 order-blind lower bound), patch lines (D3), per-commit stats (A3/F13) and
 patch-equivalence fingerprints (J3).
 
-The only Python in the library is the per-file line alignment (D1/D3): an
-Arrow-batched ``mapInPandas`` over *distinct* (old_blob, new_blob) pairs, so a
-blob pair shared by many commits is aligned once.  Everything around it -
-tree joins, blob lookups, aggregation - is native.
+The per-file line alignment (D1/D3) is an Arrow step over *distinct*
+(old_blob, new_blob) pairs: the pairs are made distinct by id before any
+content is joined, so a text travels once however many commits share it.
+Everything around it - tree joins, blob lookups, aggregation - is native.
+
+A line includes its newline, so a last line with and one without are different
+lines, as in git.  Content with a NUL character is binary: no lines, 0 / 0.
 """
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,8 +24,8 @@ from strata.functions import scalars as S
 
 R = "repository_id"
 CONTEXT = 3          # context lines around a change in patch output
-MAX_LINES = 20000    # files with more lines on a side go to the order-blind count (D2)
-MAX_DP_CELLS = 4_000_000  # patch alignment by exact DP up to this many cells
+BLOCK = 4096         # lines of the bit-parallel block; memory only, results are the same
+NO_NEWLINE = "\x01"  # marks a last line without newline inside the comparison
 
 
 # --- J7 -----------------------------------------------------------------------------
@@ -42,7 +45,7 @@ def file_changes(tree_entries: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def first_parent_pairs(feed: DataFrame) -> DataFrame:
     """Commit vs first parent (NULL for a root commit -> empty tree)."""
-    return feed.select(F.col("oid").alias("pair_id"), R, F.col("parent_oids").getItem(0).alias("from_oid"),
+    return feed.select(F.col("oid").alias("pair_id"), R, F.get("parent_oids", F.lit(0)).alias("from_oid"),
                        F.col("oid").alias("to_oid"))
 
 
@@ -53,9 +56,13 @@ def with_contents(changes: DataFrame, blobs: DataFrame) -> DataFrame:
     return changes.join(old, "old_blob", "left").join(new, "new_blob", "left")
 
 
+def _binary(content) -> "F.Column":
+    return F.coalesce(F.instr(content, "\x00") > 0, F.lit(False))
+
+
 def _lines(content) -> "F.Column":
-    """Lines of a text; a final newline does not start an extra line; NULL/'' -> none."""
-    body = F.regexp_replace(content, "\n\\z", "")
+    """Lines of a text, the last one marked if it has no newline; NULL/'' -> none."""
+    body = F.when(F.endswith(content, F.lit("\n")), F.left(content, F.length(content) - 1)).otherwise(F.concat(content, F.lit(NO_NEWLINE)))
     return F.when(F.coalesce(content, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n"))
 
 
@@ -66,8 +73,9 @@ def line_multiset_changes(changes_with_content: DataFrame) -> DataFrame:
     per line text, max(0, new count - old count) and the reverse.  Pure
     aggregation (partial per line), no Python."""
     keys = ["pair_id", "path"]
-    old = changes_with_content.select(*keys, F.explode(_lines(F.col("old_content"))).alias("line"), F.lit(1).alias("o"), F.lit(0).alias("n"))
-    new = changes_with_content.select(*keys, F.explode(_lines(F.col("new_content"))).alias("line"), F.lit(0).alias("o"), F.lit(1).alias("n"))
+    texts = changes_with_content.where(~_binary(F.col("old_content")) & ~_binary(F.col("new_content")))
+    old = texts.select(*keys, F.explode(_lines(F.col("old_content"))).alias("line"), F.lit(1).alias("o"), F.lit(0).alias("n"))
+    new = texts.select(*keys, F.explode(_lines(F.col("new_content"))).alias("line"), F.lit(0).alias("o"), F.lit(1).alias("n"))
     per_line = old.unionByName(new).groupBy(*keys, "line").agg(F.sum("o").alias("o"), F.sum("n").alias("n"))
     per_file = per_line.groupBy(*keys).agg(
         F.sum(F.greatest(F.col("n") - F.col("o"), F.lit(0))).cast("bigint").alias("insertions"),
@@ -80,75 +88,82 @@ def line_multiset_changes(changes_with_content: DataFrame) -> DataFrame:
 # --- per-file alignment (Python helper, Arrow batches) --------------------------------
 
 def _split(text):
-    if text is None or text == "":
+    if not text:
         return []
-    if text.endswith("\n"):
-        text = text[:-1]
-    return text.split("\n")
+    return text[:-1].split("\n") if text.endswith("\n") else (text + NO_NEWLINE).split("\n")
 
 
-def lcs_length(a: list, b: list) -> int:
-    """Length of a longest common subsequence of two line lists
-    (bit-parallel; common prefix/suffix trimmed first)."""
-    i = 0
-    while i < len(a) and i < len(b) and a[i] == b[i]:
+def _trimmed(a: list, b: list) -> tuple[int, int]:
+    """Lengths of the common prefix and of the common suffix of the rest."""
+    i, n = 0, min(len(a), len(b))
+    while i < n and a[i] == b[i]:
         i += 1
     j = 0
-    while j < len(a) - i and j < len(b) - i and a[-1 - j] == b[-1 - j]:
+    while j < n - i and a[-1 - j] == b[-1 - j]:
         j += 1
+    return i, j
+
+
+def lcs_row(a: list, b: list) -> np.ndarray:
+    """Lengths of a longest common subsequence of ``a`` with every prefix of
+    ``b`` (0 to all of it).  Bit-parallel over blocks of BLOCK lines of ``b``;
+    one carry bit per line of ``a`` passes from block to block, so memory is
+    linear in the lines."""
+    carry = bytearray(len(a))
+    grown = [np.zeros(1, np.int64)]
+    for lo in range(0, len(b), BLOCK):
+        part = b[lo: lo + BLOCK]
+        masks: dict = {}
+        for p, x in enumerate(part):
+            masks[x] = masks.get(x, 0) | (1 << p)
+        width = len(part)
+        full = (1 << width) - 1
+        v = full
+        for y, line in enumerate(a):
+            u = v & masks.get(line, 0)
+            s = v + u + carry[y]
+            carry[y] = s >> width
+            v = ((s & full) | (v & ~u)) & full
+        zeros = np.unpackbits(np.frombuffer(v.to_bytes((width + 7) // 8, "little"), np.uint8), bitorder="little")[:width] == 0
+        grown.append(zeros)
+    return np.cumsum(np.concatenate(grown))
+
+
+def lcs_length(a: list, b: list) -> int:
+    """Length of a longest common subsequence of two line lists, of any length."""
+    i, j = _trimmed(a, b)
     a2, b2 = a[i:len(a) - j], b[i:len(b) - j]
-    if not a2 or not b2:
-        return i + j
-    masks: dict = {}
-    for p, x in enumerate(a2):
-        masks[x] = masks.get(x, 0) | (1 << p)
-    full = (1 << len(a2)) - 1
-    v = full
-    for y in b2:
-        u = v & masks.get(y, 0)
-        v = ((v + u) | (v - u)) & full
-    return i + j + len(a2) - bin(v).count("1")
+    shared = set(a2) & set(b2)  # other lines cannot match
+    a2, b2 = [x for x in a2 if x in shared], [x for x in b2 if x in shared]
+    return i + j + (int(lcs_row(a2, b2)[-1]) if a2 and b2 else 0)
 
 
 def align(a: list, b: list) -> list:
-    """Minimal edit script as (origin, text) with origin ' ', '-', '+'
-    (LCS by dynamic programming on the trimmed middle)."""
-    i = 0
-    while i < len(a) and i < len(b) and a[i] == b[i]:
-        i += 1
-    j = 0
-    while j < len(a) - i and j < len(b) - i and a[-1 - j] == b[-1 - j]:
-        j += 1
-    a2, b2 = a[i:len(a) - j], b[i:len(b) - j]
-    n, m = len(a2), len(b2)
-    mid = []
-    if n * m > MAX_DP_CELLS:
-        # very large changed region: difflib's matching blocks (close to, not always, minimal)
-        sm = difflib.SequenceMatcher(None, a2, b2, autojunk=False)
-        for tag, x1, x2, y1, y2 in sm.get_opcodes():
-            if tag == "equal":
-                mid += [(" ", t) for t in a2[x1:x2]]
-            else:
-                mid += [("-", t) for t in a2[x1:x2]] + [("+", t) for t in b2[y1:y2]]
-    elif n and m:
-        dp = [[0] * (m + 1) for _ in range(n + 1)]
-        for x in range(n - 1, -1, -1):
-            row, nxt = dp[x], dp[x + 1]
-            ax = a2[x]
-            for y in range(m - 1, -1, -1):
-                row[y] = nxt[y + 1] + 1 if ax == b2[y] else (nxt[y] if nxt[y] >= row[y + 1] else row[y + 1])
-        x = y = 0
-        while x < n and y < m:
-            if a2[x] == b2[y]:
-                mid.append((" ", a2[x])); x += 1; y += 1
-            elif dp[x + 1][y] >= dp[x][y + 1]:
-                mid.append(("-", a2[x])); x += 1
-            else:
-                mid.append(("+", b2[y])); y += 1
-        mid += [("-", t) for t in a2[x:]] + [("+", t) for t in b2[y:]]
-    else:
-        mid = [("-", t) for t in a2] + [("+", t) for t in b2]
-    return [(" ", t) for t in a[:i]] + mid + [(" ", t) for t in a[len(a) - j:]]
+    """Minimal edit script as (origin, text) with origin ' ', '-', '+': exact in
+    linear space for any length, by halving ``a`` and cutting ``b`` where the
+    subsequences of the halves are longest together (the first such place)."""
+    out: list = []
+    todo = [(a, b)]
+    while todo:
+        a, b = todo.pop()
+        if a is None:  # a common tail put off until its middle is out
+            out += [(" ", t) for t in b]
+            continue
+        i, j = _trimmed(a, b)
+        out += [(" ", t) for t in a[:i]]
+        if j:
+            todo.append((None, a[len(a) - j:]))
+        a, b = a[i:len(a) - j], b[i:len(b) - j]
+        if not a or not b:
+            out += [("-", t) for t in a] + [("+", t) for t in b]
+        elif len(a) == 1:
+            k = b.index(a[0]) if a[0] in b else -1
+            out += [("-", a[0])] + [("+", t) for t in b] if k < 0 else [("+", t) for t in b[:k]] + [(" ", a[0])] + [("+", t) for t in b[k + 1:]]
+        else:
+            half = len(a) // 2
+            k = int(np.argmax(lcs_row(a[:half], b) + lcs_row(a[half:][::-1], b[::-1])[::-1]))
+            todo += [(a[half:], b[k:]), (a[:half], b[:k])]
+    return out
 
 
 def _is_binary(text) -> bool:
@@ -157,78 +172,67 @@ def _is_binary(text) -> bool:
 
 def _count_batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in it:
-        ins, dels, approx = [], [], []
+        ins, dels = [], []
         for o, n in zip(pdf["old_content"], pdf["new_content"]):
-            if _is_binary(o) or _is_binary(n):
-                ins.append(0); dels.append(0); approx.append(False)
-                continue
-            a, b = _split(o), _split(n)
-            if len(a) > MAX_LINES or len(b) > MAX_LINES:
-                ins.append(None); dels.append(None); approx.append(True)
-                continue
+            a, b = ([], []) if _is_binary(o) or _is_binary(n) else (_split(o), _split(n))
             lcs = lcs_length(a, b)
-            ins.append(len(b) - lcs); dels.append(len(a) - lcs); approx.append(False)
-        yield pd.DataFrame({"old_blob": pdf["old_blob"], "new_blob": pdf["new_blob"],
-                            "insertions": pd.array(ins, dtype="Int64"), "deletions": pd.array(dels, dtype="Int64"),
-                            "approximate": approx})
-
-
-def _distinct_blob_pairs(cwc: DataFrame) -> DataFrame:
-    return cwc.select("old_blob", "new_blob", "old_content", "new_content").dropDuplicates(["old_blob", "new_blob"])
-
-
-def line_change_counts(changes_with_content: DataFrame) -> DataFrame:
-    """Exact insertions/deletions per changed file (n - LCS); files with
-    more than MAX_LINES lines on a side take D2's bound with
-    ``approximate = true`` (decided natively from line counts, so neither
-    side is computed twice); binary content counts 0/0."""
-    n_old = F.coalesce(F.size(_lines(F.col("old_content"))), F.lit(0))
-    n_new = F.coalesce(F.size(_lines(F.col("new_content"))), F.lit(0))
-    cw = changes_with_content.withColumn("_big", (n_old > MAX_LINES) | (n_new > MAX_LINES))
-    small, big = cw.where(~F.col("_big")).drop("_big"), cw.where(F.col("_big")).drop("_big")
-
-    schema = "old_blob string, new_blob string, insertions bigint, deletions bigint, approximate boolean"
-    counts = _distinct_blob_pairs(small).mapInPandas(_count_batches, schema)
-    cond = F.col("c.old_blob").eqNullSafe(F.col("x.old_blob")) & F.col("c.new_blob").eqNullSafe(F.col("x.new_blob"))
-    exact = small.alias("c").join(counts.alias("x"), cond, "left").select(
-        "c.pair_id", "c.path", "c.status", "x.insertions", "x.deletions",
-        F.coalesce("x.approximate", F.lit(False)).alias("approximate"))
-    approx = line_multiset_changes(big).withColumn("approximate", F.lit(True))
-    return exact.unionByName(approx)
+            ins.append(len(b) - lcs); dels.append(len(a) - lcs)
+        yield pd.DataFrame({"old_blob": pdf["old_blob"], "new_blob": pdf["new_blob"], "insertions": ins, "deletions": dels})
 
 
 def _patch_batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in it:
-        rows = {"old_blob": [], "new_blob": [], "seq": [], "origin": [], "content": []}
+        rows: list = []
         for ob, nb, o, n in zip(pdf["old_blob"], pdf["new_blob"], pdf["old_content"], pdf["new_content"]):
             if _is_binary(o) or _is_binary(n):
                 continue
-            a, b = _split(o), _split(n)
-            if len(a) > MAX_LINES or len(b) > MAX_LINES:
-                continue
-            script = align(a, b)
-            changed = [k for k, (org, _) in enumerate(script) if org != " "]
+            script = align(_split(o), _split(n))
             keep = set()
-            for k in changed:
-                keep.update(range(max(0, k - CONTEXT), min(len(script), k + CONTEXT + 1)))
-            seq = 0
-            for k in sorted(keep):
-                org, text = script[k]
-                rows["old_blob"].append(ob); rows["new_blob"].append(nb)
-                rows["seq"].append(seq); rows["origin"].append(org); rows["content"].append(text)
-                seq += 1
-        yield pd.DataFrame(rows).astype({"seq": "int32"})
-
-
-def diff_lines(changes_with_content: DataFrame) -> DataFrame:
-    """D3: patch lines (pair_id, path, seq, origin, content) with 3 context
-    lines, computed once per distinct blob pair and joined back."""
-    schema = "old_blob string, new_blob string, seq int, origin string, content string"
-    lines = _distinct_blob_pairs(changes_with_content).mapInPandas(_patch_batches, schema)
-    cw = changes_with_content.select("pair_id", "path", "old_blob", "new_blob").alias("c")
-    lx = lines.alias("x")
-    cond = F.col("c.old_blob").eqNullSafe(F.col("x.old_blob")) & F.col("c.new_blob").eqNullSafe(F.col("x.new_blob"))
-    return cw.join(lx, cond).select("c.pair_id", "c.path", "x.seq", "x.origin", "x.content")
+            for k, (origin, _) in enumerate(script):
+                if origin != " ":
+                    keep.update(range(max(0, k - CONTEXT), min(len(script), k + CONTEXT + 1)))
+            ordinal = 0
+            for seq, k in enumerate(sorted(keep)):
+                origin, text = script[k]
+                ordinal += origin != " "
+                rows.append((ob, nb, seq, origin, text.removesuffix(NO_NEWLINE), ordinal if origin != " " else None))
+        if rows:  # an empty frame has no column types
+            out = pd.DataFrame(rows, columns=["old_blob", "new_blob", "seq", "origin", "content", "ordinal"])
+            yield out.astype({"old_blob": "string", "new_blob": "string", "seq": "int32", "ordinal": "Int32", "origin": "string", "content": "string"})
+
+
+def _per_blob_pair(changes: DataFrame, blobs: DataFrame, fn, schema: str, how: str) -> DataFrame:
+    """Run ``fn`` once per distinct (old_blob, new_blob), joined back to ``changes``.
+    The ids are made distinct first; contents join the few distinct pairs."""
+    pairs = with_contents(changes.select("old_blob", "new_blob").distinct(), blobs)
+    # few rows a batch, as a row holds two whole texts
+    found = pairs.select("old_blob", "new_blob", "old_content", "new_content").mapInPandas(fn, f"old_blob string, new_blob string, {schema}")
+    same = F.col("c.old_blob").eqNullSafe(F.col("x.old_blob")) & F.col("c.new_blob").eqNullSafe(F.col("x.new_blob"))
+    return changes.alias("c").join(found.alias("x"), same, how)
+
+
+def line_change_counts(changes: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Exact insertions/deletions per changed file (n - LCS), for files of any size."""
+    return _per_blob_pair(changes, blobs, _count_batches, "insertions bigint, deletions bigint", "left").select(
+        "c.pair_id", "c.path", "c.status", "x.insertions", "x.deletions")
+
+
+def diff_lines(changes: DataFrame, blobs: DataFrame) -> DataFrame:
+    """D3: patch lines (pair_id, path, seq, origin, content, ordinal) with 3
+    context lines; ordinal numbers the changed lines of a file."""
+    return _per_blob_pair(changes, blobs, _patch_batches, "seq int, origin string, content string, ordinal int", "inner").select(
+        "c.pair_id", "c.path", "x.seq", "x.origin", "x.content", "x.ordinal")
+
+
+def commit_patch_lines(feed: DataFrame, tree_entries: DataFrame, blobs: DataFrame) -> DataFrame:
+    """D3 of every commit against its first parent (the empty tree for a root),
+    as (repository_id, commit_oid, path, seq, origin, content, ordinal): the
+    input of J3, F12 and P11.  Commits without a stored tree give no lines."""
+    stored = tree_entries.select(R, F.col("commit_oid").alias("to_oid")).distinct()
+    pairs = first_parent_pairs(feed).join(stored, [R, "to_oid"], "left_semi")
+    pairs = pairs.withColumn("pair_id", F.concat_ws("/", F.col(R).cast("string"), F.col("to_oid")))
+    lines = diff_lines(file_changes(tree_entries, pairs), blobs)
+    return lines.join(pairs.select("pair_id", R, F.col("to_oid").alias("commit_oid")), "pair_id").drop("pair_id")
 
 
 # --- A3 -----------------------------------------------------------------------------------
@@ -250,25 +254,15 @@ def patch_fingerprints(lines: DataFrame) -> DataFrame:
     changed-line count and the changed-path count.  Associative, so it is a
     partial aggregate; no patch text is collected."""
     changed = lines.where(F.col("origin").isin("+", "-"))
+    # D3 numbers the changed lines; lines from elsewhere are numbered here
     w = Window.partitionBy(R, "commit_oid", "path").orderBy("seq")
-    k = F.row_number().over(w)
+    k = F.col("ordinal") if "ordinal" in lines.columns else F.row_number().over(w)
     h = F.xxhash64(F.col("path"), k, F.col("origin"), F.regexp_replace("content", r"\s+", ""))
     per = changed.select(R, "commit_oid", "path", h.cast("decimal(38,0)").alias("h"))
     return per.groupBy(R, "commit_oid").agg(
         F.sum("h").alias("fp_sum"), F.count(F.lit(1)).alias("n_lines"), F.count_distinct("path").alias("n_paths"))
 
 
-def flag_equivalent(reach: DataFrame, pairs: DataFrame, fingerprints: DataFrame) -> DataFrame:
-    """Per pair(repository_id, old_ref, new_ref), the commits reachable
-    only from old whose patch equals that of a commit reachable only from
-    new.  Commits without changed lines are never equivalent."""
-    old = reach.withColumnRenamed("ref", "old_ref").join(pairs, [R, "old_ref"])
-    new = reach.withColumnRenamed("ref", "new_ref").join(pairs, [R, "new_ref"])
-    only_old = old.join(reach.select(R, F.col("ref").alias("new_ref"), "oid"), [R, "new_ref", "oid"], "left_anti")
-    only_new = new.join(reach.select(R, F.col("ref").alias("old_ref"), "oid"), [R, "old_ref", "oid"], "left_anti")
-    return flag_equivalent_sets(only_old, only_new, fingerprints)
-
-
 def flag_equivalent_sets(only_old: DataFrame, only_new: DataFrame, fingerprints: DataFrame) -> DataFrame:
     """J3 over the two sides of the symmetric difference, each
     (repository_id, old_ref, new_ref, oid) - e.g. from frontier intervals."""

@@ -7,10 +7,14 @@ the batch operators in ``foreachBatch``:
 
 * P6/F10 quarantine of malformed rows (ST5, the batch goes on),
 * P5 merge filter and P10 conversion,
-* K1 insert against the current index (anti-join on the key, so replaying a
-  batch after a failure inserts nothing twice),
+* K1 insert against the current index (anti-join on the key),
 * per-branch run rows for A2 (candidates, inserted, late).
 
+Index, run rows and quarantine are written to a folder of their own for each
+batch of each stream and overwritten by a replay, which compares itself with
+the other batches only: a batch that ran twice leaves what it left the first
+time.
+
 ``trigger(availableNow=True)`` is the on-demand sync (ST2); a
 ``processingTime`` trigger is the timer (ST1).  Stream-side duplicates are
 dropped within a watermark on *arrival* time (ST3), which bounds state; a
@@ -21,6 +25,9 @@ anti-join reads only the touched repositories (dynamic partition pruning).
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,36 +38,49 @@ from strata.sources import schemas
 
 FEED_DROP = T.StructType(schemas.COMMIT_FEED.fields + [T.StructField("branch", T.StringType())])
 KEY = ["repository_id", "oid", "branch"]
-SALT = 4
 
 
-def _index_or_empty(spark: SparkSession, index_dir: str) -> DataFrame:
+def _index_without(spark: SparkSession, index_dir: str, batch: str) -> DataFrame:
+    """The index as the other batches left it."""
     try:
-        return spark.read.schema(schemas.COMMITS).parquet(index_dir)
-    except Exception:  # noqa: BLE001 - first batch: no index yet
-        return spark.createDataFrame([], schemas.COMMITS)
+        index = spark.read.schema(T.StructType(schemas.COMMITS.fields + [T.StructField("batch", T.StringType())])).parquet(index_dir)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schemas.COMMITS)  # the first batch
+    return index.where(F.col("batch") != batch).select(*schemas.COMMITS.names)
 
 
 def process_batch(batch: DataFrame, batch_id: int, index_dir: str, runs_dir: str, quarantine_dir: str,
-                  created_at) -> None:
+                  created_at, stream: str = "stream") -> None:
     """One micro-batch: quarantine, convert, insert new keys, record run rows.
 
-    The batch's inserts are first written to ``<index>_staging/batch_id=N``
-    (overwritten on replay) and appended to the index from there, so the
-    anti-join runs once and the statistics read only this batch's rows."""
-    spark = batch.sparkSession
+    The batch's inserts are written to ``<index>/batch=<stream>-<id>``
+    (overwritten on replay) and read back from there, so the anti-join runs
+    once and the statistics read only this batch's rows."""
     batch = batch.persist()     # used four times; the stateful dedupe runs once
+    try:
+        _process(batch, f"{stream}-{batch_id}", index_dir, runs_dir, quarantine_dir, created_at)
+    finally:
+        batch.unpersist()
+
+
+def _process(batch: DataFrame, name: str, index_dir: str, runs_dir: str, quarantine_dir: str, created_at) -> None:
+    spark = batch.sparkSession
+    own = f"batch={name}"
     ok = S.is_valid_oid("oid") & F.col("branch").isNotNull() & F.col("repository_id").isNotNull()
     bad = batch.where(~ok)
     good = batch.where(ok)
-    bad.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(quarantine_dir)
+    bad.write.mode("overwrite").parquet(f"{quarantine_dir.rstrip('/')}/{own}")
 
     rows = TB.feed_to_commits(TB.drop_merges(good), created_at)
-    existing = _index_or_empty(spark, index_dir)
+    existing = _index_without(spark, index_dir, name)
     current = existing.join(rows.select("repository_id").distinct(), "repository_id", "left_semi")
-    stage = f"{index_dir.rstrip('/')}_staging/batch_id={batch_id}"
-    TB.insert_new_commits(current, rows).write.mode("overwrite").parquet(stage)
-    staged = spark.read.schema(schemas.COMMITS).parquet(stage)
+    path = f"{index_dir.rstrip('/')}/{own}"
+    # rebalanced at run time: a hot repository is split by its size, small ones share a task
+    (TB.insert_new_commits(current, rows).hint("rebalance", "repository_id")
+     .write.mode("overwrite").partitionBy("repository_id").parquet(path))
+    staged = spark.read.schema(schemas.COMMITS).parquet(path)
 
     # run rows (A2 input): candidates before the conflict skip, inserted after,
     # late = inserted but older than the branch's newest commit before this batch
@@ -70,7 +90,7 @@ def process_batch(batch: DataFrame, batch_id: int, index_dir: str, runs_dir: str
            .groupBy("repository_id", "branch")
            .agg(F.count(F.lit(1)).alias("inserted"),
                 F.count_if(F.col("committer_time") < F.col("prev_max")).alias("late")))
-    run_id = F.lit(f"batch-{batch_id}")
+    run_id = F.lit(name)
     runs = cand.join(ins, ["repository_id", "branch"], "left").select(
         run_id.alias("run_id"), "repository_id", "branch", F.lit("ok").alias("status"),
         "candidates", F.coalesce("inserted", F.lit(0)).cast("bigint").alias("inserted"),
@@ -78,11 +98,7 @@ def process_batch(batch: DataFrame, batch_id: int, index_dir: str, runs_dir: str
     failed = bad.groupBy("repository_id", "branch").agg(F.count(F.lit(1)).alias("candidates")).select(
         run_id.alias("run_id"), "repository_id", "branch", F.lit("failed").alias("status"),
         "candidates", F.lit(0).cast("bigint").alias("inserted"), F.lit(0).cast("bigint").alias("late"))
-    runs.unionByName(failed).coalesce(1).write.mode("append").parquet(runs_dir)
-    # a few files per repository and batch; a hot repository still spreads over SALT tasks
-    (staged.repartition("repository_id", F.pmod(F.xxhash64("oid"), F.lit(SALT)))
-     .write.mode("append").partitionBy("repository_id").parquet(index_dir))
-    batch.unpersist()
+    runs.unionByName(failed).write.mode("overwrite").parquet(f"{runs_dir.rstrip('/')}/{own}")
 
 
 def start_ingest(spark: SparkSession, feed_dir: str, index_dir: str, runs_dir: str, quarantine_dir: str,
@@ -104,8 +120,11 @@ def start_ingest(spark: SparkSession, feed_dir: str, index_dir: str, runs_dir: s
               .dropDuplicatesWithinWatermark(KEY)
               .drop("_arrived"))
 
+    # a stream is its checkpoint: batch numbers of another one are other batches
+    stream_name = hashlib.sha1(checkpoint_dir.encode()).hexdigest()[:12]
+
     def run(batch, batch_id):
-        process_batch(batch, batch_id, index_dir, runs_dir, quarantine_dir, created_at)
+        process_batch(batch, batch_id, index_dir, runs_dir, quarantine_dir, created_at, stream_name)
 
     w = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(**(trigger or {"availableNow": True}))

@@ -35,18 +35,48 @@ def test_counts_bounds_and_edge_cases(spark):
             ("p", "new", "Added", None, "n3", None, "l1\nl2\n"),
             ("p", "bin", "Modified", "o4", "n4", "a\x00b", "a\x00c"),
             ("p", "ws", "Modified", "o5", "n5", "a b", "a  b")]
+    rows += [("p", "eof", "Modified", "o6", "n6", "a\nb\n", "a\nb"), ("p", "bigbin", "Modified", "o7", "n7", "a\n" * 21000 + "\x00", "b\x00")]
     cw = _changes(spark, rows)
-    d1 = {r["path"]: (r["insertions"], r["deletions"]) for r in D.line_change_counts(cw).collect()}
+    blobs = spark.createDataFrame([(r[k], r[k + 2]) for r in rows for k in (3, 4) if r[k]], "blob_oid string, content string")
+    changes = cw.select("pair_id", "path", "status", "old_blob", "new_blob")
+    d1 = {r["path"]: (r["insertions"], r["deletions"]) for r in D.line_change_counts(changes, blobs).collect()}
+    assert d1["eof"] == (1, 1) and d1["bigbin"] == (0, 0)
     d2 = {r["path"]: (r["insertions"], r["deletions"]) for r in D.line_multiset_changes(cw).collect()}
     assert d1["new"] == (2, 0) and d1["dup"] == (0, 2) and d1["bin"] == (0, 0) and d1["ws"] == (1, 1)
     for path in ["mod", "dup", "new", "ws"]:
         assert d2[path][0] <= d1[path][0] and d2[path][1] <= d1[path][1]
     old_n, new_n = 4, 5
     assert d1["mod"][0] - d1["mod"][1] == new_n - old_n
-    lines = D.diff_lines(cw).where("path = 'mod'").orderBy("seq").collect()
+    lines = D.diff_lines(changes, blobs).where("path = 'mod'").orderBy("seq").collect()
     assert sum(r["origin"] == "+" for r in lines) == d1["mod"][0]
 
 
+def test_large_files_are_exact():
+    a = [str(i) for i in range(50_000)]
+    assert D.lcs_length(a, a[::-1]) == 1
+    rnd = random.Random(4)
+    x, y = [[rnd.choice("abcdefgh") for _ in range(5000)] for _ in range(2)]
+    script = D.align(x, y)
+    assert [t for o, t in script if o != "+"] == x and [t for o, t in script if o != "-"] == y
+    assert sum(o == " " for o, _ in script) == D.lcs_length(x, y)
+
+
+def test_patch_of_batches_without_lines(spark):
+    changes = spark.createDataFrame([("p", "bin", "Modified", "o", "n")], "pair_id string, path string, status string, old_blob string, new_blob string")
+    blobs = spark.createDataFrame([("o", "a\x00"), ("n", "b\x00")], "blob_oid string, content string")
+    assert D.diff_lines(changes, blobs).count() == 0
+
+
+def test_commit_against_first_parent(spark):
+    feed = spark.createDataFrame([(1, "c1", []), (1, "c2", ["c1", "x"]), (1, "c3", ["c2"])], "repository_id long, oid string, parent_oids array<string>")
+    te = spark.createDataFrame([(1, "c1", "f", "b1"), (1, "c2", "f", "b2"), (1, "c3", "f", "b3")], "repository_id long, commit_oid string, path string, blob_oid string")
+    blobs = spark.createDataFrame([("b1", "x\n"), ("b2", "x\ny\n"), ("b3", "x\ny\nz\n")], "blob_oid string, content string")
+    lines = D.commit_patch_lines(feed, te, blobs)
+    got = sorted((r["commit_oid"], r["origin"], r["content"]) for r in lines.where("origin <> ' '").collect())
+    assert got == [("c1", "+", "x"), ("c2", "+", "y"), ("c3", "+", "z")]
+    assert D.patch_fingerprints(lines).count() == 3
+
+
 def test_tree_diff_move_is_delete_plus_add(spark):
     te = spark.createDataFrame([(1, "c1", "a.txt", "b1"), (1, "c1", "same", "s"), (1, "c2", "moved/a.txt", "b1"), (1, "c2", "same", "s")],
                                "repository_id long, commit_oid string, path string, blob_oid string")

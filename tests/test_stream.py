@@ -1,6 +1,8 @@
 """Streaming ingest equals the batch index; replay inserts nothing twice."""
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from strata.plans import q_stream
@@ -34,6 +36,35 @@ def test_stream_equals_batch_and_replay(spark):
     assert runs2.agg(F.sum("inserted")).first()[0] == 0
 
 
+def test_replay_of_a_batch_leaves_the_same_rows_and_late_is_counted(spark):
+    base = tempfile.mkdtemp(prefix="strata-stream-replay-", dir="/tmp")
+    dirs = [f"{base}/index", f"{base}/runs", f"{base}/quar"]
+    created = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    rows = q_stream._feed_drops(spark, SF001).drop("day").where("repository_id <= 2").dropDuplicates(ST.KEY)
+    old, new = rows.where("committer_time % 2 = 0"), rows.where("committer_time % 2 = 1")
+    state = []
+    for batch, name in ((old, 0), (new, 1), (new, 1), (old, 0)):
+        ST.process_batch(batch, name, *dirs, created)
+        runs = spark.read.parquet(dirs[1])
+        state.append((spark.read.schema(schemas.COMMITS).parquet(dirs[0]).count(), runs.where("status = 'ok'").agg(F.sum("inserted")).first()[0],
+                      runs.where("status = 'failed'").agg(F.sum("candidates")).first()[0] or 0, spark.read.parquet(dirs[2]).count(), runs.agg(F.sum("late")).first()[0]))
+    assert state[1] == state[2] and state[1][0] == state[1][1] and state[1][2] == state[1][3]
+    assert state[3][:4] == state[1][:4]
+    # late: inserted by batch 1 though its branch held a newer commit already
+    good = "length(oid) = 40 and size(parent_oids) <= 1"
+    newest = old.where(good).groupBy("repository_id", "branch").agg(F.max("committer_time").alias("top"))
+    assert state[1][4] == new.where(good).join(newest, ["repository_id", "branch"]).where("committer_time < top").count()
+
+
+def test_an_unreadable_index_is_not_an_empty_one(spark):
+    base = tempfile.mkdtemp(prefix="strata-stream-bad-", dir="/tmp")
+    with open(f"{base}/part-0.parquet", "w") as f:
+        f.write("not parquet")
+    with pytest.raises(Exception):
+        ST._index_without(spark, base, "x").count()
+    assert ST._index_without(spark, f"{base}/none", "x").count() == 0
+
+
 def test_timer_trigger_ingests_everything(spark):
     """ST1: the same stream on a processing-time trigger (the polling timer)."""
     base = tempfile.mkdtemp(prefix="strata-stream-timer-", dir="/tmp")
