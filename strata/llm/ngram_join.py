@@ -172,11 +172,16 @@ def described(docs: DataFrame, k: int, percent: int) -> DataFrame:
                             f"doc_id {kind}, n_shingles long, s1 long, s2 long, keys array<long>")
 
 
-def families(rows: DataFrame) -> DataFrame:
+def families(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """(s1, family): nodes that share a key, with all that they lead to."""
-    keyed = rows.select(F.explode("keys").alias("key"), "s1")
+    # one row for each set: rows that repeat it give the same keys
+    spare = common.scratch_table(rows.select("doc_id", "s1", "s2").join(nodes, ["s1", "s2"]).where("doc_id <> rep").select("doc_id", "s1", "s2").distinct(), "join-spare")
+    if spare.count() <= BROADCAST_ROWS:
+        spare = F.broadcast(spare)
+    keyed = rows.where("n_shingles > 0").join(spare, ["doc_id", "s1", "s2"], "left_anti").select(F.explode("keys").alias("key"), "s1")
+    # dealt by key as they are: sums by key in each task would only add columns to rows that hardly ever meet there
     shared = common.scratch_table(
-        keyed.groupBy("key").agg(F.min("s1").alias("low"), F.max("s1").alias("high"), F.count(F.lit(1)).alias("rows")).where("low < high"), "join-keys")
+        keyed.repartition("key").groupBy("key").agg(F.min("s1").alias("low"), F.max("s1").alias("high"), F.count(F.lit(1)).alias("rows")).where("low < high"), "join-keys")
     common.release_shuffles(rows.sparkSession)
     # a key of more than two rows has members besides these two
     more = shared.where("rows > 2").select("key", "low")
@@ -349,7 +354,7 @@ def jaccard_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Dat
     kind = dict(docs.dtypes)["doc_id"]
     rows = common.scratch_table(described(docs, k, percent), "join-rows")
     nodes = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"))
-    family = common.scratch_table(families(rows), "join-families")
+    family = common.scratch_table(families(rows, nodes), "join-families")
     members = common.scratch_table(nodes.where("rep is not null").join(family, "s1"), "join-members")
     common.release_shuffles(spark)
     sets = common.scratch_table(family_sets(docs, members, k), "join-sets")
