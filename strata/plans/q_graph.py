@@ -17,25 +17,24 @@ TOP = 25                # a limit that binds on the fixture, for the variants th
 _MEMO: dict = {}
 
 
-def graph_and_reach(spark, d):
-    """Chain index of the fixture history and the reachable sets of all
-    branches, built once per session and input directory."""
-    key = (spark.sparkContext.applicationId, d)
+def graph_frontier(spark, d):
+    """Chain index of the fixture history and the frontier of all branches,
+    built once per session and state of the input files."""
+    key = (spark.sparkContext.applicationId, d, fx.input_state(spark, d))
     if key not in _MEMO:
         h = fx.fx_history(spark, d)
         g = G.CommitGraph(h.select("repository_id", "oid"), fx.fx_commit_parents(spark, d))
         refs = fx.fx_branches(spark, d).select("repository_id", F.col("name").alias("ref"), "target_oid")
-        front = g.frontier(refs)
-        reach = G._cut(g.nodes_in(front.select("repository_id", "ref", "chain", F.lit(-1).alias("lo"),
-                                               F.col("max_pos").alias("hi")), ["repository_id", "ref"]))
-        _MEMO[key] = (g, reach, front)
-    return _MEMO[key][:2]
+        _MEMO[key] = (g, g.frontier(refs))
+    return _MEMO[key]
 
 
-def graph_frontier(spark, d):
-    graph_and_reach(spark, d)
-    key = (spark.sparkContext.applicationId, d)
-    return _MEMO[key][0], _MEMO[key][2]
+def graph_and_reach(spark, d):
+    """The chain index and the reachable set of every branch, enumerated from
+    the frontier where a query asks for it; never stored."""
+    g, front = graph_frontier(spark, d)
+    return g, g.nodes_in(front.select("repository_id", "ref", "chain", F.lit(-1).alias("lo"), F.col("max_pos").alias("hi")),
+                         ["repository_id", "ref"])
 
 
 def _attrs(spark, d):

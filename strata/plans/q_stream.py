@@ -35,7 +35,7 @@ def _feed_drops(spark, d):
 def run_stream_ingest(spark, d):
     """Stage the drops, run the ingest stream to completion (availableNow),
     return (index_dir, runs_dir, quarantine_dir).  Once per session and input."""
-    key = (spark.sparkContext.applicationId, d)
+    key = (spark.sparkContext.applicationId, d, fx.input_state(spark, d))
     if key in _MEMO:
         return _MEMO[key]
     base = scratch_path(spark, "stream-ingest")

@@ -33,13 +33,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def input_state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Name, size and time of every input file: what a stored result was made from."""
+    sc, out = spark.sparkContext, []
+    for name in ("events", "nation", "documents", "conversations"):
+        path = sc._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        for f in path.getFileSystem(sc._jsc.hadoopConfiguration()).listStatus(path):
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
 # Derived inputs written once per session as Parquet tables in the shared
 # checkpoint folder (the "stored tables" of a deployment); see materialize().
 _STORED: dict = {}
 
 
 def _stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame | None:
-    path = _STORED.get((spark.sparkContext.applicationId, sf_dir, name))
+    if not any(k[:3] == (spark.sparkContext.applicationId, sf_dir, name) for k in _STORED):
+        return None
+    path = _STORED.get((spark.sparkContext.applicationId, sf_dir, name, input_state(spark, sf_dir)))
     return spark.read.parquet(path) if path else None
 
 
@@ -51,7 +63,7 @@ def materialize(spark: SparkSession, sf_dir: str) -> dict:
     out = {}
     for name, fn in [("fx_history", fx_history), ("fx_commits", fx_commits), ("fx_refs", fx_refs),
                      ("fx_tree_files", fx_tree_files)]:
-        key = (spark.sparkContext.applicationId, sf_dir, name)
+        key = (spark.sparkContext.applicationId, sf_dir, name, input_state(spark, sf_dir))
         if key in _STORED:
             continue
         path = scratch_path(spark, name)

@@ -83,7 +83,7 @@ def _plan(df):
 
 def test_plan_shapes(spark):
     q = E.queries()
-    diff = _plan(q["branch_diff"](spark, SF001))
+    diff = _plan(q["branch_diff_top"](spark, SF001))
     assert "LeftAnti" in diff and "WindowGroupLimit" in diff
     assert "TakeOrderedAndProject" in _plan(q["global_log_page"](spark, SF001))
     assert "WindowGroupLimit" in _plan(q["cap_per_branch"](spark, SF001))
@@ -116,7 +116,7 @@ def test_flagship_plan_without_broadcast(spark):
     before = spark.conf.get(key)
     spark.conf.set(key, "-1")
     try:
-        plan = _plan(E.queries()["branch_diff"](spark, SF001))
+        plan = _plan(E.queries()["branch_diff_top"](spark, SF001))
     finally:
         spark.conf.set(key, before)
     assert "SortMergeJoin" in plan and "LeftAnti" in plan

@@ -3,6 +3,8 @@ import random
 
 from pyspark.sql import functions as F
 
+import reach_sets as sets
+
 from strata.operators import graph as G
 
 
@@ -112,13 +114,13 @@ def test_range_common_and_status(spark):
                                  "repository_id long, ref string, target_oid string")
     reach = g.reachable(refs)
     pairs = spark.createDataFrame([(1, "main", "dev")], "repository_id long, old_ref string, new_ref string")
-    rng = {r["oid"] for r in G.range_commits(reach, pairs, _attrs(spark, parents, times)).collect()}
-    common = G.common_history(reach, pairs.select("repository_id", F.col("old_ref").alias("a_ref"), F.col("new_ref").alias("b_ref")))
+    rng = {r["oid"] for r in sets.range_commits(reach, pairs, _attrs(spark, parents, times)).collect()}
+    common = sets.common_history(reach, pairs.select("repository_id", F.col("old_ref").alias("a_ref"), F.col("new_ref").alias("b_ref")))
     assert rng == {"d", "e"}
     assert len(rng) + common.count() == len(_bfs(parents, "e"))
     st = spark.createDataFrame([(1, "main", "dev"), (1, "main", "old"), (1, "old", "main")],
                                "repository_id long, target_ref string, source_ref string")
-    got = {(r["target_ref"], r["source_ref"]): (r["ahead"], r["behind"], r["status"]) for r in G.merge_status(reach, st).collect()}
+    got = {(r["target_ref"], r["source_ref"]): (r["ahead"], r["behind"], r["status"]) for r in sets.merge_status(reach, st).collect()}
     assert got[("main", "dev")] == (1, 2, "diverged")
     assert got[("main", "old")] == (1, 0, "up_to_date")
     assert got[("old", "main")] == (0, 1, "fast_forward")
@@ -186,3 +188,20 @@ def test_frontier_algebra_equals_sets(spark):
         sets.setdefault((r["target_ref"], r["source_ref"]), set()).add(r["oid"])
     for (a, b), v in sets.items():
         assert v == _bfs(parents, tips[a]) - _bfs(parents, tips[b])
+
+
+def test_feature_branch_history_needs_few_rounds(spark):
+    """Merged feature branches: the trunk is one chain, so rounds do not grow with the forks."""
+    n = 240
+    edges = []
+    for i in range(1, n + 1):  # m(i-1) <- f(i), m(i-1) <- m(i) -> f(i)
+        edges += [(1, f"f{i}", 0, f"m{i - 1}"), (1, f"m{i}", 0, f"m{i - 1}"), (1, f"m{i}", 1, f"f{i}")]
+    edges = spark.createDataFrame(edges, "repository_id long, oid string, pos int, parent_oid string")
+    nodes = edges.select("repository_id", "oid").union(edges.select("repository_id", "parent_oid")).distinct()
+    refs = spark.createDataFrame([(1, "main", f"m{n}"), (1, "half", f"f{n // 2}")], "repository_id long, ref string, target_oid string")
+    g = G.CommitGraph(nodes, edges)
+    front = g.frontier(refs)
+    assert g.rounds["frontier"] <= 4 and g.rounds["doubling"] <= 11
+    iv = front.selectExpr("repository_id", "ref", "chain", "-1 as lo", "max_pos as hi")
+    got = {r["ref"]: r["n"] for r in g.nodes_in(iv, ["repository_id", "ref"]).groupBy("ref").agg(F.count("oid").alias("n")).collect()}
+    assert got == {"main": 2 * n + 1, "half": 1 + 2 * (n // 2 - 1) + 1}

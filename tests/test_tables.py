@@ -90,3 +90,35 @@ def test_commit_index_writer_roundtrip_sorted(spark, tmp_path):
     for r in per_file:                     # every file is sorted on the index order
         keys = [tuple(x) for x in r["rows"]]
         assert keys == sorted(keys)
+
+
+def test_a_cluster_without_a_checkpoint_folder_is_refused():
+    from types import SimpleNamespace as N
+
+    import pytest
+
+    from strata.session import ensure_checkpoint_dir
+
+    jsc = N(sc=lambda: N(getCheckpointDir=lambda: N(isDefined=lambda: False)))
+    sc = N(_jsc=jsc, master="spark://host:7077", getConf=lambda: N(get=lambda k, d=None: d))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(N(sparkContext=sc))
+
+
+def test_upsert_keeps_the_last_row_of_a_key(spark):
+    from strata.operators import tables as T
+
+    cols = "repository_id long, name string, target_oid string, is_default boolean, updated_at timestamp_ntz"
+    old = spark.sql("SELECT 1L repository_id, 'x' name, 'a' target_oid, false is_default, TIMESTAMP_NTZ '2024-01-01 00:00:00' updated_at")
+    inc = spark.sql("""SELECT * FROM VALUES (1L, 'x', 'b', false, TIMESTAMP_NTZ '2024-01-02 00:00:00'), (1L, 'x', 'c', false, TIMESTAMP_NTZ '2024-01-03 00:00:00'),
+        (1L, 'y', 'd', false, TIMESTAMP_NTZ '2024-01-03 00:00:00'), (1L, 'y', 'e', true, TIMESTAMP_NTZ '2024-01-02 00:00:00') AS t(repository_id, name, target_oid, is_default, updated_at)""")
+    assert cols and sorted((r["name"], r["target_oid"]) for r in T.upsert_branches(old, inc).collect()) == [("x", "c"), ("y", "d")]
+
+
+def test_prefixes_match_within_a_repository_at_any_length(spark):
+    from strata.operators import queries as Q
+
+    left = spark.createDataFrame([(1, "abcdef0"), (2, "abcdef0"), (1, "ab")], "repository_id long, oid string")
+    right = spark.createDataFrame([(1, "ABC"), (2, "b"), (1, "abcdef0123")], "repository_id long, oid string")
+    got = sorted((r["repository_id"], r["oid"], r["matched_oid"]) for r in Q.match_oid_prefix(left, right).collect())
+    assert got == [(1, "ab", "ABC"), (1, "ab", "abcdef0123"), (1, "abcdef0", "ABC"), (1, "abcdef0", "abcdef0123")]
