@@ -161,14 +161,15 @@ def repeated_strings(text: np.ndarray, starts: np.ndarray, weight: np.ndarray) -
 
 
 def solve(block: passages.Block) -> passages.Found:
-    """Strings that start twice or more, in each occurrence of a block, and the open ones of salted anchors."""
+    """Strings that start twice or more, in each occurrence of a block, and the named ones of salted anchors: every
+    window that is open, and one witness for each string that is settled here, which may be open in another task."""
     text = np.frombuffer(b"".join(block.bodies), np.uint8)
     offs = np.concatenate(([0], np.cumsum([len(b) for b in block.bodies])))
     counts = np.bincount(block.of, minlength=len(block.bodies))
     begin = np.concatenate(([0], np.cumsum(block.n)))
     starts = common.ranges(offs[:-1], block.n)
     body = np.repeat(np.arange(len(block.bodies)), block.n)
-    total, _ = repeated_strings(text, starts, counts[body])
+    total, head = repeated_strings(text, starts, counts[body])
     twice = total > 1
 
     n = block.n[block.of]
@@ -179,16 +180,23 @@ def solve(block: passages.Block) -> passages.Found:
     who, a, b = passages.ranges_of(gone, row)
     zero = np.zeros(len(who), np.uint64)
     open_ = np.flatnonzero(~gone & block.salted[row])
+    salted = np.zeros(len(block.bodies), bool)
+    salted[block.of] = block.salted
+    witness = np.flatnonzero(twice & salted[body] & (head == np.arange(len(starts))))
+    some = np.zeros(len(block.bodies), np.int64)  # an occurrence of each body
+    some[block.of] = np.arange(len(block.of))
+    named_row = np.concatenate([row[open_], some[body[witness]]])
+    named = np.concatenate([inside[open_], witness - begin[:-1][body[witness]]])
     prefix = common.prefix_hashes(text)
-    at = starts[window[open_]]
+    at = starts[np.concatenate([window[open_], witness])]
     w1 = common.span_hashes(prefix, at, at + LENGTH)
     w2 = common.mix(common.span_hashes(prefix, at + 9, at + LENGTH - 9) ^ w1) | np.uint64(1)
-    return (np.concatenate([who, row[open_]]), np.concatenate([inside[a], inside[open_]]), np.concatenate([inside[b], inside[open_]]),
+    return (np.concatenate([who, named_row]), np.concatenate([inside[a], named]), np.concatenate([inside[b], named]),
             np.concatenate([zero, w1]), np.concatenate([zero, w2]))
 
 
 def several(rows: DataFrame) -> DataFrame:
-    """Open strings that several tasks hold."""
+    """Named strings that several tasks hold; a witness is removed once more, which changes nothing."""
     often = rows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
     return rows.join(often, ["w1", "w2"])
 

@@ -148,6 +148,26 @@ def test_suffix_dedup_is_brute_force(spark, monkeypatch, salted):
     assert collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in out) == brute_bytes(rows)
 
 
+def test_suffix_dedup_of_copies_in_another_shard(spark, monkeypatch):
+    """Two exact copies share a shard and are settled there; a near copy alone in another shard has to hear of it."""
+    monkeypatch.setattr(passages, "TASK_SEGMENTS", 2)
+    rnd = random.Random(11)
+    rows = []
+    for i in range(16):
+        text = "".join(rnd.choice("abcdefgh ") for _ in range(900))
+        rows += [(3 * i, text), (3 * i + 1, text), (3 * i + 2, text + " near %d" % i)]
+    rows += [(100, "z" * 1500), (101, "z" * 1500), (102, "z" * 450 + " end")]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # shards stay in tasks of their own
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        out = suffix_dedup.dedup(frame(spark, rows)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in out) == brute_bytes(rows)
+
+
 def test_suffix_sort_finds_equal_strings():
     rng = np.random.default_rng(1)
     text = rng.integers(97, 99, 3000).astype(np.uint8)
