@@ -10,8 +10,9 @@ one pass over the terms: half of |sum v|^2 - sum |v|^2.
 Fitted on at most MAX_TRAIN labelled documents, those with the smallest hashes
 of their id.  A term has weights if at least MIN_DOCS of them hold it and its
 share of toxic documents is MIN_Z standard errors from the overall one (the
-MAX_TERMS furthest, if there are more).  The model is therefore of bounded
-size and is broadcast to the scoring tasks.
+MAX_TERMS furthest, if there are more), or if it is one of a pair whose share
+differs from what the two terms alone make likely (together), whatever its own
+share is.  The sample bounds the model, which is broadcast to the scoring tasks.
 
 Null or empty text, or a text without a known term: the bias alone.  Labels
 that are null are ignored; a document labelled more than once counts once, as
@@ -100,6 +101,54 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def together(index: np.ndarray, lengths: np.ndarray, labels: np.ndarray, counts: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Terms of pairs whose toxic share is not what their two terms, added up, make likely.
+
+    index: term of each entry, ordered by document.  A pair counts when the Chernoff
+    bound of its share, given the sum of the two terms' log-odds, is below one over the
+    number of pairs: no pair is expected to get in by chance.  Pairs in too few documents
+    to pass against the overall share, were they all toxic, are not tested."""
+    none = np.zeros(0, np.int64)
+    if not 0 < labels.sum() < len(labels):
+        return none
+    rate = labels.mean()
+    wide = np.flatnonzero(counts >= MIN_DOCS)
+    bar = np.log(max(len(wide), 2) ** 2 / 2)
+    least = int(np.ceil(bar / -np.log(min(rate, 1 - rate))))
+    wide = np.flatnonzero(counts >= max(least, MIN_DOCS))
+    if len(wide) < 2:
+        return none
+    number = np.full(len(counts), -1)
+    number[wide] = np.arange(len(wide))
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    term = number[index]
+    doc, term = doc[term >= 0], term[term >= 0]
+    order = np.lexsort((term, doc))
+    doc, term = doc[order], term[order].astype(np.int32)
+    ends = np.searchsorted(doc, np.arange(len(lengths)), "right")[doc]  # the terms after an entry, in its document
+    by_term = np.lexsort((labels[doc], term))
+    cut = np.searchsorted(term[by_term], np.arange(len(wide) + 1))
+    clean = cut[:-1] + np.bincount(term, labels[doc] == 0, len(wide)).astype(np.int64)
+    share = (toxic[wide] + rate) / (counts[wide] + 1)
+    odds = np.log(share / (1 - share))
+    base = np.log(rate / (1 - rate))
+    found = np.zeros(len(wide), bool)
+    for i in range(len(wide) - 1):
+        k = []
+        for at in (by_term[cut[i]: clean[i]], by_term[clean[i]: cut[i + 1]]):
+            k.append(np.bincount(term[common.ranges(at + 1, ends[at] - at - 1)] - (i + 1), minlength=len(wide) - i - 1))
+        n = k[0] + k[1]
+        j = np.flatnonzero(n >= least)
+        n, q = n[j], k[1][j] / n[j]
+        e = 1 / (1 + np.exp(-(odds[i] + odds[i + 1 + j] - base)))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gap = np.where(q > 0, q * np.log(q / e), 0) + np.where(q < 1, (1 - q) * np.log((1 - q) / (1 - e)), 0)
+        hit = j[n * gap >= bar]
+        if len(hit):
+            found[i] = found[i + 1 + hit] = True
+    return wide[found]
+
+
 def fit(hashes: list[np.ndarray], labels: np.ndarray) -> Model:
     """AdaGrad on the logistic loss, in mini-batches of a fixed order."""
     rate = (labels.sum() + 0.5) / (len(labels) + 1) if len(labels) else 0.0
@@ -110,7 +159,8 @@ def fit(hashes: list[np.ndarray], labels: np.ndarray) -> Model:
     toxic = np.bincount(back, np.repeat(labels, lengths), len(found))
     z = (toxic - counts * rate) / np.sqrt(counts * rate * (1 - rate) + 1e-9)
     pick = np.flatnonzero((counts >= MIN_DOCS) & (np.abs(z) >= MIN_Z))
-    pick = np.sort(pick[np.argsort(-np.abs(z[pick]), kind="stable")[:MAX_TERMS]])
+    pick = pick[np.argsort(-np.abs(z[pick]), kind="stable")[:MAX_TERMS]]
+    pick = np.union1d(pick, together(back, lengths, labels, counts, toxic))
     terms = found[pick]
     if not 0 < labels.sum() < len(labels) or not len(terms):
         rate = min(max(rate, 1e-6), 1 - 1e-6)

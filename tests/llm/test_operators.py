@@ -339,6 +339,25 @@ def test_toxicity_learns_pairs(spark):
     assert len(out) == len(rows) + 4 and all(0 <= r["score"] <= 1 for r in out)
 
 
+def test_toxicity_learns_pairs_of_terms_that_tell_nothing_alone():
+    """insult and group have the toxic share of all documents each; only together they are toxic."""
+    rnd = random.Random(2)
+    rows = []
+    for i in range(3000):
+        k = i % 30  # insult 9, group 9, both 3, a slur 7: a third of each is toxic
+        words = {"w%d" % rnd.randrange(200) for _ in range(20)} | {w for w, on in (("group", k < 9), ("insult", k < 3 or 9 <= k < 15), ("slur", 15 <= k < 22)) if on}
+        rows.append((words, float(k < 3 or 15 <= k < 22), k < 15))
+    name = {w: np.uint64(int(hashlib.md5(w.encode()).hexdigest()[:16], 16)) for words, _, _ in rows for w in words}
+    terms = [np.sort(np.array([name[w] for w in words], np.uint64)) for words, _, _ in rows]
+    model = toxicity.fit(terms[:2000], np.array([y for _, y, _ in rows[:2000]]))
+    assert {int(name[w]) for w in ("group", "insult", "slur")} <= set(model.terms.tolist())
+    flat = np.concatenate(terms[2000:])
+    at, index = model.known(flat)
+    score = model.scores(index, np.repeat(np.arange(1000), [len(x) for x in terms[2000:]])[at], 1000)
+    own = [(s >= 0.5) == (y > 0) for s, (_, y, either) in zip(score, rows[2000:]) if either]
+    assert len(own) > 450 and sum(own) > 0.97 * len(own)
+
+
 def test_toxicity_without_labels(spark):
     lab = spark.createDataFrame([], "doc_id long, toxic int")
     out = toxicity.toxicity(frame(spark, [(1, "a"), (2, None)]), lab).collect()
