@@ -3,11 +3,15 @@
 A page is stripped of markup into lines, one for each block element.  Elements
 that are not prose by their kind (menus, headers, footers, asides, forms,
 scripts, styles, blocks whose class or id names an advert, notice, sidebar or
-comment list) leave a barrier instead of a line.  Text lengths are summed over
-a sliding window of lines.  A surge is where the sum rises over the threshold,
-a dive where it falls to nothing or a barrier stands; what lies between them is
-main text.  Where the page marks its article, windows count inside it only,
-and it is kept from its first line to its last, barriers excepted.
+comment list) leave a barrier instead of a line.  Text lengths, link text left
+out, are summed over a sliding window of lines that ends at a barrier.  A surge
+is where the sum reaches SURGE; headings right before it go with it.  A dive is
+where it falls to nothing, or a full window under DIVE.  What lies between them
+is main text, also across a barrier: a short run behind one goes on if the run
+before it had not dived.  Where the page marks its article, windows count inside it
+only, any prose is a surge and only its absence (a list of links) a dive, as its
+short paragraphs are text; it is one text, from its heading or first surge to its
+last dive, barriers excepted.  Without any surge: the article, or the longest run.
 
 Null or empty html, or a page without prose: empty text.  Character references
 are decoded, white space inside a block becomes one space, blocks are joined in
@@ -20,6 +24,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -27,11 +32,14 @@ from pyspark.sql import DataFrame, functions as F
 WINDOW = 3
 #: a window of lines must hold so many characters to surge
 SURGE = 80
+#: a full window of fewer characters is a dive
+DIVE = 40
 
 # fixed values: names of HTML elements
 RAW = frozenset("script style noscript template textarea title iframe svg".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog button select fieldset".split())
 BLOCKS = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -42,15 +50,27 @@ _UNWANTED = re.compile(
 _ARTICLE = frozenset(("article", "main"))
 
 
-def lines(page: str) -> Iterator[tuple[str, bool] | None]:
-    """(text, inside an article) for each block with text; None for a barrier."""
+class Line(NamedTuple):
+    """Text of a block, whether it is in an article, its characters outside links, and whether it is a heading."""
+
+    text: str
+    article: bool
+    prose: int
+    heading: bool
+
+
+def lines(page: str) -> Iterator[Line | None]:
+    """The blocks with text; None for a barrier."""
     parts: list[str] = []
+    linked: list[str] = []
     skip, depth, article = "", 0, 0
+    link = heading = False
 
     def block():
-        text = " ".join(html.unescape("".join(parts)).split())
+        text, inside = (" ".join(html.unescape("".join(x)).split()) for x in (parts, linked))
         parts.clear()
-        return text
+        linked.clear()
+        return Line(text, article > 0, max(0, len(text) - len(inside)), heading) if text else None
 
     at, size = 0, len(page)
     while at < size:
@@ -58,6 +78,8 @@ def lines(page: str) -> Iterator[tuple[str, bool] | None]:
         stop = tag.start() if tag else size
         if not depth and stop > at:
             parts.append(page[at:stop])
+            if link:
+                linked.append(page[at:stop])
         if not tag:
             break
         at = tag.end()
@@ -80,46 +102,72 @@ def lines(page: str) -> Iterator[tuple[str, bool] | None]:
         if not closing and name not in VOID and not tag[3].endswith("/") and (
                 name in BOILERPLATE or name == "header" and not article
                 or name not in _ARTICLE and name not in ("body", "html") and any(_UNWANTED.search(x.strip("\"'")) for x in _NAMED.findall(tag[3]))):
-            if text := block():
-                yield text, article > 0
+            if line := block():
+                yield line
             yield None
             skip, depth = name, 1
             continue
         if name in BLOCKS:
-            if text := block():
-                yield text, article > 0
+            if line := block():
+                yield line
             if name in _ARTICLE:
                 article = max(0, article + (-1 if closing else 1))
+            link, heading = False, not closing and name in HEADINGS
+        elif name == "a":
+            link = not closing
         elif name == "br":
             parts.append(" ")
-    if text := block():
-        yield text, article > 0
-
-
-def main_lines(found: list[tuple[str, bool] | None]) -> list[str]:
+            linked.append(" ")
+    if line := block():
+        yield line
+
+
+def runs_of_text(run: list[Line], text: bool, surge: int, dive: int) -> tuple[list[bool], bool]:
+    """Whether each line of a run between barriers is main text, and whether the last one is; text: whether the line before the run was."""
+    size = [x.prose for x in run]
+    taken = [False] * len(run)
+    for i in range(len(run)):
+        total = sum(size[i: i + WINDOW])
+        if text and (not total or total < dive and i + WINDOW <= len(run)):
+            text = False
+        if not text and total >= surge and size[i]:  # lines of links alone do not begin it
+            text = True
+            back = i
+            while back and run[back - 1].heading:
+                back -= 1
+                taken[back] = True
+        taken[i] = text
+    return taken, text
+
+
+def main_lines(found: list[Line | None]) -> list[str]:
     """The lines between surges and dives."""
-    marked = any(x and x[1] for x in found)
+    marked = any(x and x.article for x in found)
     if marked:
-        found = [x if x is None or x[1] else None for x in found]
-    runs: list[list[str]] = [[]]
+        found = [x if x is None or x.article else None for x in found]
+    runs: list[list[Line]] = [[]]
     for x in found:
         if x is None:
             runs.append([])
         else:
-            runs[-1].append(x[0])
-    out: list[str] = []
+            runs[-1].append(x)
+    every: list[Line] = []
+    taken: list[bool] = []
+    text = False
     for run in (r for r in runs if r):
-        if marked:
-            out += run
-            continue
-        size = [len(x) for x in run]
-        sums = [sum(size[i: i + WINDOW]) for i in range(len(run))]
-        surge = next((i for i, s in enumerate(sums) if s >= SURGE), None)
-        if surge is not None:  # a run ends in a barrier, so its sums fall to nothing there: the dive
-            out += run[surge:]
-    if not out and not marked:  # no surge anywhere: the longest run
-        out = max(runs, key=lambda r: sum(map(len, r)))
-    return out
+        own, after = runs_of_text(run, text, *((1, 1) if marked else (SURGE, DIVE)))
+        if own[0] and not text:  # headings before a barrier belong to what follows it
+            for i in range(len(every) - 1, -1, -1):
+                if not every[i].heading:
+                    break
+                taken[i] = True
+        every, taken, text = every + run, taken + own, after
+    if not any(taken):  # no surge anywhere: the article, or the longest run
+        return [x.text for x in (every if marked else max(runs, key=lambda r: sum(len(x.text) for x in r)))]
+    if marked:  # an article is one text: from its heading or first surge to its last dive
+        inside = [i for i, x in enumerate(taken) if x or every[i].heading and not any(taken[:i])]
+        return [x.text for x in every[inside[0]: inside[-1] + 1]]
+    return [x.text for x, t in zip(every, taken, strict=True) if t]
 
 
 def main_text(page: str | None) -> str:

@@ -316,6 +316,24 @@ def test_main_text(spark):
     assert all(n == len(t) for _, t, n in out)
 
 
+def test_surges_and_dives():
+    """Menus before and after the text go by the sums of their lines, with or without article tags."""
+    prose = [f"Paragraph {i} is a line of prose that has some length to it, and then some more of it." for i in range(3)]
+    p = "".join(f"<p>{x}</p>" for x in prose)
+    menu = "".join(f"<div>Item {i}</div>" for i in range(6))
+    links = "".join(f"<p><a href='/{i}'>A link to some other page of this site that has a long title {i}</a></p>" for i in range(4))
+    ad = "<div class='ad'>Buy</div>"
+    want = "\n".join(prose)
+    assert html_text.main_text(f"<body>{p}{menu}</body>") == want
+    assert html_text.main_text(f"<body>{p}{links}</body>") == want
+    assert html_text.main_text(f"<body>{p}{menu}{ad}{p}</body>") == want + "\n" + want
+    assert html_text.main_text(f"<body>{p}{ad}<p>The end.</p></body>") == want + "\nThe end."
+    assert html_text.main_text(f"<body>{p}{ad}{menu}</body>") == want
+    assert html_text.main_text(f"<body><h1>Head</h1>{ad}{p}</body>") == "Head\n" + want
+    assert html_text.main_text(f"<body><article>{links}<h1>Head</h1>{p}<p>Short.</p>{links}</article></body>") == f"Head\n{want}\nShort."
+    assert html_text.main_text(f"<body><main><h1>Head</h1><p>By me</p>{p}<ul><li>One</li><li>Two</li><li>Three</li></ul>{p}</main></body>") == f"Head\nBy me\n{want}\nOne\nTwo\nThree\n{want}"
+
+
 def test_toxicity_learns_pairs(spark):
     """Either term alone is harmless; together they are toxic."""
     rnd = random.Random(0)
