@@ -13,9 +13,11 @@ text's probability.
 
 Learning is by Spark aggregation: tasks count (context, byte) cells over all
 training documents, the counts are summed, and the tables of log-odds, of fixed
-size (TABLES, one byte a node), are broadcast.  Starting weights come from
-START_DOCS training documents.  Online state starts anew every LANE bytes and
-never leaves a document, so a score depends on the model and the text alone.
+size (TABLES, one byte a node), are broadcast.  Starting weights are fitted to all
+training documents: in each of ROUNDS, tasks sum the gradient and curvature of the
+coding cost over their bytes, and the sums give a Newton step for each gate.
+Online state starts anew every LANE bytes and never leaves a document, so a score
+depends on the model and the text alone.
 
 The base score is that of single words: sum of log10((c + 0.5) / (N + 0.5 (V + 1)))
 over words and the end.  Vocabularies grow with the corpus and are not
@@ -41,7 +43,8 @@ from strata.llm import common
 #: bits of the context index of each table: last two bytes, last three, word so far
 TABLES = (12, 14, 14)
 GATES = 4
-START_DOCS = 400
+ROUNDS = 1  # Newton steps to the starting weights
+PIECE = 1 << 15  # bytes whose slopes are taken at once
 LANE = 512
 LEARN, REFINE = 0.01, 0.02
 STEPS = 33  # cells of the refining map
@@ -132,8 +135,8 @@ class Mixer:
     def __init__(self, code: Code, table: np.ndarray, weights: np.ndarray):
         self.code, self.table, self.weights = code, table.reshape(-1), weights
 
-    def cost(self, data: np.ndarray, offs: np.ndarray, learn: float = LEARN, pooled: bool = False) -> np.ndarray:
-        """Bits of each document.  pooled: all lanes share and move one set of weights, kept afterwards."""
+    def cost(self, data: np.ndarray, offs: np.ndarray, learn: float = LEARN) -> np.ndarray:
+        """Bits of each document."""
         rows, gate = contexts(data, offs)
         # documents are cut to lanes; the longest first, so that lanes end from the back
         n_lanes = -(-np.diff(offs) // LANE)
@@ -176,18 +179,36 @@ class Mixer:
             refine[cell] = seen + np.float32(REFINE) * (bit - seen)
             error = rate * (bit - p)
             for k in range(len(TABLES)):
-                step = np.add.reduceat(error * hint[k], first)
-                if pooled:
-                    for g in range(GATES):
-                        here = gate[at] == g
-                        if here.any():
-                            w[k][g::GATES] += 4 * step[here].mean()
-                else:
-                    w[k][set_] = own[k] + step
-        if pooled and len(lanes):
-            self.weights = np.stack([x[:GATES] for x in w], 1)
+                w[k][set_] = own[k] + np.add.reduceat(error * hint[k], first)
         return np.bincount(doc, bits, len(offs) - 1)
 
+    def slopes(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """For each gate, the gradient of the log-probability in its weights and, after it, the curvature, over all bytes."""
+        rows, gate = contexts(data, offs)
+        n, code = len(TABLES), self.code
+        total = np.zeros((n + n * n, GATES))
+        for lo in range(0, len(data), PIECE):
+            symbol, g = data[lo: lo + PIECE], gate[lo: lo + PIECE]
+            length = code.length[symbol]
+            ends = np.cumsum(length)
+            first = ends - length
+            path = np.arange(ends[-1]) + np.repeat(code.first[symbol] - first, length)
+            node = code.node[path]
+            hint = [self.table[np.repeat(rows[lo: lo + PIECE, k] * np.int32(256), length) + node].astype(np.float32) for k in range(n)]
+            z = sum(np.repeat(self.weights[g, k].astype(np.float32), length) * hint[k] for k in range(n))
+            p = 1 / (1 + np.exp(-np.clip(z, -8, 8)))
+            error, spread = code.bit[path] - p, p * (1 - p)
+            by_gate = lambda x: np.bincount(g, np.add.reduceat(x, first), GATES)
+            for k in range(n):
+                total[k] += by_gate(error * hint[k])
+                part = spread * hint[k]
+                for m in range(k, n):
+                    here = by_gate(part * hint[m])
+                    total[n + k * n + m] += here
+                    if m > k:
+                        total[n + m * n + k] += here
+        return total.T
+
 
 def own_counts(parts) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct words of slices (batch, texts, whether each document trains), sorted, and their training counts."""
@@ -272,24 +293,40 @@ def learn(docs: DataFrame) -> Mixer:
     for r in made.collect():
         part = np.frombuffer(r["odds"], np.int8)
         odds[r["block"] * len(part): (r["block"] + 1) * len(part)] = part
-    even = np.full((GATES, len(TABLES)), 0.3 / 16, np.float32)
-    mixer = Mixer(code, odds, even)
-    shared = docs.sparkSession.sparkContext.broadcast((code, odds))
-    sample = docs.where(in_training()).orderBy(F.xxhash64(F.col("doc_id").cast("string"), "text"), "doc_id").limit(START_DOCS)
-
-    def start(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = Mixer(*shared.value, even)
-        batch = pa.RecordBatch.from_arrays([pa.array(sorted(pdf["text"]), pa.string())], names=["text"])
-        for _, _, t in common.slices(batch, lower=True):
-            m.cost(*normalized(t), learn=0.02, pooled=True)
-        return pd.DataFrame({"weights": [m.weights.astype(np.float32).tobytes()]})
-
-    got = sample.select(F.lit(1).alias("one"), common.text_or_empty().alias("text")).groupBy("one").applyInPandas(start, "weights binary").first()
-    if got is not None:
-        mixer.weights = np.frombuffer(got["weights"], np.float32).reshape(GATES, len(TABLES))
+    mixer = Mixer(code, odds, np.full((GATES, len(TABLES)), 0.3 / 16))
+    for _ in range(ROUNDS):
+        mixer.weights = stepped(mixer.weights, total_slopes(docs, mixer))
+    mixer.weights = mixer.weights.astype(np.float32)
     return mixer
 
 
+def total_slopes(docs: DataFrame, mixer: Mixer) -> np.ndarray:
+    """The slopes over all training documents."""
+    n = GATES * (len(TABLES) + len(TABLES) ** 2)
+    shared = docs.sparkSession.sparkContext.broadcast((mixer.code, mixer.table, mixer.weights))
+
+    def run(batches):
+        m = Mixer(*shared.value)
+        total = np.zeros(n)
+        for batch in batches:
+            for _, _, t in common.slices(batch, lower=True):
+                total += m.slopes(*normalized(t)).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(total)], names=["cell", "x"])
+
+    src = docs.where(in_training()).select(common.text_or_empty().alias("text"))
+    out = np.zeros(n)
+    for r in src.mapInArrow(run, "cell long, x double").groupBy("cell").agg(F.sum("x").alias("x")).collect():
+        out[r["cell"]] = r["x"]
+    return out.reshape(GATES, -1)
+
+
+def stepped(weights: np.ndarray, slopes: np.ndarray) -> np.ndarray:
+    """weights after a Newton step for each gate; rounded, so that the order of Spark's sums does not show."""
+    n = len(TABLES)
+    step = [np.linalg.solve(x[n:].reshape(n, n) + np.eye(n), x[:n]) for x in slopes]
+    return np.round(weights + step, 7)
+
+
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes and bits_per_byte of every row."""
     spark = docs.sparkSession

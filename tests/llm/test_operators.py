@@ -404,6 +404,33 @@ def test_language_model(spark):
     assert all(len(x) == 1 for x in same.values())
 
 
+def test_starting_weights_come_from_all_training_documents(spark):
+    """Against a bit by bit Newton step over every training document, more of them than one task has."""
+    import zlib
+
+    import pyarrow as pa
+
+    rnd = random.Random(3)
+    rows = [(i, " ".join(rnd.choice(["ab", "cde", "fé", "g%d" % (i % 9)]) for _ in range(rnd.randrange(0, 12)))) for i in range(700)]
+    model = lm_score.learn(frame(spark, rows).repartition(5))
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    assert len(train) > 500
+    _, _, t = next(iter(lm_score.common.slices(pa.RecordBatch.from_arrays([pa.array(train)], names=["text"]), lower=True)))
+    data, offs = lm_score.normalized(t)
+    where, gate = lm_score.contexts(data, offs)
+    n, code = len(lm_score.TABLES), model.code
+    start = np.full((lm_score.GATES, n), 0.3 / 16)
+    slope, curve = np.zeros((lm_score.GATES, n)), np.zeros((lm_score.GATES, n, n))
+    for at, byte in enumerate(data.tolist()):
+        for j in range(code.first[byte], code.first[byte + 1]):
+            hint = model.table[where[at].astype(np.int64) * 256 + code.node[j]].astype(float)
+            p = 1 / (1 + np.exp(-np.clip(hint @ start[gate[at]], -8, 8)))
+            slope[gate[at]] += (code.bit[j] - p) * hint
+            curve[gate[at]] += p * (1 - p) * np.outer(hint, hint)
+    want = [start[g] + np.linalg.solve(curve[g] + np.eye(n), slope[g]) for g in range(lm_score.GATES)]
+    assert np.allclose(model.weights, want, atol=2e-5)
+
+
 def test_bit_probabilities_sum_to_one():
     """Over all next bytes, the probabilities of a fixed model sum to one (within the clipping of each bit)."""
     rng = np.random.default_rng(0)
