@@ -15,7 +15,7 @@ different ones stay different, and no table of values is kept anywhere.
     date      the 146,097 days of 1800 to 2199, as Y-M-D, M/D/Y (D/M/Y if only that is a date) or D.M.Y
     iban      digits after the country code permuted, check digits made anew
     email     characters of the local part, each within its class (letter, digit)
-    secret    AKIA keys, and what follows password=, token:, ... : characters within their class
+    secret    AKIA keys, and what follows password=, token:, ... up to white space or a quote: letters and digits within their class
 
 Numbers that fail validation stay as they are, and so does all other text.
 Only DataFrame functions run here: no Python on executors, no shuffle.
@@ -34,8 +34,9 @@ DEFAULT_KEY = "example key"
 
 # fixed values: formats as regular expressions, tried in this order
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_NAME = r"(?i:password|passwd|token|secret|api_?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?"
 PATTERNS = {
-    "secret": r"(?i:password|passwd|token|secret|api_?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9_+/-]{8,128}|(?<!\w)AKIA[0-9A-Z]{16}(?!\w)",
+    "secret": _NAME + r"[^\s\"']{8,}+|(?<!\w)AKIA[0-9A-Z]{16}(?!\w)",
     "email": r"(?<![\w.+%-])[\w.+%-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?\d{4}){2,7}(?: ?\d{1,3})?(?!\w)",
     "phone": r"(?<![\w+])(?:\+1[ .-]?)?\(?[2-9]\d{2}(?:\) ?|[ .-])[2-9]\d{2}[ .-]\d{4}(?!\w)|(?<![\w+])\+1[2-9]\d{2}[2-9]\d{6}(?!\w)",
@@ -211,17 +212,18 @@ def email(m: Column, key: str) -> Column:
 
 
 def secret(m: Column, key: str) -> Column:
-    value = F.regexp_extract(m, r"([A-Za-z0-9_+/-]+)$", 1)
-    name = F.substring(m, F.lit(1), F.length(m) - F.length(value))
-    return F.when(m.startswith("AKIA"), F.concat(F.lit("AKIA"), permute_chars(F.substring(m, F.lit(5), F.length(m)), key, "secret"))).when(
+    name = F.regexp_extract(m, f"^{_NAME}", 0)
+    value = F.substring(m, F.length(name) + 1, F.length(m))
+    return F.when(name == "", F.concat(F.lit("AKIA"), permute_chars(F.substring(m, F.lit(5), F.length(m)), key, "secret"))).when(
         value.rlike("^[0-9a-f]+$"), F.concat(name, permute_chars(value, key, "secret-hex"))).otherwise(F.concat(name, permute_chars(value, key, "secret")))
 
 
 def pseudonym(m: Column, key: str) -> Column:
     """The replacement of one match."""
     whole = lambda kind: m.rlike(f"^(?:{PATTERNS[kind]})$")
-    return (F.when(m.contains("@"), email(m, key))
-            .when(m.rlike("^AKIA|[=:]"), secret(m, key))
+    return (F.when(m.rlike(f"^{_NAME}"), secret(m, key))
+            .when(m.contains("@"), email(m, key))
+            .when(m.startswith("AKIA"), secret(m, key))
             .when(m.rlike("^[A-Z]"), iban(m, key))
             .when(m.rlike(r"^\+[2-9]"), intl(m, key))
             .when(whole("ssn"), ssn(m, key))

@@ -247,6 +247,20 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert {"doc_id", "host", "version"} <= set(pii.pseudonymize(frame(spark, rows)).columns)
 
 
+def test_a_secret_is_replaced_to_its_end(spark):
+    rnd = random.Random(4)
+    part = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    values = [part(500), f"{part(36)}.{part(80)}.{part(43)}", f"{part(20)}~{part(20)}==", f"p@{part(12)}!{part(12)}", f"{part(9)}@mail.example.com"]
+    rows = [(i, f'before "api_key": "{v}", token={v} after') for i, v in enumerate(values)]
+    out = {r["doc_id"]: r for r in pii.pseudonymize(frame(spark, rows)).collect()}
+    for i, v in enumerate(values):
+        found = re.fullmatch(r'before "api_key": "(.*)", token=(.*) after', out[i]["text"])
+        assert found and found[1] == found[2] and out[i]["n_replaced"] == 2
+        assert re.sub(r"\w", "", found[1]) == re.sub(r"\w", "", v) and len(found[1]) == len(v)
+        assert not any(len(x) > 3 and x in found[1] for x in re.findall(r"\w+", v))
+        assert v[-12:] not in out[i]["text"] and sum(a == b for a, b in zip(v, found[1]) if a.isalnum()) < 0.3 * len(v)
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
 
