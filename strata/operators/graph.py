@@ -4,36 +4,53 @@ common history (U3), ahead/behind status (J9) and the incremental cut (J5).
 Reachability uses chain compression instead of a per-generation BFS (one job
 per commit of depth) or a recursive CTE (level and row caps):
 
-1. every parent keeps one continuation child, the first-parent child with the
+1. pointer jumping (list ranking) gives every commit its place in its unary
+   segment, the run of commits between two forks of the first-parent tree, in
+   ~log2(longest segment) rounds of one self-join each;
+2. every parent keeps one continuation child, the first-parent child with the
    most first-parent descendants (heavy path), so a first-parent path changes
-   chains at most log2(n) times; these edges cut the graph into disjoint chains;
-2. pointer jumping (list ranking) gives every commit ``(chain, cpos)`` - the
-   chain's oldest commit and the distance to it - in ~log2(longest chain)
-   rounds of one self-join each;
+   chains at most log2(n) times.  Only forks have a choice, so sizes and
+   choices are worked out on the segments; a second ranking, of segments,
+   gives every commit ``(chain, cpos)`` - the chain's oldest commit and the
+   distance to it;
 3. every other edge becomes a cross edge ``(chain_a, pos_a) -> (chain_b, pos_b)``;
 4. the frontier ``(ref, chain, max_pos)`` is expanded over cross edges,
    semi-naively (only improved entries expand), until nothing improves;
 5. reachable commits = commits of a frontier chain with ``cpos <= max_pos``,
    joined on ``(chain, bucket)`` so a very long chain is spread over buckets.
 
-Every round's result is cut from its lineage with ``checkpoint()`` into the
-session's shared checkpoint folder, so a lost executor recomputes one round,
-not the whole loop.  All keys include ``repository_id``.
+Every round's result is written as Parquet to the session's shared checkpoint
+folder and read back, so a lost executor recomputes one round, not the whole
+loop, and the planner sees a file's size: ``checkpoint()`` keeps the estimate
+of the plan it cuts, a product of both sides of every join, which after a few
+rounds takes longer to multiply than the round to run.  A loop's tables go
+when it ends.  All keys include ``repository_id``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strata.session import ensure_checkpoint_dir
+from strata.session import drop_path, scratch_path
 
 R = "repository_id"
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _cut(df: DataFrame, temps: list | None = None) -> DataFrame:
+    """df written and read back; its folder is noted in ``temps`` if it may go later."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "graph")
+    df.write.parquet(path)
+    if temps is not None:
+        temps.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _drop(spark, temps: list) -> None:
+    for path in temps:
+        drop_path(spark, path)
 
 
 class NotConverged(RuntimeError):
@@ -58,7 +75,7 @@ class CommitGraph:
         self._index = None
         self._cross = None
         self._cont = None
-        self.rounds = {"doubling": 0, "frontier": 0}
+        self.rounds = {"doubling": 0, "ranking": 0, "frontier": 0}
 
     # -- dense ids -----------------------------------------------------------------
     def ids(self) -> DataFrame:
@@ -78,77 +95,95 @@ class CommitGraph:
         return self._id_edges
 
     # -- chain index ---------------------------------------------------------------
+    def _build(self) -> None:
+        """Continuations (pid, child) - of each parent the first-parent child
+        with the largest subtree, the smallest nid among equals, fixed once
+        chosen (see ``extend``) - and the index (nid, chain, cpos)."""
+        temps: list = []
+        e0 = self.id_edges().where(F.col("pos") == 0).select("nid", "pid")
+        children = _cut(e0.groupBy("pid").agg(F.count(F.lit(1)).alias("n"), F.min("nid").alias("child")), temps)
+        unary = children.where("n = 1").select("pid", "child")
+        one = F.lit(1).cast("bigint").alias("w")
+        start = self.ids().select("nid").join(unary.select(F.col("child").alias("nid"), F.col("pid").alias("nxt")), "nid", "left")
+        place = self._rank(start.select("nid", "nxt", one))
+        self.rounds["doubling"] = self.rounds["ranking"]
+        forks = children.where("n > 1").select("pid")
+        if forks.isEmpty():
+            self._cont, self._index = _cut(unary), place
+        else:
+            place = place.withColumnRenamed("chain", "seg").withColumnRenamed("cpos", "spos")
+            # the segments above a fork, and the segment whose newest commit the fork is
+            heads = _cut(e0.join(forks, "pid", "left_semi").join(place.select(F.col("nid").alias("pid"), F.col("seg").alias("up")), "pid"), temps)
+            lengths = _cut(place.groupBy(F.col("seg").alias("nid")).agg(F.max("spos").alias("top")).select("nid", (F.col("top") + 1).cast("bigint").alias("size")), temps)
+            sizes = self._subtree_sizes(lengths, heads.select("nid", "up"), temps)
+            heavy = (heads.join(sizes, "nid").groupBy("pid", "up").agg(F.max(F.struct("size", (-F.col("nid")).alias("low"))).getField("low").alias("low"))
+                     .select("pid", "up", (-F.col("low")).alias("child")))
+            heavy = _cut(heavy, temps)
+            self._cont = _cut(unary.unionByName(heavy.select("pid", "child")))
+            below = heavy.join(lengths.select(F.col("nid").alias("up"), F.col("size").alias("w")), "up").select(F.col("child").alias("nid"), F.col("up").alias("nxt"), "w")
+            chains = self._rank(lengths.select("nid").join(below, "nid", "left"))
+            chains = chains.select(F.col("nid").alias("seg"), "chain", F.col("cpos").alias("base"))
+            self._index = _cut(place.join(chains, "seg").select("nid", "chain", (F.col("base") + F.col("spos")).alias("cpos")))
+        _drop(e0.sparkSession, temps)
+
     def _continuations(self) -> DataFrame:
-        """(pid, child): the continuation child of each parent - its first-parent
-        child with the largest subtree, the smallest nid among equals; fixed
-        once chosen (see ``extend``)."""
         if self._cont is None:
-            e0 = self.id_edges().where(F.col("pos") == 0).select("nid", "pid")
-            forks = e0.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-            if forks.isEmpty():
-                self._cont = _cut(e0.select("pid", F.col("nid").alias("child")))
-            else:
-                sized = e0.join(self._subtree_sizes(e0), "nid")
-                self._cont = _cut(sized.groupBy("pid").agg(
-                    F.max(F.struct("size", (-F.col("nid")).alias("low"))).getField("low").alias("low"))
-                    .select("pid", (-F.col("low")).alias("child")))
+            self._build()
         return self._cont
 
-    def _subtree_sizes(self, e0: DataFrame) -> DataFrame:
-        """(nid, size): nodes of each first-parent subtree, by pointer doubling:
-        the descendants closer than 2^(k+1) are those closer than 2^k plus those
-        of the descendants at distance 2^k."""
-        jump = e0.select("nid", F.col("pid").alias("up"))
-        sizes = self.ids().select("nid", F.lit(1).cast("bigint").alias("size"))
+    def _subtree_sizes(self, sizes: DataFrame, jump: DataFrame, temps: list) -> DataFrame:
+        """(nid, size): the sum of ``sizes(nid, size)`` over each subtree of the
+        forest ``jump(nid, up)``, by pointer doubling: the descendants closer than
+        2^(k+1) are those closer than 2^k plus those of the descendants at
+        distance 2^k."""
         for _ in range(self.max_rounds):
             if jump.isEmpty():
                 return sizes
             below = jump.join(sizes, "nid").groupBy(F.col("up").alias("nid")).agg(F.sum("size").alias("below"))
-            sizes = _cut(sizes.join(below, "nid", "left").select("nid", (F.col("size") + F.coalesce("below", F.lit(0))).alias("size")))
-            jump = _cut(jump.join(jump.select(F.col("nid").alias("up"), F.col("up").alias("up2")), "up").select("nid", F.col("up2").alias("up")))
+            sizes = _cut(sizes.join(below, "nid", "left").select("nid", (F.col("size") + F.coalesce("below", F.lit(0))).alias("size")), temps)
+            jump = _cut(jump.join(jump.select(F.col("nid").alias("up"), F.col("up").alias("up2")), "up").select("nid", F.col("up2").alias("up")), temps)
         raise NotConverged("subtree sizes did not converge")
 
     def index(self) -> DataFrame:
         """(nid, chain, cpos): chain = nid of the chain's oldest commit, cpos =
         distance to it."""
         if self._index is None:
-            nxt = self._continuations().select(F.col("child").alias("nid"), F.col("pid").alias("nxt"))
-            start = _cut(self.ids().select("nid").join(nxt, "nid", "left"))
-            self._index = self._rank(start, [])
+            self._build()
         return self._index
 
-    def _rank(self, start: DataFrame, done_pieces: list) -> DataFrame:
-        """List ranking by pointer jumping over ``start(nid, nxt)``; nodes of
-        ``done_pieces(nid, jump, d)`` are already ranked (jump = chain tail).
+    def _rank(self, start: DataFrame, ranked: DataFrame | None = None) -> DataFrame:
+        """List ranking by pointer jumping over ``start(nid, nxt, w)``, w the
+        distance to nxt; nodes of ``ranked(nid, jump, d)`` are ranked already
+        (jump = chain tail).  Output (nid, chain, cpos) of the start's nodes.
 
         A node is *done* once its jump reaches the chain's tail; done nodes
-        leave the probe side (they stay as checkpointed pieces that serve as
-        lookup targets), so the probe side never holds a hot key: the jumps of
-        active nodes are all distinct.  Without this every finished node of a
-        long chain would point at the same tail."""
-        pieces = list(done_pieces) + [
-            start.where(F.col("nxt").isNull()).select("nid", F.col("nid").alias("jump"), F.lit(0).alias("d"))]
-        active = start.where(F.col("nxt").isNotNull()).select("nid", F.col("nxt").alias("jump"), F.lit(1).alias("d"))
+        leave the probe side (their rows stay as lookup targets), so the probe
+        side never holds a hot key: the jumps of active nodes are all distinct.
+        Without this every finished node of a long chain would point at the
+        same tail.  The rounds are partitions of one table, so the lookup side
+        is one scan however many rounds there were."""
+        spark = start.sparkSession
+        base = scratch_path(spark, "graph-rank")
+        rows = start.select("nid", F.coalesce("nxt", "nid").alias("jump"), F.when(F.col("nxt").isNotNull(), F.col("w")).otherwise(0).cast("bigint").alias("d"),
+                            F.col("nxt").isNull().alias("done"))
+        schema = T.StructType(rows.schema.fields[:3] + [T.StructField("round", T.IntegerType()), T.StructField("done", T.BooleanType())])
         for i in range(self.max_rounds):
-            self.rounds["doubling"] = i
+            rows.write.partitionBy("done").parquet(f"{base}/round={i}")
+            self.rounds["ranking"] = i
+            table = spark.read.schema(schema).option("basePath", base).parquet(base)
+            active = table.where((F.col("round") == i) & ~F.col("done"))
             if active.isEmpty():
                 break
-            done = pieces[0]
-            for p in pieces[1:]:
-                done = done.unionByName(p)
-            lookup = (done.withColumn("done", F.lit(True))
-                      .unionByName(active.withColumn("done", F.lit(False)))
-                      .select(F.col("nid").alias("jump"), F.col("jump").alias("j2"), F.col("d").alias("d2"), "done"))
-            step = _cut(active.join(lookup, "jump").select(
-                "nid", F.col("j2").alias("jump"), (F.col("d") + F.col("d2")).alias("d"), "done"))
-            pieces.append(step.where("done").drop("done"))
-            active = step.where(~F.col("done")).drop("done")
+            lookup = table.where(F.col("done") | (F.col("round") == i)).select(F.col("nid").alias("jump"), F.col("jump").alias("j2"), F.col("d").alias("d2"), "done")
+            if ranked is not None:
+                lookup = lookup.unionByName(ranked.select(F.col("nid").alias("jump"), F.col("jump").alias("j2"), F.col("d").cast("bigint").alias("d2"), F.lit(True).alias("done")))
+            rows = active.select("nid", "jump", "d").join(lookup, "jump").select(
+                "nid", F.col("j2").alias("jump"), (F.col("d") + F.col("d2")).alias("d"), "done")
         else:
             raise NotConverged("chain ranking did not converge")
-        done = pieces[0]
-        for p in pieces[1:]:
-            done = done.unionByName(p)
-        return _cut(done.select("nid", F.col("jump").alias("chain"), F.col("d").alias("cpos")))
+        out = _cut(table.where("done").select("nid", F.col("jump").alias("chain"), F.col("d").alias("cpos")))
+        drop_path(spark, base)
+        return out
 
     def cross_edges(self) -> DataFrame:
         """(src_chain, src_pos, dst_chain, dst_pos): every edge that is not a
@@ -196,11 +231,10 @@ class CommitGraph:
                     .join(old_cont.select("pid"), "pid", "left_anti")
                     .groupBy("pid").agg(F.min("nid").alias("child")))
         g._cont = _cut(old_cont.unionByName(new_cont))
-        nxt = new_cont.select(F.col("child").alias("nid"), F.col("pid").alias("nxt"))
-        start = _cut(new_ids.select("nid").join(nxt, "nid", "left"))
+        nxt = new_cont.select(F.col("child").alias("nid"), F.col("pid").alias("nxt"), F.lit(1).alias("w"))
+        start = new_ids.select("nid").join(nxt, "nid", "left")
         ranked = self.index().select("nid", F.col("chain").alias("jump"), F.col("cpos").alias("d"))
-        new_index = g._rank(start, [ranked])
-        g._index = new_index
+        g._index = _cut(self.index().unionByName(g._rank(start, ranked)))
         g._cross = _cut(self.cross_edges().unionByName(g._cross_of(fresh_edges)))
         return g
 
@@ -214,10 +248,11 @@ class CommitGraph:
         """(repository_id, ref, chain, max_pos) for ``refs(repository_id, ref, target_oid)``."""
         idx = self.index()
         cross = self.cross_edges()
+        temps: list = []
         start = (refs.select(R, "ref", F.col("target_oid").alias("oid"))
                  .join(self.ids(), [R, "oid"]).join(idx, "nid"))
         state = _cut(start.groupBy(R, "ref", "chain").agg(F.max("cpos").alias("max_pos")))
-        delta = state.withColumn("prev_pos", F.lit(None).cast("int"))
+        delta = state.withColumn("prev_pos", F.lit(None).cast("bigint"))
         keys = [R, "ref", "chain"]
         for i in range(self.max_rounds):
             # joined on (chain, bucket): a chain that most refs meet is spread over its buckets
@@ -231,7 +266,7 @@ class CommitGraph:
             imp = cand.join(state, keys, "left").where(
                 F.col("max_pos").isNull() | (F.col("cand") > F.col("max_pos"))
             ).select(*keys, F.col("cand").alias("max_pos"), F.col("max_pos").alias("prev_pos"))
-            imp = _cut(imp)
+            imp = _cut(imp, temps)
             self.rounds["frontier"] = i + 1
             if imp.isEmpty():
                 break
@@ -239,6 +274,7 @@ class CommitGraph:
             delta = imp
         else:
             raise NotConverged("frontier expansion did not converge")
+        _drop(state.sparkSession, temps)
         return state
 
     def reachable(self, refs: DataFrame) -> DataFrame:

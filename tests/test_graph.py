@@ -45,22 +45,45 @@ def test_root_merge_and_shallow(spark):
     assert g.dangling().count() == 1
 
 
+def _random_parents(rnd, n, back, share, after):
+    parents = {}
+    for i in range(n):
+        ps = []
+        if i > 0:
+            ps.append(f"n{rnd.randrange(max(0, i - back), i):03d}")
+            if rnd.random() < share and i > after:
+                ps.append(f"n{rnd.randrange(0, i):03d}")
+        parents[f"n{i:03d}"] = ps
+    return parents
+
+
 def test_random_dags_match_bfs(spark):
+    """Several random histories, one repository each, in one index."""
     rnd = random.Random(7)
-    for trial in range(3):
-        n = 120
-        parents = {}
-        for i in range(n):
-            ps = []
-            if i > 0:
-                ps.append(f"n{rnd.randrange(max(0, i - 5), i):03d}")
-                if rnd.random() < 0.2 and i > 10:
-                    ps.append(f"n{rnd.randrange(0, i):03d}")
-            parents[f"n{i:03d}"] = ps
-        tips = {f"t{k}": f"n{rnd.randrange(n):03d}" for k in range(6)}
-        _, got = _reach(spark, parents, tips, bucket=16)
-        for ref, tip in tips.items():
-            assert got[ref] == _bfs(parents, tip), (trial, ref)
+    repos = {repo: _random_parents(rnd, 120, 1 + repo, 0.2, 10) for repo in range(1, 7)}
+    nodes, edges = _frames(spark, repos[1], 1)
+    for repo in range(2, 7):
+        n, e = _frames(spark, repos[repo], repo)
+        nodes, edges = nodes.union(n), edges.union(e)
+    tips = {(repo, f"t{k}"): f"n{rnd.randrange(120):03d}" for repo in repos for k in range(6)}
+    refs = spark.createDataFrame([(repo, name, t) for (repo, name), t in tips.items()], "repository_id long, ref string, target_oid string")
+    g = G.CommitGraph(nodes, edges, bucket=16)
+    got = {}
+    for r in g.reachable(refs).collect():
+        got.setdefault((r["repository_id"], r["ref"]), set()).add(r["oid"])
+    for key, tip in tips.items():
+        assert got[key] == _bfs(repos[key[0]], tip), key
+
+
+def test_rounds_keep_the_planned_size_small(spark):
+    """A long path takes many rounds; the planner's size estimate follows the files, not the rounds."""
+    n = 3000
+    nodes = spark.range(n).selectExpr("1L as repository_id", "format_string('n%05d', id) as oid")
+    edges = spark.range(1, n).selectExpr("1L as repository_id", "format_string('n%05d', id) as oid", "0 as pos", "format_string('n%05d', id - 1) as parent_oid")
+    g = G.CommitGraph(nodes, edges)
+    size = int(str(g.index()._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert g.rounds["doubling"] >= 12 and size < 10_000_000
+    assert g.index().agg(F.max("cpos")).first()[0] == n - 1
 
 
 def _attrs(spark, parents, times):

@@ -71,9 +71,9 @@ def test_log_page_ties_and_flags(spark):
 
 def test_prefix_match_two_way(spark):
     left = spark.createDataFrame([(1, "abcdef0123456789")], "repository_id long, oid string")
-    right = spark.createDataFrame([("abcdef0",), ("abcdef0123456789ffff",), ("abcdef1",), ("abc",)], "oid string")
-    got = sorted(r["matched_oid"] for r in Q.match_oid_prefix(left, right, k=7).collect())
-    assert got == ["abcdef0", "abcdef0123456789ffff"]
+    right = spark.createDataFrame([(1, "abcdef0"), (1, "abcdef0123456789ffff"), (1, "abcdef1"), (1, "abc"), (2, "abcdef0")], "repository_id long, oid string")
+    got = sorted(r["matched_oid"] for r in Q.match_oid_prefix(left, right).collect())
+    assert got == ["abc", "abcdef0", "abcdef0123456789ffff"]
 
 
 def test_commit_index_writer_roundtrip_sorted(spark, tmp_path):
