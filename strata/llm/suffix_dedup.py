@@ -14,9 +14,10 @@ In a block, the suffixes at which strings start are sorted up to LENGTH bytes:
     their first 32 bytes.
 3.  Long ties are resolved by the ranks of the sample suffixes at the pair's
     shift, all ties of the bucket at once, by quicksort partitions around the
-    first suffix of each tie.
-4.  Suffixes that are equal so far are held against each other on the bytes
-    after COVER, so that exactly LENGTH bytes are compared.
+    first suffix of each tie.  A shift decides shift + COVER bytes, which is not
+    the same number for every pair; suffixes that are equal there are compared
+    with the pivot on the bytes up to LENGTH at once, so that every partition
+    is by exactly LENGTH bytes and equal strings always stay together.
 
 Memory is that of a block's text and ranks and one bucket's keys, whatever the
 lengths of the repeats.
@@ -97,8 +98,12 @@ def cover_ranks(w8: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def split_ties(pos: np.ndarray, tie: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """Refine ties (a label for each suffix, equal on 32 bytes) into labels of suffixes equal on shift + COVER bytes."""
+#: the 8-byte words that cover the bytes from COVER to LENGTH
+TAIL = range(COVER - 5, LENGTH, 8)
+
+
+def split_ties(pos: np.ndarray, tie: np.ndarray, ranks: np.ndarray, w8: np.ndarray) -> np.ndarray:
+    """Refine ties (a label for each suffix, equal on 32 bytes) into labels of suffixes equal on LENGTH bytes."""
     label = np.zeros(len(pos), np.int64)
     todo, done = np.arange(len(pos)), 0
     tie = tie.copy()
@@ -112,10 +117,16 @@ def split_ties(pos: np.ndarray, tie: np.ndarray, ranks: np.ndarray) -> np.ndarra
         p = pos[todo]
         shift = _SHIFT[p % PERIOD, pivot % PERIOD]
         mine, its = ranks[p + shift], ranks[pivot + shift]
-        same = mine == its
+        same, above = mine == its, mine > its
+        near = np.flatnonzero(same & (p != pivot))
+        for k in TAIL:
+            a, b = w8[p[near] + k], w8[pivot[near] + k]
+            off = a != b
+            same[near[off]], above[near[off]] = False, a[off] > b[off]
+            near = near[~off]
         label[todo[same]] = done + group[same]
         done += int(group[-1]) + 1
-        tie[todo] = group * 2 + (mine > its)
+        tie[todo] = group * 2 + above
         todo = todo[~same]
     return label
 
@@ -137,20 +148,7 @@ def repeated_strings(text: np.ndarray, starts: np.ndarray, weight: np.ndarray) -
         tie = dense(lead[lo:hi])
         for shift in (8, 16, 24):
             tie = dense(tie << np.uint64(32) | dense(w8[pos + shift]))
-        label = split_ties(pos, tie.astype(np.int64), ranks)
-        # the bytes from COVER to LENGTH: against the first of each class, and only then in full
-        first = np.full(int(label.max()) + 1, len(pos), np.int64)
-        np.minimum.at(first, label, np.arange(len(pos)))
-        tail = range(COVER - 5, LENGTH, 8)
-        off = np.zeros(len(first), bool)
-        for shift in tail:
-            off[label[w8[pos + shift] != w8[pos[first[label]] + shift]]] = True
-        again = np.flatnonzero(off[label])
-        if len(again):
-            key = dense(label[again].astype(np.uint64))
-            for shift in tail:
-                key = dense(key << np.uint64(32) | dense(w8[pos[again] + shift]))
-            label[again] = len(first) + key.astype(np.int64)
+        label = split_ties(pos, tie.astype(np.int64), ranks, w8)
         n = int(label.max()) + 1
         one = np.full(n, len(pos), np.int64)
         np.minimum.at(one, label, np.arange(len(pos)))
