@@ -129,19 +129,90 @@ def lcs_row(a: list, b: list) -> np.ndarray:
     return np.cumsum(np.concatenate(grown))
 
 
+def _common(a: np.ndarray, b: np.ndarray, x: int, y: int, step: int = 16) -> int:
+    """Equal items of a[x:] and b[y:] from their beginnings on."""
+    n, most = 0, min(len(a) - x, len(b) - y)
+    while n < most:
+        size = min(step, most - n)
+        differ = a[x + n: x + n + size] != b[y + n: y + n + size]
+        first = int(differ.argmax())
+        if differ[first]:
+            return n + first
+        n, step = n + size, step * 4
+    return most
+
+
+def middle_snake(a: np.ndarray, b: np.ndarray, budget: int | None = None) -> tuple[int, int, int, int, int] | None:
+    """(D, x, y, u, v): the length D of a shortest edit script and a run of equal
+    items from (x, y) to (u, v) halfway along one, by the greedy O(ND) search
+    from both ends in linear space (Myers 1986).  None once more than ``budget``
+    furthest points were visited: the edit distance is then large."""
+    n, m = len(a), len(b)
+    delta, odd = n - m, (n - m) % 2 == 1
+    ra, rb = a[::-1], b[::-1]
+    front, back, used = {1: 0}, {1: 0}, 0
+    for d in range((n + m + 1) // 2 + 1):
+        for k in range(-d, d + 1, 2):
+            if k < -m or k > n:
+                continue
+            x = front.get(k + 1, 0) if k == -d or (k != d and front.get(k - 1, -1) < front.get(k + 1, -1)) else front[k - 1] + 1
+            x0, y0 = x, x - k
+            if x0 > n or y0 > m or y0 < 0:
+                front[k] = x
+                continue
+            x += _common(a, b, x0, y0)
+            front[k] = x
+            if odd and -(d - 1) <= delta - k <= d - 1 and delta - k in back and x + back[delta - k] >= n:
+                return 2 * d - 1, x0, y0, x, x - k
+        for k in range(-d, d + 1, 2):
+            if k < -m or k > n:
+                continue
+            x = back.get(k + 1, 0) if k == -d or (k != d and back.get(k - 1, -1) < back.get(k + 1, -1)) else back[k - 1] + 1
+            x0, y0 = x, x - k
+            if x0 > n or y0 > m or y0 < 0:
+                back[k] = x
+                continue
+            x += _common(ra, rb, x0, y0)
+            back[k] = x
+            if not odd and -d <= delta - k <= d and delta - k in front and x + front[delta - k] >= n:
+                return 2 * d, n - x, m - (x - k), n - x0, m - y0
+        used += 2 * (d + 1)
+        if budget is not None and used > budget:
+            return None
+    raise AssertionError("an edit script exists")
+
+
+def _budget(n: int, m: int) -> int:
+    """Furthest points up to which the greedy search costs no more than the bit-parallel rows, about two a line and block."""
+    return 2 * n * -(-m // BLOCK) + 64
+
+
+def _numbered(a: list, b: list) -> tuple[np.ndarray, np.ndarray]:
+    """Both line lists as numbers, equal lines as equal ones."""
+    code: dict = {}
+    return (np.array([code.setdefault(x, len(code)) for x in a], np.int64), np.array([code.setdefault(x, len(code)) for x in b], np.int64))
+
+
 def lcs_length(a: list, b: list) -> int:
-    """Length of a longest common subsequence of two line lists, of any length."""
+    """Length of a longest common subsequence of two line lists, of any length:
+    by the greedy search while the edit distance is small, which it finds out,
+    else by bit-parallel rows."""
     i, j = _trimmed(a, b)
     a2, b2 = a[i:len(a) - j], b[i:len(b) - j]
     shared = set(a2) & set(b2)  # other lines cannot match
     a2, b2 = [x for x in a2 if x in shared], [x for x in b2 if x in shared]
-    return i + j + (int(lcs_row(a2, b2)[-1]) if a2 and b2 else 0)
+    if not a2 or not b2:
+        return i + j
+    found = middle_snake(*_numbered(a2, b2), budget=_budget(len(a2), len(b2)))
+    return i + j + ((len(a2) + len(b2) - found[0]) // 2 if found else int(lcs_row(a2, b2)[-1]))
 
 
 def align(a: list, b: list) -> list:
     """Minimal edit script as (origin, text) with origin ' ', '-', '+': exact in
-    linear space for any length, by halving ``a`` and cutting ``b`` where the
-    subsequences of the halves are longest together (the first such place)."""
+    linear space for any length.  The problem is cut in two at the middle of a
+    shortest script where the edit distance is small, else by halving ``a`` and
+    cutting ``b`` where the subsequences of the halves are longest together
+    (the first such place)."""
     out: list = []
     todo = [(a, b)]
     while todo:
@@ -160,9 +231,16 @@ def align(a: list, b: list) -> list:
             k = b.index(a[0]) if a[0] in b else -1
             out += [("-", a[0])] + [("+", t) for t in b] if k < 0 else [("+", t) for t in b[:k]] + [(" ", a[0])] + [("+", t) for t in b[k + 1:]]
         else:
-            half = len(a) // 2
-            k = int(np.argmax(lcs_row(a[:half], b) + lcs_row(a[half:][::-1], b[::-1])[::-1]))
-            todo += [(a[half:], b[k:]), (a[:half], b[:k])]
+            found = middle_snake(*_numbered(a, b), budget=_budget(len(a), len(b)))
+            if found and found[0] == len(a) + len(b):  # nothing in common
+                out += [("-", t) for t in a] + [("+", t) for t in b]
+            elif found:
+                _, x, y, u, v = found
+                todo += [(a[u:], b[v:]), (None, a[x:u]), (a[:x], b[:y])]
+            else:
+                half = len(a) // 2
+                k = int(np.argmax(lcs_row(a[:half], b) + lcs_row(a[half:][::-1], b[::-1])[::-1]))
+                todo += [(a[half:], b[k:]), (a[:half], b[:k])]
     return out
 
 
@@ -180,25 +258,36 @@ def _count_batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"old_blob": pdf["old_blob"], "new_blob": pdf["new_blob"], "insertions": ins, "deletions": dels})
 
 
+def patch_rows(old: str | None, new: str | None) -> list[tuple]:
+    """(seq, origin, content, ordinal, old_line, new_line, no_newline) of one file:
+    changed lines with CONTEXT lines around them; ordinal numbers the changed
+    ones; a line's numbers on the sides that have it, from 1."""
+    if _is_binary(old) or _is_binary(new):
+        return []
+    script = align(_split(old), _split(new))
+    change = np.flatnonzero(np.fromiter((o != " " for o, _ in script), bool, len(script)))
+    keep = np.unique(np.clip((change[:, None] + np.arange(-CONTEXT, CONTEXT + 1)).ravel(), 0, max(len(script) - 1, 0)))
+    in_old = np.cumsum(np.fromiter((o != "+" for o, _ in script), np.int64, len(script)))
+    in_new = np.cumsum(np.fromiter((o != "-" for o, _ in script), np.int64, len(script)))
+    rows, ordinal = [], 0
+    for seq, k in enumerate(keep.tolist()):
+        origin, text = script[k]
+        ordinal += origin != " "
+        rows.append((seq, origin, text.removesuffix(NO_NEWLINE), ordinal if origin != " " else None, int(in_old[k]) if origin != "+" else None,
+                     int(in_new[k]) if origin != "-" else None, text.endswith(NO_NEWLINE)))
+    return rows
+
+
+PATCH = ["seq", "origin", "content", "ordinal", "old_line", "new_line", "no_newline"]
+PATCH_SCHEMA = "seq int, origin string, content string, ordinal int, old_line int, new_line int, no_newline boolean"
+
+
 def _patch_batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in it:
-        rows: list = []
-        for ob, nb, o, n in zip(pdf["old_blob"], pdf["new_blob"], pdf["old_content"], pdf["new_content"]):
-            if _is_binary(o) or _is_binary(n):
-                continue
-            script = align(_split(o), _split(n))
-            keep = set()
-            for k, (origin, _) in enumerate(script):
-                if origin != " ":
-                    keep.update(range(max(0, k - CONTEXT), min(len(script), k + CONTEXT + 1)))
-            ordinal = 0
-            for seq, k in enumerate(sorted(keep)):
-                origin, text = script[k]
-                ordinal += origin != " "
-                rows.append((ob, nb, seq, origin, text.removesuffix(NO_NEWLINE), ordinal if origin != " " else None))
+        rows = [(ob, nb, *r) for ob, nb, o, n in zip(pdf["old_blob"], pdf["new_blob"], pdf["old_content"], pdf["new_content"]) for r in patch_rows(o, n)]
         if rows:  # an empty frame has no column types
-            out = pd.DataFrame(rows, columns=["old_blob", "new_blob", "seq", "origin", "content", "ordinal"])
-            yield out.astype({"old_blob": "string", "new_blob": "string", "seq": "int32", "ordinal": "Int32", "origin": "string", "content": "string"})
+            out = pd.DataFrame(rows, columns=["old_blob", "new_blob", *PATCH])
+            yield out.astype({"old_blob": "string", "new_blob": "string", "seq": "int32", "ordinal": "Int32", "origin": "string", "content": "string", "old_line": "Int32", "new_line": "Int32"})
 
 
 def _per_blob_pair(changes: DataFrame, blobs: DataFrame, fn, schema: str, how: str) -> DataFrame:
@@ -218,10 +307,42 @@ def line_change_counts(changes: DataFrame, blobs: DataFrame) -> DataFrame:
 
 
 def diff_lines(changes: DataFrame, blobs: DataFrame) -> DataFrame:
-    """D3: patch lines (pair_id, path, seq, origin, content, ordinal) with 3
-    context lines; ordinal numbers the changed lines of a file."""
-    return _per_blob_pair(changes, blobs, _patch_batches, "seq int, origin string, content string, ordinal int", "inner").select(
-        "c.pair_id", "c.path", "x.seq", "x.origin", "x.content", "x.ordinal")
+    """D3: patch lines (pair_id, path, seq, origin, content, ordinal, old_line,
+    new_line, no_newline) with 3 context lines; ordinal numbers the changed
+    lines of a file, no_newline marks a last line without one."""
+    return _per_blob_pair(changes, blobs, _patch_batches, PATCH_SCHEMA, "inner").select("c.pair_id", "c.path", *[f"x.{c}" for c in PATCH])
+
+
+def patched(files: DataFrame, patch: DataFrame, key: list[str], reverse: bool = False) -> DataFrame:
+    """The other side of patched files: ``files(*key, content)`` with the patch lines
+    of D3 applied (taken back if ``reverse``), as (*key, content).
+
+    A file's lines are numbered; those the patch takes away go, those it adds
+    have their numbers on the other side, and the rest keep their order in the
+    numbers left free.  Files without patch lines come out as they are."""
+    gone, come, here, there = ("+", "-", "new_line", "old_line") if reverse else ("-", "+", "old_line", "new_line")
+    lines = files.where(~_binary(F.col("content"))).select(*key, F.posexplode(_lines(F.col("content"))).alias("_at", "_line"))
+    lines = lines.select(*key, (F.col("_at") + 1).alias(here), F.replace("_line", F.lit(NO_NEWLINE), F.lit("")).alias("_text"),
+                         F.endswith("_line", F.lit(NO_NEWLINE)).alias("_open"))
+    away = patch.where(F.col("origin") == gone).select(*key, here)
+    stay = lines.join(away, [*key, here], "left_anti")
+    stay = stay.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy(here)))
+    added = patch.where(F.col("origin") == come).select(*key, F.col(there).alias("_no"), F.col("content").alias("_text"), F.col("no_newline").alias("_open"))
+    # the k-th line that stays gets the k-th free number: k plus the added lines at or before it
+    before = added.select(*key, "_no", (F.col("_no") - F.row_number().over(Window.partitionBy(*key).orderBy("_no"))).alias("_free"))  # free numbers below each added one
+    shift = before.groupBy(*key, "_free").agg(F.count(F.lit(1)).alias("_n"))
+    shift = shift.select(*key, (F.col("_free") + 1).alias("_k"), F.col("_n"))
+    moved = stay.select(*key, "_k", "_text", "_open", F.lit(0).cast("bigint").alias("_n"), F.lit(1).alias("_is")).unionByName(
+        shift.select(*key, "_k", F.lit(None).cast("string").alias("_text"), F.lit(None).cast("boolean").alias("_open"), "_n", F.lit(0).alias("_is")))
+    upto = Window.partitionBy(*key).orderBy("_k", "_is").rowsBetween(Window.unboundedPreceding, 0)
+    placed = moved.select(*key, (F.col("_k") + F.sum("_n").over(upto)).alias("_no"), "_text", "_open", "_is").where("_is = 1").drop("_is")
+    every = placed.unionByName(added.select(*key, F.col("_no").cast("bigint").alias("_no"), "_text", "_open"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_no", "_text", "_open"))),
+                                    lambda r: F.concat(r["_text"], F.when(r["_open"], F.lit("")).otherwise(F.lit("\n")))), "")
+    built = every.groupBy(*key).agg(text.alias("_built"))  # one file's lines
+    out = files.select(*key, F.col("content").alias("_content")).join(built, key, "left")
+    same = F.when(_binary(F.col("_content")), F.col("_content")).otherwise(F.lit(""))
+    return out.select(*key, F.coalesce("_built", same).alias("content"))
 
 
 def commit_patch_lines(feed: DataFrame, tree_entries: DataFrame, blobs: DataFrame) -> DataFrame:
@@ -231,7 +352,7 @@ def commit_patch_lines(feed: DataFrame, tree_entries: DataFrame, blobs: DataFram
     stored = tree_entries.select(R, F.col("commit_oid").alias("to_oid")).distinct()
     pairs = first_parent_pairs(feed).join(stored, [R, "to_oid"], "left_semi")
     pairs = pairs.withColumn("pair_id", F.concat_ws("/", F.col(R).cast("string"), F.col("to_oid")))
-    lines = diff_lines(file_changes(tree_entries, pairs), blobs)
+    lines = diff_lines(file_changes(tree_entries, pairs), blobs).drop("old_line", "new_line", "no_newline")
     return lines.join(pairs.select("pair_id", R, F.col("to_oid").alias("commit_oid")), "pair_id").drop("pair_id")
 
 
@@ -263,6 +384,33 @@ def patch_fingerprints(lines: DataFrame) -> DataFrame:
         F.sum("h").alias("fp_sum"), F.count(F.lit(1)).alias("n_lines"), F.count_distinct("path").alias("n_paths"))
 
 
+def pair_fingerprints(changes: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Per distinct (old_blob, new_blob): fp_sum and n_lines of its patch, each
+    patch aligned and hashed once however many commits share it.  Line numbers
+    and context lines do not count, white space inside lines neither."""
+    lines = _per_blob_pair(changes.select("old_blob", "new_blob").distinct(), blobs, _patch_batches, PATCH_SCHEMA, "inner").where(F.col("x.origin") != " ")
+    h = F.xxhash64("x.ordinal", "x.origin", F.regexp_replace("x.content", r"\s+", "")).cast("decimal(38,0)")
+    return lines.groupBy("c.old_blob", "c.new_blob").agg(F.sum(h).alias("fp_sum"), F.count(F.lit(1)).alias("n_lines"))
+
+
+def commit_fingerprints(changes: DataFrame, blobs: DataFrame) -> DataFrame:
+    """J3's key per commit from its file changes (repository_id, commit_oid, path,
+    old_blob, new_blob): the sum over its files of the hash of path and patch
+    fingerprint, with line and path counts.  Partial aggregates only."""
+    fps = pair_fingerprints(changes, blobs)
+    same = F.col("c.old_blob").eqNullSafe(F.col("f.old_blob")) & F.col("c.new_blob").eqNullSafe(F.col("f.new_blob"))
+    each = changes.alias("c").join(fps.alias("f"), same).select(
+        f"c.{R}", "c.commit_oid", "f.n_lines", F.xxhash64("c.path", "f.fp_sum", "f.n_lines").cast("decimal(38,0)").alias("h"))
+    return each.groupBy(R, "commit_oid").agg(F.sum("h").alias("fp_sum"), F.sum("n_lines").alias("n_lines"), F.count(F.lit(1)).alias("n_paths"))
+
+
+def commit_diff_stats(changes: DataFrame, blobs: DataFrame) -> DataFrame:
+    """F13/P11 per commit: files changed, insertions and deletions by D1 over distinct blob pairs."""
+    counted = _per_blob_pair(changes, blobs, _count_batches, "insertions bigint, deletions bigint", "left")
+    return counted.groupBy(f"c.{R}", "c.commit_oid").agg(
+        F.count_distinct("c.path").alias("files_changed"), F.sum("x.insertions").cast("bigint").alias("insertions"), F.sum("x.deletions").cast("bigint").alias("deletions"))
+
+
 def flag_equivalent_sets(only_old: DataFrame, only_new: DataFrame, fingerprints: DataFrame) -> DataFrame:
     """J3 over the two sides of the symmetric difference, each
     (repository_id, old_ref, new_ref, oid) - e.g. from frontier intervals."""

@@ -129,6 +129,25 @@ fx_diff_lines AS MATERIALIZED (
                                                  || CASE WHEN lane = 2 THEN '  ' ELSE '' END},
              {'seq': 3, 'origin': '+', 'content': summary || CASE WHEN lane = 2 THEN '  ' ELSE '' END}]) AS l
     FROM fx_history WHERE n_parents <= 1) x),
+fx_file_states AS (
+  SELECT n.repository_id, c.chain, n.event_id, n.oid AS commit_oid,
+         'src/' || regexp_extract(n.summary, '^(\S+)', 1) || '/s' || CAST(n.event_id % 9 AS VARCHAR) || '.txt' AS path,
+         list_transform(['count=' || CAST(n.event_id % 500 + CASE WHEN n.lane = 1 AND n.event_id % 7 = 0 THEN 2 ELSE 1 END AS VARCHAR),
+                         'note=' || n.summary, 'owner=' || n.author_name],
+                        lambda x: x || CASE WHEN n.lane = 2 THEN '  ' ELSE '' END) AS lines
+  FROM fx_nodes n JOIN (SELECT unnest([0, 1, 2]) AS chain) c ON n.lane = -1 OR n.lane = c.chain),
+fx_commit_changes AS MATERIALIZED (
+  SELECT DISTINCT repository_id, commit_oid, path, old_lines, new_lines FROM (
+    SELECT repository_id, commit_oid, path, lines AS new_lines, lag(lines) OVER (PARTITION BY repository_id, chain, path ORDER BY event_id) AS old_lines
+    FROM fx_file_states) x WHERE old_lines IS DISTINCT FROM new_lines
+  UNION ALL
+  SELECT repository_id, arg_min(oid, event_id), 'LICENSE', NULL, ['free to use'] FROM fx_nodes GROUP BY repository_id),
+fx_commit_stats AS (
+  SELECT repository_id, commit_oid, count(DISTINCT path) AS files_changed,
+         CAST(sum(len(list_filter(range(1, len(new_lines) + 1), lambda i: old_lines[i] IS DISTINCT FROM new_lines[i]))) AS BIGINT) AS insertions,
+         CAST(sum(CASE WHEN old_lines IS NULL THEN 0
+                       ELSE len(list_filter(range(1, len(old_lines) + 1), lambda i: old_lines[i] IS DISTINCT FROM new_lines[i])) END) AS BIGINT) AS deletions
+  FROM fx_commit_changes GROUP BY repository_id, commit_oid),
 reach(repository_id, ref, oid) AS (
   SELECT repository_id, name, target_oid FROM fx_branches
   UNION

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strata.operators import diff as D
 from strata.operators import graph as G
 from strata.operators import queries as Q
+from strata.operators import trees as TR
 from strata.plans.catalog import register
 from strata.sources import fixtures as fx
 
@@ -37,6 +38,18 @@ def graph_and_reach(spark, d):
                          ["repository_id", "ref"])
 
 
+def history_changes(spark, d):
+    """J7 of every commit of the tree history against its first parent: (repository_id,
+    commit_oid, path, old_blob, new_blob, status); once per session and state of the input files."""
+    key = (spark.sparkContext.applicationId, d, fx.input_state(spark, d), "changes")
+    if key not in _MEMO:
+        trees, commit_trees = fx.fx_tree_history(spark, d)
+        pairs = D.first_parent_pairs(fx.fx_history(spark, d)).withColumn("pair_id", F.struct("repository_id", F.col("to_oid").alias("commit_oid")))
+        found = TR.tree_changes(G._cut(trees), G._cut(commit_trees), pairs)
+        _MEMO[key] = found.select("pair_id.repository_id", "pair_id.commit_oid", "path", "old_blob", "new_blob", "status")
+    return _MEMO[key]
+
+
 def _attrs(spark, d):
     return fx.fx_history(spark, d).select("repository_id", "oid", "committer_time", "parent_oids")
 
@@ -177,11 +190,12 @@ def common_history(spark, d):
 
 FP_SQL = r""",
 fp AS (
-  SELECT repository_id, commit_oid AS oid,
-         string_agg(path || '|' || CAST(k AS VARCHAR) || '|' || origin || '|' || regexp_replace(content, '\s+', '', 'g'),
-                    chr(10) ORDER BY path, k) AS f
-  FROM (SELECT *, row_number() OVER (PARTITION BY repository_id, commit_oid, path ORDER BY seq) AS k
-        FROM fx_diff_lines WHERE origin IN ('+', '-')) t
+  SELECT repository_id, commit_oid AS oid, string_agg(path || '|' || f, chr(10) ORDER BY path) AS f FROM (
+    SELECT repository_id, commit_oid, path, array_to_string(list_filter(list_transform(range(1, 4), lambda i:
+             CASE WHEN old_lines[i] IS DISTINCT FROM new_lines[i]
+                  THEN coalesce('-' || regexp_replace(old_lines[i], '\s+', '', 'g'), '') || coalesce('+' || regexp_replace(new_lines[i], '\s+', '', 'g'), '') END),
+             lambda x: x IS NOT NULL), chr(10)) AS f
+    FROM fx_commit_changes) t
   GROUP BY repository_id, commit_oid),
 flagged AS (
   SELECT DISTINCT o.repository_id, o.new_ref AS old_ref, o.old_ref AS new_ref, o.oid
@@ -211,9 +225,10 @@ def _flagged(spark, d):
     k = ["repository_id", "old_ref", "new_ref"]
     only_old = g.nodes_in(G.frontier_difference(front, pairs, "old_ref", "new_ref"), k)
     only_new = g.nodes_in(G.frontier_difference(front, pairs, "new_ref", "old_ref"), k)
-    # only the lines of commits that one side lacks are hashed
+    # only the patches of commits that one side lacks are aligned and hashed, each once
     differing = only_old.select("repository_id", F.col("oid").alias("commit_oid")).union(only_new.select("repository_id", "oid")).distinct()
-    fps = D.patch_fingerprints(fx.fx_diff_lines(spark, d).join(differing, ["repository_id", "commit_oid"], "left_semi"))
+    changes = history_changes(spark, d).join(differing, ["repository_id", "commit_oid"], "left_semi")
+    fps = D.commit_fingerprints(changes, fx.fx_history_blobs(spark, d))
     return D.flag_equivalent_sets(only_old, only_new, fps)
 
 

@@ -6,9 +6,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strata.functions import scalars as S
+from strata.operators import diff as D
 from strata.operators import queries as Q
 from strata.operators import tables as T
 from strata.plans.catalog import register
+from strata.plans.q_graph import history_changes
 from strata.sources import fixtures as fx
 
 NOW = "2024-02-01 12:00:00"
@@ -134,14 +136,6 @@ def branch_diff_by_oid(spark, d):
         "repository_id", "old_branch", "new_branch", "oid", "committer_time")
 
 
-def _patch_stats(spark, d):
-    dl = fx.fx_diff_lines(spark, d)
-    return dl.groupBy("repository_id", "commit_oid").agg(
-        F.count_distinct("path").alias("files_changed"),
-        F.count_if(F.col("origin") == "+").alias("insertions"),
-        F.count_if(F.col("origin") == "-").alias("deletions"))
-
-
 @register("commit_detail", oracle=f"""
 SELECT c.repository_id, c.oid, substr(c.oid, 1, 8) AS sha_short, c.summary, c.message, c.author_name, c.author_email,
        {RFC_SQL.format(t='c.author_time')} AS author_time, c.committer_name, c.committer_email,
@@ -151,13 +145,11 @@ SELECT c.repository_id, c.oid, substr(c.oid, 1, 8) AS sha_short, c.summary, c.me
          || CAST(s.deletions AS VARCHAR) || ' deletions(-)' AS diff_stats
 FROM (SELECT DISTINCT repository_id, oid, summary, message, author_name, author_email, author_time, committer_name,
              committer_email, committer_time, parents FROM fx_commits) c
-LEFT JOIN (SELECT repository_id, commit_oid, count(DISTINCT path) AS files_changed,
-                  count(*) FILTER (WHERE origin = '+') AS insertions, count(*) FILTER (WHERE origin = '-') AS deletions
-           FROM fx_diff_lines GROUP BY repository_id, commit_oid) s
+LEFT JOIN fx_commit_stats s
   ON s.repository_id = c.repository_id AND s.commit_oid = c.oid""")
 def commit_detail(spark, d):
-    """Commit identity, parents and patch stats joined by (repository_id, oid)."""
-    st = _patch_stats(spark, d)
+    """Commit identity, parents and the stats of its diff against the first parent."""
+    st = D.commit_diff_stats(history_changes(spark, d), fx.fx_history_blobs(spark, d))
     st = st.withColumn("diff_stats", S.format_diff_stats("files_changed", "insertions", "deletions"))
     return Q.commit_detail(fx.fx_commits(spark, d), st)
 

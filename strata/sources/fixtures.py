@@ -24,6 +24,7 @@ LANES = [0, 1, 2]                  # 0 main, 1 release, 2 dev; -1 is the shared
 LANE_BRANCH = {0: "origin/main", 1: "origin/release", 2: "origin/dev"}
 LANE_REF = {0: "refs/remotes/origin/main", 1: "refs/remotes/origin/release", 2: "refs/remotes/origin/dev"}
 MERGE_EVERY = 20                   # main commits with event_id % 20 = 0 merge release
+LAST_DROP = 2                      # the streamed feeds come in three drops
 INDEX_TIME = "2024-02-01 00:00:00"  # created_at of index rows / updated_at of branches
 BUCKET = 4096                      # event-id bucket of the generator's "previous row" lookups (not a fixed value)
 # ------------------------------------------------------------------------------
@@ -307,6 +308,58 @@ def fx_tag_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fx_ref_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refs as an exporter sees them day by day: (drop, repository_id, ref_name,
+    target_oid, is_head, seen_at).  Six days a drop from the fork on, three drops.  In the last
+    drop dev of repositories 5, 10, ... is reset to its first tip (a forced
+    move), and release of repositories 1, 6, ... is reported once more as on its
+    first day, with a time older than what is known (a late row).  A symbolic
+    HEAD without target comes with every first day."""
+    n = fx_nodes(spark, sf_dir).where(F.col("lane") >= 0)
+    day = F.datediff(F.to_date("committer_time"), F.lit("2024-01-01"))
+    tips = n.groupBy("repository_id", "lane", day.alias("day")).agg(F.max_by("oid", "event_id").alias("target_oid"))
+    first = tips.groupBy("repository_id", "lane").agg(F.min(F.struct("day", "target_oid")).alias("f")).select("repository_id", "lane", "f.day", "f.target_oid")
+    seen = lambda d: F.timestamp_add("DAY", d + 1, _ts("2024-01-01 00:00:00"))
+    name = _lane_name(LANE_REF).alias("ref_name")
+    head = (F.col("lane") == 0).alias("is_head")
+    drop = F.greatest(F.least(F.floor((F.col("day") - 15) / 6).cast("int"), F.lit(LAST_DROP)), F.lit(0)).alias("drop")
+    daily = tips.select(drop, "repository_id", name, "target_oid", head, seen(F.col("day")).alias("seen_at"))
+    forced = first.where((F.col("repository_id") % 5 == 0) & (F.col("lane") == 2)).select(
+        F.lit(LAST_DROP).alias("drop"), "repository_id", name, "target_oid", head, _ts("2024-02-03 00:00:00").alias("seen_at"))
+    late = first.where((F.col("repository_id") % 5 == 1) & (F.col("lane") == 1)).select(
+        F.lit(LAST_DROP).alias("drop"), "repository_id", name, "target_oid", head, _ts("2024-01-16 12:00:00").alias("seen_at"))
+    symbolic = first.where("lane = 0").select(drop, "repository_id", F.lit("refs/remotes/origin/HEAD").alias("ref_name"),
+                                              F.lit(None).cast("string").alias("target_oid"), F.lit(False).alias("is_head"), seen(F.col("day")).alias("seen_at"))
+    return daily.unionByName(forced).unionByName(late).unionByName(symbolic)
+
+
+def fx_feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commit feed as JSON lines in three drops: (drop, line).
+
+    One row for each commit and branch, merges included, eleven days a drop; rows
+    of commits with event_id % 37 = 0 come one drop later, those with
+    event_id % 5 = 0 come again in the next drop, and commits whose oid starts
+    with '00' come once more as a line cut off in the middle, with '01' with an
+    oid of 39 characters, with '02' without a branch."""
+    h = fx_history(spark, sf_dir)
+    branch = F.explode(F.when(F.col("lane") == -1, F.array(*[F.lit(LANE_BRANCH[k]) for k in LANES])).otherwise(F.array(_lane_name(LANE_BRANCH))))
+    rows = h.select(
+        "event_id", "repository_id", "oid", "author_name", "author_email", ts_to_epoch("author_time").alias("author_time"),
+        F.col("author_name").alias("committer_name"), F.col("author_email").alias("committer_email"), ts_to_epoch("committer_time").alias("committer_time"),
+        "summary", "message", "parent_oids", branch.alias("branch"),
+        F.least(F.floor(F.datediff(F.to_date("committer_time"), F.lit("2024-01-01")) / 11).cast("int"), F.lit(LAST_DROP)).alias("day_drop"))
+    drop = F.least(F.when(F.col("event_id") % 37 == 0, F.col("day_drop") + 1).otherwise(F.col("day_drop")), F.lit(LAST_DROP)).alias("drop")
+    feed = rows.select("*", drop)
+    again = feed.where(F.col("event_id") % 5 == 0).withColumn("drop", F.least(F.col("drop") + 1, F.lit(LAST_DROP)))
+    short = feed.where(F.col("oid").startswith("01")).withColumn("oid", F.left(F.col("oid"), F.lit(39)))
+    nowhere = feed.where(F.col("oid").startswith("02")).withColumn("branch", F.lit(None).cast("string"))
+    columns = [c for c in feed.columns if c not in ("event_id", "day_drop", "drop")]
+    line = F.to_json(F.struct(*columns))
+    whole = feed.unionByName(again).unionByName(short).unionByName(nowhere).select("drop", line.alias("line"))
+    cut = feed.where(F.col("oid").startswith("00")).select("drop", F.left(line, F.lit(90)).alias("line"))
+    return whole.unionByName(cut)
+
+
 def fx_raw_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ref feed as listed: the three origin refs, a symbolic origin/HEAD
     (no direct target) and an upstream remote pointing at main's tip."""
@@ -347,6 +400,78 @@ def fx_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.explode(F.filter(items, lambda x: x.isNotNull())).alias("path"))
 
 
+TYPES = ["click", "error", "purchase", "signup", "view"]  # event types, the directories of the tree history
+SLOTS = 9                                                # files of a directory; event_id % 9 fixes the lanes that touch it
+
+
+def _as_of(df: DataFrame, part: list[str], values: list[str]) -> DataFrame:
+    """Every value column replaced by its last value up to the row, within
+    ``part`` ordered by event_id: inside event buckets, else carried over from
+    bucket summaries."""
+    df = df.withColumn("bkt", F.floor(F.col("event_id") / BUCKET))
+    inside = Window.partitionBy(*part, "bkt").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    ends = df.groupBy(*part, "bkt").agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.col("event_id"))).alias(v) for v in values])
+    before = Window.partitionBy(*part).orderBy("bkt").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*part, "bkt", *[F.last(v, True).over(before).alias(f"_{v}") for v in values])
+    rest = [c for c in df.columns if c not in values and c != "bkt"]
+    now = df.select(*rest, "bkt", *[F.last(v, True).over(inside).alias(v) for v in values])
+    return now.join(carry, [*part, "bkt"], "left").select(*rest, *[F.coalesce(v, f"_{v}").alias(v) for v in values])
+
+
+def fx_file_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree history's changes: each commit writes src/<event type>/s<event_id % 9>.txt
+    on its lane (trunk commits on all three), as (repository_id, chain, event_id,
+    commit_oid, type, slot, path, blob_oid, content).  The three lines of a file
+    follow from the event; dev ends them in blanks, release writes another count
+    when event_id % 7 = 0."""
+    n = fx_nodes(spark, sf_dir)
+    chain = F.explode(F.when(F.col("lane") == -1, F.array(*[F.lit(k) for k in LANES])).otherwise(F.array("lane")))
+    ws = F.when(F.col("lane") == 2, F.lit("  \n")).otherwise(F.lit("\n"))
+    count = F.col("event_id") % 500 + F.when((F.col("lane") == 1) & (F.col("event_id") % 7 == 0), 2).otherwise(1)
+    kind = F.regexp_extract("summary", r"^(\S+)", 1)
+    slot = F.col("event_id") % SLOTS
+    content = F.concat(F.lit("count="), count.cast("string"), ws, F.lit("note="), F.col("summary"), ws, F.lit("owner="), F.col("author_name"), ws)
+    rows = n.select("repository_id", chain.alias("chain"), "event_id", F.col("oid").alias("commit_oid"), kind.alias("type"), slot.cast("int").alias("slot"), content.alias("content"))
+    return rows.select("*", F.concat(F.lit("src/"), F.col("type"), F.lit("/s"), F.col("slot").cast("string"), F.lit(".txt")).alias("path"), F.md5("content").alias("blob_oid"))
+
+
+def fx_tree_history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(trees, commit_trees) of the tree history: LICENSE and src/ at the root, a
+    directory for each event type below src."""
+    s = fx_file_states(spark, sf_dir)
+    license_oid = F.md5(F.lit(LICENSE_TEXT))
+    files = [f"b{i}" for i in range(SLOTS)]
+    per_type = _as_of(s.select("repository_id", "chain", "event_id", "commit_oid", "type", *[F.when(F.col("slot") == i, F.col("blob_oid")).alias(f) for i, f in enumerate(files)]),
+                      ["repository_id", "chain", "type"], files)
+    entries = F.filter(F.array(*[F.struct(F.lit(f"s{i}.txt").alias("name"), F.lit("blob").alias("kind"), F.col(f).alias("child_oid")) for i, f in enumerate(files)]),
+                       lambda e: e["child_oid"].isNotNull())
+    per_type = per_type.select("repository_id", "chain", "event_id", "commit_oid", "type", entries.alias("entries")).withColumn("dir", F.sha1(F.to_json("entries")))
+    dirs = [f"d{i}" for i in range(len(TYPES))]
+    per_src = _as_of(per_type.select("repository_id", "chain", "event_id", "commit_oid", *[F.when(F.col("type") == t, F.col("dir")).alias(c) for t, c in zip(TYPES, dirs)]),
+                     ["repository_id", "chain"], dirs)
+    below = F.filter(F.array(*[F.struct(F.lit(t).alias("name"), F.lit("tree").alias("kind"), F.col(c).alias("child_oid")) for t, c in zip(TYPES, dirs)]),
+                     lambda e: e["child_oid"].isNotNull())
+    per_src = per_src.select("repository_id", "commit_oid", below.alias("entries")).withColumn("src", F.sha1(F.to_json("entries")))
+    root = F.sha1(F.concat(F.lit("root:"), F.col("src"))).alias("root_oid")
+    commit_trees = per_src.select("repository_id", "commit_oid", root).distinct()
+    roots = per_src.select(root.alias("tree_oid"), F.explode(F.array(
+        F.struct(F.lit("LICENSE").alias("name"), F.lit("blob").alias("kind"), license_oid.alias("child_oid")),
+        F.struct(F.lit("src").alias("name"), F.lit("tree").alias("kind"), F.col("src").alias("child_oid")))).alias("e"))
+    # a directory's entries follow from its oid: one row an oid before they are spread
+    listed = per_type.select(F.col("dir").alias("tree_oid"), "entries").union(per_src.select("src", "entries")).groupBy("tree_oid").agg(F.first("entries").alias("entries"))
+    trees = listed.select("tree_oid", F.explode("entries").alias("e")).select("tree_oid", "e.*").unionByName(roots.select("tree_oid", "e.*").distinct())
+    return trees, commit_trees
+
+
+LICENSE_TEXT = "free to use\n"
+
+
+def fx_history_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents of the tree history, one row a blob."""
+    own = spark.range(1).select(F.md5(F.lit(LICENSE_TEXT)).alias("blob_oid"), F.lit(LICENSE_TEXT).alias("content"))
+    return fx_file_states(spark, sf_dir).select("blob_oid", "content").dropDuplicates(["blob_oid"]).unionByName(own)
+
+
 def fx_diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patch lines of every non-merge commit: one file per event type; the
     patch depends on (event_type, event_id % 500), so re-applied changes

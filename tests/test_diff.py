@@ -94,3 +94,103 @@ def test_whitespace_only_change_is_equivalent(spark):
         "repository_id long, commit_oid string, path string, seq int, origin string, content string")
     fp = {r["commit_oid"]: r["fp_sum"] for r in D.patch_fingerprints(lines).collect()}
     assert fp["c1"] == fp["c2"] != fp["c3"]
+
+
+def test_greedy_search_finds_the_edit_distance_and_its_middle():
+    import numpy as np
+
+    rnd = random.Random(8)
+    for _ in range(600):
+        a = [rnd.randrange(4) for _ in range(rnd.randrange(1, 14))]
+        b = [rnd.randrange(4) for _ in range(rnd.randrange(1, 14))]
+        d, x, y, u, v = D.middle_snake(np.array(a), np.array(b))
+        dist = lambda p, q: len(p) + len(q) - 2 * lcs_dp(p, q)
+        assert d == dist(a, b) and a[x:u] == b[y:v]
+        assert dist(a[:x], b[:y]) + dist(a[u:], b[v:]) == d
+    assert D.middle_snake(np.arange(500), np.arange(500)[::-1].copy(), budget=100) is None
+
+
+def test_both_ways_of_alignment_are_minimal(monkeypatch):
+    rnd = random.Random(9)
+    for budget in (0, 10 ** 9):
+        monkeypatch.setattr(D, "_budget", lambda n, m, budget=budget: budget)
+        for _ in range(150):
+            a = [rnd.choice("abcd") for _ in range(rnd.randrange(0, 30))]
+            b = [rnd.choice("abcd") for _ in range(rnd.randrange(0, 30))]
+            script = D.align(a, b)
+            assert sum(o == " " for o, _ in script) == lcs_dp(a, b) == D.lcs_length(a, b)
+            assert [t for o, t in script if o != "+"] == a and [t for o, t in script if o != "-"] == b
+
+
+def test_large_near_equal_files_take_seconds():
+    import time
+
+    rnd = random.Random(10)
+    a = [f"line {i} {rnd.randrange(50)}" for i in range(200_000)]
+    b = list(a)
+    for k in rnd.sample(range(200_000), 50):
+        b[k] = "edited %d" % k
+    t = time.time()
+    script = D.align(a, b)
+    assert sum(o == "-" for o, _ in script) == sum(o == "+" for o, _ in script) == 50 and D.lcs_length(a, b) == 199_950
+    assert time.time() - t < 20
+
+
+def _sides(spark, files):
+    rows = [(p, o, n) for p, (o, n) in files.items()]
+    return spark.createDataFrame(rows, "path string, old string, new string")
+
+
+def test_patches_rebuild_both_sides(spark):
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(11)
+    text = lambda: "\n".join(rnd.choice("abc") for _ in range(rnd.randrange(0, 40))) + rnd.choice(["", "\n"])
+    files = {f"f{i}": (text(), text()) for i in range(60)}
+    files |= {"same": ("a\nb\n", "a\nb\n"), "eof": ("a\nb\n", "a\nb"), "new": ("", "x\ny"), "gone": ("x\n", ""), "blank": ("\n\n", "\n"), "none": ("", "")}
+    sides = _sides(spark, files)
+    rows = [(p, *r) for p, (o, n) in files.items() for r in D.patch_rows(o, n)]
+    patch = spark.createDataFrame(rows, "path string, " + D.PATCH_SCHEMA)
+    there = D.patched(sides.select("path", F.col("old").alias("content")), patch, ["path"])
+    back = D.patched(sides.select("path", F.col("new").alias("content")), patch, ["path"], reverse=True)
+    assert {r["path"]: r["content"] for r in there.collect()} == {p: n for p, (_, n) in files.items()}
+    assert {r["path"]: r["content"] for r in back.collect()} == {p: o for p, (o, _) in files.items()}
+
+
+def test_tree_diff_opens_only_directories_that_differ(spark):
+    """Random listings: same changes as the whole-listing diff, few directories read, kinds that change."""
+    from pyspark.sql import functions as F
+
+    from strata.operators import trees as T
+
+    rnd = random.Random(12)
+    now = {f"d{i % 7}/e{i % 3}/f{i}": "b0" for i in range(200)} | {"top": "b0"}
+    listings = {"c0": dict(now)}
+    for k in range(1, 6):
+        for p in rnd.sample(sorted(now), 3):
+            now[p] = f"b{k}"
+        listings[f"c{k}"] = dict(now)
+    del now["top"], now["d0/e0/f0"]
+    now |= {"top/inside": "b9", "d0/e0/f0x": "b9"}  # a file becomes a directory, another is renamed
+    listings["c6"] = dict(now)
+    rows = [(1, c, p, b) for c, files in listings.items() for p, b in files.items()]
+    entries = spark.createDataFrame(rows, "repository_id long, commit_oid string, path string, blob_oid string")
+    names = sorted(listings)
+    pairs = spark.createDataFrame([(f"{a}-{b}", 1, a, b) for a, b in [(None, "c0"), *zip(names, names[1:]), ("c0", "c6"), ("c3", "c3"), ("c6", "zz")]],
+                                  "pair_id string, repository_id long, from_oid string, to_oid string")
+    trees, roots = T.trees_of(entries, ["repository_id", "commit_oid"])
+    got = T.tree_changes(trees, roots, pairs).collect()
+    want = D.file_changes(entries, pairs).collect()
+    key = lambda r: (r["pair_id"], r["path"], r["old_blob"], r["new_blob"], r["status"])
+    assert sorted(map(key, got), key=str) == sorted(map(key, want), key=str) and len(got) > 400
+    # what one comparison of neighbours opens: a directory a level and changed file at most, of 200 entries a side
+    step = roots.where("commit_oid IN ('c1', 'c2')").orderBy("commit_oid").collect()
+    pair = spark.createDataFrame([(step[0]["root_oid"], step[1]["root_oid"])], "old string, new string")
+    opened = 0
+    while not pair.isEmpty():
+        oids = pair.select(F.col("old").alias("tree_oid")).union(pair.select("new")).distinct()
+        opened += trees.join(oids, "tree_oid", "left_semi").count()
+        diff = T.directory_diff(trees, pair)
+        pair = diff.where("old_kind = 'tree' OR new_kind = 'tree'").select(F.col("old_oid").alias("old"), F.col("new_oid").alias("new"))
+    assert opened < 150
+    assert trees.count() < entries.count() / 3
