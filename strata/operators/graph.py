@@ -57,6 +57,114 @@ class NotConverged(RuntimeError):
     pass
 
 
+def rank(start: DataFrame, rounds: dict, ranked: DataFrame | None = None, max_rounds: int = 256) -> DataFrame:
+    """List ranking by pointer jumping over ``start(nid, nxt, w)``, w the
+    distance to nxt, which is a node of start or of ``ranked(nid, chain, cpos)``,
+    whose nodes are ranked already.  Output (nid, chain, cpos) of the start's nodes.
+
+    A node is *done* once its jump reaches the chain's tail; done nodes leave
+    the probe side (their rows stay as lookup targets), so the probe side never
+    holds a hot key: the jumps of active nodes are all distinct.  Without this
+    every finished node of a long chain would point at the same tail.  The
+    rounds are partitions of one table, so the lookup side is one scan however
+    many rounds there were."""
+    spark = start.sparkSession
+    base = scratch_path(spark, "graph-rank")
+    rows = start.select("nid", F.coalesce("nxt", "nid").alias("jump"), F.when(F.col("nxt").isNotNull(), F.col("w")).otherwise(0).cast("bigint").alias("d"),
+                        F.col("nxt").isNull().alias("done"))
+    schema = T.StructType(rows.schema.fields[:3] + [T.StructField("round", T.IntegerType()), T.StructField("done", T.BooleanType())])
+    for i in range(max_rounds):
+        rows.write.partitionBy("done").parquet(f"{base}/round={i}")
+        rounds["ranking"] = i
+        table = spark.read.schema(schema).option("basePath", base).parquet(base)
+        active = table.where((F.col("round") == i) & ~F.col("done"))
+        if active.isEmpty():
+            break
+        lookup = table.where(F.col("done") | (F.col("round") == i)).select(F.col("nid").alias("jump"), F.col("jump").alias("j2"), F.col("d").alias("d2"), "done")
+        if ranked is not None:
+            lookup = lookup.unionByName(ranked.select(F.col("nid").alias("jump"), F.col("chain").alias("j2"), F.col("cpos").cast("bigint").alias("d2"), F.lit(True).alias("done")))
+        rows = active.select("nid", "jump", "d").join(lookup, "jump").select(
+            "nid", F.col("j2").alias("jump"), (F.col("d") + F.col("d2")).alias("d"), "done")
+    else:
+        raise NotConverged("chain ranking did not converge")
+    out = _cut(table.where("done").select("nid", F.col("jump").alias("chain"), F.col("d").alias("cpos")))
+    drop_path(spark, base)
+    return out
+
+
+def subtree_sizes(sizes: DataFrame, jump: DataFrame, temps: list, max_rounds: int = 256) -> DataFrame:
+    """(nid, size): the sum of ``sizes(nid, size)`` over each subtree of the
+    forest ``jump(nid, up)``, by pointer doubling: the descendants closer than
+    2^(k+1) are those closer than 2^k plus those of the descendants at
+    distance 2^k."""
+    for _ in range(max_rounds):
+        if jump.isEmpty():
+            return sizes
+        below = jump.join(sizes, "nid").groupBy(F.col("up").alias("nid")).agg(F.sum("size").alias("below"))
+        sizes = _cut(sizes.join(below, "nid", "left").select("nid", (F.col("size") + F.coalesce("below", F.lit(0))).alias("size")), temps)
+        jump = _cut(jump.join(jump.select(F.col("nid").alias("up"), F.col("up").alias("up2")), "up").select("nid", F.col("up2").alias("up")), temps)
+    raise NotConverged("subtree sizes did not converge")
+
+
+def chain_index(nodes: DataFrame, e0: DataFrame, rounds: dict, taken: DataFrame | None = None, ranked: DataFrame | None = None,
+                max_rounds: int = 256) -> tuple[DataFrame, DataFrame]:
+    """Continuations (pid, child) and coordinates (nid, chain, cpos) of
+    ``nodes(nid)`` with first-parent edges ``e0(nid, pid)``.
+
+    A parent's continuation is its child with the largest subtree, the
+    smallest nid among equals.  Parents may be stored nodes of
+    ``ranked(nid, chain, cpos)``; those in ``taken(pid)`` have a continuation
+    already and keep it, so a further child starts a chain."""
+    temps: list = []
+    if taken is not None:
+        e0 = e0.join(taken, "pid", "left_anti")
+    e0 = _cut(e0, temps)
+    own = e0.join(nodes.select(F.col("nid").alias("pid")), "pid", "left_semi")  # the parent is one of the nodes
+    children = _cut(own.groupBy("pid").agg(F.count(F.lit(1)).alias("n"), F.min("nid").alias("child")), temps)
+    unary = children.where("n = 1").select("pid", "child")
+    start = nodes.select("nid").join(unary.select(F.col("child").alias("nid"), F.col("pid").alias("nxt")), "nid", "left")
+    place = rank(start.select("nid", "nxt", F.lit(1).alias("w")), rounds, max_rounds=max_rounds)
+    rounds["doubling"] = rounds["ranking"]
+    outer = e0.join(nodes.select(F.col("nid").alias("pid")), "pid", "left_anti") if ranked is not None else None
+    forks = children.where("n > 1").select("pid")
+    if (outer is None or outer.isEmpty()) and forks.isEmpty():
+        cont = _cut(unary)
+        _drop(nodes.sparkSession, temps)
+        return cont, place
+    place = place.withColumnRenamed("chain", "seg").withColumnRenamed("cpos", "spos")
+    # segments with something below them: a fork, whose place is the newest of its segment, or a stored node
+    at = place.select(F.col("nid").alias("pid"), F.col("seg").alias("up"))
+    heads = own.join(forks, "pid", "left_semi").join(at, "pid").select("nid", "pid", "up")
+    if outer is not None:
+        heads = heads.unionByName(outer.select("nid", "pid", F.lit(None).cast("bigint").alias("up")))
+    heads = _cut(heads, temps)
+    lengths = _cut(place.groupBy(F.col("seg").alias("nid")).agg(F.max("spos").alias("top")).select("nid", (F.col("top") + 1).cast("bigint").alias("size")), temps)
+    sizes = subtree_sizes(lengths, heads.where("up IS NOT NULL").select("nid", "up"), temps, max_rounds)
+    heavy = (heads.join(sizes, "nid").groupBy("pid", "up").agg(F.max(F.struct("size", (-F.col("nid")).alias("low"))).getField("low").alias("low"))
+             .select("pid", "up", (-F.col("low")).alias("child")))
+    heavy = _cut(heavy, temps)
+    cont = _cut(unary.unionByName(heavy.select("pid", "child")))
+    below = heavy.join(lengths.select(F.col("nid").alias("up"), "size"), "up", "left").select(
+        F.col("child").alias("nid"), F.coalesce("up", "pid").alias("nxt"), F.coalesce("size", F.lit(1)).alias("w"))
+    stored = None if outer is None else ranked.join(heavy.where("up IS NULL").select(F.col("pid").alias("nid")), "nid", "left_semi")
+    chains = rank(lengths.select("nid").join(below, "nid", "left"), rounds, ranked=stored, max_rounds=max_rounds)
+    chains = chains.select(F.col("nid").alias("seg"), "chain", F.col("cpos").alias("base"))
+    index = _cut(place.join(chains, "seg").select("nid", "chain", (F.col("base") + F.col("spos")).alias("cpos")))
+    _drop(nodes.sparkSession, temps)
+    return cont, index
+
+
+def cross_coordinates(edges: DataFrame, cont: DataFrame, index: DataFrame) -> DataFrame:
+    """(src_chain, src_pos, dst_chain, dst_pos) of the ``edges(nid, pos, pid)`` that
+    are no continuations; of one source and target chain only the highest
+    target matters."""
+    e = edges.join(cont, "pid", "left")
+    e = e.where(~((F.col("pos") == 0) & F.coalesce(F.col("child") == F.col("nid"), F.lit(False))))
+    src = index.select("nid", F.col("chain").alias("src_chain"), F.col("cpos").alias("src_pos"))
+    dst = index.select(F.col("nid").alias("pid"), F.col("chain").alias("dst_chain"), F.col("cpos").alias("dst_pos"))
+    return e.join(src, "nid").join(dst, "pid").groupBy("src_chain", "src_pos", "dst_chain").agg(F.max("dst_pos").alias("dst_pos"))
+
+
 class CommitGraph:
     """Chain index over ``nodes(repository_id, oid)`` and
     ``edges(repository_id, oid, pos, parent_oid)`` (child -> parent).
@@ -96,54 +204,14 @@ class CommitGraph:
 
     # -- chain index ---------------------------------------------------------------
     def _build(self) -> None:
-        """Continuations (pid, child) - of each parent the first-parent child
-        with the largest subtree, the smallest nid among equals, fixed once
-        chosen (see ``extend``) - and the index (nid, chain, cpos)."""
-        temps: list = []
         e0 = self.id_edges().where(F.col("pos") == 0).select("nid", "pid")
-        children = _cut(e0.groupBy("pid").agg(F.count(F.lit(1)).alias("n"), F.min("nid").alias("child")), temps)
-        unary = children.where("n = 1").select("pid", "child")
-        one = F.lit(1).cast("bigint").alias("w")
-        start = self.ids().select("nid").join(unary.select(F.col("child").alias("nid"), F.col("pid").alias("nxt")), "nid", "left")
-        place = self._rank(start.select("nid", "nxt", one))
-        self.rounds["doubling"] = self.rounds["ranking"]
-        forks = children.where("n > 1").select("pid")
-        if forks.isEmpty():
-            self._cont, self._index = _cut(unary), place
-        else:
-            place = place.withColumnRenamed("chain", "seg").withColumnRenamed("cpos", "spos")
-            # the segments above a fork, and the segment whose newest commit the fork is
-            heads = _cut(e0.join(forks, "pid", "left_semi").join(place.select(F.col("nid").alias("pid"), F.col("seg").alias("up")), "pid"), temps)
-            lengths = _cut(place.groupBy(F.col("seg").alias("nid")).agg(F.max("spos").alias("top")).select("nid", (F.col("top") + 1).cast("bigint").alias("size")), temps)
-            sizes = self._subtree_sizes(lengths, heads.select("nid", "up"), temps)
-            heavy = (heads.join(sizes, "nid").groupBy("pid", "up").agg(F.max(F.struct("size", (-F.col("nid")).alias("low"))).getField("low").alias("low"))
-                     .select("pid", "up", (-F.col("low")).alias("child")))
-            heavy = _cut(heavy, temps)
-            self._cont = _cut(unary.unionByName(heavy.select("pid", "child")))
-            below = heavy.join(lengths.select(F.col("nid").alias("up"), F.col("size").alias("w")), "up").select(F.col("child").alias("nid"), F.col("up").alias("nxt"), "w")
-            chains = self._rank(lengths.select("nid").join(below, "nid", "left"))
-            chains = chains.select(F.col("nid").alias("seg"), "chain", F.col("cpos").alias("base"))
-            self._index = _cut(place.join(chains, "seg").select("nid", "chain", (F.col("base") + F.col("spos")).alias("cpos")))
-        _drop(e0.sparkSession, temps)
+        self._cont, self._index = chain_index(self.ids().select("nid"), e0, self.rounds, max_rounds=self.max_rounds)
 
     def _continuations(self) -> DataFrame:
         if self._cont is None:
             self._build()
         return self._cont
 
-    def _subtree_sizes(self, sizes: DataFrame, jump: DataFrame, temps: list) -> DataFrame:
-        """(nid, size): the sum of ``sizes(nid, size)`` over each subtree of the
-        forest ``jump(nid, up)``, by pointer doubling: the descendants closer than
-        2^(k+1) are those closer than 2^k plus those of the descendants at
-        distance 2^k."""
-        for _ in range(self.max_rounds):
-            if jump.isEmpty():
-                return sizes
-            below = jump.join(sizes, "nid").groupBy(F.col("up").alias("nid")).agg(F.sum("size").alias("below"))
-            sizes = _cut(sizes.join(below, "nid", "left").select("nid", (F.col("size") + F.coalesce("below", F.lit(0))).alias("size")), temps)
-            jump = _cut(jump.join(jump.select(F.col("nid").alias("up"), F.col("up").alias("up2")), "up").select("nid", F.col("up2").alias("up")), temps)
-        raise NotConverged("subtree sizes did not converge")
-
     def index(self) -> DataFrame:
         """(nid, chain, cpos): chain = nid of the chain's oldest commit, cpos =
         distance to it."""
@@ -151,60 +219,13 @@ class CommitGraph:
             self._build()
         return self._index
 
-    def _rank(self, start: DataFrame, ranked: DataFrame | None = None) -> DataFrame:
-        """List ranking by pointer jumping over ``start(nid, nxt, w)``, w the
-        distance to nxt; nodes of ``ranked(nid, jump, d)`` are ranked already
-        (jump = chain tail).  Output (nid, chain, cpos) of the start's nodes.
-
-        A node is *done* once its jump reaches the chain's tail; done nodes
-        leave the probe side (their rows stay as lookup targets), so the probe
-        side never holds a hot key: the jumps of active nodes are all distinct.
-        Without this every finished node of a long chain would point at the
-        same tail.  The rounds are partitions of one table, so the lookup side
-        is one scan however many rounds there were."""
-        spark = start.sparkSession
-        base = scratch_path(spark, "graph-rank")
-        rows = start.select("nid", F.coalesce("nxt", "nid").alias("jump"), F.when(F.col("nxt").isNotNull(), F.col("w")).otherwise(0).cast("bigint").alias("d"),
-                            F.col("nxt").isNull().alias("done"))
-        schema = T.StructType(rows.schema.fields[:3] + [T.StructField("round", T.IntegerType()), T.StructField("done", T.BooleanType())])
-        for i in range(self.max_rounds):
-            rows.write.partitionBy("done").parquet(f"{base}/round={i}")
-            self.rounds["ranking"] = i
-            table = spark.read.schema(schema).option("basePath", base).parquet(base)
-            active = table.where((F.col("round") == i) & ~F.col("done"))
-            if active.isEmpty():
-                break
-            lookup = table.where(F.col("done") | (F.col("round") == i)).select(F.col("nid").alias("jump"), F.col("jump").alias("j2"), F.col("d").alias("d2"), "done")
-            if ranked is not None:
-                lookup = lookup.unionByName(ranked.select(F.col("nid").alias("jump"), F.col("jump").alias("j2"), F.col("d").cast("bigint").alias("d2"), F.lit(True).alias("done")))
-            rows = active.select("nid", "jump", "d").join(lookup, "jump").select(
-                "nid", F.col("j2").alias("jump"), (F.col("d") + F.col("d2")).alias("d"), "done")
-        else:
-            raise NotConverged("chain ranking did not converge")
-        out = _cut(table.where("done").select("nid", F.col("jump").alias("chain"), F.col("d").alias("cpos")))
-        drop_path(spark, base)
-        return out
-
     def cross_edges(self) -> DataFrame:
         """(src_chain, src_pos, dst_chain, dst_pos): every edge that is not a
         continuation, in chain coordinates."""
         if self._cross is None:
-            self._cross = self._cross_of(self.id_edges())
+            self._cross = _cut(cross_coordinates(self.id_edges(), self._continuations(), self.index()))
         return self._cross
 
-    def _cross_of(self, id_edges: DataFrame) -> DataFrame:
-        cont = self._continuations()
-        e = id_edges.join(cont, "pid", "left")
-        is_cont = (F.col("pos") == 0) & F.coalesce(F.col("child") == F.col("nid"), F.lit(False))
-        e = e.where(~is_cont)
-        idx = self.index()
-        src = idx.select("nid", F.col("chain").alias("src_chain"), F.col("cpos").alias("src_pos"))
-        dst = idx.select(F.col("nid").alias("pid"), F.col("chain").alias("dst_chain"), F.col("cpos").alias("dst_pos"))
-        x = e.join(src, "nid").join(dst, "pid")
-        # for one (src_chain, src_pos, dst_chain) only the highest dst_pos matters
-        x = x.groupBy("src_chain", "src_pos", "dst_chain").agg(F.max("dst_pos").alias("dst_pos"))
-        return _cut(x)
-
     def extend(self, new_nodes: DataFrame, new_edges: DataFrame) -> "CommitGraph":
         """Incremental index: a graph over old + new commits that ranks only
         the new ones.  Positions count from a chain's oldest commit, so
@@ -226,16 +247,11 @@ class CommitGraph:
         candidates = candidates.unionByName(self.dangling())
         fresh_edges = _cut(candidates.join(child, [R, "oid"]).join(parent, [R, "parent_oid"]).select("nid", "pos", "pid"))
         g._id_edges = _cut(self.id_edges().unionByName(fresh_edges))
-        old_cont = self._continuations()
-        new_cont = (fresh_edges.where((F.col("pos") == 0) & (F.col("nid") >= base))
-                    .join(old_cont.select("pid"), "pid", "left_anti")
-                    .groupBy("pid").agg(F.min("nid").alias("child")))
-        g._cont = _cut(old_cont.unionByName(new_cont))
-        nxt = new_cont.select(F.col("child").alias("nid"), F.col("pid").alias("nxt"), F.lit(1).alias("w"))
-        start = new_ids.select("nid").join(nxt, "nid", "left")
-        ranked = self.index().select("nid", F.col("chain").alias("jump"), F.col("cpos").alias("d"))
-        g._index = _cut(self.index().unionByName(g._rank(start, ranked)))
-        g._cross = _cut(self.cross_edges().unionByName(g._cross_of(fresh_edges)))
+        firsts = fresh_edges.where((F.col("pos") == 0) & (F.col("nid") >= base)).select("nid", "pid")
+        cont, index = chain_index(new_ids.select("nid"), firsts, g.rounds, taken=self._continuations().select("pid"), ranked=self.index(), max_rounds=self.max_rounds)
+        g._cont = _cut(self._continuations().unionByName(cont))
+        g._index = _cut(self.index().unionByName(index))
+        g._cross = _cut(self.cross_edges().unionByName(cross_coordinates(fresh_edges, g._continuations(), g.index())))
         return g
 
     def dangling(self) -> DataFrame:

@@ -173,11 +173,15 @@ def insert_new_commits(existing: DataFrame, incoming: DataFrame, order_by: Seque
     ``existing``; duplicate keys inside the batch keep their first row by
     ``order_by``.  The new table is ``existing.unionByName(result)``; the
     number inserted is ``result.count()``.  Running it twice inserts nothing."""
+    return first_of_keys(incoming, order_by).join(existing.select(*COMMIT_KEY), COMMIT_KEY, "left_anti")
+
+
+def first_of_keys(incoming: DataFrame, order_by: Sequence[str] = ("committer_time", "oid")) -> DataFrame:
+    """K1 inside a batch: the first row of every key by ``order_by``."""
     # equal keys with equal order are told apart by every other column, so the choice is total
     ties = [c for c in incoming.columns if c not in COMMIT_KEY and c not in order_by]
     w = Window.partitionBy(*COMMIT_KEY).orderBy(*order_by, *ties)
-    batch = incoming.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-    return batch.join(existing.select(*COMMIT_KEY), COMMIT_KEY, "left_anti")
+    return incoming.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], update_cols: Sequence[str],

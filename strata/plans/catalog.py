@@ -68,3 +68,4 @@ from strata.plans import q_queries  # noqa: E402,F401
 from strata.plans import q_graph  # noqa: E402,F401
 from strata.plans import q_diff  # noqa: E402,F401
 from strata.plans import q_stream  # noqa: E402,F401
+from strata.plans import q_history  # noqa: E402,F401
