@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from strata.llm import common
 from strata.llm.components import components
+from strata.session import drop_path, scratch_path
 
 WORDS, PERCENT = 3, 90
 #: growth of the upper size from class to class
@@ -297,8 +298,11 @@ def links(batches: Iterator[pa.RecordBatch], percent: int, schema: pa.Schema) ->
         yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], schema.field(i).type) for i in (0, 1)], schema=schema)
 
 
-def family_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """members (rep, s1, s2, family, ...) with the shingles of each set, from the text of its representative."""
+def family_sets(docs: DataFrame, members: DataFrame, repeated: DataFrame, k: int) -> DataFrame:
+    """members (rep, s1, s2, ...) with the shingles of each set, from the text of its representative.
+
+    repeated (rep, s1, s2): sets that several rows of the representative's id have; only these can
+    come twice, and only they are made distinct, so the others' shingles are not shuffled for it."""
     extra = [c for c in members.columns if c not in ("rep", "s1", "s2")]
 
     def run(batch):
@@ -312,23 +316,33 @@ def family_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
             part = part.filter(pa.array(own))
             yield {**{c: part.column(c) for c in ("rep", "s1", "s2", *extra)}, "grams": [grams[cut[i]: cut[i + 1]].tobytes() for i in np.flatnonzero(own)]}
 
-    wanted = members if members.count() > BROADCAST_ROWS else F.broadcast(members)
-    texts = docs.select(F.col("doc_id").alias("rep"), common.text_or_empty().alias("text")).join(wanted, "rep")
     kinds = dict(members.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("rep", "s1", "s2", *extra)) + ", grams binary"
-    return common.arrow_map(texts.select("rep", "text", "s1", "s2", *extra), run, schema).dropDuplicates(["rep", "s1", "s2"])
 
+    def read(some):
+        wanted = some if some.count() > BROADCAST_ROWS else F.broadcast(some)
+        texts = docs.select(F.col("doc_id").alias("rep"), common.text_or_empty().alias("text")).join(wanted, "rep")
+        return common.arrow_map(texts.select("rep", "text", "s1", "s2", *extra), run, schema)
+
+    if repeated.isEmpty():
+        return read(members)
+    key = ["rep", "s1", "s2"]
+    twice = read(members.join(repeated, key, "left_semi")).dropDuplicates(key)
+    return read(members.join(repeated, key, "left_anti")).unionByName(twice)
+
+
+def dealt_tasks(members: DataFrame) -> DataFrame:
+    """members with tasks, an array of (task, side): a family is a task, or one task for each pair of its blocks.
 
-def dealt_tasks(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """(task, rep, side, grams): a family is a task, or one task for each pair of its blocks."""
-    bucket = F.floor(F.log("n_shingles") / F.log(F.lit(100 / percent)))
-    blocks = members.groupBy("family", bucket.alias("bucket")).agg(F.sum("n_shingles").alias("load"))
+    Dealt before the sets are read, so that their shingles move once, to their tasks."""
+    bucket = F.col("bucket")
+    blocks = members.groupBy("family", "bucket").agg(F.sum("n_shingles").alias("load"))
     whole = blocks.groupBy("family").agg(F.sum("load").alias("load")).select("family", (F.col("load") > TASK_SHINGLES).alias("split"))
     blocks = blocks.select("family", "bucket", F.ceil(F.col("load") * 2 / TASK_SHINGLES).cast("int").alias("salts"))
-    above = blocks.select("family", (F.col("bucket") - 1).alias("bucket"), F.col("salts").alias("above"))
-    below = blocks.select("family", (F.col("bucket") + 1).alias("bucket"), F.col("salts").alias("below"))
+    above = blocks.select("family", (bucket - 1).alias("bucket"), F.col("salts").alias("above"))
+    below = blocks.select("family", (bucket + 1).alias("bucket"), F.col("salts").alias("below"))
     plan = blocks.join(above, ["family", "bucket"], "left").join(below, ["family", "bucket"], "left").join(whole, "family")
-    rows = sets.withColumn("bucket", bucket).join(plan, ["family", "bucket"])
+    rows = members.join(plan, ["family", "bucket"])
     salt = F.pmod(F.xxhash64("s1", "s2"), F.col("salts"))
 
     def task(low, high, a, b):
@@ -337,28 +351,35 @@ def dealt_tasks(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     def each(n, make):
         return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), make)).otherwise(F.array().cast("array<struct<task:string,side:int>>"))
 
-    b = F.col("bucket")
     own = each(F.col("salts"), lambda s: F.struct(
-        task(b, b, F.least(s, salt), F.greatest(s, salt)).alias("task"),
+        task(bucket, bucket, F.least(s, salt), F.greatest(s, salt)).alias("task"),
         F.when(s == salt, 2).when(salt < s, 0).otherwise(1).alias("side")))
-    up = each(F.coalesce("above", F.lit(0)), lambda s: F.struct(task(b, b + 1, salt, s).alias("task"), F.lit(0).alias("side")))
-    down = each(F.coalesce("below", F.lit(0)), lambda s: F.struct(task(b - 1, b, s, salt).alias("task"), F.lit(1).alias("side")))
+    up = each(F.coalesce("above", F.lit(0)), lambda s: F.struct(task(bucket, bucket + 1, salt, s).alias("task"), F.lit(0).alias("side")))
+    down = each(F.coalesce("below", F.lit(0)), lambda s: F.struct(task(bucket - 1, bucket, s, salt).alias("task"), F.lit(1).alias("side")))
     single = F.array(F.struct(F.col("family").cast("string").alias("task"), F.lit(2).alias("side")))
-    dealt = rows.select("rep", "grams", F.explode(F.when(F.col("split"), F.concat(own, up, down)).otherwise(single)).alias("t"))
-    return dealt.select("t.task", "rep", "t.side", "grams")
+    return rows.select("rep", "s1", "s2", F.when(F.col("split"), F.concat(own, up, down)).otherwise(single).alias("tasks"))
 
 
 def jaccard_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
-    rows = common.scratch_table(described(docs, k, percent), "join-rows")
+    keyed = scratch_path(spark, "join-keyed")
+    full = described(docs, k, percent)
+    full.write.parquet(keyed)
+    full = spark.read.schema(full.schema).parquet(keyed)
+    rows = common.scratch_table(full.drop("keys"), "join-rows")
     nodes = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"))
-    family = common.scratch_table(families(rows, nodes), "join-families")
-    members = common.scratch_table(nodes.where("rep is not null").join(family, "s1"), "join-members")
+    family = common.scratch_table(families(full, nodes), "join-families")
+    drop_path(spark, keyed)  # the keys are the largest table, and have done their work
+    bucket = F.floor(F.log("n_shingles") / F.log(F.lit(100 / percent))).alias("bucket")
+    members = common.scratch_table(nodes.where("rep is not null").join(family, "s1").select("rep", "s1", "s2", "n_shingles", "family", bucket), "join-members")
+    repeated = common.scratch_table(rows.select(F.col("doc_id").alias("rep"), "s1", "s2").join(members.select("rep", "s1", "s2"), ["rep", "s1", "s2"], "left_semi")
+                                    .groupBy("rep", "s1", "s2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "join-twice")
+    tasks = common.scratch_table(dealt_tasks(members), "join-tasks")
     common.release_shuffles(spark)
-    sets = common.scratch_table(family_sets(docs, members, k), "join-sets")
-    tasks = dealt_tasks(sets, members, percent).repartition("task").sortWithinPartitions("task")
+    sets = family_sets(docs, tasks, repeated, k).select("rep", "grams", F.explode("tasks").alias("t")).select("t.task", "rep", "t.side", "grams")
+    tasks = sets.repartition("task").sortWithinPartitions("task")
     schema = pa.schema([(c, pa.int64() if kind == "bigint" else pa.string() if kind == "string" else pa.int32()) for c in ("a", "b")])
     edges = common.scratch_table(tasks.mapInArrow(lambda it: links(it, percent, schema), f"a {kind}, b {kind}"), "join-edges")
     groups = components(edges)
