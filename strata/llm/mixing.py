@@ -9,10 +9,11 @@ favour most is kept whole.
 
 Cells are summed before anything else.  While their count stays within
 CELLS_IN_TASK one task fits them; beyond that every sweep is a grouping and a
-join with the margins' factors, checkpointed, and only the margins' largest
-error passes through the driver.  Targets that the cells cannot meet at once (a
-value that never occurs with another) leave an error after MAX_SWEEPS; the
-weights then are the last sweep's.
+join with the margins' factors, written and read back, and only the margins'
+largest error passes through the driver.  Targets that the cells cannot meet at
+once (a value that never occurs with another) leave an error after MAX_SWEEPS;
+the weights then are the last sweep's, and margin_error says by which part a
+margin was still off.
 
 A document is sampled by the hash of its id and text, so a rerun, a lost
 executor or a repeated row changes nothing.  A null source, language or text is
@@ -54,6 +55,9 @@ def topic(text: Column, tokens: Column) -> Column:
 
 
 OWN = ("n_tokens", "topic", "draw")
+RATED = ("weight", "probability", "margin_error", "sampled")
+#: columns of a join's small side, under names that no input should have; of equal names the input's goes
+CELL, RATE = "mixing cell", "mixing rate"
 
 
 def described(docs: DataFrame) -> DataFrame:
@@ -91,7 +95,8 @@ def goals_of(cells: DataFrame, targets: dict[str, DataFrame]) -> dict[str, DataF
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, max_sweeps: int = MAX_SWEEPS, in_task: int = CELLS_IN_TASK) -> DataFrame:
-    """cells with weight: tokens * weight meets the target shares of every dimension.
+    """cells with weight and margin_error: tokens * weight meets the target shares of every dimension,
+    but for margin_error, the largest relative correction that the last sweep made.
 
     Targets for values that no cell has are left out and the others scaled up;
     values without a target get weight 0.  Up to in_task cells, by count, are
@@ -101,12 +106,12 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
         wide = cells
         for d, goal in goals.items():
             wide = wide.join(goal.withColumnRenamed("goal", f"goal_{d}"), d, "left")
-        schema = ", ".join(f"{c} {t}" for c, t in cells.dtypes) + ", weight double"
+        schema = ", ".join(f"{c} {t}" for c, t in cells.dtypes) + ", weight double, margin_error double"
         columns, dimensions = cells.columns, list(goals)
 
         def fit(pdf: pd.DataFrame) -> pd.DataFrame:
             index = {d: pdf[d].astype("category").cat.codes.to_numpy() for d in dimensions}
-            tokens, weight = pdf["tokens"].to_numpy(float), np.ones(len(pdf))
+            tokens, weight, worst = pdf["tokens"].to_numpy(float), np.ones(len(pdf)), 0.0
             for _ in range(max_sweeps):
                 worst = 0.0
                 for d in dimensions:
@@ -117,22 +122,23 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
                     weight = weight * factor
                 if worst <= tolerance:
                     break
-            return pdf[columns].assign(weight=weight)
+            return pdf[columns].assign(weight=weight, margin_error=worst)
 
         return wide.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(fit, schema)
-    goals = {d: g.checkpoint() for d, g in goals.items()}
-    state = cells.withColumn("weight", F.lit(1.0))
+    goals = {d: common.scratch_table(g, "mixing-goals") for d, g in goals.items()}
+    state, moved = cells.withColumn("weight", F.lit(1.0)), [0.0]
     for _ in range(max_sweeps):
         moved = []
         for d, goal in goals.items():
             now = state.groupBy(d).agg(F.sum(F.col("tokens") * F.col("weight")).alias("now"))
             factor = now.join(goal, d, "left").select(d, F.coalesce("goal", F.lit(0.0)).alias("goal"), F.when(
-                F.col("now") > 0, F.coalesce("goal", F.lit(0.0)) / F.col("now")).otherwise(F.lit(1.0)).alias("factor")).checkpoint()
-            state = state.join(factor.select(d, "factor"), d).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor").checkpoint()
+                F.col("now") > 0, F.coalesce("goal", F.lit(0.0)) / F.col("now")).otherwise(F.lit(1.0)).alias("factor"))
+            factor = common.scratch_table(factor, "mixing-factors")
+            state = common.scratch_table(state.join(factor.select(d, "factor"), d).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor"), "mixing-sweep")
             moved.append(factor.where("goal > 0").agg(F.max(F.abs(F.col("factor") - 1)).alias("e")).first()["e"] or 0.0)  # one number a dimension
         if max(moved) <= tolerance:  # every margin was met before it was scaled
             break
-    return state
+    return state.withColumn("margin_error", F.lit(float(max(moved))))
 
 
 def calibrated(full: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -141,22 +147,24 @@ def calibrated(full: DataFrame, targets: dict[str, DataFrame] | None = None) ->
     fitted = rake(cells, targets or {d: tempered(cells, d, TEMPER[d]) for d in DIMENSIONS})
     top = fitted.agg(F.max("weight").alias("top")).withColumn("one", F.lit(1))
     rates = fitted.join(top, F.lit(1) == F.col("one")).select(
-        *(F.col(d).alias(f"_{d}") for d in DIMENSIONS), F.col("weight").alias("weight"), (F.col("weight") / F.col("top")).alias("probability"))
+        *DIMENSIONS, "weight", (F.col("weight") / F.col("top")).alias("probability"), "margin_error")
     rates = common.scratch_table(rates, "mixing-rates")
     if rates.count() <= BROADCAST_ROWS:
         rates = F.broadcast(rates)
-    own = [c for c in full.columns if c not in ("weight", "probability", "sampled")]
-    out = full.select(*own).join(rates, [key(d) == F.col(f"_{d}") for d in DIMENSIONS])
-    return out.select(*own, "weight", "probability", (F.col("draw") < F.col("probability")).alias("sampled"))
+    out = full.join(rates.select(F.struct(*DIMENSIONS).alias(CELL), F.struct("weight", "probability", "margin_error").alias(RATE)),
+                    F.struct(*(key(d).alias(d) for d in DIMENSIONS)) == F.col(CELL))
+    own = [F.col(f"`{c}`") for c in full.columns if c not in RATED]
+    return out.select(*own, *(F.col(RATE)[c].alias(c) for c in RATED[:3]), (F.col("draw") < F.col(RATE)["probability"]).alias("sampled"))
 
 
 def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """The sampled rows of docs, with weight and probability."""
-    return calibrated(described(docs), targets).where("sampled").select(*docs.columns, "weight", "probability")
+    """The sampled rows of docs, with weight and probability, which replace columns of these names."""
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("weight", "probability")]
+    return calibrated(described(docs), targets).where("sampled").select(*kept, "weight", "probability")
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
     """Cell, weight, probability and draw of every document."""
     docs = described(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     rows = common.scratch_table(docs.select("doc_id", "source", "lang", *OWN), "mixing-documents")
-    return calibrated(rows).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "sampled")
+    return calibrated(rows).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "sampled", "margin_error")

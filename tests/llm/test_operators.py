@@ -460,3 +460,22 @@ def test_bit_probabilities_sum_to_one():
                                  lambda d: quality_rules.judge(d), lambda d: pii.pseudonymize(d), lambda d: lm_score.scores(d)])
 def test_empty_table(spark, run):
     assert run(frame(spark, [])).count() == 0
+
+
+def test_mixing_says_when_targets_cannot_be_met(spark):
+    """Targets that contradict each other leave margin_error; ones that can be met leave none.  Both ways of fitting."""
+    cells = spark.createDataFrame([("a", "x", 10, 1), ("b", "y", 30, 1)], "source string, lang string, tokens long, n_docs long")
+    share = lambda **s: spark.createDataFrame(list(s.items()), "value string, share double")
+    for in_task in (100, 0):
+        off = mixing.rake(cells, {"source": share(a=0.5, b=0.5), "lang": share(x=0.9, y=0.1)}, in_task=in_task, max_sweeps=4).collect()
+        assert all(r["margin_error"] > 0.5 for r in off)
+        met = mixing.rake(cells, {"source": share(a=0.5, b=0.5), "lang": share(x=0.5, y=0.5)}, in_task=in_task).collect()
+        assert all(r["margin_error"] <= mixing.TOLERANCE for r in met)
+
+
+def test_mixing_replaces_columns_of_its_own_names(spark):
+    rows = [(i, f"some words of text {i}", "en", f"s{i % 2}", 5.0, 6.0, "z", "c") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, weight double, probability double, _topic string, sampled string")
+    out = mixing.sample(docs)
+    assert sorted(out.columns) == sorted(docs.columns)
+    assert all(r["probability"] <= 1 and r["_topic"] == "z" for r in out.collect())

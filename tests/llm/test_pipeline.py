@@ -141,3 +141,33 @@ def test_stages_are_brute_force(spark, tmp_path, monkeypatch):
     sampled = [d for d in want if draw[d[0]] < share[d[3], d[2]]]
     assert 0 < len(sampled) < len(want) and rows(out) == sampled
     assert np.allclose([r["probability"] for r in out.collect()], [share[r["source"], r["lang"]] for r in out.collect()], atol=1e-4)
+
+
+def _write(spark, base, rows, schema, labels, items):
+    spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{base}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, weight double, probability double, topic string, score double, family long, keys string, _source string, n_tokens long, size int"
+
+
+def test_pipeline_of_odd_rows_and_clashing_names(spark, tmp_path):
+    """Null ids, texts, languages and sources, repeated rows and columns named like the operators' own."""
+    docs, labels, items = fixture()
+    rows = [(i, t, lang, src, len(t), 7.0, 8.0, "t", 9.0, 1, "k", "_s", -1, 5) for i, t, lang, src in docs]
+    rows += [rows[3], rows[3], (None, "a text without an id " * 9, "en", None, 0, 7.0, 8.0, None, 9.0, 1, "k", "_s", -1, 5),
+             (9001, None, None, None, None, None, None, None, None, None, None, None, None, None), (9002, "", "en", "s0", 0, 7.0, 8.0, "t", 9.0, 1, "k", "_s", -1, 5)]
+    base = str(tmp_path / "odd")
+    _write(spark, base, rows, CLASHING, [(i, 1, t) for i, t in labels], list(enumerate(items)))
+    out = corpus_pipeline.run(spark, base)
+    assert sorted(out.columns) == sorted(c.split()[0] for c in CLASHING.split(", "))
+    got = out.collect()
+    assert len(got) > 5 and all(0 < r["probability"] <= 1 and r["weight"] > 0 for r in got) and {r["_source"] for r in got} <= {"_s", None}
+    assert {r["size"] for r in got} <= {5, None} and sum(r["doc_id"] == rows[3][0] for r in got) <= 1
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    base = str(tmp_path / "empty")
+    _write(spark, base, [], CLASHING, [], [])
+    assert corpus_pipeline.run(spark, base).count() == 0
