@@ -9,15 +9,17 @@ permutation of the format: equal values get equal pseudonyms in every document,
 different ones stay different, and no table of values is kept anywhere.
 
     card      13-19 digits with a right Luhn digit: first digit kept, middle permuted, check digit made anew
-    phone     North American numbers (area, exchange, line); other +numbers keep their first two digits
+    phone     North American numbers (area, exchange, line); other +numbers of 8 to 15 digits, in any groups, keep their first two digits
     ssn       area, group and serial number within their allowed ranges
     ip        the 32 bits of an IPv4 address
-    date      the 146,097 days of 1800 to 2199, as Y-M-D, M/D/Y (D/M/Y if only that is a date) or D.M.Y
+    date      the 146,097 days of 1800 to 2199, as Y-M-D, Y/M/D, M/D/Y or M-D-Y (day first if only that is a date) or D.M.Y
     iban      digits after the country code permuted, check digits made anew
     email     characters of the local part, each within its class (letter, digit)
-    secret    AKIA keys, and what follows password=, token:, ... up to white space or a quote: letters and digits within their class
+    secret    what follows AKIA, sk_live_, ghp_, Bearer and the like, and password=, token:, ... up to white space or a quote, if it
+              has a digit and 4 characters or else 8: letters and digits within their class
 
-Numbers that fail validation stay as they are, and so does all other text.
+Numbers that fail validation stay as they are, and so does all other text; names of months, IPv6 and account numbers with
+letters inside are not looked for.  A number that follows a phone number after a blank may count as its last group.
 Only DataFrame functions run here: no Python on executors, no shuffle.
 
 Null text stays null, empty text empty; both count no replacement.  Repeated
@@ -29,20 +31,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 ROUNDS = 8
-#: stands for a secret that a deployment passes in
+#: stands for a secret that a deployment passes in, as an argument or by the session setting KEY_SETTING
 DEFAULT_KEY = "example key"
+KEY_SETTING = "spark.strata.pseudonymKey"
 
 # fixed values: formats as regular expressions, tried in this order
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-_NAME = r"(?i:password|passwd|token|secret|api_?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?"
+_NAME = r"(?i:password|passwd|passphrase|pwd|token|secret|api_?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?"
+#: what a token says of its kind
+_LEAD = r"(?:(?i:bearer)\s{1,2}|(?:sk|pk|rk)_(?:live|test)_|gh[opsur]_)"
 PATTERNS = {
-    "secret": _NAME + r"[^\s\"']{8,}+|(?<!\w)AKIA[0-9A-Z]{16}(?!\w)",
-    "email": r"(?<![\w.+%-])[\w.+%-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "secret": _NAME + r"(?!(?i:bearer)\s)(?:[^\s\"']{8,}+|(?=[^\s\"']*\d)[^\s\"']{4,}+)|(?<!\w)" + _LEAD + r"(?=[A-Za-z._~+/=-]*\d)[0-9A-Za-z._~+/=-]{8,}+|(?<!\w)AKIA[0-9A-Z]{16}(?!\w)",
+    "email": r"(?<![\w.+%-])[\w.+%-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?\d{4}){2,7}(?: ?\d{1,3})?(?!\w)",
     "phone": r"(?<![\w+])(?:\+1[ .-]?)?\(?[2-9]\d{2}(?:\) ?|[ .-])[2-9]\d{2}[ .-]\d{4}(?!\w)|(?<![\w+])\+1[2-9]\d{2}[2-9]\d{6}(?!\w)",
-    "intl": r"(?<![\w+])\+[2-9]\d{1,2}[ -]?\d{1,5}[ -]?\d{4,9}(?![\w-])",
+    "intl": r"(?<![\w+])\+[2-9]\d{0,2}(?:[ .-]\d{1,4}){2,5}(?![\w-])|(?<![\w+])\+[2-9]\d{1,2}[ -]?\d{1,5}[ -]?\d{4,9}(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "date": r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])|(?<![\w./])\d{1,2}([/.])\d{1,2}\1\d{4}(?![\w/])",
+    "date": r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])|(?<![\w/])\d{4}/\d{2}/\d{2}(?![\w/])|(?<![\w./-])\d{1,2}([/.-])\d{1,2}\1\d{4}(?![\w/-])",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)",
     "card": r"(?<![\w.-])(?:\d{13,19}|\d{4}([ -])\d{4}\2\d{4}\2\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w)",
 }
@@ -128,7 +133,8 @@ def phone(m: Column, key: str) -> Column:
 
 def intl(m: Column, key: str) -> Column:
     d = only_digits(m)
-    return write_digits(m, F.concat(F.substring(d, 1, 2), permute_digits(F.substring(d, F.lit(3), F.length(d)), key, "intl")))
+    new = write_digits(m, F.concat(F.substring(d, 1, 2), permute_digits(F.substring(d, F.lit(3), F.length(d)), key, "intl")))
+    return F.when(F.length(d).between(8, 15), new).otherwise(m)
 
 
 def ssn(m: Column, key: str) -> Column:
@@ -149,20 +155,19 @@ def ip(m: Column, key: str) -> Column:
 
 def date(m: Column, key: str) -> Column:
     def of(x):  # the three fields
-        iso = m.contains("-")
+        year_first = m.rlike(r"^\d{4}")
         iso_text = lambda y, mo, d: F.concat_ws("-", y, F.lpad(mo, 2, "0"), F.lpad(d, 2, "0"))
-        month_first = F.try_to_date(iso_text(x[2], x[0], x[1]), "yyyy-MM-dd")
-        day_first = F.try_to_date(iso_text(x[2], x[1], x[0]), "yyyy-MM-dd")
-        by_month = m.contains("/") & month_first.isNotNull()
-        day = F.when(iso, F.try_to_date(m, "yyyy-MM-dd")).when(by_month, month_first).otherwise(day_first)
+        as_date = lambda y, mo, d: F.try_to_date(iso_text(x[y], x[mo], x[d]), "yyyy-MM-dd")
+        by_month = ~m.contains(".") & as_date(2, 0, 1).isNotNull()
+        day = F.when(year_first, as_date(0, 1, 2)).when(by_month, as_date(2, 0, 1)).otherwise(as_date(2, 1, 0))
         n = F.datediff(day, F.lit("1970-01-01").cast("date")).cast("bigint") - _EPOCH_1800
         # 189 * 773 = 146097 days make 400 years
         new = bind(feistel(F.floor(n / 773), n % 773, 189, 773, key, "date"), lambda p: F.date_add(
             F.lit("1970-01-01").cast("date"), (p["l"] * 773 + p["r"] + _EPOCH_1800).cast("int")))
         pad = F.length(m) == 10
         field = lambda v: F.when(pad, F.lpad(v.cast("string"), 2, "0")).otherwise(v.cast("string"))
-        sep = F.when(m.contains("/"), "/").otherwise(".")
-        written = bind(new, lambda v: F.when(iso, F.date_format(v, "yyyy-MM-dd")).when(
+        sep = F.when(m.contains("/"), "/").when(m.contains("."), ".").otherwise("-")
+        written = bind(new, lambda v: F.when(year_first, F.concat(F.year(v).cast("string"), sep, field(F.month(v)), sep, field(F.dayofmonth(v)))).when(
             by_month, F.concat(field(F.month(v)), sep, field(F.dayofmonth(v)), sep, F.year(v).cast("string"))).otherwise(
             F.concat(field(F.dayofmonth(v)), sep, field(F.month(v)), sep, F.year(v).cast("string"))))
         return F.when(day.isNotNull() & n.between(0, 146096), written).otherwise(m)
@@ -212,23 +217,23 @@ def email(m: Column, key: str) -> Column:
 
 
 def secret(m: Column, key: str) -> Column:
-    name = F.regexp_extract(m, f"^{_NAME}", 0)
+    name = F.regexp_extract(m, f"^(?:{_NAME}|{_LEAD}|AKIA)", 0)
     value = F.substring(m, F.length(name) + 1, F.length(m))
-    return F.when(name == "", F.concat(F.lit("AKIA"), permute_chars(F.substring(m, F.lit(5), F.length(m)), key, "secret"))).when(
-        value.rlike("^[0-9a-f]+$"), F.concat(name, permute_chars(value, key, "secret-hex"))).otherwise(F.concat(name, permute_chars(value, key, "secret")))
+    return F.when(value.rlike("^[0-9a-f]+$") & (name != "AKIA"), F.concat(name, permute_chars(value, key, "secret-hex"))).otherwise(
+        F.concat(name, permute_chars(value, key, "secret")))
 
 
 def pseudonym(m: Column, key: str) -> Column:
     """The replacement of one match."""
     whole = lambda kind: m.rlike(f"^(?:{PATTERNS[kind]})$")
-    return (F.when(m.rlike(f"^{_NAME}"), secret(m, key))
+    return (F.when(m.rlike(f"^(?:{_NAME}|{_LEAD})"), secret(m, key))
             .when(m.contains("@"), email(m, key))
             .when(m.startswith("AKIA"), secret(m, key))
             .when(m.rlike("^[A-Z]"), iban(m, key))
             .when(m.rlike(r"^\+[2-9]"), intl(m, key))
             .when(whole("ssn"), ssn(m, key))
             .when(m.rlike(r"^\+1|^\(") | whole("phone"), phone(m, key))
-            .when(m.rlike(r"^\d{4}-\d{2}-\d{2}$|^\d{1,2}([/.])\d{1,2}\1\d{4}$"), date(m, key))
+            .when(m.rlike(r"^\d{4}-\d{2}-\d{2}$|^\d{4}/\d{2}/\d{2}$|^\d{1,2}([/.-])\d{1,2}\1\d{4}$"), date(m, key))
             .when(whole("ip"), ip(m, key))
             .otherwise(card(m, key)))
 
@@ -240,12 +245,13 @@ def replaced(text: Column, key: str = DEFAULT_KEY) -> Column:
         return bind(new, lambda fresh: F.struct(
             F.array_join(F.flatten(F.zip_with(F.split(text, FIND, -1), fresh, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "").alias("text"),
             F.size(F.filter(F.arrays_zip(found.alias("a"), fresh.alias("b")), lambda p: p["a"] != p["b"])).cast("long").alias("n_replaced")))
-    return F.when(text.rlike("[0-9@]|(?i:passw|token|secret|api)") & text.rlike(FIND), bind(F.regexp_extract_all(text, F.lit(FIND), F.lit(0)), of)).otherwise(
+    return F.when(text.rlike("[0-9@]|(?i:passw|passp|pwd|token|secret|api|bearer)") & text.rlike(FIND), bind(F.regexp_extract_all(text, F.lit(FIND), F.lit(0)), of)).otherwise(
         F.struct(text.alias("text"), F.lit(0).cast("long").alias("n_replaced")))
 
 
-def pseudonymize(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
-    """docs with personal data in text replaced, and n_replaced."""
+def pseudonymize(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """docs with personal data in text replaced, and n_replaced.  key: else the session's KEY_SETTING."""
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, DEFAULT_KEY)
     others = [c for c in docs.columns if c not in ("text", "n_replaced")]
     out = docs.select(*others, replaced(F.col("text").cast("string"), key).alias("_new"))
     return out.select(*(F.col("_new.text").alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "n_replaced"), F.col("_new.n_replaced").alias("n_replaced"))
