@@ -9,8 +9,8 @@ one pass over the terms: half of |sum v|^2 - sum |v|^2.
 
 Fitted on at most MAX_TRAIN labelled documents, those with the smallest hashes
 of their id.  A term has weights if at least MIN_DOCS of them hold it and its
-share of toxic documents is MIN_Z standard errors from the overall one (the
-MAX_TERMS furthest, if there are more), or if it is one of a pair whose share
+share of toxic documents is MIN_Z standard errors from the overall one, or if
+it is one of a pair whose share
 differs from what the two terms alone make likely (together), whatever its own
 share is.  The sample bounds the model, which is broadcast to the scoring tasks.
 
@@ -33,7 +33,6 @@ from strata.llm import common
 MAX_TRAIN = 16000
 MIN_DOCS = 4
 MIN_Z = 3.0
-MAX_TERMS = 1 << 16
 FACTORS = 6
 EPOCHS = 12
 BATCH = 256
@@ -159,7 +158,6 @@ def fit(hashes: list[np.ndarray], labels: np.ndarray) -> Model:
     toxic = np.bincount(back, np.repeat(labels, lengths), len(found))
     z = (toxic - counts * rate) / np.sqrt(counts * rate * (1 - rate) + 1e-9)
     pick = np.flatnonzero((counts >= MIN_DOCS) & (np.abs(z) >= MIN_Z))
-    pick = pick[np.argsort(-np.abs(z[pick]), kind="stable")[:MAX_TERMS]]
     pick = np.union1d(pick, together(back, lengths, labels, counts, toxic))
     terms = found[pick]
     if not 0 < labels.sum() < len(labels) or not len(terms):
