@@ -13,6 +13,11 @@ only, any prose is a surge and only its absence (a list of links) a dive, as its
 short paragraphs are text; it is one text, from its heading or first surge to its
 last dive, barriers excepted.  Without any surge: the article, or the longest run.
 
+End tags that HTML lets authors leave out are implied: a paragraph ends where a block
+begins, a list item or cell where the next one does, and whatever is open ends with
+its parent; so does an element that is not prose.  A tag that never closes is text, an
+open comment goes on to the end; both are found in one pass.
+
 Null or empty html, or a page without prose: empty text.  Character references
 are decoded, white space inside a block becomes one space, blocks are joined in
 page order by a line feed; nothing else is dropped.  Repeated rows give equal
@@ -23,6 +28,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -42,6 +48,11 @@ BLOCKS = frozenset("address article blockquote body center dd details div dl dt
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
+#: what an open element ends before, without an end tag
+IMPLIED = {"p": BLOCKS - frozenset(("p", "body", "html", "head", "center", "summary")) | frozenset(("p", "menu", "nav", "aside")), "li": frozenset(("li",)),
+           "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "tbody", "tfoot", "thead")),
+           "td": frozenset(("td", "th", "tr", "tbody", "tfoot")), "th": frozenset(("td", "th", "tr", "tbody", "tfoot"))}
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _UNWANTED = re.compile(
@@ -59,11 +70,38 @@ class Line(NamedTuple):
     heading: bool
 
 
+class Open:
+    """Elements that are open, blocks and those of other kinds that are pushed."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.count: Counter[str] = Counter()
+
+    def push(self, name: str) -> None:
+        self.names.append(name)
+        self.count[name] += 1
+
+    def pop(self) -> str:
+        name = self.names.pop()
+        self.count[name] -= 1
+        return name
+
+    def before(self, name: str) -> None:
+        """End what the start of an element implies the end of."""
+        while self.names and name in IMPLIED.get(self.names[-1], ()):
+            self.pop()
+
+    def end(self, name: str) -> None:
+        """End an element, and what is open in it."""
+        while self.pop() != name:
+            pass
+
+
 def lines(page: str) -> Iterator[Line | None]:
     """The blocks with text; None for a barrier."""
     parts: list[str] = []
     linked: list[str] = []
-    skip, depth, article = "", 0, 0
+    around, skipped, article = Open(), Open(), 0
     link = heading = False
 
     def block():
@@ -73,10 +111,11 @@ def lines(page: str) -> Iterator[Line | None]:
         return Line(text, article > 0, max(0, len(text) - len(inside)), heading) if text else None
 
     at, size = 0, len(page)
+    last = page.rfind(">") + 1  # no tag ends after it
     while at < size:
-        tag = _TAG.search(page, at)
-        stop = tag.start() if tag else size
-        if not depth and stop > at:
+        tag = _TAG.search(page, at, last) if at < last else None
+        stop = tag.start() if tag else size if (comment := page.find("<!--", at)) < 0 else comment
+        if not skipped.names and stop > at:
             parts.append(page[at:stop])
             if link:
                 linked.append(page[at:stop])
@@ -84,30 +123,46 @@ def lines(page: str) -> Iterator[Line | None]:
             break
         at = tag.end()
         if tag[2] is None:  # a comment or declaration
+            if tag[0].startswith("<!--") and not tag[0].endswith("-->"):
+                break
             continue
         name, closing = tag[2].lower(), bool(tag[1])
+        void = name in VOID or tag[3].endswith("/")
         if not closing and name in RAW and not tag[3].endswith("/"):
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else size
             continue
-        if depth:
-            if name == skip:
-                depth += -1 if closing else 1
-            elif not closing and name in _ARTICLE:  # an element left open ends where the article begins
-                depth = 0
-            if depth:
+        if skipped.names:
+            if not closing:
+                skipped.before(name)
+                if name in _ARTICLE:  # an element left open ends where the article begins
+                    skipped = Open()
+                elif skipped.names:
+                    if not void and (name in BLOCKS or name in BOILERPLATE or name == skipped.names[0]):
+                        skipped.push(name)
+                    continue
+            elif skipped.count[name]:
+                skipped.end(name)
                 continue
-            if closing:
+            elif around.count[name]:  # its parent ends
+                skipped = Open()
+            else:
                 continue
-        if not closing and name not in VOID and not tag[3].endswith("/") and (
+        if not closing:
+            around.before(name)
+        if not closing and not void and (
                 name in BOILERPLATE or name == "header" and not article
                 or name not in _ARTICLE and name not in ("body", "html") and any(_UNWANTED.search(x.strip("\"'")) for x in _NAMED.findall(tag[3]))):
             if line := block():
                 yield line
             yield None
-            skip, depth = name, 1
+            skipped.push(name)
             continue
         if name in BLOCKS:
+            if closing and around.count[name]:
+                around.end(name)
+            elif not closing and not void:
+                around.push(name)
             if line := block():
                 yield line
             if name in _ARTICLE:

@@ -479,3 +479,54 @@ def test_mixing_replaces_columns_of_its_own_names(spark):
     out = mixing.sample(docs)
     assert sorted(out.columns) == sorted(docs.columns)
     assert all(r["probability"] <= 1 and r["_topic"] == "z" for r in out.collect())
+
+
+MORE = {"+44 20 7946 0958": 2, "+33 6 12 34 56 78": 2, "03-14-1984": 0, "1984/03/14": 0, "pwd: hunter2hunter2": 4, "password=abc123": 9, "Bearer abcDEF123.ghiJKL456-mno": 7,
+        "sk_live_4eC39HqLyjWDarjtT1": 8, "ghp_16C7e42F292c6912E7710c838347Ae178B4a": 4}
+
+
+def test_further_formats_and_no_caps(spark):
+    long_mail = "a1" * 90 + "@mail.example.com"
+    rows = [(i, f"before {v} after") for i, v in enumerate([*MORE, long_mail])]
+    plain = ["password: none given", "the token was lost", "secret: ask", "a bearer of news", "+4 5 6", "12-31-99 and 99/99/9999", "2001/02/30", "call +12"]
+    rows += [(100 + i, t) for i, t in enumerate(plain)]
+    out = {r["doc_id"]: r for r in pii.pseudonymize(frame(spark, rows)).collect()}
+    for i, (v, lead) in enumerate(MORE.items()):
+        new = out[i]["text"].removeprefix("before ").removesuffix(" after")
+        assert new != v and out[i]["n_replaced"] == 1 and new[:lead] == v[:lead], (v, new)
+        shape = lambda s: re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", s)))
+        assert shape(new) == shape(v)
+        kept = sum(a == b for a, b in zip(v[lead:], new[lead:]) if a.isalnum()) / sum(c.isalnum() for c in v[lead:])
+        assert kept < 0.6, (v, new)
+    mail = out[len(MORE)]["text"].removeprefix("before ").removesuffix(" after")
+    assert mail.endswith("@mail.example.com") and len(mail) == len(long_mail) and sum(a == b for a, b in zip(mail, long_mail[:180])) < 60
+    assert [out[100 + i]["text"] for i in range(len(plain))] == plain
+
+
+def test_the_key_comes_from_outside(spark):
+    rows = [(0, "mail lteik.01@example.com")]
+    default = pii.pseudonymize(frame(spark, rows)).first()["text"]
+    spark.conf.set(pii.KEY_SETTING, "another key")
+    try:
+        assert pii.pseudonymize(frame(spark, rows)).first()["text"] != default
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+    assert pii.pseudonymize(frame(spark, rows), "another key").first()["text"] != default
+
+
+def test_pages_with_tags_left_out_or_open():
+    text = html_text.main_text
+    prose = "A line of prose that has some length to it, so that it is taken for main text anywhere."
+    assert text(f"<article><h1>T</h1><p class='ad'>Buy now<p>{prose}<p>{prose}</article>") == f"T\n{prose}\n{prose}"
+    assert text(f"<ul><li class=menu>Home<li>About</ul><p>{prose}</p><p>{prose}</p>").endswith(f"{prose}\n{prose}")
+    assert text(f"<div><span class=ad>Buy</div><p>{prose}</p>") == prose
+    assert text(f"<div class=ad><div>Buy</div><div>now</div></div><p>{prose}</p>") == prose
+    assert text(f"<table><tr><td class=menu>Home<td>{prose}<tr><td>{prose}</table>") == f"{prose}\n{prose}"
+    assert text(f"<p>{prose}</p><!-- open <p>{prose}") == prose
+    assert text(f"<p>{prose}</p> <!-- open") == prose
+    assert text(f"<p>{prose} 1 < 2") == f"{prose} 1 < 2"
+    for bad in ("<a", "<a \"", "<a '", "<p class=ad", "<!--", "</", "<div class=ad>", "<p>", "<li class=menu>", "</div>", "<b>"):
+        import time
+        t = time.time()
+        text(f"<p>{prose}</p>" + bad * 40_000)
+        assert time.time() - t < 3, bad
