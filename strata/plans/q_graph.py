@@ -45,7 +45,9 @@ def history_changes(spark, d):
     if key not in _MEMO:
         trees, commit_trees = fx.fx_tree_history(spark, d)
         pairs = D.first_parent_pairs(fx.fx_history(spark, d)).withColumn("pair_id", F.struct("repository_id", F.col("to_oid").alias("commit_oid")))
-        found = TR.tree_changes(G._cut(trees), G._cut(commit_trees), pairs)
+        if not fx.is_stored(spark, d, "fx_trees"):
+            trees, commit_trees = G._cut(trees), G._cut(commit_trees)
+        found = TR.tree_changes(trees, commit_trees, pairs)
         _MEMO[key] = found.select("pair_id.repository_id", "pair_id.commit_oid", "path", "old_blob", "new_blob", "status")
     return _MEMO[key]
 

@@ -56,14 +56,19 @@ def _stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame | None:
     return spark.read.parquet(path) if path else None
 
 
+def is_stored(spark: SparkSession, sf_dir: str, name: str) -> bool:
+    return _stored(spark, sf_dir, name) is not None
+
+
 def materialize(spark: SparkSession, sf_dir: str) -> dict:
     """Write the derived history, index, refs and trees once (Parquet, shared
     checkpoint folder) so later queries read stored tables instead of
     re-deriving them from ``events``/``documents``."""
     from strata.session import scratch_path
     out = {}
-    for name, fn in [("fx_history", fx_history), ("fx_commits", fx_commits), ("fx_refs", fx_refs),
-                     ("fx_tree_files", fx_tree_files)]:
+    for name, fn in [("fx_history", fx_history), ("fx_commits", fx_commits), ("fx_refs", fx_refs), ("fx_tree_files", fx_tree_files),
+                     ("fx_trees", lambda s, d: fx_tree_history(s, d)[0]), ("fx_commit_trees", lambda s, d: fx_tree_history(s, d)[1]),
+                     ("fx_history_blobs", fx_history_blobs)]:
         key = (spark.sparkContext.applicationId, sf_dir, name, input_state(spark, sf_dir))
         if key in _STORED:
             continue
@@ -265,6 +270,14 @@ def fx_tree_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx_tree_files(spark, sf_dir).select("repository_id", "commit_oid", "path", "blob_oid")
 
 
+def export_blobs(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The tree files as one file each, a line feed after the content, in folders
+    by repository, commit and (escaped) path: what an exporter of blobs leaves."""
+    f = fx_tree_files(spark, sf_dir).where("content IS NOT NULL")
+    (f.select("repository_id", "commit_oid", F.col("path").alias("file"), F.col("content").alias("value"))
+     .repartition("repository_id", "commit_oid", "file").write.partitionBy("repository_id", "commit_oid", "file").text(path))
+
+
 def fx_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content-addressed blobs (one row per blob_oid)."""
     return fx_tree_files(spark, sf_dir).select("blob_oid", "content").dropDuplicates(["blob_oid"])
@@ -438,6 +451,9 @@ def fx_file_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fx_tree_history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(trees, commit_trees) of the tree history: LICENSE and src/ at the root, a
     directory for each event type below src."""
+    stored = _stored(spark, sf_dir, "fx_trees"), _stored(spark, sf_dir, "fx_commit_trees")
+    if all(x is not None for x in stored):
+        return stored
     s = fx_file_states(spark, sf_dir)
     license_oid = F.md5(F.lit(LICENSE_TEXT))
     files = [f"b{i}" for i in range(SLOTS)]
@@ -468,6 +484,9 @@ LICENSE_TEXT = "free to use\n"
 
 def fx_history_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contents of the tree history, one row a blob."""
+    stored = _stored(spark, sf_dir, "fx_history_blobs")
+    if stored is not None:
+        return stored
     own = spark.range(1).select(F.md5(F.lit(LICENSE_TEXT)).alias("blob_oid"), F.lit(LICENSE_TEXT).alias("content"))
     return fx_file_states(spark, sf_dir).select("blob_oid", "content").dropDuplicates(["blob_oid"]).unionByName(own)
 
