@@ -22,7 +22,7 @@ group of every document.  No link between different texts is lost:
     its sets are in one group already.  Leaf pairs that remain are verified on
     the sets.
 4.  A family above TASK_SHINGLES is dealt to blocks by size and hash, and each
-    pair of blocks of compatible sizes is a task with two trees.
+    block and pair of blocks of compatible sizes is a task.
 
 Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z.  A text of fewer words than a
 shingle has one shingle, the whole sequence; a null or empty text, or one
@@ -49,8 +49,8 @@ WORDS, PERCENT = 3, 90
 CLASS_RATIO = 1.5
 #: hash functions tried for sets with too many empty parts
 SEEDS = 4
-#: shingles of a family that one task takes
-TASK_SHINGLES = 2_000_000
+#: shingles of a family that one task takes, and of two blocks of a larger one, whose sets have nearly one size
+TASK_SHINGLES, BLOCK_SHINGLES = 2_000_000, 8_000_000
 #: rows up to which a counted table is broadcast
 BROADCAST_ROWS = 300_000
 #: keys (two numbers each) up to which they are
@@ -228,7 +228,7 @@ def overlap_possible(level, i: np.ndarray, j: np.ndarray, percent: int) -> np.nd
 
 
 def link_groups(sets: list[np.ndarray], side: np.ndarray, percent: int) -> np.ndarray:
-    """Label of the linked group of each set.  side: 0 and 1 for two blocks whose sets are compared across, 2 for one block."""
+    """Label of the linked group of each set.  side: sets of equal sides are compared for 2 only, sets of different ones always."""
     n = len(sets)
     order = sorted(range(n), key=lambda i: (int(sets[i][0]), len(sets[i])))
     tree = Forest([sets[i] for i in order])
@@ -331,14 +331,26 @@ def family_sets(docs: DataFrame, members: DataFrame, repeated: DataFrame, k: int
     return read(members.join(repeated, key, "left_anti")).unionByName(twice)
 
 
+def size_bucket(percent: int):
+    """(bucket of n_shingles, whether a set can link with one of the bucket below).
+
+    A bucket spans two steps of the largest ratio of linked sizes, so a set links within its
+    bucket or a neighbour, and only the lower half of a bucket reaches the one below."""
+    ratio = (100 / percent) ** 2
+    bucket = F.floor(F.log("n_shingles") / F.log(F.lit(ratio)) + F.lit(1e-9))
+    return bucket, F.col("n_shingles") * percent / 100 <= F.pow(F.lit(ratio), bucket) * (1 + 1e-6) + 1e-6
+
+
 def dealt_tasks(members: DataFrame) -> DataFrame:
-    """members with tasks, an array of (task, side): a family is a task, or one task for each pair of its blocks.
+    """members with tasks, an array of (task, side): a family is a task, or it is cut into blocks by size and
+    hash, with a task for each block and each pair of blocks that can link.
 
-    Dealt before the sets are read, so that their shingles move once, to their tasks."""
+    Dealt before the sets are read, so that their shingles move once to each of their tasks.  Sets of the
+    bucket above that reach down join the tasks of single blocks if they fill one block at most."""
     bucket = F.col("bucket")
     blocks = members.groupBy("family", "bucket").agg(F.sum("n_shingles").alias("load"))
     whole = blocks.groupBy("family").agg(F.sum("load").alias("load")).select("family", (F.col("load") > TASK_SHINGLES).alias("split"))
-    blocks = blocks.select("family", "bucket", F.ceil(F.col("load") * 2 / TASK_SHINGLES).cast("int").alias("salts"))
+    blocks = blocks.select("family", "bucket", F.ceil(F.col("load") * 2 / BLOCK_SHINGLES).cast("int").alias("salts"))
     above = blocks.select("family", (bucket - 1).alias("bucket"), F.col("salts").alias("above"))
     below = blocks.select("family", (bucket + 1).alias("bucket"), F.col("salts").alias("below"))
     plan = blocks.join(above, ["family", "bucket"], "left").join(below, ["family", "bucket"], "left").join(whole, "family")
@@ -354,8 +366,11 @@ def dealt_tasks(members: DataFrame) -> DataFrame:
     own = each(F.col("salts"), lambda s: F.struct(
         task(bucket, bucket, F.least(s, salt), F.greatest(s, salt)).alias("task"),
         F.when(s == salt, 2).when(salt < s, 0).otherwise(1).alias("side")))
-    up = each(F.coalesce("above", F.lit(0)), lambda s: F.struct(task(bucket, bucket + 1, salt, s).alias("task"), F.lit(0).alias("side")))
-    down = each(F.coalesce("below", F.lit(0)), lambda s: F.struct(task(bucket - 1, bucket, s, salt).alias("task"), F.lit(1).alias("side")))
+    # side 3: compared with the task's own block only
+    up = each(F.when(F.col("above") > 1, F.col("above")).otherwise(0), lambda s: F.struct(task(bucket, bucket + 1, salt, s).alias("task"), F.lit(0).alias("side")))
+    down = each(F.when(F.col("reaches"), F.coalesce("below", F.lit(0))).otherwise(0), lambda s: F.when(
+        F.col("salts") > 1, F.struct(task(bucket - 1, bucket, s, salt).alias("task"), F.lit(1).alias("side"))).otherwise(
+        F.struct(task(bucket - 1, bucket - 1, s, s).alias("task"), F.lit(3).alias("side"))))
     single = F.array(F.struct(F.col("family").cast("string").alias("task"), F.lit(2).alias("side")))
     return rows.select("rep", "s1", "s2", F.when(F.col("split"), F.concat(own, up, down)).otherwise(single).alias("tasks"))
 
@@ -372,8 +387,9 @@ def jaccard_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Dat
     nodes = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"))
     family = common.scratch_table(families(full, nodes), "join-families")
     drop_path(spark, keyed)  # the keys are the largest table, and have done their work
-    bucket = F.floor(F.log("n_shingles") / F.log(F.lit(100 / percent))).alias("bucket")
-    members = common.scratch_table(nodes.where("rep is not null").join(family, "s1").select("rep", "s1", "s2", "n_shingles", "family", bucket), "join-members")
+    bucket, reaches = size_bucket(percent)
+    members = nodes.where("rep is not null").join(family, "s1").select("rep", "s1", "s2", "n_shingles", "family", bucket.alias("bucket"), reaches.alias("reaches"))
+    members = common.scratch_table(members, "join-members")
     repeated = common.scratch_table(rows.select(F.col("doc_id").alias("rep"), "s1", "s2").join(members.select("rep", "s1", "s2"), ["rep", "s1", "s2"], "left_semi")
                                     .groupBy("rep", "s1", "s2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "join-twice")
     tasks = common.scratch_table(dealt_tasks(members), "join-tasks")

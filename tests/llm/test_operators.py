@@ -73,12 +73,16 @@ def test_ngram_join_is_brute_force(spark, k, percent):
     assert got(ngram_join.jaccard_join(frame(spark, rows), k, percent), "doc_id", "n_shingles", "component_id") == brute_components(rows, k, percent)
 
 
-def test_ngram_join_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("block, percent", [(500, 90), (500, 80), (4000, 80)])
+def test_ngram_join_in_blocks(spark, monkeypatch, block, percent):
+    """A family cut into many blocks, or few; sets of growing sizes that link across the blocks' sizes."""
     monkeypatch.setattr(ngram_join, "TASK_SHINGLES", 300)
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", block)
     rnd = random.Random(6)
-    base = ["v%d" % i for i in range(60)]
-    rows = [(i, " ".join(w if rnd.random() > 0.02 else "e%d" % rnd.randrange(99) for w in base)) for i in range(40)]
-    assert got(ngram_join.jaccard_join(frame(spark, rows)), "doc_id", "n_shingles", "component_id") == brute_components(rows, 3, 90)
+    base = ["v%d" % i for i in range(260)]
+    near = lambda words: " ".join(w if rnd.random() > 0.01 else "e%d" % rnd.randrange(99) for w in words)
+    rows = [(i, near(base[: 40 + 5 * (i % 40)])) for i in range(70)] + [(100 + i, near(base[:60])) for i in range(25)]
+    assert got(ngram_join.jaccard_join(frame(spark, rows), percent=percent), "doc_id", "n_shingles", "component_id") == brute_components(rows, 3, percent)
 
 
 def test_part_keys_lose_no_link():
