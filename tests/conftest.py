@@ -13,5 +13,8 @@ SF01 = "/root/testdata/sf0.01"
 def spark():
     from strata.session import local_session
     s = local_session(4, shuffle_partitions=4, app="strata-tests")
+    # tables are tiny here and plans many: compiling them takes longer than running them interpreted
+    s.conf.set("spark.sql.codegen.wholeStage", "false")
+    s.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     yield s
     s.stop()

@@ -193,4 +193,4 @@ def test_tree_diff_opens_only_directories_that_differ(spark):
         diff = T.directory_diff(trees, pair)
         pair = diff.where("old_kind = 'tree' OR new_kind = 'tree'").select(F.col("old_oid").alias("old"), F.col("new_oid").alias("new"))
     assert opened < 150
-    assert trees.count() < entries.count() / 3
+    assert trees.count() < entries.count() / 2
