@@ -56,6 +56,8 @@ BROADCAST_ROWS = 300_000
 #: keys (two numbers each) up to which they are
 BROADCAST_KEYS = 1_000_000
 FANOUT = 8
+#: pairs of tree nodes whose children are looked at together: memory only
+PAIRS = 2048
 
 _GOLD = 0x9E3779B97F4A7C15
 
@@ -200,10 +202,12 @@ class Forest:
         self.sets = sets
         self.sizes = np.array([len(s) for s in sets], np.int64)
         bits = 1 << int(np.clip(np.ceil(np.log2(2 * self.sizes.max())), 8, 16))
-        maps = np.zeros((len(sets), bits), bool)
-        for i, s in enumerate(sets):
-            maps[i, (s % np.uint64(bits)).astype(np.int64)] = True
-        packed = np.packbits(maps, axis=1).view(np.uint64)
+        packed = np.empty((len(sets), bits // 64), np.uint64)
+        for lo in range(0, len(sets), 64):  # a few unpacked bitmaps at a time
+            maps = np.zeros((min(64, len(sets) - lo), bits), bool)
+            for i, s in enumerate(sets[lo: lo + 64]):
+                maps[i, (s % np.uint64(bits)).astype(np.int64)] = True
+            packed[lo: lo + 64] = np.packbits(maps, axis=1).view(np.uint64)
         #: by level, leaves first: bitmaps, least and largest size, and the most shingles that share a bit with another of their set
         self.levels = [(packed, self.sizes, self.sizes, self.sizes - np.bitwise_count(packed).sum(1, dtype=np.int64))]
         while len(self.levels[-1][0]) > 1:
@@ -246,22 +250,25 @@ def link_groups(sets: list[np.ndarray], side: np.ndarray, percent: int) -> np.nd
         if linked(i, i + 1):
             join(i, i + 1)
     i = j = np.zeros(1, np.int64)
+    fan = np.arange(FANOUT)
     for depth in range(len(tree.levels) - 1, -1, -1):
-        level, width = tree.levels[depth], FANOUT ** depth
-        if depth < len(tree.levels) - 1:  # children of the pairs that are left
-            fan, size = np.arange(FANOUT), len(level[0])
-            a = (i[:, None, None] * FANOUT + fan[None, :, None] + 0 * fan).ravel()
-            b = (j[:, None, None] * FANOUT + fan[None, None, :] + 0 * fan[None, :, None]).ravel()
-            ok = (a <= b) & (b < size)
-            i, j = a[ok], b[ok]
-        at = np.arange(0, n, width)
+        level, at = tree.levels[depth], np.arange(0, n, FANOUT ** depth)
         low, high = np.minimum.reduceat(label, at), np.maximum.reduceat(label, at)
-        one = (low[i] == high[i]) & (low[j] == high[j]) & (low[i] == low[j])
-        if depth == 0:
-            one |= (i == j) | ((side[i] != 2) & (side[i] == side[j]))
-        keep = np.flatnonzero(~one)
-        keep = keep[overlap_possible(level, i[keep], j[keep], percent)]
-        i, j = i[keep], j[keep]
+        left = []
+        for lo in range(0, len(i), PAIRS):  # so many pairs at a time, with their children
+            a, b = i[lo: lo + PAIRS], j[lo: lo + PAIRS]
+            if depth < len(tree.levels) - 1:  # children of the pairs that are left
+                a = (a[:, None, None] * FANOUT + fan[None, :, None] + 0 * fan).ravel()
+                b = (b[:, None, None] * FANOUT + fan[None, None, :] + 0 * fan[None, :, None]).ravel()
+                ok = (a <= b) & (b < len(level[0]))
+                a, b = a[ok], b[ok]
+            one = (low[a] == high[a]) & (low[b] == high[b]) & (low[a] == low[b])
+            if depth == 0:
+                one |= (a == b) | ((side[a] != 2) & (side[a] == side[b]))
+            keep = np.flatnonzero(~one)
+            keep = keep[overlap_possible(level, a[keep], b[keep], percent)]
+            left.append((a[keep], b[keep]))
+        i, j = (np.concatenate([x[k] for x in left]) if left else np.zeros(0, np.int64) for k in (0, 1))
     for x, y in zip(i.tolist(), j.tolist(), strict=True):
         if label[x] != label[y] and linked(x, y):
             join(x, y)
@@ -282,7 +289,7 @@ def links(batches: Iterator[pa.RecordBatch], percent: int, schema: pa.Schema) ->
                 yield head[x], doc
 
     task, rows, edges = None, [], []
-    for batch in batches:
+    for batch in (b.slice(lo, 256) for b in batches for lo in range(0, b.num_rows, 256)):  # few sets as Python objects besides the task's
         for key, doc, side, data in zip(*(batch.column(c).to_pylist() for c in ("task", "rep", "side", "grams")), strict=True):
             if key != task:
                 if len(rows) > 1:
