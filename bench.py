@@ -23,7 +23,7 @@ from strata.sources import fixtures  # noqa: E402
 
 HEADLINE = [
     "branch_diff", "branch_diff_by_oid", "log_page_branch", "latest_commit", "commit_counts", "insert_new_commits",
-    "upsert_commits", "reachable", "rev_list", "range_commits", "merge_status", "flag_equivalent",
+    "upsert_commits", "reachable", "rev_list", "range_commits", "merge_status", "commit_changes", "flag_equivalent",
     "file_changes", "line_change_counts", "diff_lines", "stream_ingest",
 ]
 
