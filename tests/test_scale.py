@@ -53,3 +53,27 @@ def test_ranking_runs_over_the_entries_of_batches(spark):
     place = g.index().join(g.ids(), "nid").select(F.col("oid").cast("int"), "chain", "cpos").orderBy("oid").collect()
     assert [r["cpos"] for r in place] == list(range(n)) and len({r["chain"] for r in place}) == 1
     assert g.rounds["ranking"] <= 5  # 12 by pointer jumping over all nodes
+
+
+def test_late_commits_do_not_cost_a_frontier_round_each(spark):
+    """Every fifth commit of a line of 400 comes after its child: the stored chains are put end to end."""
+    from strata.operators import graph_store as GS
+    n = 400
+    late = lambda k: k % 5 == 0 and k > 0
+    old, new = [k for k in range(n) if not late(k)], [k for k in range(n) if late(k)]
+    frame = lambda rows, cols: spark.createDataFrame(rows, cols)
+    chain, coords = 0, []
+    for k in old:
+        chain = chain if k and not late(k - 1) else k
+        coords.append((k, chain, k - chain))
+    for k in new:  # ends the chain of its parent
+        c = next(c for a, c, _ in coords if a == k - 1)
+        coords.append((k, c, k - c))
+    by = {a: (c, p) for a, c, p in coords}
+    cross = [(*by[k], *by[k - 1]) for k in range(1, n) if by[k][0] != by[k - 1][0]]
+    conts = [(k - 1, k) for k in range(1, n) if by[k][0] == by[k - 1][0]]
+    index, edges, follow = GS.joined(frame(coords, "nid long, chain long, cpos long"), frame(cross, "src_chain long, src_pos long, dst_chain long, dst_pos long"),
+                                     frame(conts, "pid long, child long"))
+    assert len(cross) > 70 and edges.isEmpty()
+    assert sorted((r["nid"], r["chain"], r["cpos"]) for r in index.collect()) == [(k, 0, k) for k in range(n)]
+    assert sorted(map(tuple, follow.collect())) == [(k - 1, k) for k in range(1, n)]
