@@ -194,3 +194,29 @@ def test_tree_diff_opens_only_directories_that_differ(spark):
         pair = diff.where("old_kind = 'tree' OR new_kind = 'tree'").select(F.col("old_oid").alias("old"), F.col("new_oid").alias("new"))
     assert opened < 150
     assert trees.count() < entries.count() / 2
+
+
+def test_a_level_in_stretches_gives_the_same_rows_and_holds_less(spark, monkeypatch):
+    """Levels worked off in stretches find what listings differ in; listings and the
+    pairs of finished levels are gone before the result is written."""
+    import glob
+    from strata.operators import trees as T
+    from strata.session import ensure_checkpoint_dir
+
+    names = [f"c{i}" for i in range(5)]
+    rows = [(1, c, f"d{j % 4}/e{j % 3}/f{j}", f"b{j}" if (i + j) % 5 else f"b{j}-{i}") for i, c in enumerate(names) for j in range(40) if (i + j) % 11]
+    rows += [(1, "c2", "x", "file"), (1, "c3", "x/y", "inside")]
+    entries = spark.createDataFrame(rows, "repository_id long, commit_oid string, path string, blob_oid string")
+    pairs = spark.createDataFrame([(f"{k}:{a}-{b}", 1, a, b) for k, (a, b) in enumerate([(None, "c0"), *zip(names, names[1:]), ("c4", "zz"), ("c0", "c1")])],
+                                  "pair_id string, repository_id long, from_oid string, to_oid string")
+    trees, roots = T.trees_of(entries, ["repository_id", "commit_oid"])
+    base = ensure_checkpoint_dir(spark).removeprefix("file:")
+    lies = lambda: set(glob.glob(f"{base}/trees-*")) | set(glob.glob(f"{base}/graph-*/what=tree"))
+    before, seen, cut = lies(), [], T._cut
+    monkeypatch.setattr(T, "STRETCH", 2)
+    monkeypatch.setattr(T, "_cut", lambda *a: (seen.append(lies() - before), cut(*a))[1])
+    got = T.tree_changes(trees, roots, pairs).collect()
+    key = lambda r: (r["pair_id"], r["path"], r["old_blob"], r["new_blob"], r["status"])
+    want = D.file_changes(entries, pairs).collect()
+    assert sorted(map(key, got), key=str) == sorted(map(key, want), key=str) and len(got) > 100
+    assert len(seen[-1]) <= 1 and not any("/trees-" in f for x in seen for f in x) and lies() == before
