@@ -122,3 +122,24 @@ def test_prefixes_match_within_a_repository_at_any_length(spark):
     right = spark.createDataFrame([(1, "ABC"), (2, "b"), (1, "abcdef0123")], "repository_id long, oid string")
     got = sorted((r["repository_id"], r["oid"], r["matched_oid"]) for r in Q.match_oid_prefix(left, right).collect())
     assert got == [(1, "ab", "ABC"), (1, "ab", "abcdef0123"), (1, "abcdef0", "ABC"), (1, "abcdef0", "abcdef0123")]
+
+
+def test_many_blob_folders_are_listed_by_few_tasks(spark, tmp_path):
+    """A listing has as many tasks as the cores ask for, not one a folder, and the setting is put back."""
+    from strata.sources import blobs as B
+
+    for i in range(300):
+        (tmp_path / "1" / "abcdef0" / f"f{i}").mkdir(parents=True)
+        (tmp_path / "1" / "abcdef0" / f"f{i}" / "x.txt").write_text(f"t{i}\n")
+    sc, key = spark.sparkContext, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    sc.setJobGroup("listing", "listing")
+    try:
+        found = B.read_blobs(spark, str(tmp_path))
+        jobs = sc.statusTracker().getJobIdsForGroup("listing")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    stages = [sc.statusTracker().getStageInfo(s) for j in jobs for s in sc.statusTracker().getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages) <= 4 * sc.defaultParallelism < 300
+    assert spark.conf.get(key) == before
+    assert found.select("path").distinct().count() == 300 and found.where("content = 't7\n'").first()["path"] == "f7/x.txt"
