@@ -143,3 +143,21 @@ def test_many_blob_folders_are_listed_by_few_tasks(spark, tmp_path):
     assert stages and max(s.numTasks for s in stages) <= 4 * sc.defaultParallelism < 300
     assert spark.conf.get(key) == before
     assert found.select("path").distinct().count() == 300 and found.where("content = 't7\n'").first()["path"] == "f7/x.txt"
+
+
+def test_branch_diff_spreads_one_branch_over_tasks(spark):
+    """Where the pairs are not broadcast, a branch's commits do not all meet them in one task."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, f"o{i}", b, i, f"s{i % 50}") for b in ("a", "main") for i in range(400) if b == "a" or i % 3]
+    commits = spark.createDataFrame(rows, "repository_id long, oid string, branch string, author_time long, summary string").withColumn("committer_time", F.col("author_time"))
+    pairs = spark.createDataFrame([(1, "a", "main")], "repository_id long, old_branch string, new_branch string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = Q.branch_diff(commits, pairs)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.split("hashpartitioning(")[1:] if "branch" in x.split("),")[0] and "_salt" not in x.split("),")[0] and "author_time" not in x.split("),")[0]]
+        assert "_salt" not in got.columns and sorted(r["oid"] for r in got.collect()) == sorted(f"o{i}" for i in range(0, 400, 3))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
