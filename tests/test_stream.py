@@ -89,3 +89,35 @@ def test_state_partitions_leave_caller_setting(spark):
                         F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"), state_partitions=3)
     q.awaitTermination()
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("bound", [100_000, 0])
+def test_only_keys_that_may_be_stored_are_compared(spark, monkeypatch, bound):
+    monkeypatch.setattr(ST, "MAX_SUSPECTS", bound)
+    rows = fx.fx_commits(spark, SF001).where("repository_id <= 3").localCheckpoint()
+    stored = rows.where("crc32(oid) % 3 = 0").localCheckpoint()
+    twice = rows.unionByName(rows.where("crc32(oid) % 5 = 0").withColumn("summary", F.lit("later"))).localCheckpoint()
+    new = ST._new_rows(stored, twice)
+    want = q_stream.T.insert_new_commits(stored, twice)
+    assert new.columns == want.columns and want.count() > 0
+    assert new.exceptAll(want).isEmpty() and want.exceptAll(new).isEmpty()
+    fresh = rows.where("crc32(oid) % 3 <> 0").localCheckpoint()
+    assert "Exchange" not in _plan(ST._new_rows(stored, fresh)) and ST._new_rows(stored, rows.limit(0)).isEmpty()
+
+
+def test_state_lies_on_disk_and_is_sized_by_a_batch(spark, monkeypatch):
+    base = tempfile.mkdtemp(prefix="strata-stream-state-", dir="/tmp")
+    ST.stage_drops(q_stream._feed_drops(spark, SF001).limit(200), f"{base}/feed", "day")
+    monkeypatch.setattr(ST, "PARTITION_BYTES", ST._batch_bytes(spark, f"{base}/feed", 1000) // (spark.sparkContext.defaultParallelism + 3))
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    q = ST.start_ingest(spark, f"{base}/feed", f"{base}/index", f"{base}/runs", f"{base}/quar", f"{base}/ck", F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
+    q.awaitTermination()
+    assert q.exception() is None and spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == provider
+    state = q.recentProgress[0]["stateOperators"][0]
+    assert state["numShufflePartitions"] > spark.sparkContext.defaultParallelism
+    assert any(k.startswith("rocksdb") for k in state["customMetrics"])
+    assert ST._batch_bytes(spark, f"{base}/none", 1) == 0
