@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strata.llm import decontaminate, html_text, lm_score, mixing, ngram_join, passages, pii, quality_rules, substring_dedup, suffix_dedup, toxicity
@@ -394,6 +395,19 @@ def test_toxicity_learns_pairs_of_terms_that_tell_nothing_alone():
     assert len(own) > 450 and sum(own) > 0.97 * len(own)
 
 
+def test_blocks_count_the_windows_of_all_rows(monkeypatch):
+    """Rows of one body list its windows each: a block ends by them too, between groups."""
+    monkeypatch.setattr(passages, "BLOCK_BYTES", 100_000)
+    n, made = 300, []
+    for anchor in range(6):
+        made.append(pa.RecordBatch.from_pydict({
+            "anchor": [anchor] * n, "salt": [0] * n, "s1": [7] * n, "s2": [7] * n, "doc_id": list(range(n)), "version": [0] * n, "start": [0] * n,
+            "windows": [200] * n, "salted": [False] * n, "body": [bytes(600)] + [None] * (n - 1)}))
+    got = list(passages.blocks(iter(made)))
+    assert sum(len(b.of) for b in got) == 6 * n and sum(len(b.bodies) for b in got) == 6
+    assert max(int(b.windows.sum()) for b in got) <= 2 * 200 * n
+
+
 def test_toxicity_without_labels(spark):
     lab = spark.createDataFrame([], "doc_id long, toxic int")
     out = toxicity.toxicity(frame(spark, [(1, "a"), (2, None)]), lab).collect()
