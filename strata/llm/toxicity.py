@@ -38,6 +38,7 @@ EPOCHS = 12
 BATCH = 256
 RATE = 0.1
 PREFIXES = (4, 5)
+DOCS_AT_ONCE = 1000  # documents of a term whose further terms are counted at once
 L2_LINEAR, L2_PAIR = 2e-4, 2e-3
 
 #: characters cut off both ends of a word to make a term
@@ -119,23 +120,31 @@ def together(index: np.ndarray, lengths: np.ndarray, labels: np.ndarray, counts:
         return none
     number = np.full(len(counts), -1)
     number[wide] = np.arange(len(wide))
-    doc = np.repeat(np.arange(len(lengths)), lengths)
-    term = number[index]
-    doc, term = doc[term >= 0], term[term >= 0]
+    term = number.astype(np.int32)[index]
+    doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[term >= 0]
+    term = term[term >= 0]
     order = np.lexsort((term, doc))
-    doc, term = doc[order], term[order].astype(np.int32)
-    ends = np.searchsorted(doc, np.arange(len(lengths)), "right")[doc]  # the terms after an entry, in its document
-    by_term = np.lexsort((labels[doc], term))
-    cut = np.searchsorted(term[by_term], np.arange(len(wide) + 1))
-    clean = cut[:-1] + np.bincount(term, labels[doc] == 0, len(wide)).astype(np.int64)
+    doc, term = doc[order], term[order]
+    del order
+    last = np.searchsorted(doc, np.arange(len(lengths)), "right").astype(np.int32)  # the terms after an entry, in its document, end here
+    toxic_doc = labels > 0
+    by_term = np.lexsort((toxic_doc[doc], term)).astype(np.int32)
+    cut = np.searchsorted(term, np.arange(len(wide) + 1), sorter=by_term)
+    clean = cut[:-1] + np.bincount(term[~toxic_doc[doc]], minlength=len(wide))
     share = (toxic[wide] + rate) / (counts[wide] + 1)
     odds = np.log(share / (1 - share))
     base = np.log(rate / (1 - rate))
     found = np.zeros(len(wide), bool)
     for i in range(len(wide) - 1):
         k = []
-        for at in (by_term[cut[i]: clean[i]], by_term[clean[i]: cut[i + 1]]):
-            k.append(np.bincount(term[common.ranges(at + 1, ends[at] - at - 1)] - (i + 1), minlength=len(wide) - i - 1))
+        for lo, hi in ((cut[i], clean[i]), (clean[i], cut[i + 1])):
+            for a in range(lo, max(hi, lo + 1), DOCS_AT_ONCE):
+                at = by_term[a: min(a + DOCS_AT_ONCE, hi)]
+                part = np.bincount(term[common.ranges(at + 1, last[doc[at]] - at - 1)] - (i + 1), minlength=len(wide) - i - 1)
+                if a == lo:
+                    k.append(part)
+                else:
+                    k[-1] += part
         n = k[0] + k[1]
         j = np.flatnonzero(n >= least)
         n, q = n[j], k[1][j] / n[j]
@@ -148,27 +157,45 @@ def together(index: np.ndarray, lengths: np.ndarray, labels: np.ndarray, counts:
     return wide[found]
 
 
+def entries(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The terms that MIN_DOCS documents hold, sorted, and of each of their entries, ordered by document, term and document.
+
+    Rarer terms, which no weight is learned for, are most of a sample; they are
+    left out before anything is worked out for each entry."""
+    flat = np.concatenate(hashes) if len(hashes) else np.zeros(0, np.uint64)
+    flat.sort()
+    n = max(len(flat) - MIN_DOCS + 1, 0)  # of the entries in order, one that equals the one MIN_DOCS - 1 later
+    found = np.unique(flat[:n][flat[:n] == flat[len(flat) - n:]])
+    del flat
+    index, doc = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for d, h in enumerate(hashes if len(found) else ()):
+        i = np.minimum(np.searchsorted(found, h), len(found) - 1)
+        i = i[found[i] == h].astype(np.int32)
+        index.append(i)
+        doc.append(np.full(len(i), d, np.int32))
+    return found, np.concatenate(index), np.concatenate(doc)
+
+
 def fit(hashes: list[np.ndarray], labels: np.ndarray) -> Model:
     """AdaGrad on the logistic loss, in mini-batches of a fixed order."""
     rate = (labels.sum() + 0.5) / (len(labels) + 1) if len(labels) else 0.0
     none = np.zeros(0)
-    lengths = np.array([len(h) for h in hashes], np.int64)
-    flat = np.concatenate(hashes) if len(hashes) else np.zeros(0, np.uint64)
-    found, back, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    toxic = np.bincount(back, np.repeat(labels, lengths), len(found))
+    found, index, doc = entries(hashes)
+    lengths = np.bincount(doc, minlength=len(hashes))
+    counts = np.bincount(index, minlength=len(found))
+    toxic = np.bincount(index, labels[doc], len(found))
     z = (toxic - counts * rate) / np.sqrt(counts * rate * (1 - rate) + 1e-9)
-    pick = np.flatnonzero((counts >= MIN_DOCS) & (np.abs(z) >= MIN_Z))
-    pick = np.union1d(pick, together(back, lengths, labels, counts, toxic))
+    pick = np.union1d(np.flatnonzero(np.abs(z) >= MIN_Z), together(index, lengths, labels, counts, toxic))
     terms = found[pick]
     if not 0 < labels.sum() < len(labels) or not len(terms):
         rate = min(max(rate, 1e-6), 1 - 1e-6)
         if not labels.sum():
             rate = min(rate, 0.49)
         return Model(np.zeros(0, np.uint64), float(np.log(rate / (1 - rate))), none, np.zeros((0, FACTORS)))
-    i = np.minimum(np.searchsorted(terms, flat), len(terms) - 1)
-    hit = terms[i] == flat
-    doc = np.repeat(np.arange(len(hashes)), lengths)[hit]
-    index = i[hit]
+    number = np.full(len(found), -1)
+    number[pick] = np.arange(len(pick))
+    index = number[index]
+    doc, index = doc[index >= 0], index[index >= 0]
     first = np.searchsorted(doc, np.arange(len(hashes) + 1))
 
     # both classes weigh the same, so that a score of one half is where they balance

@@ -395,6 +395,26 @@ def test_toxicity_learns_pairs_of_terms_that_tell_nothing_alone():
     assert len(own) > 450 and sum(own) > 0.97 * len(own)
 
 
+def test_toxicity_fit_needs_memory_for_terms_that_can_have_weights_only():
+    """Terms of one document each are most of the sample; the model is that without them."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    common_terms = np.sort(rng.integers(1, 1 << 60, 40).astype(np.uint64))
+    known = [np.sort(rng.choice(common_terms, 9, replace=False)) for _ in range(300)]
+    labels = np.array([float(common_terms[3] in k) for k in known])
+    mixed = [np.sort(np.concatenate([k, rng.integers(1 << 61, 1 << 63, 10_000).astype(np.uint64)])) for k in known]
+    size = sum(h.nbytes for h in mixed)
+    tracemalloc.start()
+    got = toxicity.fit(mixed, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = toxicity.fit(known, labels)
+    assert peak < 2 * size, (peak, size)
+    assert len(got.terms) and got.bias == want.bias
+    assert all((getattr(got, c) == getattr(want, c)).all() for c in ("terms", "linear", "pairs"))
+
+
 def test_blocks_count_the_windows_of_all_rows(monkeypatch):
     """Rows of one body list its windows each: a block ends by them too, between groups."""
     monkeypatch.setattr(passages, "BLOCK_BYTES", 100_000)
