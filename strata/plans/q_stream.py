@@ -8,7 +8,7 @@ from strata.functions import scalars as S
 from strata.operators import graph as G
 from strata.operators import tables as T
 from strata.plans.catalog import register
-from strata.plans.q_graph import SPLIT, WALK_SQL, graph_and_reach
+from strata.plans.q_graph import SPLIT, WALK_SQL, graph_frontier
 from strata.session import scratch_path
 from strata.sources import fixtures as fx
 from strata.sources import schemas
@@ -101,13 +101,11 @@ FROM status GROUP BY repository_id""")
 def ingest_stats(spark, d):
     """A2: one index cycle per repository: candidates (walked, before the
     conflict skip), inserted, branches indexed / failed / skipped."""
-    g, reach = graph_and_reach(spark, d)
+    g, front = graph_frontier(spark, d)
     raw = fx.fx_raw_refs(spark, d)
     branches = T.refs_to_branches(raw, CREATED)
-    refs = T.remote_branches(branches).select("repository_id", F.col("name").alias("ref"), "target_oid")
-    walk = G.rev_list(g, refs, fx.fx_history(spark, d).select("repository_id", "oid", "committer_time", "parent_oids"), reach=reach)
     index = fx.fx_commits(spark, d).where(F.col("committer_time") < F.lit(SPLIT).cast("timestamp_ntz"))
-    ins = G.incremental_cut(walk, index, mode="exact")
+    walk, ins = G.walk(g, front), G.walk(g, front, indexed=index)
     cand = walk.groupBy("repository_id", "ref").agg(F.count(F.lit(1)).alias("candidates"))
     done = ins.groupBy("repository_id", "ref").agg(F.count(F.lit(1)).alias("inserted"))
     ok = (branches.select("repository_id", F.col("name").alias("ref"))

@@ -228,3 +228,36 @@ def test_feature_branch_history_needs_few_rounds(spark):
     iv = front.selectExpr("repository_id", "ref", "chain", "-1 as lo", "max_pos as hi")
     got = {r["ref"]: r["n"] for r in g.nodes_in(iv, ["repository_id", "ref"]).groupBy("ref").agg(F.count("oid").alias("n")).collect()}
     assert got == {"main": 2 * n + 1, "half": 1 + 2 * (n // 2 - 1) + 1}
+
+
+def test_walk_by_ids_matches_rev_list(spark):
+    # equal times, merges, commits of two repositories; ids follow (time, oid), so the walk numbers rows without their names
+    rnd = random.Random(15)
+    parents = _random_parents(rnd, 60, 5, 0.3, 3)
+    times = {o: i // 4 for i, o in enumerate(parents)}
+    pairs = [_frames(spark, parents, repo) for repo in (1, 2)]
+    nodes, edges = (pairs[0][i].unionByName(pairs[1][i]) for i in (0, 1))
+    attrs = _attrs(spark, parents, times)
+    attrs = attrs.unionByName(attrs.withColumn("repository_id", F.lit(2).cast("long")))
+    g = G.CommitGraph(attrs.select("repository_id", "oid", "committer_time", (F.size("parent_oids") > 1).alias("is_merge")), edges)
+    refs = spark.createDataFrame([(r, name, t) for r in (1, 2) for name, t in (("main", "n059"), ("dev", "n050"))], "repository_id long, ref string, target_oid string")
+    since = spark.createDataFrame([(1, "main", "n030"), (2, "dev", "n055"), (2, "main", "nope")], "repository_id long, ref string, since_oid string")
+    index = spark.createDataFrame([(r, b, o, times[o]) for r, b in ((1, "main"), (2, "dev")) for o in parents if rnd.random() < 0.6],
+                                  "repository_id long, branch string, oid string, committer_time long")
+    front, plain = g.frontier(refs), G.CommitGraph(nodes, edges)
+    rows = lambda df: sorted(tuple(r) for r in df.select("repository_id", "ref", "oid", "committer_time", "walk_rank").collect())
+    whole = G.rev_list(plain, refs, attrs)
+    assert rows(G.walk(g, front)) == rows(whole)
+    assert rows(G.walk(g, front, limit=7)) == rows(G.rev_list(plain, refs, attrs, limit=7))
+    assert rows(G.walk(g, front, since=since)) == rows(G.rev_list(plain, refs, attrs, since=since))
+    assert rows(G.walk(g, front, indexed=index)) == rows(G.incremental_cut(whole, index, "exact"))
+
+
+def test_incremental_exact_numbers_rows_without_names(spark):
+    from strata.plans.catalog import QUERIES
+
+    plan = QUERIES["incremental_exact"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    windows = [line for line in str(plan).splitlines() if "Window" in line and "walk_rank" in line]
+    assert windows and not any("oid" in line for line in windows)
+    # dealt by ref, a row is its id; its name and the index are met a commit at a time
+    assert not any("Join" in line and "oid#" in line and "ref#" in line for line in str(plan).splitlines())
