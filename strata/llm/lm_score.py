@@ -15,7 +15,8 @@ Learning is by Spark aggregation: tasks count (context, byte) cells over all
 training documents, the counts are summed, and the tables of log-odds, of fixed
 size (TABLES, one byte a node), are broadcast.  Starting weights are fitted to all
 training documents: in each of ROUNDS, tasks sum the gradient and curvature of the
-coding cost over their bytes, and the sums give a Newton step for each gate.
+coding cost over their bytes, and the sums give a Newton step for each gate.  Bytes of
+equal contexts have equal slopes, so a task takes each distinct one once, times its count.
 Online state starts anew every LANE bytes and never leaves a document, so a score
 depends on the model and the text alone.
 
@@ -31,6 +32,7 @@ Other columns of the input are ignored.  Empty input: empty result.
 
 from __future__ import annotations
 
+import functools
 import heapq
 
 import numpy as np
@@ -46,6 +48,8 @@ GATES = 4
 ROUNDS = 1  # Newton steps to the starting weights
 PIECE = 1 << 15  # bytes whose slopes are taken at once
 LANE = 512
+#: steps whose bytes are fetched at once, distinct bytes in context that a task holds: memory only
+STRIDE, HELD = 16, 1 << 21
 LEARN, REFINE = 0.01, 0.02
 STEPS = 33  # cells of the refining map
 CHUNK_BYTES = 8 << 20
@@ -72,22 +76,43 @@ def normalized(t: common.Texts) -> tuple[np.ndarray, np.ndarray]:
 
 def contexts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For every byte: its row in each table (bytes x tables), and its gate."""
+    rows, gate = np.empty((len(data), len(TABLES)), np.int32), np.empty(len(data), np.int64)
+    for lo, hi in runs(offs, PIECE):  # arrays that stay in the processor's cache
+        a, b = offs[lo], offs[hi]
+        rows[a:b], gate[a:b] = _contexts(data[a:b], offs[lo: hi + 1] - a)
+    return rows, gate
+
+
+def _contexts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     size = len(data)
-    begin = np.zeros(size, bool)
-    begin[offs[:-1]] = True
-    since = np.arange(size) - np.maximum.accumulate(np.where(begin, np.arange(size), 0))
-    last = [np.where(since >= i, np.concatenate((np.zeros(i, np.uint8), data))[:size], END).astype(np.uint64) for i in (1, 2, 3)]
-    top = lambda h, bits: (common.mix(h) >> np.uint64(64 - bits)).astype(np.int64)
-    starts = begin.copy()
+    last = []
+    for i in (1, 2, 3):
+        before = np.full(size, END, np.uint8)
+        before[i:] = data[:-i]
+        for j in range(i):  # the byte lies ahead of its document
+            at = offs[:-1] + j
+            before[at[at < offs[1:]]] = END
+        last.append(before)
+    starts = np.zeros(size, bool)
+    starts[offs[:-1]] = True
     starts[1:] |= data[:-1] == SPACE
-    word = np.maximum.accumulate(np.where(starts, np.arange(size), 0))
+    here = np.arange(size)
+    word = np.maximum.accumulate(here * starts)
+    since = here - word
     prefix = common.prefix_hashes(data)
     rows = np.empty((size, len(TABLES)), np.int32)
-    two = last[0] | last[1] << np.uint64(8)
-    rows[:, 0] = top(two | np.uint64(1 << 40), TABLES[0])
-    rows[:, 1] = _BASE[1] + top(two | last[2] << np.uint64(16) | np.uint64(1 << 41), TABLES[1])
-    rows[:, 2] = _BASE[2] + top(common.span_hashes(prefix, word, np.arange(size)) ^ np.uint64(1 << 42), TABLES[2])
-    return rows, np.minimum(np.arange(size) - word, GATES - 1)
+    two = last[0] | last[1].astype(np.int64) << 8
+    rows[:, 0] = _of_two().take(two)
+    top = lambda h, bits: (common.mix(h) >> np.uint64(64 - bits)).astype(np.int32)
+    rows[:, 1] = _BASE[1] + top((two | last[2].astype(np.int64) << 16 | 1 << 41).view(np.uint64), TABLES[1])
+    rows[:, 2] = _BASE[2] + top(common.spans_to(prefix, word, since) ^ np.uint64(1 << 42), TABLES[2])
+    return rows, np.minimum(since, GATES - 1)
+
+
+@functools.cache
+def _of_two() -> np.ndarray:
+    """The row of each two bytes in the first table."""
+    return (common.mix(np.arange(1 << 16, dtype=np.uint64) | np.uint64(1 << 40)) >> np.uint64(64 - TABLES[0])).astype(np.int32)
 
 
 class Code:
@@ -150,55 +175,82 @@ class Mixer:
         w = [np.tile(self.weights[:, k].astype(np.float32), len(lanes)) for k in range(len(TABLES))]
         refine = np.tile((1 / (1 + np.exp(-np.linspace(-8, 8, STEPS)))).astype(np.float32), len(lanes))
         bits = np.zeros(len(lanes))
-        active = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), "left")  # lanes longer than s
+        active = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), "left").tolist()  # lanes longer than s
         code, table, rate = self.code, self.table, np.float32(learn / 256)
-        base = [np.ascontiguousarray(rows[:, k]) * np.int32(256) for k in range(len(TABLES))]
-        for s, n in enumerate(active.tolist()):
-            at = begin[:n] + s
-            symbol = data[at]
-            length = code.length[symbol]
-            ends = np.cumsum(length)
-            first = ends - length
-            path = np.arange(ends[-1], dtype=np.int32) + np.repeat(code.first[symbol] - first, length).astype(np.int32)
-            node, bit = code.node[path], code.bit[path]
-            set_ = lanes[:n] * GATES + gate[at]  # weights are per sixteenth of log-odds
-            hint = [table[np.repeat(b[at], length) + node].astype(np.float32) for b in base]
-            own = [x[set_] for x in w]
-            z = np.repeat(own[0], length) * hint[0]
+        node_of, count = code.node.astype(np.int64), np.arange(int(code.length.max()) * len(lanes))
+        for s, n in enumerate(active):
+            j = s % STRIDE
+            if j == 0:  # bytes of so many steps at once, each step's in a row
+                at = np.minimum(begin[:n, None] + np.arange(s, s + STRIDE), len(data) - 1)
+                symbols = np.ascontiguousarray(data[at].T)
+                sets = gate[at].T + lanes[:n] * GATES
+                base = np.ascontiguousarray(rows[at].transpose(2, 1, 0)).astype(np.int64) * 256
+                lengths = code.length[symbols]
+                starts = code.first[symbols]
+            length, set_ = lengths[j, :n], sets[j, :n]
+            # a decision's lane, and its place in the code
+            lane = np.repeat(lanes[:n], length)
+            path = (starts[j, :n] + length - np.cumsum(length)).take(lane)
+            path += count[: len(path)]
+            node, bit = node_of.take(path), code.bit.take(path)
+            hint, own = [], [x.take(set_) for x in w]  # weights are per sixteenth of log-odds
+            for b in base:
+                cell = b[j, :n].take(lane)
+                cell += node
+                hint.append(table.take(cell).astype(np.float32))
+            z = own[0].take(lane)
+            z *= hint[0]
             for x, h in zip(own[1:], hint[1:], strict=True):
-                z += np.repeat(x, length) * h
+                part = x.take(lane)
+                part *= h
+                z += part
             np.clip(z, -8, 8, out=z)
-            p = 1 / (1 + np.exp(-z))
-            cell = np.repeat(lanes[:n] * STEPS, length) + (z * np.float32((STEPS - 1) / 16) + np.float32(STEPS / 2)).astype(np.int64)
-            seen = refine[cell]
-            final = np.float32(0.5) * (p + seen)
-            miss = 1 - bit
-            # the probability given to the bit that came: final, or 1 - final
-            final = np.maximum(np.abs(miss - final), np.float32(1 / 4096))
-            bits[:n] -= np.log2(np.multiply.reduceat(final, first))
-            refine[cell] = seen + np.float32(REFINE) * (bit - seen)
-            error = rate * (bit - p)
+            p = np.negative(z)
+            np.exp(p, out=p)
+            p += 1
+            np.reciprocal(p, out=p)
+            z *= np.float32((STEPS - 1) / 16)
+            z += np.float32(STEPS / 2)
+            cell = z.astype(np.int64)
+            lane_cells = lane * STEPS
+            cell += lane_cells
+            seen = refine.take(cell)
+            # the probability given to the bit that came: half of p + seen, or 1 less it
+            final = p + seen
+            final *= np.float32(0.5)
+            final -= 1 - bit
+            np.abs(final, out=final)
+            np.maximum(final, np.float32(1 / 4096), out=final)
+            bits[:n] -= np.bincount(lane, np.log2(final, out=final), n)
+            step = bit - seen
+            step *= np.float32(REFINE)
+            step += seen
+            refine[cell] = step
+            error = bit - p
+            error *= rate
             for k in range(len(TABLES)):
-                w[k][set_] = own[k] + np.add.reduceat(error * hint[k], first)
+                hint[k] *= error
+                w[k][set_] = own[k] + np.bincount(lane, hint[k], n).astype(np.float32)
         return np.bincount(doc, bits, len(offs) - 1)
 
-    def slopes(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """For each gate, the gradient of the log-probability in its weights and, after it, the curvature, over all bytes."""
-        rows, gate = contexts(data, offs)
+    def slopes(self, keys: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """For each gate, the gradient of the log-probability in its weights and, after it, the curvature, over
+        bytes given as distinct keys and how often each occurs."""
         n, code = len(TABLES), self.code
         total = np.zeros((n + n * n, GATES))
-        for lo in range(0, len(data), PIECE):
-            symbol, g = data[lo: lo + PIECE], gate[lo: lo + PIECE]
+        for lo in range(0, len(keys), PIECE):
+            rows, g, symbol = opened(keys[lo: lo + PIECE])
             length = code.length[symbol]
             ends = np.cumsum(length)
             first = ends - length
-            path = np.arange(ends[-1]) + np.repeat(code.first[symbol] - first, length)
+            byte = np.repeat(np.arange(len(symbol)), length)
+            path = np.arange(ends[-1]) + (code.first[symbol] - first).take(byte)
             node = code.node[path]
-            hint = [self.table[np.repeat(rows[lo: lo + PIECE, k] * np.int32(256), length) + node].astype(np.float32) for k in range(n)]
-            z = sum(np.repeat(self.weights[g, k].astype(np.float32), length) * hint[k] for k in range(n))
+            hint = [self.table.take((x * 256).take(byte) + node).astype(np.float32) for x in rows]
+            z = sum(self.weights[g, k].astype(np.float32).take(byte) * hint[k] for k in range(n))
             p = 1 / (1 + np.exp(-np.clip(z, -8, 8)))
             error, spread = code.bit[path] - p, p * (1 - p)
-            by_gate = lambda x: np.bincount(g, np.add.reduceat(x, first), GATES)
+            by_gate = lambda x: np.bincount(g, times[lo: lo + PIECE] * np.add.reduceat(x, first), GATES)
             for k in range(n):
                 total[k] += by_gate(error * hint[k])
                 part = spread * hint[k]
@@ -210,6 +262,48 @@ class Mixer:
         return total.T
 
 
+def keyed(data: np.ndarray, rows: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    """A number for each byte that holds its rows, its gate and itself; 50 bits."""
+    key = np.zeros(len(data), np.uint64)
+    for k, bits in enumerate(TABLES):
+        key = key << np.uint64(bits) | (rows[:, k] - _BASE[k]).astype(np.uint64)
+    return (key << np.uint64(2) | gate.astype(np.uint64)) << np.uint64(8) | data.astype(np.uint64)
+
+
+def opened(key: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Rows (one array a table), gates and bytes of keys."""
+    symbol, gate, key = (key & np.uint64(255)).astype(np.int64), (key >> np.uint64(8) & np.uint64(3)).astype(np.int64), key >> np.uint64(10)
+    rows = []
+    for k in range(len(TABLES) - 1, -1, -1):
+        rows.insert(0, (key & np.uint64((1 << TABLES[k]) - 1)).astype(np.int64) + _BASE[k])
+        key = key >> np.uint64(TABLES[k])
+    return rows, gate, symbol
+
+
+class Tally:
+    """Distinct keys and how often each occurs, of slices put in one after the other."""
+
+    def __init__(self):
+        self.keys, self.times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, keys: np.ndarray) -> None:
+        keys, times = np.unique(keys, return_counts=True)
+        both, own = np.concatenate([self.keys, keys]), np.concatenate([self.times, times])
+        order = np.argsort(both, kind="stable")
+        both, own = both[order], own[order]
+        begin = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.zeros(0, np.int64)
+        self.keys, self.times = both[begin], np.add.reduceat(own, begin) if len(both) else own
+
+
+def runs(offs: np.ndarray, limit: int):
+    """(lo, hi) of documents that hold about limit bytes together; a longer one is alone."""
+    lo = 0
+    while lo < len(offs) - 1:
+        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
 def own_counts(parts) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct words of slices (batch, texts, whether each document trains), sorted, and their training counts."""
     found = []
@@ -260,8 +354,7 @@ def cells(docs: DataFrame) -> DataFrame:
                 rows, _ = contexts(data, offs)
                 total = np.zeros(int(_BASE[-1]) * 256, np.int32) if total is None else total
                 for k in range(len(TABLES)):
-                    cell, n = np.unique(rows[:, k].astype(np.int64) * 256 + data, return_counts=True)
-                    total[cell] += n.astype(np.int32)
+                    np.add.at(total, rows[:, k].astype(np.int64) * 256 + data, np.int32(1))
         if total is not None:
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["cell", "n"])
@@ -307,10 +400,14 @@ def total_slopes(docs: DataFrame, mixer: Mixer) -> np.ndarray:
 
     def run(batches):
         m = Mixer(*shared.value)
-        total = np.zeros(n)
+        total, tally = np.zeros(n), Tally()
         for batch in batches:
             for _, _, t in common.slices(batch, lower=True):
-                total += m.slopes(*normalized(t)).ravel()
+                data, offs = normalized(t)
+                tally.add(keyed(data, *contexts(data, offs)))
+                if len(tally.keys) > HELD:
+                    total, tally = total + m.slopes(tally.keys, tally.times).ravel(), Tally()
+        total += m.slopes(tally.keys, tally.times).ravel()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(total)], names=["cell", "x"])
 
     src = docs.where(in_training()).select(common.text_or_empty().alias("text"))
