@@ -8,11 +8,14 @@ group of every document.  No link between different texts is lost:
 2.  Nodes are dealt to trees by a lossless key.  Sets of a size class that link
     differ in at most D shingles.  The shingles of a set are cut by hash into
     more than D parts, so two linked sets agree on a whole part.  The hash of a
-    part's shingles is a key; nodes that share one are in a family.  (Parts that
-    are empty in both sets tell nothing.  A class has spare parts for them, and
-    a set with more empty parts than that is cut again by another hash.)
-    Keys hold several shingles each: passages that many otherwise different
-    documents share give no common key.
+    part's shingles is a key; linked nodes share one.  (Parts that are empty in
+    both sets tell nothing.  A class has spare parts for them, and a set with
+    more empty parts than that is cut again by another hash.)  Most nodes that
+    share a key only share a passage, and by such keys nearly all documents would
+    hang together.  So every node has a sketch, a bitmap with the parity of its
+    shingles' hashes: it differs in no more bits than the sets differ in shingles,
+    and takes about a bit a shingle.  Nodes of a key that sketches let pass, or a
+    chain of them, are in a family; only their sets move.
 3.  In a family, a signature tree: every leaf is a set with a bitmap of its
     shingles' hashes, every inner node the OR of its children's bitmaps and the
     range of their sizes.  The tree is traversed against itself, level by level.
@@ -55,6 +58,12 @@ TASK_SHINGLES, BLOCK_SHINGLES = 2_000_000, 8_000_000
 BROADCAST_ROWS = 300_000
 #: keys (two numbers each) up to which they are
 BROADCAST_KEYS = 1_000_000
+#: bits of a sketch for each shingle in which linked sets may differ, at least
+SKETCH_BITS = 3.4
+#: nodes of one key that a task compares by their sketches; more are dealt to pairs of blocks
+KEY_NODES = 4096
+#: bytes of sketches that are compared at a time: memory only
+COMPARED = 4 << 20
 FANOUT = 8
 #: pairs of tree nodes whose children are looked at together: memory only
 PAIRS = 2048
@@ -153,6 +162,119 @@ def part_keys(grams: np.ndarray, doc: np.ndarray, n: int, percent: int) -> tuple
     return keys[order], of[order]
 
 
+def sketches_of(grams: np.ndarray, doc: np.ndarray, n: int, percent: int) -> pa.Array:
+    """Each document's sketch: bit h of 2^b says whether an odd number of its shingles' hashes end in h."""
+    need = np.bincount(doc, minlength=n) * (SKETCH_BITS * 2 * (100 - percent) / (100 + percent))
+    bits = 64 << np.ceil(np.log2(np.maximum(need / 64, 1))).astype(np.int64)
+    start = np.concatenate(([0], np.cumsum(bits)))
+    at = (common.mix(grams ^ np.uint64(0xA0761D6478BD642F)) & (bits - 1).astype(np.uint64)[doc]).astype(np.int64) + start[doc]
+    odd = (np.bincount(at, minlength=start[-1]) & 1).astype(bool)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((start // 8).astype(np.int32)), pa.py_buffer(np.packbits(odd, bitorder="little"))])
+
+
+def sketch_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sketches as one array of 64-bit words, the first word of each, and how many it has."""
+    if not pa.types.is_large_binary(column.type):
+        column = column.cast(pa.large_binary())
+    offs = np.frombuffer(column.buffers()[1], np.int64)[column.offset: column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offs[0]: offs[-1]].view(np.uint64)
+    return data, (offs[:-1] - offs[0]) // 8, np.diff(offs) // 8
+
+
+def sketch_rows(words, some: np.ndarray, width: int) -> np.ndarray:
+    """The sketches `some` as rows of `width` words; longer ones are folded, which keeps the parity of what falls together."""
+    data, first, size = words
+    out = np.empty((len(some), width), np.uint64)
+    for w in np.unique(size[some]):
+        mine = np.flatnonzero(size[some] == w)
+        rows = data[first[some[mine]][:, None] + np.arange(w)]
+        out[mine] = np.bitwise_xor.reduce(rows.reshape(len(mine), w // width, width), axis=1)
+    return out
+
+
+def can_link(a: np.ndarray, b: np.ndarray, differ: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of a and b shingles that differ in `differ` at least can link."""
+    return (np.minimum(a, b) * 100 >= np.maximum(a, b) * percent) & (differ * (100 + percent) <= (a + b) * (100 - percent))
+
+
+def likely_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes that their sketches let link."""
+
+    def run(batch):
+        a, b = (batch.column(c).to_numpy() for c in ("na", "nb"))
+        one, two = sketch_words(batch.column("ka")), sketch_words(batch.column("kb"))
+        width = np.minimum(one[2], two[2])
+        for w in np.unique(width):
+            mine = np.flatnonzero(width == w)
+            step = max(1, COMPARED // (8 * int(w)))
+            for lo in range(0, len(mine), step):
+                i = mine[lo: lo + step]
+                differ = np.bitwise_count(sketch_rows(one, i, w) ^ sketch_rows(two, i, w)).sum(1, dtype=np.int64)
+                i = i[can_link(a[i], b[i], differ, percent)]
+                yield {c: batch.column(c).take(pa.array(i)) for c in ("a", "b")}
+
+    side = lambda x: sketches.select(F.col("s1").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"))
+    met = pairs.join(side("b"), "b").join(side("a"), "a").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    return common.arrow_map(met.select("a", "b", "na", "nb", "ka", "kb"), run, "a long, b long")
+
+
+def likely_groups(n_shingles: np.ndarray, words, side: np.ndarray, label: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of nodes that put those together which their sketches let link, as far as their labels don't.
+
+    side: nodes of equal sides are compared for 2 only, nodes of different ones always."""
+    out, label = [], label.copy()
+    for width in np.unique(words[2]):
+        some = np.flatnonzero(words[2] >= width)
+        some = some[np.argsort(n_shingles[some], kind="stable")]
+        own = some[words[2][some] == width]
+        some = some[n_shingles[some] * percent <= n_shingles[own[-1]] * 100]
+        rows, mine, sizes = sketch_rows(words, some, width), sketch_rows(words, own, width), n_shingles[some]
+        step = max(1, COMPARED // (8 * int(width) * len(some)))
+        for lo in range(0, len(own), step):
+            a = own[lo: lo + step]
+            # sizes that can link with one of these
+            begin, end = np.searchsorted(sizes * 100, n_shingles[a[0]] * percent), np.searchsorted(sizes * percent, n_shingles[a[-1]] * 100, "right")
+            b = some[begin:end]
+            ok = (label[a][:, None] != label[b][None]) & ((side[a][:, None] != side[b][None]) | (side[a][:, None] == 2))
+            i, j = np.nonzero(ok)
+            for at in range(0, len(i), max(1, COMPARED // (8 * int(width)))):
+                x, y = (v[at: at + max(1, COMPARED // (8 * int(width)))] for v in (i, j))
+                differ = np.bitwise_count(mine[lo + x] ^ rows[begin + y]).sum(1, dtype=np.int64)
+                keep = can_link(n_shingles[a[x]], n_shingles[b[y]], differ, percent)
+                for p, q in zip(a[x[keep]].tolist(), b[y[keep]].tolist(), strict=True):
+                    if label[p] != label[q]:
+                        label[label == label[q]] = label[p]
+                        out.append((p, q))
+    return out
+
+
+def likely_links(batches: Iterator[pa.RecordBatch], percent: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows of tasks (key, lo, hi), sorted by task, to edges between nodes that their sketches let link."""
+
+    def solve(parts):
+        t = pa.Table.from_batches(parts).combine_chunks()
+        s1, n, side, label = (t.column(c).to_numpy() for c in ("s1", "n_shingles", "side", "label"))
+        found = likely_groups(n, sketch_words(t.column("sketch").combine_chunks()), side, label, percent)
+        at = np.array(found, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(s1[at[:, k]]) for k in (0, 1)], schema=schema)
+
+    task, parts = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(c).to_numpy() for c in ("key", "lo", "hi")]
+        cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+        for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows], strict=True):
+            here = tuple(int(c[lo]) for c in cols)
+            if here != task and parts:
+                yield solve(parts)
+                parts = []
+            task = here
+            parts.append(batch.slice(lo, hi - lo))
+    if parts:
+        yield solve(parts)
+
+
 def list_array(values: np.ndarray, of: np.ndarray, n: int) -> pa.Array:
     """Values grouped by document as a list column."""
     offsets = np.searchsorted(of, np.arange(n + 1)).astype(np.int32)
@@ -160,7 +282,7 @@ def list_array(values: np.ndarray, of: np.ndarray, n: int) -> pa.Array:
 
 
 def described(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, the set's name (s1, s2) and its keys, for every row."""
+    """doc_id, n_shingles, the set's name (s1, s2), its keys and its sketch, for every row."""
 
     def run(batch):
         for lo, hi, t in common.slices(batch, lower=True):
@@ -168,15 +290,16 @@ def described(docs: DataFrame, k: int, percent: int) -> DataFrame:
             s1, s2 = set_names(grams, doc, t.n)
             keys, of = part_keys(grams, doc, t.n, percent)
             yield {"doc_id": batch.slice(lo, hi - lo).column(0), "n_shingles": np.bincount(doc, minlength=t.n), "s1": s1, "s2": s2,
-                   "keys": list_array(keys, of, t.n)}
+                   "keys": list_array(keys, of, t.n), "sketch": sketches_of(grams, doc, t.n, percent)}
 
     kind = dict(docs.dtypes)["doc_id"]
     return common.arrow_map(docs.select("doc_id", common.text_or_empty().alias("text")), run,
-                            f"doc_id {kind}, n_shingles long, s1 long, s2 long, keys array<long>")
+                            f"doc_id {kind}, n_shingles long, s1 long, s2 long, keys array<long>, sketch binary")
 
 
-def families(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(s1, family): nodes that share a key, with all that they lead to."""
+def families(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(s1, family): nodes that share a key and can link by their sketches, with all that they lead to."""
+    spark = rows.sparkSession
     # one row for each set: rows that repeat it give the same keys
     spare = common.scratch_table(rows.select("doc_id", "s1", "s2").join(nodes, ["s1", "s2"]).where("doc_id <> rep").select("doc_id", "s1", "s2").distinct(), "join-spare")
     if spare.count() <= BROADCAST_ROWS:
@@ -185,14 +308,36 @@ def families(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     # dealt by key as they are: sums by key in each task would only add columns to rows that hardly ever meet there
     shared = common.scratch_table(
         keyed.repartition("key").groupBy("key").agg(F.min("s1").alias("low"), F.max("s1").alias("high"), F.count(F.lit(1)).alias("rows")).where("low < high"), "join-keys")
-    common.release_shuffles(rows.sparkSession)
+    common.release_shuffles(spark)
     # a key of more than two rows has members besides these two
     more = shared.where("rows > 2").select("key", "low")
     if more.count() <= BROADCAST_KEYS:
         more = F.broadcast(more)
-    edges = shared.select(F.col("low").alias("a"), F.col("high").alias("b")).union(
-        keyed.join(more, "key").select(F.col("low").alias("a"), F.col("s1").alias("b")))
-    return components(edges.where("a <> b").distinct()).select(F.col("node").alias("s1"), F.col("component").alias("family"))
+    groups = common.scratch_table(keyed.join(more, "key").select("key", "low", "s1").distinct(), "join-shared")
+    common.release_shuffles(spark)
+    # first every node with the smallest of its keys
+    stars = common.scratch_table(shared.select(F.col("low").alias("a"), F.col("high").alias("b")).union(
+        groups.select(F.col("low").alias("a"), F.col("s1").alias("b"))).where("a <> b").distinct(), "join-stars")
+    met = stars.select(F.col("a").alias("s1")).union(stars.select("b")).distinct()
+    sketches = common.scratch_table(rows.where("n_shingles > 0").select("s1", "n_shingles", "sketch").join(met, "s1", "left_semi").distinct(), "join-sketches")
+    likely = common.scratch_table(likely_pairs(stars, sketches, percent), "join-likely")
+    # then all nodes of the keys whose nodes are not together by that, once for keys of the same nodes
+    together = components(likely)
+    at = groups.select("key", "s1").join(together.select(F.col("node").alias("s1"), F.col("component").alias("label")), "s1", "left").select(
+        "key", "s1", F.coalesce("label", "s1").alias("label"))
+    apart = at.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("n"),
+                                  *(F.bit_xor(F.xxhash64("s1", F.lit(i))).alias(f"h{i}") for i in (1, 2))).where("least < most AND n > 2")
+    apart = common.scratch_table(apart.groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / KEY_NODES).cast("int").alias("blocks")), "join-apart")
+    apart = F.broadcast(apart) if apart.count() <= BROADCAST_KEYS else apart
+    block = F.pmod(F.xxhash64("s1"), F.col("blocks"))
+    dealt = at.join(apart, "key").select("key", "s1", "label", block.cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    dealt = dealt.select("key", "s1", "label", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), side.alias("side")).join(sketches, "s1")
+    task = ["key", "lo", "hi"]
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    dealt = dealt.select(*task, "s1", "n_shingles", "side", "label", "sketch").repartition(*task).sortWithinPartitions(*task)
+    others = common.scratch_table(dealt.mapInArrow(lambda it: likely_links(it, percent, schema), "a long, b long"), "join-others")
+    return components(likely.union(others)).select(F.col("node").alias("s1"), F.col("component").alias("family"))
 
 
 class Forest:
@@ -390,9 +535,9 @@ def jaccard_join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Dat
     full = described(docs, k, percent)
     full.write.parquet(keyed)
     full = spark.read.schema(full.schema).parquet(keyed)
-    rows = common.scratch_table(full.drop("keys"), "join-rows")
+    rows = common.scratch_table(full.drop("keys", "sketch"), "join-rows")
     nodes = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"))
-    family = common.scratch_table(families(full, nodes), "join-families")
+    family = common.scratch_table(families(full, nodes, percent), "join-families")
     drop_path(spark, keyed)  # the keys are the largest table, and have done their work
     bucket, reaches = size_bucket(percent)
     members = nodes.where("rep is not null").join(family, "s1").select("rep", "s1", "s2", "n_shingles", "family", bucket.alias("bucket"), reaches.alias("reaches"))

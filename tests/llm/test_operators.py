@@ -86,6 +86,40 @@ def test_ngram_join_in_blocks(spark, monkeypatch, block, percent):
     assert got(ngram_join.jaccard_join(frame(spark, rows), percent=percent), "doc_id", "n_shingles", "component_id") == brute_components(rows, 3, percent)
 
 
+def test_ngram_join_reads_no_sets_of_documents_that_share_a_passage_only(spark, monkeypatch):
+    """Different documents with one passage hang together by keys; sketches tell them apart before their sets move."""
+    rnd = random.Random(8)
+    passage = ["p%d" % i for i in range(80)]
+    rows = [(i, " ".join([*(f"d{i}-{j}" for j in range(60)), *passage])) for i in range(40)]
+    rows += [(100 + i, " ".join(w if rnd.random() > 0.002 else "zz" for w in rows[i][1].split(" "))) for i in range(3)]
+    moved = []
+    dealt = ngram_join.dealt_tasks
+    monkeypatch.setattr(ngram_join, "dealt_tasks", lambda members: moved.append(members.count()) or dealt(members))
+    want = brute_components(rows, 3, 80)
+    assert got(ngram_join.jaccard_join(frame(spark, rows), percent=80), "doc_id", "n_shingles", "component_id") == want
+    assert moved[0] <= 6
+
+
+@pytest.mark.parametrize("blocks", [3, 4096])
+def test_ngram_join_compares_the_nodes_of_a_key_in_blocks(spark, monkeypatch, blocks):
+    monkeypatch.setattr(ngram_join, "KEY_NODES", blocks)
+    rnd = random.Random(9)
+    passage = ["p%d" % i for i in range(60)]
+    rows = [(i, " ".join([*(f"d{i % 9}-{j}" if rnd.random() > 0.01 else "zz" for j in range(40 + i % 5)), *passage])) for i in range(45)]
+    assert got(ngram_join.jaccard_join(frame(spark, rows), percent=80), "doc_id", "n_shingles", "component_id") == brute_components(rows, 3, 80)
+
+
+def test_sketches_differ_in_no_more_bits_than_sets(spark):
+    rng = np.random.default_rng(3)
+    for _ in range(100):
+        n, more = int(rng.integers(1, 2000)), int(rng.integers(0, 400))
+        a = np.unique(rng.integers(1, 1 << 62, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[int(rng.integers(0, 1 + len(a) // 4)):], rng.integers(1, 1 << 62, more + 1).astype(np.uint64)]))
+        words = ngram_join.sketch_words(ngram_join.sketches_of(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), 2, 80))
+        rows = ngram_join.sketch_rows(words, np.arange(2), int(words[2].min()))
+        assert np.bitwise_count(rows[0] ^ rows[1]).sum() <= len(np.setxor1d(a, b))
+
+
 def test_part_keys_lose_no_link():
     rng = np.random.default_rng(0)
     for percent in (80, 90):
