@@ -220,3 +220,29 @@ def test_a_level_in_stretches_gives_the_same_rows_and_holds_less(spark, monkeypa
     want = D.file_changes(entries, pairs).collect()
     assert sorted(map(key, got), key=str) == sorted(map(key, want), key=str) and len(got) > 100
     assert len(seen[-1]) <= 1 and not any("/trees-" in f for x in seen for f in x) and lies() == before
+
+
+def test_levels_of_small_shuffles_are_one_pass_and_pairs_come_along(spark, monkeypatch):
+    """A level whose shuffles are smaller than the listings is not cut; entries meet by name, whatever it holds;
+    only directories that several pairs share are joined to them."""
+    from strata.operators import trees as T
+
+    names = ["a", "a b", "a  b", "a\nb", "é", "z"]
+    top = lambda k: [(f"r{k}", "sub dir", "tree", f"t{k}"), (f"r{k}", "kept", "blob", "same")]
+    sub = [(f"t{k}", n, "blob", f"b{i}{k if (i + k) % 2 else ''}") for k in range(6) for i, n in enumerate(names) if (i + k) % 5]
+    bulk = [(f"x{i}", f"name{i}", "blob", f"{i:040d}") for i in range(3000)]
+    trees = spark.createDataFrame([*(x for k in range(6) for x in top(k)), *sub, *bulk], "tree_oid string, name string, kind string, child_oid string")
+    roots = spark.createDataFrame([(1, f"c{k}", f"r{k}") for k in range(6)], "repository_id long, commit_oid string, root_oid string")
+    steps = [(f"c{k}", f"c{k + 1}") for k in range(5)] * 2 + [(None, "c0"), ("c5", None), ("c3", "zz")]
+    pairs = spark.createDataFrame([(f"p{i}", 1, a, b) for i, (a, b) in enumerate(steps)], "pair_id string, repository_id long, from_oid string, to_oid string")
+    passes, diff, done = [], T.listing_diff, []
+    monkeypatch.setattr(T, "STRETCH", 2)
+    monkeypatch.setattr(T, "listing_diff", lambda *a: (passes.append(1), diff(*a))[1])
+    got = T.tree_changes(trees, roots, pairs, read=lambda: done.append(1)).collect()
+    files = {f"c{k}": {"kept": "same"} | {f"sub dir/{n}": o for t, n, _, o in sub if t == f"t{k}"} for k in range(6)}
+    want = set()
+    for i, (a, b) in enumerate(steps):
+        old, new = files.get(a, {}), files.get(b, {})
+        want |= {(f"p{i}", p, old.get(p), new.get(p)) for p in old.keys() | new.keys() if old.get(p) != new.get(p)}
+    assert {(r["pair_id"], r["path"], r["old_blob"], r["new_blob"]) for r in got} == want and len(got) == len(want)
+    assert len(passes) == 2 and done == [1]
