@@ -77,3 +77,19 @@ def test_late_commits_do_not_cost_a_frontier_round_each(spark):
     assert len(cross) > 70 and edges.isEmpty()
     assert sorted((r["nid"], r["chain"], r["cpos"]) for r in index.collect()) == [(k, 0, k) for k in range(n)]
     assert sorted(map(tuple, follow.collect())) == [(k - 1, k) for k in range(1, n)]
+
+
+def test_forced_moves_reads_old_tips_not_all_commits(spark):
+    """The old tips' coordinates are looked up step by step; the result no longer reads the commits."""
+    from strata.operators import graph as G
+    from strata.operators import graph_store as GS
+    oid = lambda k: f"{k:040d}"
+    parents = {k: [k - 1] for k in range(1, 40)} | {100: [20], 101: [100], 39: [38, 101]}
+    nodes = spark.createDataFrame([(1, oid(k)) for k in [0, *parents]], "repository_id long, oid string")
+    edges = spark.createDataFrame([(1, oid(k), i, oid(p)) for k, ps in parents.items() for i, p in enumerate(ps)], "repository_id long, oid string, pos int, parent_oid string")
+    want = {(10, 30): False, (30, 10): True, (101, 39): False, (101, 38): True, (20, 101): False, (21, 101): True, (77, 5): None, (None, 5): None}
+    moves = spark.createDataFrame([(1, "b", None if a is None else oid(a), oid(b)) for a, b in want], "repository_id long, name string, old_oid string, target_oid string")
+    graph = G.CommitGraph(nodes, edges)
+    out = GS.forced_moves(graph, moves)
+    assert {(None if r["old_oid"] is None else int(r["old_oid"]), int(r["target_oid"])): r["forced"] for r in out.collect()} == want
+    assert not set(graph.ids().inputFiles()) & set(out.inputFiles())
